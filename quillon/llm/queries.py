@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.lm_scoring import op5_lm_scoring
+from quillon.llm.packing import op7_packing
+from quillon.llm.private_data import op6_private_data
 from quillon.llm.quality_rules import op10_quality_rules
 from quillon.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_counts": op4_token_counts,
+    "op5_lm_scoring": op5_lm_scoring,
+    "op6_private_data": op6_private_data,
+    "op7_packing": op7_packing,
     "op10_quality_rules": op10_quality_rules,
 }
 
