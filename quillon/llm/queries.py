@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.chat_format import OP2_SQL, op2_chat_formatting
+from quillon.llm.decontaminate import OP3_SQL, op3_decontamination
 from quillon.llm.lm_scoring import op5_lm_scoring
+from quillon.llm.near_dedup import op8_near_dedup
 from quillon.llm.packing import op7_packing
 from quillon.llm.private_data import op6_private_data
 from quillon.llm.quality_rules import op10_quality_rules
 from quillon.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_chat_formatting": op2_chat_formatting,
+    "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
     "op5_lm_scoring": op5_lm_scoring,
     "op6_private_data": op6_private_data,
     "op7_packing": op7_packing,
+    "op8_near_dedup": op8_near_dedup,
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_decontamination": OP3_SQL}
