@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.chat_format import OP2_SQL, op2_chat_formatting
 from quillon.llm.decontaminate import OP3_SQL, op3_decontamination
+from quillon.llm.license_scan import op1_license_scan
 from quillon.llm.lm_scoring import op5_lm_scoring
 from quillon.llm.near_dedup import op8_near_dedup
 from quillon.llm.packing import op7_packing
 from quillon.llm.private_data import op6_private_data
+from quillon.llm.quality_resampling import op9_quality_resampling
 from quillon.llm.quality_rules import op10_quality_rules
 from quillon.llm.token_counts import op4_token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_license_scan": op1_license_scan,
     "op2_chat_formatting": op2_chat_formatting,
     "op3_decontamination": op3_decontamination,
     "op4_token_counts": op4_token_counts,
@@ -23,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_private_data": op6_private_data,
     "op7_packing": op7_packing,
     "op8_near_dedup": op8_near_dedup,
+    "op9_quality_resampling": op9_quality_resampling,
     "op10_quality_rules": op10_quality_rules,
 }
 
