@@ -41,7 +41,7 @@ ADAPTERS: dict[str, str] = {
         WHEN 10 THEN 'POCSO and the Information Technology Act, Section 66A, were cited. PAGE 1 OF 10'
         ELSE 'section 420.0 420 420A x' END || ' ' || coalesce(text, '') AS text FROM documents""",
     "bare_acts": """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name,
-        CAST(300 + doc_id % 37 AS STRING) AS section_number, source, lang, n_chars, 'Offence ' || CAST(doc_id % 11 AS STRING) AS section_title, text AS full_text, doc_id % 3 = 0 AS is_replaced FROM documents""",
+        CAST(300 + doc_id % 37 AS STRING) AS section_number, source, lang, n_chars, 'Offence ' || CAST(doc_id % 11 AS STRING) AS section_title, text AS full_text, doc_id % 3 = 0 AS is_replaced FROM documents WHERE doc_id % 37 <> 8""",
     "case_law": """SELECT doc_id AS case_id, 'AIR ' || CAST(1950 + doc_id % 70 AS STRING) || ' SC ' || CAST(doc_id % 50 AS STRING) AS citation, 1950 + doc_id % 70 AS year, source AS court, lang, n_chars, text AS chunk_text FROM documents""",
     "amendments": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Companies Act 2013' END AS act_name,
         CAST(300 + event_id % 41 AS STRING) AS section_number, 1990 + event_id % 34 AS amendment_year, event_type AS importance FROM events WHERE event_id % 10 = 3""",
