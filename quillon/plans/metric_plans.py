@@ -53,7 +53,7 @@ hr AS (SELECT row_idx, system, inline, coalesce(claims, 0) AS claims, coalesce(s
 _hr = lambda t: m.hallucinations(_j(t), t.bare_acts, t.case_law)
 query("m02_hallucination_rows", f"WITH {HR} SELECT row_idx, system, claims, sections, cases, inline, round(rate, 6) AS rate FROM hr")(lambda t: _hr(t).select("row_idx", "system", "claims", "sections", "cases", "inline", r6(F.col("rate")).alias("rate")))
 query("m02_hallucination_rate", f"WITH {HR} SELECT system, round(100.0 * sum(sections + cases + inline) / greatest(sum(total), 1), 6) AS micro, round(100 * avg(rate), 6) AS macro FROM hr GROUP BY 1")(lambda t: _hr(t).groupBy("system").agg(r6(100 * F.sum(F.col("sections") + F.col("cases") + F.col("inline")) / F.greatest(F.sum("total"), F.lit(1))).alias("micro"), r6(100 * F.avg("rate")).alias("macro")))
-query("m02a_string_claims", r"""SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(AIR|SCC|SCR)\b') THEN 'case_law' WHEN regexp_matches(text, '(?i)(section|sec\.?|s\.?)\s*[0-9]+[A-Z]?') THEN 'bare_act' END AS type FROM legal""")(lambda t: t.legal.select("doc_id", F.when(F.col("text").rlike(r"(?i)\b(AIR|SCC|SCR)\b"), "case_law").when(F.col("text").rlike(r"(?i)(section|sec\.?|s\.?)\s*[0-9]+[A-Z]?"), "bare_act").alias("type")))
+query("m02a_string_claims", r"""SELECT row_idx, system, CASE WHEN regexp_matches(c, '(?i)\b(AIR|SCC|SCR)\b') THEN 'case_law' WHEN regexp_matches(c, '(?i)(section|sec\.?|s\.?)\s*[0-9]+[A-Z]?') THEN 'bare_act' END AS type FROM (SELECT row_idx, system, act1 || ' ' || section1 AS c FROM responses)""")(lambda t: t.responses.withColumn("c", F.concat("act1", F.lit(" "), "section1")).select("row_idx", "system", F.when(F.col("c").rlike(r"(?i)\b(AIR|SCC|SCR)\b"), "case_law").when(F.col("c").rlike(r"(?i)(section|sec\.?|s\.?)\s*[0-9]+[A-Z]?"), "bare_act").alias("type")))
 _FULL = "(answer || ' ' || concat_ws(' ', act1, act2))"
 OLR = f"{J}, o AS (SELECT *, " + ", ".join(f"regexp_matches({_FULL}, '{old}') AS {n}_cited, regexp_matches({_FULL}, '{old}') AND NOT (regexp_matches({_FULL}, '{new}')" + (" OR transition_note <> ''" if n == "ipc" else "") + f") AS {n}_outdated" for n, (old, new) in m.REPLACED.items()) + " FROM j)"
 _OUT = "count(*) FILTER (ipc_outdated) + count(*) FILTER (crpc_outdated) + count(*) FILTER (evidence_outdated)"

@@ -83,3 +83,15 @@ def _fallback(t):
 
 query("j20_nearest", f"WITH {DENSE_SQL} SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM dp WHERE label = 2 AND vec_id <> query_id) WHERE k = 1")(lambda t: x.dense(t.embeddings.filter("label = 2"), _dq(t), key="vec_id", vector="embedding", query="query_id", query_vector="q", k=2).filter("vec_id <> query_id").groupBy("query_id").agg(F.min_by("vec_id", "rank").alias("vec_id")))
 query("p25_duplicate_detector", f"WITH {DENSE_SQL} SELECT query_id, 2 - 2 * max(score) < 0.1 AS duplicate FROM dp WHERE vec_id <> query_id GROUP BY 1")(lambda t: _dense(t, 2).filter("vec_id <> query_id").groupBy("query_id").agg((2 - 2 * F.max("score") < 0.1).alias("duplicate")))
+
+
+@query("r12_collection_preference", "SELECT lang, CASE WHEN n_ml > 0 THEN 'documents_ml' ELSE 'documents' END AS collection FROM (SELECT lang, count(*) FILTER (doc_id % 2 = 1 AND lang <> 'en') AS n_ml FROM documents GROUP BY 1)")
+def _preference(t):
+    """The multilingual twin of a collection where it has rows, else the collection itself."""
+    twin = t.documents.filter("doc_id % 2 = 1 AND lang <> 'en'").groupBy("lang").agg(F.count("*").alias("n"))
+    return t.documents.select("lang").distinct().join(twin, "lang", "left").select("lang", F.when(F.col("n") > 0, "documents_ml").otherwise("documents").alias("collection"))
+
+
+_HINT = "CASE WHEN contains(lower(query), lower(regexp_extract(section, '(\\d+)', 1))) THEN 400 ELSE 0 END"
+query("r14_structured_citations", f"""WITH c AS (SELECT row_idx, system, query, 1 AS pos, act1 AS act, section1 AS section, CASE WHEN type1 = 'bare_act' THEN 100 ELSE 60 END AS base FROM responses WHERE act1 IS NOT NULL UNION ALL SELECT row_idx, system, query, 2, act2, section2, 80 FROM responses WHERE act2 IS NOT NULL),
+k AS (SELECT *, base + {_HINT} AS score FROM c) SELECT row_idx, system, act, section, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY row_idx, system ORDER BY score DESC, pos) AS INT) AS place FROM k""")(lambda t: topk(t.responses.select("row_idx", "system", "query", F.inline(F.array(F.struct(F.lit(1).alias("pos"), F.col("act1").alias("act"), F.col("section1").alias("section"), F.when(F.col("type1") == "bare_act", 100).otherwise(60).alias("base")), F.struct(F.lit(2).alias("pos"), F.col("act2").alias("act"), F.col("section2").alias("section"), F.lit(80).alias("base"))))).filter("act IS NOT NULL").withColumn("score", F.col("base") + F.when(F.contains(F.lower("query"), F.lower(F.regexp_extract("section", r"(\d+)", 1))), 400).otherwise(0)), ["row_idx", "system"], [F.desc("score"), "pos"], 4, rank="place").select("row_idx", "system", "act", "section", "score", "place"))

@@ -19,8 +19,8 @@ def _per_doc(name, columns, sql):
     query(name, f"SELECT doc_id, {sql}" + ("" if " FROM legal" in sql else " FROM legal"))(lambda t: t.legal.select("doc_id", *[c.alias(n) for n, c in columns.items()]))
 
 
-query("t01_section_number", r"""WITH v AS (SELECT doc_id, regexp_replace(trim(regexp_replace(substr(text, 1, 14), '\s+', ' ', 'g')), '(?i)^(section|sec\.?|article|art\.?)\s+', '') AS v FROM legal)
-SELECT doc_id, coalesce(nullif(regexp_extract(v, '(?i)^([0-9]+[A-Z]?(?:\([0-9A-Za-z]+\))?(?:-[0-9A-Za-z]+)?)', 1), ''), nullif(regexp_replace(v, '[^0-9A-Za-z()\-]+', '', 'g'), ''), 'unknown') AS section_number FROM v""")(lambda t: t.legal.select("doc_id", x.section_number(F.substring("text", 1, 14)).alias("section_number")))
+query("t01_section_number", r"""WITH v AS (SELECT row_idx, system, regexp_replace(trim(regexp_replace(coalesce(section1, ''), '\s+', ' ', 'g')), '(?i)^(section|sec\.?|article|art\.?)\s+', '') AS v FROM responses)
+SELECT row_idx, system, coalesce(nullif(regexp_extract(v, '(?i)^([0-9]+[A-Z]?(?:\([0-9A-Za-z]+\))?(?:-[0-9A-Za-z]+)?)', 1), ''), nullif(regexp_replace(v, '[^0-9A-Za-z()\-]+', '', 'g'), ''), 'unknown') AS section_number FROM v""")(lambda t: t.responses.select("row_idx", "system", x.section_number(F.coalesce("section1", F.lit(""))).alias("section_number")))
 query("t02_section_token", r"""SELECT row_idx, system, trim(regexp_replace(trim(regexp_replace(trim(section1), '(?i)^section\s*', '')), '(?i)^sec\.?\s*', '')) AS token FROM responses""")(lambda t: t.responses.select("row_idx", "system", x.section_token(F.col("section1")).alias("token")))
 query("t03_whole_number", r"""SELECT row_idx, CASE WHEN regexp_matches(s, '^\d+\.0$') THEN regexp_replace(s, '\.0$', '') ELSE s END AS section FROM (SELECT row_idx, correct_section || CASE WHEN row_idx % 2 = 0 THEN '.0' ELSE '' END AS s FROM ground_truth)""")(lambda t: t.ground_truth.select("row_idx", x.whole_number(F.concat("correct_section", F.when(F.col("row_idx") % 2 == 0, ".0").otherwise(""))).alias("section")))
 _per_doc("t04_match_normalise", {"norm": x.for_match(TEXT)}, r"trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9\s]+', ' ', 'g'), '\s+', ' ', 'g')) AS norm")
