@@ -61,9 +61,9 @@ _CIT = _OUT.replace("outdated", "cited")
 _olr = lambda t: m.outdated(_j(t))
 _sum = lambda what: sum((F.count_if(f"{n}_{what}") for n in m.REPLACED), F.lit(0))
 _rate = lambda a, b: r6(F.coalesce(F.try_divide(100 * a, b), F.lit(0.0)))
-_any_old = F.col("ipc_outdated") | F.col("crpc_outdated") | F.col("evidence_outdated")
-query("m03_outdated_rate", f"WITH {OLR} SELECT system, " + ", ".join(f"round(coalesce(100.0 * count(*) FILTER ({n}_outdated) / nullif(count(*) FILTER ({n}_cited), 0), 0), 6) AS {n}" for n in m.REPLACED) + f", round(coalesce(100.0 * ({_OUT}) / nullif({_CIT}, 0), 0), 6) AS overall, round(100.0 * count(*) FILTER (ipc_outdated OR crpc_outdated OR evidence_outdated) / count(*), 6) AS responses FROM o GROUP BY 1")(lambda t: _olr(t).groupBy("system").agg(*[_rate(F.count_if(f"{n}_outdated"), F.count_if(f"{n}_cited")).alias(n) for n in m.REPLACED], _rate(_sum("outdated"), _sum("cited")).alias("overall"), r6(100 * F.count_if(_any_old) / F.count("*")).alias("responses")))
-query("m03a_outdated_transition", f"WITH {OLR} SELECT system, count(*) AS n, round(100.0 * count(*) FILTER (ipc_outdated OR crpc_outdated OR evidence_outdated) / count(*), 6) AS rate FROM o WHERE category ILIKE '%transition%' GROUP BY 1")(lambda t: _olr(t).filter(F.col("category").ilike("%transition%")).groupBy("system").agg(F.count("*").alias("n"), r6(100 * F.count_if(_any_old) / F.count("*")).alias("rate")))
+_any_old = lambda: F.col("ipc_outdated") | F.col("crpc_outdated") | F.col("evidence_outdated")
+query("m03_outdated_rate", f"WITH {OLR} SELECT system, " + ", ".join(f"round(coalesce(100.0 * count(*) FILTER ({n}_outdated) / nullif(count(*) FILTER ({n}_cited), 0), 0), 6) AS {n}" for n in m.REPLACED) + f", round(coalesce(100.0 * ({_OUT}) / nullif({_CIT}, 0), 0), 6) AS overall, round(100.0 * count(*) FILTER (ipc_outdated OR crpc_outdated OR evidence_outdated) / count(*), 6) AS responses FROM o GROUP BY 1")(lambda t: _olr(t).groupBy("system").agg(*[_rate(F.count_if(f"{n}_outdated"), F.count_if(f"{n}_cited")).alias(n) for n in m.REPLACED], _rate(_sum("outdated"), _sum("cited")).alias("overall"), r6(100 * F.count_if(_any_old()) / F.count("*")).alias("responses")))
+query("m03a_outdated_transition", f"WITH {OLR} SELECT system, count(*) AS n, round(100.0 * count(*) FILTER (ipc_outdated OR crpc_outdated OR evidence_outdated) / count(*), 6) AS rate FROM o WHERE category ILIKE '%transition%' GROUP BY 1")(lambda t: _olr(t).filter(F.col("category").ilike("%transition%")).groupBy("system").agg(F.count("*").alias("n"), r6(100 * F.count_if(_any_old()) / F.count("*")).alias("rate")))
 AP = f"""{CAR}, ab AS (SELECT *, {ABSTAIN_SQL} AS abstained, EXISTS (SELECT 1 FROM bare_acts b WHERE b.act_name = {_act_sql('act')} AND b.section_number = section) AS available, act = '' OR (act_ok AND section_ok) AS right_ FROM s),
 q4 AS (SELECT system, count(*) FILTER (abstained AND NOT available) AS tp, count(*) FILTER (abstained AND available) AS fp, count(*) FILTER (NOT abstained AND NOT right_) AS fn, count(*) FILTER (NOT abstained AND right_) AS tn, count(*) AS n FROM ab GROUP BY 1)"""
 
@@ -98,8 +98,8 @@ def _semantic(t):
 
 
 query("m07_precision_at_k", "WITH k AS (SELECT l_suppkey, l_returnflag = 'N' AS hit, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) SELECT l_suppkey, CAST(max(CASE WHEN rank = 1 AND hit THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS p1, round(count(*) FILTER (hit) / least(5, count(*)), 6) AS p5 FROM k WHERE rank <= 5 GROUP BY 1")(lambda t: topk(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "N").alias("hit")), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 5, rank="rank").groupBy("l_suppkey").agg(F.max(((F.col("rank") == 1) & F.col("hit")).cast("double")).alias("p1"), r6(F.count_if("hit") / F.least(F.lit(5), F.count("*"))).alias("p5")))
-_TARGET = F.when(F.col("confidence") == "high", 0.90).when(F.col("confidence") == "medium", 0.725).otherwise(0.50)
-query("m08_calibration", "WITH l AS (SELECT system, confidence, count(*) AS n, abs(avg(correct) - CASE confidence WHEN 'high' THEN 0.90 WHEN 'medium' THEN 0.725 ELSE 0.50 END) AS e FROM scores GROUP BY 1, 2) SELECT system, round(sum(n * e) / sum(n), 6) AS error, sum(n * e) / sum(n) < 0.15 AS good FROM l GROUP BY 1")(lambda t: t.scores.groupBy("system", "confidence").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy")).withColumn("e", F.abs(F.col("accuracy") - _TARGET)).groupBy("system").agg(r6(F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("error"), (F.sum(F.col("n") * F.col("e")) / F.sum("n") < 0.15).alias("good")))
+_target = lambda: F.when(F.col("confidence") == "high", 0.90).when(F.col("confidence") == "medium", 0.725).otherwise(0.50)
+query("m08_calibration", "WITH l AS (SELECT system, confidence, count(*) AS n, abs(avg(correct) - CASE confidence WHEN 'high' THEN 0.90 WHEN 'medium' THEN 0.725 ELSE 0.50 END) AS e FROM scores GROUP BY 1, 2) SELECT system, round(sum(n * e) / sum(n), 6) AS error, sum(n * e) / sum(n) < 0.15 AS good FROM l GROUP BY 1")(lambda t: t.scores.groupBy("system", "confidence").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy")).withColumn("e", F.abs(F.col("accuracy") - _target())).groupBy("system").agg(r6(F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("error"), (F.sum(F.col("n") * F.col("e")) / F.sum("n") < 0.15).alias("good")))
 
 
 @query("m09_all_metrics", f"WITH {CAR}, {HR[len(J) + 2:]}, {OLR[len(J) + 2:]}, {ACS[len(J) + 2:]} SELECT system, 'car' AS metric, CAST(round((avg(retrieved) + avg(generated)) * 50, 4) AS DOUBLE) AS value FROM s GROUP BY 1 UNION ALL SELECT system, 'hr', round(100 * avg(rate), 4) FROM hr GROUP BY 1 UNION ALL SELECT system, 'olr', round(100.0 * count(*) FILTER (ipc_outdated OR crpc_outdated OR evidence_outdated) / count(*), 4) FROM o GROUP BY 1 UNION ALL SELECT system, 'acs', round(avg(acs), 4) FROM acs GROUP BY 1")
@@ -107,7 +107,7 @@ def _all_metrics(t):
     j = _j(t)
     row = lambda df, name, value: df.groupBy("system").agg(F.round(value, 4).alias("value")).select("system", F.lit(name).alias("metric"), "value")
     one = m.rubric(m.outdated(m.accuracy(j)))
-    wide = one.groupBy("system").agg(F.round((F.avg("retrieved") + F.avg("generated")) * 50, 4).alias("car"), F.round(100 * F.count_if(_any_old) / F.count("*"), 4).alias("olr"), F.round(F.avg("acs"), 4).alias("acs"))
+    wide = one.groupBy("system").agg(F.round((F.avg("retrieved") + F.avg("generated")) * 50, 4).alias("car"), F.round(100 * F.count_if(_any_old()) / F.count("*"), 4).alias("olr"), F.round(F.avg("acs"), 4).alias("acs"))
     return wide.select("system", F.expr("stack(3, 'car', car, 'olr', olr, 'acs', acs) AS (metric, value)")).unionByName(row(m.hallucinations(j, t.bare_acts, t.case_law), "hr", 100 * F.avg("rate")))
 
 

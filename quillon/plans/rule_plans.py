@@ -49,18 +49,18 @@ query("p07_overall_confidence", f"{_ITEMS}, k AS (SELECT query_id, round(avg({_S
 query("p08_distance_label", f"{_ITEMS} SELECT query_id, rank, CASE WHEN s >= 0.80 THEN 'high' WHEN s >= 0.65 THEN 'medium' ELSE 'low' END AS label FROM (SELECT *, greatest(0.0, least(1.0, 1 - d / 2)) AS s FROM items)")(lambda t: _items(t).withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("d") / 2))).select("query_id", "rank", F.when(F.col("s") >= 0.80, "high").when(F.col("s") >= 0.65, "medium").otherwise("low").alias("label")))
 query("p09_regime_rewrite", "SELECT row_idx, system, CASE WHEN lower(confidence) = 'low' THEN 'I cannot provide a reliable answer.' ELSE answer END AS answer, CASE WHEN lower(confidence) = 'low' THEN NULL ELSE act1 END AS act1 FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(F.lower("confidence") == "low", "I cannot provide a reliable answer.").otherwise(F.col("answer")).alias("answer"), F.when(F.lower("confidence") != "low", F.col("act1")).alias("act1")))
 _N = "(CASE WHEN act1 IS NULL THEN 0 ELSE 1 END + CASE WHEN act2 IS NULL THEN 0 ELSE 1 END)"
-_n = F.col("act1").isNotNull().cast("int") + F.col("act2").isNotNull().cast("int")
-query("p10_citation_confidence", f"SELECT row_idx, system, CASE WHEN {_N} >= 2 THEN 'high' WHEN {_N} = 1 THEN 'medium' ELSE 'low' END AS label FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(_n >= 2, "high").when(_n == 1, "medium").otherwise("low").alias("label")))
+_n = lambda: F.col("act1").isNotNull().cast("int") + F.col("act2").isNotNull().cast("int")
+query("p10_citation_confidence", f"SELECT row_idx, system, CASE WHEN {_N} >= 2 THEN 'high' WHEN {_N} = 1 THEN 'medium' ELSE 'low' END AS label FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(_n() >= 2, "high").when(_n() == 1, "medium").otherwise("low").alias("label")))
 ABSTAIN_SQL = f"(trigger_uncertainty OR (lower(confidence) = 'low' OR {any_sql('lower(answer)', r.ABSTENTION)}) AND {_N} = 0)"
-query("p11_abstention", f"SELECT row_idx, system, {ABSTAIN_SQL} AS abstained FROM responses")(lambda t: t.responses.select("row_idx", "system", r.abstains(F.col("answer"), F.col("confidence"), F.col("trigger_uncertainty"), _n).alias("abstained")))
+query("p11_abstention", f"SELECT row_idx, system, {ABSTAIN_SQL} AS abstained FROM responses")(lambda t: t.responses.select("row_idx", "system", r.abstains(F.col("answer"), F.col("confidence"), F.col("trigger_uncertainty"), _n()).alias("abstained")))
 query("p12_abstention_markers", f"SELECT row_idx, system, trigger_uncertainty OR {any_sql('lower(answer)', r.ABSTENTION_SHORT)} AS abstained FROM responses")(lambda t: t.responses.select("row_idx", "system", (F.col("trigger_uncertainty") | r.has_any(F.lower("answer"), r.ABSTENTION_SHORT)).alias("abstained")))
 query("p13_abstention_words", "SELECT row_idx, system, contains(lower(answer), 'abstain') OR contains(lower(answer), 'cannot answer') AS abstained FROM responses")(lambda t: t.responses.select("row_idx", "system", r.has_any(F.lower("answer"), ["abstain", "cannot answer"]).alias("abstained")))
 query("p14_api_error", f"SELECT row_idx, system, {any_sql('lower(answer)', r.API_ERRORS)} AS failed FROM responses")(lambda t: t.responses.select("row_idx", "system", r.has_any(F.lower("answer"), r.API_ERRORS).alias("failed")))
 query("p15_history", "SELECT query_id, query_type, timestamp FROM queries WHERE query_type = 'click' AND timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND timestamp < TIMESTAMP '2024-01-20 00:00:00' ORDER BY timestamp DESC, query_id LIMIT 100")(lambda t: t.queries.filter((F.col("query_type") == "click") & (F.col("timestamp") >= F.lit("2024-01-05").cast("timestamp")) & (F.col("timestamp") < F.lit("2024-01-20").cast("timestamp"))).orderBy(F.desc("timestamp"), "query_id").limit(100).select("query_id", "query_type", "timestamp"))
 _AS_OF = "TIMESTAMP '2024-01-20 12:00:00'"
-_as_of = F.lit("2024-01-20 12:00:00").cast("timestamp")
-query("p16_time_range", f"SELECT query_type, count(*) AS n FROM queries WHERE timestamp >= {_AS_OF} - INTERVAL 7 DAY GROUP BY 1")(lambda t: t.queries.filter(F.col("timestamp") >= _as_of - F.expr("INTERVAL 7 DAYS")).groupBy("query_type").agg(F.count("*").alias("n")))
-query("p17_same_day", f"SELECT count(*) AS n FROM queries WHERE CAST(timestamp AS DATE) = CAST({_AS_OF} AS DATE)")(lambda t: t.queries.filter((F.col("timestamp") >= F.date_trunc("day", _as_of)) & (F.col("timestamp") < F.date_trunc("day", _as_of) + F.expr("INTERVAL 1 DAY"))).agg(F.count("*").alias("n")))
+_as_of = lambda: F.lit("2024-01-20 12:00:00").cast("timestamp")
+query("p16_time_range", f"SELECT query_type, count(*) AS n FROM queries WHERE timestamp >= {_AS_OF} - INTERVAL 7 DAY GROUP BY 1")(lambda t: t.queries.filter(F.col("timestamp") >= _as_of() - F.expr("INTERVAL 7 DAYS")).groupBy("query_type").agg(F.count("*").alias("n")))
+query("p17_same_day", f"SELECT count(*) AS n FROM queries WHERE CAST(timestamp AS DATE) = CAST({_AS_OF} AS DATE)")(lambda t: t.queries.filter((F.col("timestamp") >= F.date_trunc("day", _as_of())) & (F.col("timestamp") < F.date_trunc("day", _as_of()) + F.expr("INTERVAL 1 DAY"))).agg(F.count("*").alias("n")))
 query("p18_dummy_scan", f"SELECT id, {any_sql('lower(full_text)', r.DUMMY)} AS dummy FROM bare_acts")(lambda t: t.bare_acts.select("id", r.has_any(F.lower("full_text"), r.DUMMY).alias("dummy")))
 query("p19_completeness", "SELECT 'bare_acts' AS collection, count(*) FILTER (section_title IS NULL OR section_title = '') AS no_title, count(*) FILTER (full_text IS NULL OR full_text = '') AS no_text FROM bare_acts UNION ALL SELECT 'case_law', count(*) FILTER (citation IS NULL OR citation = ''), count(*) FILTER (chunk_text IS NULL OR chunk_text = '') FROM case_law")(lambda t: t.bare_acts.agg(F.count_if(F.coalesce("section_title", F.lit("")) == "").alias("no_title"), F.count_if(F.coalesce("full_text", F.lit("")) == "").alias("no_text")).withColumn("collection", F.lit("bare_acts")).unionByName(t.case_law.agg(F.count_if(F.coalesce("citation", F.lit("")) == "").alias("no_title"), F.count_if(F.coalesce("chunk_text", F.lit("")) == "").alias("no_text")).withColumn("collection", F.lit("case_law"))))
 query("p20_min_size", "SELECT 'bare_acts' AS collection, count(*) AS n, count(*) >= 15 AS enough FROM bare_acts UNION ALL SELECT 'case_law', count(*), count(*) >= 100 FROM case_law UNION ALL SELECT 'amendments', count(*), count(*) >= 10 FROM amendments")(lambda t: t.bare_acts.agg(F.count("*").alias("n")).select(F.lit("bare_acts").alias("collection"), "n", (F.col("n") >= 15).alias("enough")).unionAll(t.case_law.agg(F.count("*").alias("n")).select(F.lit("case_law"), "n", F.col("n") >= 100)).unionAll(t.amendments.agg(F.count("*").alias("n")).select(F.lit("amendments"), "n", F.col("n") >= 10)))

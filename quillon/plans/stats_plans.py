@@ -40,20 +40,20 @@ def _kappa(t):
 query("e07_threshold_sensitivity", "SELECT t.threshold, s.system, count(*) FILTER (acs >= t.threshold) AS kept, round(avg(car) FILTER (acs >= t.threshold), 6) AS car FROM scores s, (SELECT unnest([30, 40, 50, 60, 70, 80, 90]) AS threshold) t GROUP BY 1, 2")(lambda t: t.scores.select("system", "acs", "car", F.explode(F.array(*map(F.lit, [30, 40, 50, 60, 70, 80, 90]))).alias("threshold")).groupBy("threshold", "system").agg(F.count_if(F.col("acs") >= F.col("threshold")).alias("kept"), r6(F.avg(F.when(F.col("acs") >= F.col("threshold"), F.col("car")))).alias("car")))
 query("e08_objective", "WITH o AS (SELECT category, difficulty, round(0.45 * avg(car) + 0.45 * (1 - avg(hr)) + 0.10 * (1 - avg(abstained)), 4) AS objective FROM scores GROUP BY 1, 2) SELECT category, difficulty, objective FROM o ORDER BY objective DESC, category, difficulty LIMIT 1")(lambda t: t.scores.groupBy("category", "difficulty").agg(F.round(0.45 * F.avg("car") + 0.45 * (1 - F.avg("hr")) + 0.10 * (1 - F.avg("abstained")), 4).alias("objective")).orderBy(F.desc("objective"), "category", "difficulty").limit(1))
 _CLASS = "CASE WHEN answer = '' THEN 'generation_failure' WHEN act1 IS NULL THEN 'no_citation' WHEN trigger_uncertainty THEN 'over_abstention' WHEN type1 = 'case_law' AND contains(answer, 'overruled') THEN 'overruled' WHEN transition_note <> '' THEN 'transition' ELSE 'other' END"
-_class = F.when(F.col("answer") == "", "generation_failure").when(F.col("act1").isNull(), "no_citation").when(F.col("trigger_uncertainty"), "over_abstention").when((F.col("type1") == "case_law") & F.col("answer").contains("overruled"), "overruled").when(F.col("transition_note") != "", "transition").otherwise("other")
-query("e09_error_classes", f"SELECT row_idx, system, {_CLASS} AS class FROM responses")(lambda t: t.responses.select("row_idx", "system", _class.alias("class")))
+_class = lambda: F.when(F.col("answer") == "", "generation_failure").when(F.col("act1").isNull(), "no_citation").when(F.col("trigger_uncertainty"), "over_abstention").when((F.col("type1") == "case_law") & F.col("answer").contains("overruled"), "overruled").when(F.col("transition_note") != "", "transition").otherwise("other")
+query("e09_error_classes", f"SELECT row_idx, system, {_CLASS} AS class FROM responses")(lambda t: t.responses.select("row_idx", "system", _class().alias("class")))
 _CLASSES = ["generation_failure", "no_citation", "over_abstention", "overruled", "transition", "other"]
-query("e10_failure_distribution", f"WITH f AS (SELECT {_CLASS} AS class FROM responses WHERE lower(confidence) = 'low' OR length(answer) < 50) SELECT k.class, count(f.class) AS n FROM (SELECT unnest({_CLASSES}) AS class) k LEFT JOIN f ON f.class = k.class GROUP BY 1")(lambda t: t.spark.range(1).select(F.explode(F.array(*map(F.lit, _CLASSES))).alias("class")).join(t.responses.filter((F.lower("confidence") == "low") | (F.length("answer") < 50)).groupBy(_class.alias("class")).agg(F.count("*").alias("k")), "class", "left").select("class", F.coalesce("k", F.lit(0)).alias("n")))
+query("e10_failure_distribution", f"WITH f AS (SELECT {_CLASS} AS class FROM responses WHERE lower(confidence) = 'low' OR length(answer) < 50) SELECT k.class, count(f.class) AS n FROM (SELECT unnest({_CLASSES}) AS class) k LEFT JOIN f ON f.class = k.class GROUP BY 1")(lambda t: t.spark.range(1).select(F.explode(F.array(*map(F.lit, _CLASSES))).alias("class")).join(t.responses.filter((F.lower("confidence") == "low") | (F.length("answer") < 50)).groupBy(_class().alias("class")).agg(F.count("*").alias("k")), "class", "left").select("class", F.coalesce("k", F.lit(0)).alias("n")))
 query("e11_confusion", "SELECT confidence, count(*) FILTER (correct = 1) AS right_, count(*) FILTER (correct = 0) AS wrong FROM scores GROUP BY 1")(lambda t: t.scores.groupBy("confidence").pivot("correct", [1, 0]).agg(F.count(F.lit(1))).na.fill(0).select("confidence", F.col("1").alias("right_"), F.col("0").alias("wrong")))
 query("e12_difficulty", "SELECT round(corr(CASE difficulty WHEN 'easy' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END, correct), 6) AS r, round(avg(correct) FILTER (difficulty = 'easy'), 6) AS easy, round(avg(correct) FILTER (difficulty = 'hard'), 6) AS hard FROM scores")(lambda t: t.scores.agg(r6(F.corr(F.when(F.col("difficulty") == "easy", 1).when(F.col("difficulty") == "medium", 2).otherwise(3), F.col("correct"))).alias("r"), r6(F.avg(F.when(F.col("difficulty") == "easy", F.col("correct")))).alias("easy"), r6(F.avg(F.when(F.col("difficulty") == "hard", F.col("correct")))).alias("hard")))
 query("e13_transition_dive", "SELECT r.system, count(*) AS applicable, count(*) FILTER (contains(answer, 'BNS')) AS detected, round(1.0 * count(*) FILTER (contains(answer, 'BNS')) / count(*), 6) AS rate FROM responses r JOIN ground_truth g ON r.row_idx = g.row_idx WHERE g.transition_applies = 'yes' GROUP BY 1")(lambda t: t.responses.join(t.ground_truth.filter("transition_applies = 'yes'").select("row_idx"), "row_idx", "left_semi").groupBy("system").agg(F.count("*").alias("applicable"), F.count_if(F.contains("answer", F.lit("BNS"))).alias("detected"), r6(F.count_if(F.contains("answer", F.lit("BNS"))) / F.count("*")).alias("rate")))
 _SC = "correct + 0.5 * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.5 ELSE 0.0 END"
-_sc = F.col("correct") + 0.5 * F.when(F.col("confidence") == "high", 1.0).when(F.col("confidence") == "medium", 0.5).otherwise(0.0)
+_sc = lambda: F.col("correct") + 0.5 * F.when(F.col("confidence") == "high", 1.0).when(F.col("confidence") == "medium", 0.5).otherwise(0.0)
 
 
 @query("e14_examples", f"WITH r AS (SELECT system, row_idx, {_SC} AS score FROM scores), k AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY score DESC, row_idx) AS b, row_number() OVER (PARTITION BY system ORDER BY score, row_idx) AS w FROM r) SELECT system, row_idx, 'best' AS side FROM k WHERE b <= 5 UNION ALL SELECT system, row_idx, 'worst' FROM k WHERE w <= 5")
 def _examples(t):
-    r = t.scores.select("system", "row_idx", _sc.alias("score"))
+    r = t.scores.select("system", "row_idx", _sc().alias("score"))
     return topk(r, ["system"], [F.desc("score"), "row_idx"], 5).select("system", "row_idx", F.lit("best").alias("side")).unionAll(topk(r, ["system"], ["score", "row_idx"], 5).select("system", "row_idx", F.lit("worst")))
 
 
