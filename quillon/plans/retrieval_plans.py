@@ -28,18 +28,19 @@ _dense = lambda t, k=20: x.dense(t.embeddings, _dq(t), key="vec_id", vector="emb
 query("r03_dense_top20", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM dense")(lambda t: _dense(t))
 query("r04_distance_similarity", f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(1 / (1 + (2 - 2 * score)), 6) AS similarity FROM dense")(lambda t: _dense(t).select("query_id", "vec_id", r6(1 / (1 + (2 - 2 * F.col("score")))).alias("similarity")))
 query("r05_post_filter", f"WITH {BM25_SQL} SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM top JOIN documents USING (doc_id) WHERE lang = 'en'")(lambda t: _bm25(t).join(t.documents.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("item_id", "doc_id", "rank"))
-_SHORT = "short AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_chars, doc_id) AS rank FROM bm JOIN documents USING (doc_id) WHERE score > 0 QUALIFY rank <= 20)"
-_FUSED = f"{BM25_SQL}, dist AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM documents d, benchmark b QUALIFY rank <= 20), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM dist) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
+_FUSED = f"{BM25_SQL}, dist AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM top JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM dist) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
 
 
-def _near_length(t):
-    """A second ranker for fusion: documents by how close their length is to the query's."""
-    q = t.benchmark.select("item_id", F.length("text").alias("ql"))
-    p = t.documents.select("doc_id", "n_chars").join(x.checked(q), F.lit(True))
+def _near_length(top, t):
+    """A second ranking for fusion: the same candidates by how close their length is to the query's."""
+    q = x.checked(t.benchmark.select("item_id", F.length("text").alias("ql")))
+    p = top.select("item_id", "doc_id").join(t.documents.select("doc_id", "n_chars"), "doc_id").join(q, "item_id")
     return topk(p.select("item_id", "doc_id", F.abs(F.col("n_chars") - F.col("ql")).alias("gap")), ["item_id"], ["gap", "doc_id"], 20, rank="rank")
 
 
-_fused = lambda t: x.fuse([_bm25(t), _near_length(t)], "item_id", "doc_id")
+def _fused(t):
+    top = _bm25(t)
+    return x.fuse([top, _near_length(top, t)], "item_id", "doc_id")
 query("r06_rrf", f"WITH {_FUSED} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM fused")(lambda t: _fused(t))
 
 

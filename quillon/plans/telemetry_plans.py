@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quillon.operators.relational import first_of, topk, upsert
+from quillon.operators.relational import first_of, numbered, topk, upsert
 from quillon.plans.registry import query
 
 r6 = lambda c: F.round(c, 6)
@@ -62,7 +62,7 @@ _map = lambda t: t.bare_acts.filter("is_replaced").groupBy("act_name", "section_
 query("j14_mapping", f"SELECT c.row_idx, c.system, CASE WHEN m.change = 'removed' THEN 'removed' WHEN m.change IS NULL THEN NULL ELSE CAST(m.new_section AS STRING) END AS now FROM ({_CITED}) c LEFT JOIN ({_MAP}) m ON c.act_name = m.act_name AND c.section_number = m.section_number")(lambda t: _cited(t).join(_map(t), _ON, "left").select("row_idx", "system", F.when(F.col("change") == "removed", "removed").when(F.col("change").isNotNull(), F.col("new_section").cast("string")).alias("now")))
 query("j15_mentioned_sections", f"""WITH e AS (SELECT DISTINCT row_idx, system, unnest(regexp_extract_all(answer, '(?i)sec(?:tion)?\\s+(\\d+)', 1)) AS section_number FROM responses)
 SELECT e.row_idx, e.system, array_to_string(list_sort(list(m.act_name || ' ' || e.section_number || ' ' || m.change)), '; ') AS notes FROM e JOIN ({_MAP}) m ON e.section_number = m.section_number GROUP BY 1, 2""")(lambda t: t.responses.select("row_idx", "system", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(?i)sec(?:tion)?\s+(\d+)"), F.lit(1)))).alias("section_number")).join(_map(t), "section_number").groupBy("row_idx", "system").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "act_name", "section_number", "change"))), "; ").alias("notes")))
-query("j16_key_order", "SELECT o.pos, g.query_id, g.category FROM (SELECT doc_id, row_number() OVER (ORDER BY quality, doc_id DESC) - 1 AS pos FROM labels) o LEFT JOIN ground_truth g ON o.doc_id = g.row_idx")(lambda t: t.labels.groupBy("quality").agg(F.sort_array(F.collect_list("doc_id"), False).alias("ids")).withColumn("before", F.coalesce(F.sum(F.size("ids")).over(Window.orderBy("quality").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("before", F.posexplode("ids").alias("i", "row_idx")).select((F.col("before") + F.col("i")).alias("pos"), "row_idx").join(t.ground_truth.select("row_idx", "query_id", "category"), "row_idx", "left").drop("row_idx"))
+query("j16_key_order", "SELECT o.pos, g.query_id, g.category FROM (SELECT doc_id, row_number() OVER (ORDER BY quality, doc_id DESC) - 1 AS pos FROM labels) o LEFT JOIN ground_truth g ON o.doc_id = g.row_idx")(lambda t: numbered(t.labels.select("quality", "doc_id"), ["quality", F.desc("doc_id")]).select("pos", F.col("doc_id").alias("row_idx")).join(t.ground_truth.select("row_idx", "query_id", "category"), "row_idx", "left").drop("row_idx"))
 query("j17_matched_keys", "SELECT a.query, count(*) AS pairs, round(avg(a.seconds - b.seconds), 6) AS diff FROM responses a JOIN responses b ON a.row_idx = b.row_idx AND a.query = b.query AND a.system = 'full' AND b.system = 'none' GROUP BY 1")(lambda t: t.responses.filter("system = 'full'").select("row_idx", "query", F.col("seconds").alias("a")).join(t.responses.filter("system = 'none'").select("row_idx", "query", F.col("seconds").alias("b")), ["row_idx", "query"]).groupBy("query").agg(F.count("*").alias("pairs"), r6(F.avg(F.col("a") - F.col("b"))).alias("diff")))
 query("j21_clause_index", "SELECT r.doc_id, r.clause_number, d.lang FROM risks r JOIN documents d ON r.doc_id = d.doc_id WHERE r.risk = 'high' AND r.clause_number >= 1")(lambda t: t.risks.filter("risk = 'high' AND clause_number >= 1").select("doc_id", "clause_number").join(t.documents.select("doc_id", "lang"), "doc_id"))
 query("j22_valid_citations", f"SELECT c.row_idx, c.system, b.section_number IS NOT NULL AS valid FROM ({_CITED}) c LEFT JOIN (SELECT DISTINCT act_name, section_number FROM bare_acts) b ON c.act_name = b.act_name AND c.section_number = b.section_number")(lambda t: _cited(t).join(t.bare_acts.select(*_ON).distinct().withColumn("valid", F.lit(True)), _ON, "left").select("row_idx", "system", F.coalesce("valid", F.lit(False)).alias("valid")))
@@ -88,7 +88,14 @@ def _balanced(t):
     return per.select("category", "row_idx").unionAll(g.join(per.select("row_idx"), "row_idx", "left_anti").orderBy("h", "row_idx").limit(3).select("category", "row_idx"))
 
 
-query("w12_split", "SELECT doc_id, CASE WHEN k <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING))) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels)")(lambda t: t.labels.select("doc_id", F.row_number().over(Window.partitionBy("quality").orderBy(F.md5(F.col("doc_id").cast("string")))).alias("k"), F.count("*").over(Window.partitionBy("quality")).alias("n")).select("doc_id", F.when(F.col("k") <= F.floor(0.8 * F.col("n")), "train").otherwise("test").alias("split")))
+def _split(t):
+    """Ranks inside a label are places in one order less the label's first place, so that a label isn't sorted in one task."""
+    n = numbered(t.labels.select("doc_id", "quality", F.md5(F.col("doc_id").cast("string")).alias("h")), ["quality", "h"])
+    sizes = n.groupBy("quality").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    return n.join(F.broadcast(sizes), "quality").select("doc_id", F.when(F.col("pos") - F.col("first") + 1 <= F.floor(0.8 * F.col("n")), "train").otherwise("test").alias("split"))
+
+
+query("w12_split", "SELECT doc_id, CASE WHEN k <= floor(0.8 * n) THEN 'train' ELSE 'test' END AS split FROM (SELECT doc_id, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS STRING))) AS k, count(*) OVER (PARTITION BY quality) AS n FROM labels)")(lambda t: _split(t))
 query("w13_numeric_order", r"SELECT query_id, CAST(regexp_extract(query_id, '(\d+)', 1) AS INT) AS n FROM ground_truth ORDER BY n")(lambda t: t.ground_truth.select("query_id", F.regexp_extract("query_id", r"(\d+)", 1).cast("int").alias("n")).orderBy("n"))
 query("w14_trims", "SELECT row_idx, category FROM ground_truth WHERE row_idx < (SELECT least((SELECT count(*) FROM labels), (SELECT count(*) FROM ground_truth)))")(lambda t: t.ground_truth.crossJoin(t.labels.agg(F.count("*").alias("n"))).crossJoin(t.ground_truth.agg(F.count("*").alias("m"))).filter(F.col("row_idx") < F.least("n", "m")).select("row_idx", "category"))
 query("w15_citation_ranking", "WITH c AS (SELECT row_idx, system, 1 AS pos, upper(act1 || '|' || section1) AS pair, CASE WHEN type1 = 'bare_act' THEN 100 ELSE 60 END AS score FROM responses WHERE act1 IS NOT NULL UNION ALL SELECT row_idx, system, 2, upper(act2 || '|' || section2), 80 FROM responses WHERE act2 IS NOT NULL) SELECT row_idx, system, array_to_string(list(pair ORDER BY score DESC, pos), ';') AS ranked FROM (SELECT *, row_number() OVER (PARTITION BY row_idx, system, pair ORDER BY score DESC, pos) AS k FROM c) WHERE k = 1 GROUP BY 1, 2")(lambda t: first_of(t.responses.select("row_idx", "system", F.inline(F.array(F.struct(F.lit(1).alias("pos"), F.upper(F.concat_ws("|", "act1", "section1")).alias("pair"), F.when(F.col("type1") == "bare_act", 100).otherwise(60).alias("score"), F.col("act1").isNotNull().alias("there")), F.struct(F.lit(2).alias("pos"), F.upper(F.concat_ws("|", "act2", "section2")).alias("pair"), F.lit(80).alias("score"), F.col("act2").isNotNull().alias("there"))))).filter("there"), ["row_idx", "system", "pair"], [F.desc("score"), "pos"]).groupBy("row_idx", "system").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "pos", "pair"))), lambda s: s["pair"]), ";").alias("ranked")))
@@ -109,7 +116,7 @@ query("u08_row_dedup", "SELECT min(query_id) AS query_id, lower(query_text) AS k
 query("u09_generator", "WITH p AS (SELECT DISTINCT act_name, section_number FROM bare_acts) SELECT replace(replace(k.template, '{a}', act_name), '{s}', section_number) AS text, label FROM p, (SELECT 'Section {s} of {a}' AS template, 1 AS label UNION ALL SELECT 'What is {a} {s}?', 1 UNION ALL SELECT 'weather in {s}', 0) k")(lambda t: t.bare_acts.select("act_name", "section_number").distinct().select("act_name", "section_number", F.inline(F.array(*[F.struct(F.lit(a).alias("template"), F.lit(b).alias("label")) for a, b in (("Section {s} of {a}", 1), ("What is {a} {s}?", 1), ("weather in {s}", 0))]))).select(F.replace(F.replace("template", F.lit("{a}"), F.col("act_name")), F.lit("{s}"), F.col("section_number")).alias("text"), "label"))
 # ---- sources and sinks
 query("s02_point_get", "SELECT id, section_title FROM bare_acts WHERE act_name = 'Indian Penal Code 1860' AND section_number = '302'")(lambda t: t.bare_acts.filter("act_name = 'Indian Penal Code 1860' AND section_number = '302'").select("id", "section_title"))
-query("s03_paged_scan", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS page FROM bare_acts")(lambda t: t.bare_acts.select("id", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / 100).alias("page")))
+query("s03_paged_scan", "SELECT id, CAST(floor((row_number() OVER (ORDER BY id) - 1) / 100) AS BIGINT) AS page FROM bare_acts")(lambda t: numbered(t.bare_acts.select("id"), ["id"]).select("id", F.floor(F.col("pos") / 100).alias("page")))
 query("s04_full_scan", "SELECT * FROM documents")(lambda t: t.documents)
 query("s05_collection_counts", "SELECT coalesce(collection, 'total') AS collection, count(*) AS n FROM (SELECT 'bare_acts' AS collection FROM bare_acts UNION ALL SELECT 'case_law' FROM case_law UNION ALL SELECT 'amendments' FROM amendments UNION ALL SELECT 'overruling_map' FROM overruling_map) GROUP BY ROLLUP (collection)")(lambda t: t.bare_acts.select(F.lit("bare_acts").alias("collection")).unionAll(t.case_law.select(F.lit("case_law"))).unionAll(t.amendments.select(F.lit("amendments"))).unionAll(t.overruling_map.select(F.lit("overruling_map"))).rollup("collection").agg(F.count("*").alias("n")).select(F.coalesce("collection", F.lit("total")).alias("collection"), "n"))
 query("s06_counts_by_act", "SELECT act_name, count(*) AS n FROM bare_acts GROUP BY 1")(lambda t: t.bare_acts.groupBy("act_name").agg(F.count("*").alias("n")))
