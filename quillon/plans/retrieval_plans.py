@@ -18,7 +18,7 @@ bm AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.2
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20)"""
 _bm25 = lambda t, k=20: x.bm25(t.documents, t.benchmark.select("item_id", F.col("text").alias("q")), doc="doc_id", text="text", query="item_id", query_text="q", k=k)
 query("r01_bm25_postings", f"WITH tok AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2")(lambda t: x.postings(t.documents, "doc_id", "text"))
-query("r01_bm25_idf", f"WITH {BM25_SQL} SELECT term, round(idf, 6) AS idf FROM w")(lambda t: x.idf(t.documents, "text").select("term", r6(F.col("idf")).alias("idf")))
+query("r01_bm25_idf", f"WITH {BM25_SQL} SELECT term, round(idf, 6) AS idf FROM w")(lambda t: x.idf(x.term_counts(t.documents, "text")).select("term", r6(F.col("idf")).alias("idf")))
 query("r02_bm25_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM top")(lambda t: _bm25(t))
 # the stated queries: every vector whose id is divisible by 20
 DENSE_SQL = """dq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dp AS (SELECT query_id, vec_id, label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings e, dq),
@@ -63,7 +63,7 @@ def _relaxed(t):
     return kept.select("item_id", "doc_id", "rank").unionAll(top.join(kept.select("item_id"), "item_id", "left_anti"))
 
 
-query("r11_stats", f"WITH {BM25_SQL} SELECT count(*) AS documents, (SELECT count(*) FROM w) AS terms, (SELECT round(avgdl, 6) FROM st) AS mean_length FROM documents")(lambda t: t.documents.agg(F.count("*").alias("documents")).crossJoin(x.idf(t.documents, "text").agg(F.count("*").alias("terms"))).crossJoin(x.bm25_stats(t.documents, "text").select(r6(F.col("avgdl")).alias("mean_length"))))
+query("r11_stats", f"WITH {BM25_SQL} SELECT count(*) AS documents, (SELECT count(*) FROM w) AS terms, (SELECT round(avgdl, 6) FROM st) AS mean_length FROM documents")(lambda t: t.documents.agg(F.count("*").alias("documents")).crossJoin(x.idf(x.term_counts(t.documents, "text")).agg(F.count("*").alias("terms"))).crossJoin(x.bm25_stats(x.term_counts(t.documents, "text")).select(r6(F.col("avgdl")).alias("mean_length"))))
 query("r13_retrieve", f"""WITH {_FUSED}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
 SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")(lambda t: _fused(t).filter("rank <= 5").withColumn("act_name", F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")).join(t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n")), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments")))
 query("r15_footer", "SELECT row_idx, system, CASE WHEN contains(answer, 'Sources:') OR act1 IS NULL THEN answer ELSE answer || ' Sources: ' || concat_ws('; ', act1 || ' ' || section1, act2 || ' ' || section2) END AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(F.col("answer").contains("Sources:") | F.col("act1").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit(" Sources: "), F.concat_ws("; ", F.concat("act1", F.lit(" "), "section1"), F.concat("act2", F.lit(" "), "section2")))).alias("answer")))
