@@ -130,7 +130,8 @@ _worker: dict = {}
 
 
 def worker_cache(key: str, make: Callable):
-    """An object that lives as long as the Python worker, which serves many tasks."""
+    """An object that lives on in the Python worker, which serves many tasks, until another kind is asked for."""
     if key not in _worker:
+        _worker.clear()
         _worker[key] = make()
     return _worker[key]

@@ -113,17 +113,17 @@ def _judge(vocabulary: str, folder: str | None, bands: dict):
     fertility = worker_cache(f"fertility {vocabulary}", lambda: Fertility(path))
 
     def judge(texts: list[str | None], langs: list[str | None]) -> list[tuple]:
-        texts = [t or "" for t in texts]
-        split = [t.encode().split() for t in texts]  # of bytes: white space is x20 and x09-x0d only
         rows = []
-        for i, (text, words, lang) in enumerate(zip(texts, split, langs, strict=True)):
-            if i % 64 == 0:
-                fertility.ids.fill(chain.from_iterable(split[i : i + 64]), fertility.encode)
-            base = base_counts(text, words)
-            n, chars, _, _, repeated = base
-            failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT * n
-            measured = fertility(words, chars)
-            rows.append((*base, failed, not failed and verdict(*measured, bands.get(lang) or bands[script(text)]), *measured))
+        for at in range(0, len(texts), 64):  # a few texts' words at a time
+            part = [t or "" for t in texts[at : at + 64]]
+            split = [t.encode().split() for t in part]  # of bytes: white space is x20 and x09-x0d only
+            fertility.ids.fill(chain.from_iterable(split), fertility.encode)
+            for text, words, lang in zip(part, split, langs[at : at + 64], strict=True):
+                base = base_counts(text, words)
+                n, chars, _, _, repeated = base
+                failed = n < MIN_WORDS or 100 * repeated > MAX_REPEAT * n
+                measured = fertility(words, chars)
+                rows.append((*base, failed, not failed and verdict(*measured, bands.get(lang) or bands[script(text)]), *measured))
         return rows
 
     return judge
