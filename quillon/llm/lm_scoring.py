@@ -38,7 +38,7 @@ FOLDS, HELD_OUT = 5, 1
 BITS, PROBES = 10, 5
 MOST_MB, FREQUENT = 256, 1_000_000
 LEVELS = 48
-GRID = np.array([0, 0.0003, 0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])
+GRID = np.concatenate([[0], np.geomspace(0.0003, 0.1, 16), np.linspace(0.13, 0.97, 29)])
 _END = np.uint64(0x9E3779B97F4A7C15)
 _FLUSH = 3_000_000
 U = np.uint64
@@ -120,36 +120,41 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """Segments of one or more shards, put together; shards that aren't there hold nothing."""
+    """The segments of the shards low to high - 1, put together."""
 
-    def __init__(self, shards: int, segments: dict[int, bytes]):
-        self.shift = U(64 - shards.bit_length() + 1)
-        self.shards = shards
-        self.start, self.size = np.zeros(shards, U), np.ones(shards, U)
-        self.there = np.zeros(shards, bool)
+    def __init__(self, shards: int, low: int, high: int, segments: dict[int, bytes]):
+        self.shards, self.low, self.high = shards, low, high
+        self.start, self.size = np.zeros(shards, U), np.zeros(shards, U)
         at = 0
-        for k, s in sorted(segments.items()):
-            self.start[k], self.size[k], self.there[k] = at, 8 * len(s), True
-            at += 8 * len(s)
-        self.bits = np.frombuffer(b"".join(s for _, s in sorted(segments.items())) or b"\0", np.uint8)
+        for k in sorted(segments):
+            self.start[k], self.size[k] = at, 8 * len(segments[k])
+            at += 8 * len(segments[k])
+        self.bits = b"".join(segments.pop(k) for k in sorted(segments)) or b"\0"
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> self.shift).astype(np.int64) if self.shards > 1 else np.zeros(len(keys), np.int64)
+        return (keys >> U(64 - self.shards.bit_length() + 1)).astype(np.int64) if self.shards > 1 else np.zeros(len(keys), np.int64)
 
-    def levels(self, keys: np.ndarray) -> np.ndarray:
-        """Quantised counts, by probing one level after the other."""
+    def levels(self, keys: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+        """Quantised counts, by probing one level after the other, up to ``most``."""
+        bits = np.frombuffer(self.bits, np.uint8)
         q = np.zeros(len(keys), np.int64)
         shard = self.shard(keys)
-        live = np.flatnonzero(self.there[shard])
+        start, size = self.start[shard], self.size[shard]
+        live = np.flatnonzero(size > 0)
         for level in range(1, LEVELS):
+            if most is not None:
+                live = live[most[live] >= level]
             if not len(live):
                 break
-            k, s = keys[live], shard[live]
-            hit = np.ones(len(live), bool)
-            start, size = self.start[s], self.size[s]
-            for at in _places(k, level, start, size):
-                hit &= (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
-            live = live[hit]
+            k, s, n = keys[live], start[live], size[live]
+            a = mixed(k + U(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
+            b = mixed(a + U(0x9E3779B97F4A7C15)) | U(1)
+            for _ in range(PROBES):
+                at = s + a % n
+                hit = (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
+                if not hit.all():
+                    live, a, b, s, n = live[hit], a[hit], b[hit], s[hit], n[hit]
+                a = a + b
             q[live] = level
         return q
 
@@ -249,24 +254,45 @@ def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarra
 class Model:
     """Counts out of the filters, for one group of the pairs' shards."""
 
-    def __init__(self, shards: int, words: dict[int, bytes], group: tuple[int, int, dict[int, bytes]], total: int, kinds: int):
-        self.low, self.high, two = group
-        self.words, self.two = Filter(shards, words), Filter(shards, two)
+    def __init__(self, words: Filter, two: Filter, total: int, kinds: int):
+        self.words, self.two = words, two
         self.total, self.norm = total, total + 0.5 * (kinds + 1)
 
-    def read(self, t: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the tokens whose pair belongs to this group: the history's level, the pair's share, the word's probability."""
+    def read(self, t: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities.
+
+        Each text ends with an end token, so that what stands before a text's first token is one.
+        """
         p = pairs(t)
         shard = self.two.shard(p)
-        own = (self.low <= shard) & (shard < self.high)
-        level = self.words.levels(t)
-        before = np.empty_like(level)
-        before[0], before[1:] = level[-1], level[:-1]  # the last token is an end, as is what stands before the first
-        level, before, p = level[own], before[own], p[own]
-        one, two, history = MEANS[level], MEANS[self.two.levels(p)], MEANS[before]
+        own = (self.two.low <= shard) & (shard < self.two.high)
+        kinds, place = np.unique(np.concatenate([t, [_END]]), return_inverse=True)
+        level = self.words.levels(kinds)[place]
+        before = np.empty(len(t), np.int64)
+        before[0], before[1:] = level[-1], level[:-2]
+        level = level[:-1]
+        two = np.zeros(len(t), np.int64)
+        two[own] = self.two.levels(p[own], np.minimum(level, before)[own])  # a pair isn't more frequent than its words
+        one, both, history = MEANS[level], MEANS[two], MEANS[before]
         if left_out:
-            one, two, history = np.maximum(one - 1, 0), np.maximum(two - 1, 0), np.maximum(history - 1, 0)
-        return before, np.minimum(1, two / np.maximum(history, 1)), (one + 0.5) / self.norm
+            one, both, history = np.maximum(one - 1, 0), np.maximum(both - 1, 0), np.maximum(history - 1, 0)
+        return own, before, np.minimum(1, both / np.maximum(history, 1)), (one + 0.5) / self.norm
+
+
+def _in_groups(texts: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` tokens."""
+    at = n = 0
+    for i, t in enumerate(texts):
+        n += len(t)
+        if n >= most:
+            yield at, i + 1
+            at, n = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+#: Bins of the log2 of a pair's share over its word's probability, for the fit; the first is for no pair.
+_BINS, _LOWEST, _FINE = 512, -16, 8
 
 
 def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_mb: int = MOST_MB, frequent: int = FREQUENT) -> DataFrame:
@@ -290,37 +316,40 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     least, top, top_counts = _frequent(counted, frequent)
     share = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     sc = spark.sparkContext
-    shared = sc.broadcast({"words": _segments(counted, 1, 0, shards), "top": top, "logs": share(top_counts)})
+    shared = sc.broadcast({"words": Filter(shards, 0, shards, _segments(counted, 1, 0, shards)), "top": top, "logs": share(top_counts)})
     group = max(1, int(shards * most_mb * 1e6 / max(1, sums[2].bytes))) if 2 in sums else shards
-    groups = [sc.broadcast((i, i + group, _segments(counted, 2, i, i + group))) for i in range(0, shards, group)]
+    groups = [sc.broadcast(Filter(shards, i, min(i + group, shards), _segments(counted, 2, i, i + group))) for i in range(0, shards, group)]
 
     def model(two) -> Model:
-        return Model(shards, shared.value["words"], two.value, total, kinds)
+        return Model(shared.value["words"], two.value, total, kinds)
 
     def fit(two):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m, words = model(two), _fingerprints()
-            sums = np.zeros((LEVELS + 1, len(GRID)))
+            sums = np.zeros((LEVELS + 1) * _BINS, np.int64)
             for b in batches:
-                for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    if not held_out(doc):
-                        before, pair, one = m.read(tokens(t, words), True)
-                        for j, g in enumerate(GRID):
-                            sums[:, j] += np.bincount(before, np.log10(g * pair + (1 - g) * one), LEVELS + 1)
-            at = np.nonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at[0], pa.int32()), pa.array(at[1], pa.int32()), pa.array(sums[at], pa.float64())], names=["level", "weight", "sum"])
-
-        return docs.mapInArrow(run, "level int, weight int, sum double")
+                ts = [tokens(t, words) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(doc)]
+                for i, j in _in_groups(ts):
+                    own, before, pair, one = m.read(np.concatenate(ts[i:j]), True)
+                    x = pair[own] / one[own]
+                    some = x > 0
+                    bins = np.zeros(len(x), np.int64)
+                    bins[some] = np.clip((np.log2(x[some]) - _LOWEST) * _FINE + 1, 1, _BINS - 1).astype(np.int64)
+                    sums += np.bincount(before[own] * _BINS + bins, minlength=len(sums))
+            at = np.flatnonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bin", "n"])
+
+        return docs.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
 
     weights = np.zeros(LEVELS + 1)
     if total:
-        fits = [fit(g) for g in groups]
-        while len(fits) > 1:
-            fits = [a.unionAll(b) for a, b in zip(fits[::2], [*fits[1::2]], strict=False)] + ([fits[-1]] if len(fits) % 2 else [])
-        grid = np.full((LEVELS + 1, len(GRID)), 0.0)
-        for r in fits[0].groupBy("level", "weight").agg(F.sum("sum").alias("sum")).collect():  # at most LEVELS * GRID rows
-            grid[r.level, r.weight] = r["sum"]
-        weights = GRID[grid.argmax(axis=1)]
+        n = np.zeros((LEVELS + 1) * _BINS)
+        for g in groups:
+            for r in fit(g).collect():  # at most LEVELS * _BINS rows
+                n[r.bin] += r.n
+        x = np.concatenate([[0.0], 2.0 ** ((np.arange(1, _BINS) - 0.5) / _FINE + _LOWEST)])
+        gain = np.log(1 - GRID + np.outer(x, GRID))  # of each bin and weight, over the word alone
+        weights = GRID[(n.reshape(LEVELS + 1, _BINS) @ gain).argmax(axis=1)]
 
     kind = docs.schema[key]
     first_schema = T.StructType([kind]).add("rid", "long").add("held_out", "boolean").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", T.ArrayType(T.LongType())).add("score", "double")
@@ -331,27 +360,25 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
             m, words, part, i = model(two), _fingerprints(), TaskContext.get().partitionId() << 40, 0
             top, logs = shared.value["top"], shared.value["logs"]
             for b in batches:
-                for at in range(0, b.num_rows, 256):
-                    slice_ = b.slice(at, 256)
-                    docs_, texts = slice_.column(0).to_pylist(), slice_.column(1).to_pylist()
-                    ts = [tokens(t, words) for t in texts]
-                    scores, base, known, rare = [], [], [], []
-                    for t in ts:
-                        before, pair, one = m.read(t, False)
-                        w = weights[before]
-                        scores.append(float(np.log10(w * pair + (1 - w) * one).sum()))
-                    rid = [part | (i + j) for j in range(len(ts))]
-                    i += len(ts)
+                ids = b.column(0).to_pylist()
+                ts = [tokens(t, words) for t in b.column(1).to_pylist()]
+                for start, end in _in_groups(ts):
+                    n = np.array([len(t) for t in ts[start:end]])
+                    t, first_of = np.concatenate(ts[start:end]), np.concatenate([[0], np.cumsum(n)[:-1]])
+                    own, before, pair, one = m.read(t, False)
+                    w = weights[before]
+                    scores = np.add.reduceat(np.where(own, np.log10(w * pair + (1 - w) * one), 0), first_of)
+                    rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
+                    i += len(n)
                     if not first:
-                        yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(scores, pa.float64())], names=["rid", "score"])
+                        yield pa.RecordBatch.from_arrays([rid, pa.array(scores, pa.float64())], names=["rid", "score"])
                         continue
-                    for t in ts:
-                        place = np.minimum(np.searchsorted(top, t), max(0, len(top) - 1))
-                        there = top[place] == t if len(top) else np.zeros(len(t), bool)
-                        base.append(float(logs[place[there]].sum()) if len(top) else 0.0)
-                        known.append(int(there.sum()))
-                        rare.append(t[~there].view(np.int64))
-                    yield pa.RecordBatch.from_arrays([slice_.column(0), pa.array(rid, pa.int64()), pa.array([held_out(d) for d in docs_], pa.bool_()), pa.array([len(t) for t in ts], pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(rare, pa.list_(pa.int64())), pa.array(scores, pa.float64())], names=first_schema.names)
+                    place = np.minimum(np.searchsorted(top, t), max(0, len(top) - 1))
+                    there = top[place] == t if len(top) else np.zeros(len(t), bool)
+                    base = np.add.reduceat(np.where(there, logs[place] if len(top) else 0, 0), first_of)
+                    known = np.add.reduceat(there.astype(np.int64), first_of)
+                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]), pa.int32()), pa.array(t[~there].view(np.int64), pa.int64()))
+                    yield pa.RecordBatch.from_arrays([b.column(0)[start:end], rid, pa.array([held_out(d) for d in ids[start:end]], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=first_schema.names)
 
         return docs.mapInArrow(run, first_schema if first else other_schema)
 
