@@ -104,7 +104,7 @@ def _places(keys: np.ndarray, level: int, start: np.ndarray, size: np.ndarray) -
     a = mixed(keys + U(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
     b = mixed(a + U(0x9E3779B97F4A7C15)) | U(1)
     for _ in range(PROBES):
-        yield start + a % size
+        yield start + ((a >> U(32)) * size >> U(32))
         a = a + b
 
 
@@ -112,6 +112,8 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard's part of the filter."""
     q = quantised(counts)
     bits = max(64, -(-int(q.sum()) * BITS // 64) * 64)
+    if bits >= 1 << 32:
+        raise ValueError("a shard holds too much; use more shards")
     out = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
         for at in _places(keys[q >= level], level, U(0), U(bits)):
@@ -150,7 +152,7 @@ class Filter:
             a = mixed(k + U(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
             b = mixed(a + U(0x9E3779B97F4A7C15)) | U(1)
             for _ in range(PROBES):
-                at = s + a % n
+                at = s + ((a >> U(32)) * n >> U(32))
                 hit = (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
                 if not hit.all():
                     live, a, b, s, n = live[hit], a[hit], b[hit], s[hit], n[hit]
@@ -258,8 +260,8 @@ class Model:
         self.words, self.two = words, two
         self.total, self.norm = total, total + 0.5 * (kinds + 1)
 
-    def read(self, t: np.ndarray, left_out: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities.
+    def read(self, t: np.ndarray, left_out: bool) -> tuple[np.ndarray, ...]:
+        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities; last the distinct tokens and each one's place in them.
 
         Each text ends with an end token, so that what stands before a text's first token is one.
         """
@@ -276,7 +278,7 @@ class Model:
         one, both, history = MEANS[level], MEANS[two], MEANS[before]
         if left_out:
             one, both, history = np.maximum(one - 1, 0), np.maximum(both - 1, 0), np.maximum(history - 1, 0)
-        return own, before, np.minimum(1, both / np.maximum(history, 1)), (one + 0.5) / self.norm
+        return own, before, np.minimum(1, both / np.maximum(history, 1)), (one + 0.5) / self.norm, kinds, place[:-1]
 
 
 def _in_groups(texts: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[int, int]]:
@@ -330,7 +332,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
             for b in batches:
                 ts = [tokens(t, words) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(doc)]
                 for i, j in _in_groups(ts):
-                    own, before, pair, one = m.read(np.concatenate(ts[i:j]), True)
+                    own, before, pair, one, _, _ = m.read(np.concatenate(ts[i:j]), True)
                     x = pair[own] / one[own]
                     some = x > 0
                     bins = np.zeros(len(x), np.int64)
@@ -365,7 +367,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
                 for start, end in _in_groups(ts):
                     n = np.array([len(t) for t in ts[start:end]])
                     t, first_of = np.concatenate(ts[start:end]), np.concatenate([[0], np.cumsum(n)[:-1]])
-                    own, before, pair, one = m.read(t, False)
+                    own, before, pair, one, kinds_, where = m.read(t, False)
                     w = weights[before]
                     scores = np.add.reduceat(np.where(own, np.log10(w * pair + (1 - w) * one), 0), first_of)
                     rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
@@ -373,9 +375,10 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
                     if not first:
                         yield pa.RecordBatch.from_arrays([rid, pa.array(scores, pa.float64())], names=["rid", "score"])
                         continue
-                    place = np.minimum(np.searchsorted(top, t), max(0, len(top) - 1))
-                    there = top[place] == t if len(top) else np.zeros(len(t), bool)
-                    base = np.add.reduceat(np.where(there, logs[place] if len(top) else 0, 0), first_of)
+                    place = np.minimum(np.searchsorted(top, kinds_), max(0, len(top) - 1))
+                    known_kind = top[place] == kinds_ if len(top) else np.zeros(len(kinds_), bool)
+                    there = known_kind[where]
+                    base = np.add.reduceat(np.where(known_kind, logs[place] if len(top) else 0, 0)[where], first_of)
                     known = np.add.reduceat(there.astype(np.int64), first_of)
                     rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]), pa.int32()), pa.array(t[~there].view(np.int64), pa.int64()))
                     yield pa.RecordBatch.from_arrays([b.column(0)[start:end], rid, pa.array([held_out(d) for d in ids[start:end]], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=first_schema.names)
