@@ -26,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import Bounded, ship, table, worker_cache, written
+from quillon.llm.common import ship, table, written
 
 FOLDS, HELD_OUT = 5, 1
-#: Bits of the filter an event, and probes an event.
-BITS, PROBES = 10, 5
+#: Bits of the filter an event, and probes an event, all in one 64-bit block.
+BITS, PROBES = 12, 5
 MOST_MB, FREQUENT = 256, 1_000_000
 LEVELS = 48
 GRID = np.concatenate([[0], np.geomspace(0.0003, 0.1, 16), np.linspace(0.13, 0.97, 29)])
@@ -56,19 +57,40 @@ def held_out(key) -> bool:
     return zlib.crc32(b"" if key is None else str(key).encode()) % FOLDS == HELD_OUT
 
 
-def _fingerprints() -> Bounded:
-    import xxhash
+def _trained(ids: pa.Array) -> pa.Array:
+    return pa.array([not held_out(x) for x in ids.to_pylist()], pa.bool_())
+
 
-    return worker_cache("lm words", lambda: Bounded(lambda w: xxhash.xxh3_64_intdigest(w), 400_000))
+def encoded(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens of whole texts, for ranges of them with about ``most`` bytes.
 
+    Gives the range, the number of tokens of each text, the fingerprints of the
+    range's words, lower-cased in A-Z, and last of an end, and each token's place
+    in these. Each text ends with an end token. A null text is empty.
+    """
+    import xxhash
 
-def tokens(text: str | None, words: Bounded) -> np.ndarray:
-    """Fingerprints of a text's words, lower-cased in A-Z, and of its end."""
-    w = (text or "").encode().lower().split()
-    out = np.empty(len(w) + 1, U)
-    out[:-1] = np.fromiter(map(words.__getitem__, w), U, len(w))
-    out[-1] = _END
-    return out
+    hashed = xxhash.xxh3_64_intdigest
+    texts = pc.fill_null(texts, "")
+    size = pc.binary_length(texts).to_numpy(zero_copy_only=False).cumsum()
+    start = done = 0
+    while start < len(texts):
+        end = min(len(texts), max(start + 1, int(np.searchsorted(size, done + most, side="right"))))
+        done = int(size[end - 1])
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts[start:end]))
+        at = lists.offsets.to_numpy().astype(np.int64)
+        codes = lists.flatten().dictionary_encode()
+        words = codes.dictionary.cast(pa.binary()).to_pylist()
+        code = codes.indices.to_numpy()
+        some = code != words.index(b"") if b"" in words else np.ones(len(code), bool)  # no words, but what surrounds white space at either end
+        upto = np.concatenate([[0], np.cumsum(some)])
+        n = upto[at[1:] - at[0]] - upto[at[:-1] - at[0]] + 1
+        place = np.full(int(n.sum()), len(words), np.int32)
+        word = np.ones(len(place), bool)
+        word[np.cumsum(n) - 1] = False
+        place[word] = code[some]
+        yield start, end, n, np.array([*map(hashed, words), int(_END)], U), place
+        start = end
 
 
 def pairs(t: np.ndarray) -> np.ndarray:
@@ -99,25 +121,24 @@ def quantised(counts: np.ndarray) -> np.ndarray:
 MEANS = np.array([0.0, *(1.5 * 2.0**j - 0.5 for j in range(LEVELS))])
 
 
-def _places(keys: np.ndarray, level: int, start: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """The bits of the events (key, level)."""
+def _event(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the events (key, level): 32 bits that choose a block, and bits that choose the probes inside it."""
     a = mixed(keys + U(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    b = mixed(a + U(0x9E3779B97F4A7C15)) | U(1)
-    for _ in range(PROBES):
-        yield start + ((a >> U(32)) * size >> U(32))
-        a = a + b
+    return a >> U(32), a
 
 
 def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """A shard's part of the filter."""
     q = quantised(counts)
     bits = max(64, -(-int(q.sum()) * BITS // 64) * 64)
-    if bits >= 1 << 32:
+    if bits >= 1 << 38:
         raise ValueError("a shard holds too much; use more shards")
     out = np.zeros(bits, bool)
     for level in range(1, int(q.max(initial=0)) + 1):
-        for at in _places(keys[q >= level], level, U(0), U(bits)):
-            out[at] = True
+        block, probes = _event(keys[q >= level], level)
+        block = (block * U(bits // 64) >> U(32)) * U(64)
+        for i in range(PROBES):
+            out[block + (probes >> U(6 * i) & U(63))] = True
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -129,16 +150,16 @@ class Filter:
         self.start, self.size = np.zeros(shards, U), np.zeros(shards, U)
         at = 0
         for k in sorted(segments):
-            self.start[k], self.size[k] = at, 8 * len(segments[k])
-            at += 8 * len(segments[k])
-        self.bits = b"".join(segments.pop(k) for k in sorted(segments)) or b"\0"
+            self.start[k], self.size[k] = at, len(segments[k]) // 8
+            at += len(segments[k]) // 8
+        self.bits = b"".join(segments.pop(k) for k in sorted(segments)) or bytes(8)
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> U(64 - self.shards.bit_length() + 1)).astype(np.int64) if self.shards > 1 else np.zeros(len(keys), np.int64)
 
     def levels(self, keys: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """Quantised counts, by probing one level after the other, up to ``most``."""
-        bits = np.frombuffer(self.bits, np.uint8)
+        blocks = np.frombuffer(self.bits, "<u8")
         q = np.zeros(len(keys), np.int64)
         shard = self.shard(keys)
         start, size = self.start[shard], self.size[shard]
@@ -148,15 +169,12 @@ class Filter:
                 live = live[most[live] >= level]
             if not len(live):
                 break
-            k, s, n = keys[live], start[live], size[live]
-            a = mixed(k + U(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-            b = mixed(a + U(0x9E3779B97F4A7C15)) | U(1)
-            for _ in range(PROBES):
-                at = s + ((a >> U(32)) * n >> U(32))
-                hit = (bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    live, a, b, s, n = live[hit], a[hit], b[hit], s[hit], n[hit]
-                a = a + b
+            block, probes = _event(keys[live], level)
+            found = blocks[start[live] + (block * size[live] >> U(32))]
+            want = U(1) << (probes & U(63))
+            for i in range(1, PROBES):
+                want |= U(1) << (probes >> U(6 * i) & U(63))
+            live = live[found & want == want]
             q[live] = level
         return q
 
@@ -169,13 +187,10 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     shift = U(64 - shards.bit_length() + 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _fingerprints()
-        held, n = [], 0
+        kinds, counts, two, n = [], [], [], 0
 
         def flush():
-            one = [held, [pairs(t) for t in held]]
-            for kind, arrays in enumerate(one):
-                k, c = added(np.concatenate(arrays))
+            for kind, (k, c) in enumerate((added(np.concatenate(kinds), np.concatenate(counts)), added(np.concatenate(two)))):
                 shard = (k >> shift).astype(np.int64) if shards > 1 else np.zeros(len(k), np.int64)
                 cuts = np.searchsorted(shard, np.arange(shards + 1))
                 some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
@@ -184,14 +199,16 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([k[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary()), pa.array([c[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in part], pa.binary())], names=["kind", "shard", "keys", "counts"])
 
         for b in batches:
-            for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not held_out(doc):
-                    held.append(tokens(t, words))
-                    n += len(held[-1])
-                    if n >= _FLUSH:
-                        yield from flush()
-                        held, n = [], 0
-        if held:
+            for _, _, _, k, place in encoded(b.column(1).filter(_trained(b.column(0)))):
+                c = np.bincount(place, minlength=len(k))
+                kinds.append(k[c > 0])
+                counts.append(c[c > 0])
+                two.append(pairs(k[place]))
+                n += len(place)
+                if n >= _FLUSH:
+                    yield from flush()
+                    kinds, counts, two, n = [], [], [], 0
+        if n:
             yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,37 +277,27 @@ class Model:
         self.words, self.two = words, two
         self.total, self.norm = total, total + 0.5 * (kinds + 1)
 
-    def read(self, t: np.ndarray, left_out: bool) -> tuple[np.ndarray, ...]:
-        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities; last the distinct tokens and each one's place in them.
+    def read(self, kinds: np.ndarray, place: np.ndarray, left_out: bool) -> tuple[np.ndarray, ...]:
+        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities.
 
         Each text ends with an end token, so that what stands before a text's first token is one.
         """
+        t = kinds[place]
         p = pairs(t)
-        shard = self.two.shard(p)
-        own = (self.two.low <= shard) & (shard < self.two.high)
-        kinds, place = np.unique(np.concatenate([t, [_END]]), return_inverse=True)
-        level = self.words.levels(kinds)[place]
+        levels = self.words.levels(kinds)
         before = np.empty(len(t), np.int64)
-        before[0], before[1:] = level[-1], level[:-2]
-        level = level[:-1]
-        two = np.zeros(len(t), np.int64)
-        two[own] = self.two.levels(p[own], np.minimum(level, before)[own])  # a pair isn't more frequent than its words
-        one, both, history = MEANS[level], MEANS[two], MEANS[before]
-        if left_out:
-            one, both, history = np.maximum(one - 1, 0), np.maximum(both - 1, 0), np.maximum(history - 1, 0)
-        return own, before, np.minimum(1, both / np.maximum(history, 1)), (one + 0.5) / self.norm, kinds, place[:-1]
-
-
-def _in_groups(texts: list[np.ndarray], most: int = 200_000) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about ``most`` tokens."""
-    at = n = 0
-    for i, t in enumerate(texts):
-        n += len(t)
-        if n >= most:
-            yield at, i + 1
-            at, n = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+        level = levels[place]
+        before[0], before[1:] = levels[-1], level[:-1]
+        most = np.minimum(level, before)  # a pair isn't more frequent than its words
+        one, less = MEANS[levels], int(left_out)
+        if self.two.low == 0 and self.two.high == self.two.shards:
+            own, two = np.ones(len(t), bool), self.two.levels(p, most)
+        else:
+            shard = self.two.shard(p)
+            own, two = (self.two.low <= shard) & (shard < self.two.high), np.zeros(len(t), np.int64)
+            two[own] = self.two.levels(p[own], most[own])
+        share = np.maximum(MEANS - less, 0)[two] / np.maximum(MEANS - less, 1)[before]
+        return own, before, np.minimum(1, share), ((np.maximum(one - less, 0) + 0.5) / self.norm)[place]
 
 
 #: Bins of the log2 of a pair's share over its word's probability, for the fit; the first is for no pair.
@@ -327,12 +334,11 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
 
     def fit(two):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, words = model(two), _fingerprints()
+            m = model(two)
             sums = np.zeros((LEVELS + 1) * _BINS, np.int64)
             for b in batches:
-                ts = [tokens(t, words) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if not held_out(doc)]
-                for i, j in _in_groups(ts):
-                    own, before, pair, one, _, _ = m.read(np.concatenate(ts[i:j]), True)
+                for _, _, _, k, place in encoded(b.column(1).filter(_trained(b.column(0)))):
+                    own, before, pair, one = m.read(k, place, True)
                     x = pair[own] / one[own]
                     some = x > 0
                     bins = np.zeros(len(x), np.int64)
@@ -359,15 +365,13 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
 
     def score(two, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, words, part, i = model(two), _fingerprints(), TaskContext.get().partitionId() << 40, 0
+            m, part, i = model(two), TaskContext.get().partitionId() << 40, 0
             top, logs = shared.value["top"], shared.value["logs"]
             for b in batches:
                 ids = b.column(0).to_pylist()
-                ts = [tokens(t, words) for t in b.column(1).to_pylist()]
-                for start, end in _in_groups(ts):
-                    n = np.array([len(t) for t in ts[start:end]])
-                    t, first_of = np.concatenate(ts[start:end]), np.concatenate([[0], np.cumsum(n)[:-1]])
-                    own, before, pair, one, kinds_, where = m.read(t, False)
+                for start, end, n, kinds_, where in encoded(b.column(1)):
+                    first_of = np.cumsum(n) - n
+                    own, before, pair, one = m.read(kinds_, where, False)
                     w = weights[before]
                     scores = np.add.reduceat(np.where(own, np.log10(w * pair + (1 - w) * one), 0), first_of)
                     rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
@@ -380,7 +384,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
                     there = known_kind[where]
                     base = np.add.reduceat(np.where(known_kind, logs[place] if len(top) else 0, 0)[where], first_of)
                     known = np.add.reduceat(there.astype(np.int64), first_of)
-                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]), pa.int32()), pa.array(t[~there].view(np.int64), pa.int64()))
+                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]), pa.int32()), pa.array(kinds_[where[~there]].view(np.int64), pa.int64()))
                     yield pa.RecordBatch.from_arrays([b.column(0)[start:end], rid, pa.array([held_out(d) for d in ids[start:end]], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=first_schema.names)
 
         return docs.mapInArrow(run, first_schema if first else other_schema)
