@@ -41,7 +41,8 @@ MOST_MB, FREQUENT = 256, 1_000_000
 LEVELS = 48
 GRID = np.concatenate([[0], np.geomspace(0.0003, 0.1, 16), np.linspace(0.13, 0.97, 29)])
 _END = np.uint64(0x9E3779B97F4A7C15)
-_FLUSH = 3_000_000
+#: Tokens that a task holds before it deals them, and counts that a shard holds before it adds them up.
+_FLUSH, _WAITING = 2_000_000, 2_000_000
 U = np.uint64
 
 
@@ -101,9 +102,11 @@ def pairs(t: np.ndarray) -> np.ndarray:
 
 
 def added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, and the sums of their counts."""
+    """Distinct keys in order, and the sums of their counts; without counts the keys are sorted where they are."""
     if counts is None:
-        return np.unique(keys, return_counts=True)
+        keys.sort()  # in place, as memory counts here
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+        return keys[first], np.diff(first, append=len(keys))
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.array([], int)
@@ -190,13 +193,21 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
         kinds, counts, two, n = [], [], [], 0
 
         def flush():
-            for kind, (k, c) in enumerate((added(np.concatenate(kinds), np.concatenate(counts)), added(np.concatenate(two)))):
-                shard = (k >> shift).astype(np.int64) if shards > 1 else np.zeros(len(k), np.int64)
+            for kind in (0, 1):
+                if kind == 0:
+                    k, c = added(np.concatenate(kinds), np.concatenate(counts))
+                else:
+                    every = np.concatenate(two)
+                    two.clear()
+                    k, c = added(every)
+                    del every
+                c = c.astype(np.uint32)
+                shard = (k >> shift).astype(np.int32) if shards > 1 else np.zeros(len(k), np.int32)
                 cuts = np.searchsorted(shard, np.arange(shards + 1))
                 some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
-                for i in range(0, len(some), 256):
-                    part = some[i : i + 256]
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([k[cuts[s] : cuts[s + 1]].tobytes() for s in part], pa.binary()), pa.array([c[cuts[s] : cuts[s + 1]].astype(np.uint32).tobytes() for s in part], pa.binary())], names=["kind", "shard", "keys", "counts"])
+                for i in range(0, len(some), 16):
+                    part = some[i : i + 16]
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(part), pa.int32()), pa.array(part, pa.int32()), pa.array([memoryview(k[cuts[s] : cuts[s + 1]]).cast("B") for s in part], pa.binary()), pa.array([memoryview(c[cuts[s] : cuts[s + 1]]).cast("B") for s in part], pa.binary())], names=["kind", "shard", "keys", "counts"])
 
         for b in batches:
             for _, _, _, k, place in encoded(b.column(1).filter(_trained(b.column(0)))):
@@ -228,21 +239,22 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
             yield row(kind + 1, shard, None, None, segment(k, c), len(k))
 
         for b in batches:
-            for kind, shard, k, c in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for kind, shard, k, c in zip(*b.columns, strict=True):
+                kind, shard = kind.as_py(), shard.as_py()
                 if (kind, shard) != at:
                     if at is not None:
                         yield from done()
                     at, keys, counts, waiting = (kind, shard), [], [], 0
-                keys.append(np.frombuffer(k, U))
-                counts.append(np.frombuffer(c, np.uint32).astype(np.int64))
+                keys.append(np.frombuffer(k.as_buffer(), U).copy())  # lest it keep its batch
+                counts.append(np.frombuffer(c.as_buffer(), np.uint32).astype(np.int64))
                 waiting += len(keys[-1])
-                if waiting > 4_000_000 and len(keys) > 1:
+                if waiting > _WAITING and len(keys) > 1:
                     m = added(np.concatenate(keys), np.concatenate(counts))
                     keys, counts, waiting = [m[0]], [m[1]], 0
         if at is not None:
             yield from done()
 
-    dealt = docs.select(key, text).mapInArrow(gather, "kind int, shard int, keys binary, counts binary").repartition(shards, "kind", "shard").sortWithinPartitions("kind", "shard")
+    dealt = docs.select(key, text).mapInArrow(gather, "kind int, shard int, keys binary, counts binary").repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard")
     return written(dealt.mapInArrow(merge, "kind int, shard int, hashes array<long>, counts array<long>, filter binary, total long"), "lm-counts")
 
 
