@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import ship, table, written
+from quillon.llm.common import ship, small_batches, table, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Bits of the filter an event, and probes an event, all in one 64-bit block.
@@ -365,7 +365,9 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     if total:
         n = np.zeros((LEVELS + 1) * _BINS)
         for g in groups:
-            for r in fit(g).collect():  # at most LEVELS * _BINS rows
+            with small_batches(spark):
+                binned = fit(g).collect()  # at most LEVELS * _BINS rows
+            for r in binned:
                 n[r.bin] += r.n
         x = np.concatenate([[0.0], 2.0 ** ((np.arange(1, _BINS) - 0.5) / _FINE + _LOWEST)])
         gain = np.log(1 - GRID + np.outer(x, GRID))  # of each bin and weight, over the word alone
