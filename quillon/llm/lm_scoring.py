@@ -22,7 +22,7 @@ that the join has no hot key.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -146,16 +146,24 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """The segments of the shards low to high - 1, put together."""
+    """The segments of the shards low to high - 1, put together.
 
-    def __init__(self, shards: int, low: int, high: int, segments: dict[int, bytes]):
+    With the ``sizes`` of the segments given, they may come one by one in any
+    order, so that there is never more than one copy of them all.
+    """
+
+    def __init__(self, shards: int, low: int, high: int, segments: dict[int, bytes] | Iterable[tuple[int, bytes]], sizes: dict[int, int] | None = None):
         self.shards, self.low, self.high = shards, low, high
         self.start, self.size = np.zeros(shards, U), np.zeros(shards, U)
+        if isinstance(segments, dict):
+            segments, sizes = segments.items(), {k: len(x) for k, x in segments.items()}
         at = 0
-        for k in sorted(segments):
-            self.start[k], self.size[k] = at, len(segments[k]) // 8
-            at += len(segments[k]) // 8
-        self.bits = b"".join(segments.pop(k) for k in sorted(segments)) or bytes(8)
+        for k in sorted(sizes):
+            self.start[k], self.size[k] = at, sizes[k] // 8
+            at += sizes[k] // 8
+        self.bits = bytearray(max(8, 8 * at))
+        for k, x in segments:
+            self.bits[8 * int(self.start[k]) : 8 * int(self.start[k] + self.size[k])] = x
 
     def shard(self, keys: np.ndarray) -> np.ndarray:
         return (keys >> U(64 - self.shards.bit_length() + 1)).astype(np.int64) if self.shards > 1 else np.zeros(len(keys), np.int64)
@@ -258,9 +266,21 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     return written(dealt.mapInArrow(merge, "kind int, shard int, hashes array<long>, counts array<long>, filter binary, total long"), "lm-counts")
 
 
-def _segments(counted: DataFrame, kind: int, low: int, high: int) -> dict[int, bytes]:
+def _filter(counted: DataFrame, kind: int, shards: int, low: int, high: int, most: int = 16_000_000) -> Filter:
+    """The filter of a range of shards, brought to the driver in pieces of about ``most`` bytes."""
     rows = counted.filter((F.col("kind") == kind) & (F.col("shard") >= low) & (F.col("shard") < high))
-    return {r.shard: bytes(r.filter) for r in rows.select("shard", "filter").collect()}
+    sizes = dict(rows.select("shard", F.length("filter")).collect())
+
+    def segments():
+        first, waiting, last = 0, 0, max(sizes, default=0)
+        for k in sorted(sizes):
+            waiting += sizes[k]
+            if waiting >= most or k == last:
+                for r in rows.filter((F.col("shard") >= first) & (F.col("shard") <= k)).select("shard", "filter").collect():
+                    yield r.shard, r.filter
+                first, waiting = k + 1, 0
+
+    return Filter(shards, low, high, segments(), sizes)
 
 
 def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -337,9 +357,9 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     least, top, top_counts = _frequent(counted, frequent)
     share = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     sc = spark.sparkContext
-    shared = sc.broadcast({"words": Filter(shards, 0, shards, _segments(counted, 1, 0, shards)), "top": top, "logs": share(top_counts)})
+    shared = sc.broadcast({"words": _filter(counted, 1, shards, 0, shards), "top": top, "logs": share(top_counts)})
     group = max(1, int(shards * most_mb * 1e6 / max(1, sums[2].bytes))) if 2 in sums else shards
-    groups = [sc.broadcast(Filter(shards, i, min(i + group, shards), _segments(counted, 2, i, i + group))) for i in range(0, shards, group)]
+    groups = [sc.broadcast(_filter(counted, 2, shards, i, min(i + group, shards))) for i in range(0, shards, group)]
 
     def model(two) -> Model:
         return Model(shared.value["words"], two.value, total, kinds)
