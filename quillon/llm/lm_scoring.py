@@ -42,7 +42,7 @@ LEVELS = 48
 GRID = np.concatenate([[0], np.geomspace(0.0003, 0.1, 16), np.linspace(0.13, 0.97, 29)])
 _END = np.uint64(0x9E3779B97F4A7C15)
 #: Tokens that a task holds before it deals them, and counts that a shard holds before it adds them up.
-_FLUSH, _WAITING = 2_000_000, 2_000_000
+_FLUSH, _WAITING = 750_000, 1_000_000
 U = np.uint64
 
 
@@ -92,6 +92,7 @@ def encoded(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int,
         place[word] = code[some]
         yield start, end, n, np.array([*map(hashed, words), int(_END)], U), place
         start = end
+    pa.default_memory_pool().release_unused()
 
 
 def pairs(t: np.ndarray) -> np.ndarray:
@@ -435,6 +436,8 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
         for r in rest[1:]:
             every = every.unionAll(r)
         out = out.join(every.groupBy("rid").agg(F.sum("score").alias("rest")), "rid").withColumn("score", F.col("score") + F.col("rest"))
+    for b in (shared, *groups):  # all that needs them is written
+        b.unpersist()
     seen = F.coalesce("seen", F.lit(0))
     return out.join(parts, "rid", "left").select(
         key, "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
