@@ -1,22 +1,24 @@
 """Near duplicates by b-bit MinHash, confirmed on whole shingle sets.
 
 1. A pass over the texts makes each set of 5-word shingles, its fingerprint,
-   96 minima, of which 4 low bits each are kept, packed, and 19 band keys of 5
-   minima. Equal sets become one node, so that exact copies cost nothing more.
+   96 minima, of which 4 low bits each are kept, packed, and band keys: 19 of 5
+   minima, or 24 of 4 for thresholds below 85. Equal sets become one node, so that exact copies cost nothing more.
 2. Nodes that share a band key meet. Inside such a bucket packed signatures are
    compared by bit counts, corrected for chance agreement; chains of estimates
-   at or above the threshold less SLACK give candidate links, at most one a node.
+   at or above least_estimate() give candidate links, at most one a node.
    A bucket of more than BUCKET nodes is linked whole, without comparing.
 3. The candidate graph's components are found by contraction. They only gather
    what must be compared: in each, links are confirmed on the full sets, and no
    pair is tested that is joined already. Large components are split in blocks,
    a task for each pair of blocks.
-At the threshold a pair is missed by all bands with probability 1.5e-5.
+At a threshold of 85 a pair is missed by all bands with probability 1.5e-5, of 80
+with 3.2e-6.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,11 @@ from pyspark.sql import types as T
 from quillon.llm.common import Bounded, fresh, ship, table, worker_cache, written
 from quillon.llm.lm_scoring import mixed
 
-WORDS, BANDS, ROWS, HASHES, NIBBLE = 5, 19, 5, 96, 4
-#: Linked if 100 * intersection >= THRESHOLD * union.
-THRESHOLD, SLACK = 85, 0.17
+WORDS, HASHES, NIBBLE = 5, 96, 4
+#: Linked if 100 * intersection >= threshold * union; op8's figure, and the least that the bands are made for.
+THRESHOLD, LEAST = 85, 80
+#: Standard deviations by which an estimate may fall below the threshold.
+SLACK = 4.5
 BUCKET, BLOCK_ROWS, BLOCK_BYTES = 2000, 1000, 24_000_000
 U = np.uint64
 _rng = np.random.default_rng(11)
@@ -64,10 +68,11 @@ def packed(m: np.ndarray) -> bytes:
     return (low[::2] | (low[1::2] << 4)).tobytes()
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    rows = m[: BANDS * ROWS].reshape(BANDS, ROWS)
-    k = np.arange(1, BANDS + 1, dtype=U)
-    for i in range(ROWS):
+def band_keys(m: np.ndarray, threshold: int = THRESHOLD) -> np.ndarray:
+    bands, of = (19, 5) if threshold >= 85 else (24, 4)
+    rows = m[: bands * of].reshape(bands, of)
+    k = np.arange(1, bands + 1, dtype=U)
+    for i in range(of):
         k = mixed(k * U(0xD1342543DE82EF95) + rows[:, i])
     return k.view(np.int64)
 
@@ -83,13 +88,20 @@ def estimates(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     return (same - chance) / (1 - chance)
 
 
+def least_estimate(threshold: int) -> float:
+    """The estimate from which a pair is compared: SLACK standard deviations below the threshold."""
+    t, chance = threshold / 100, 1 / (1 << NIBBLE)
+    same = t + (1 - t) * chance
+    return t - SLACK * math.sqrt(same * (1 - same) / HASHES) / (1 - chance)
+
+
 def _words() -> Bounded:
     import xxhash
 
     return worker_cache("lm words", lambda: Bounded(lambda w: xxhash.xxh3_64_intdigest(w), 400_000))
 
 
-def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _signatures(docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
     """Rows of (rid, key, n, node, sig, bands); node is null for a text without words."""
     schema = T.StructType([T.StructField("rid", T.LongType()), docs.schema[key], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -104,7 +116,7 @@ def _signatures(docs: DataFrame, key: str, text: str) -> DataFrame:
                     m = minima(x)
                     nodes.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest())
                     sigs.append(packed(m))
-                    bands.append(band_keys(m))
+                    bands.append(band_keys(m, threshold))
                 else:
                     nodes.append(None)
                     sigs.append(None)
@@ -133,9 +145,9 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tupl
         yield at, rows
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _within(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Candidate links of buckets: (k, node, n, sig), sorted by k."""
-    least = THRESHOLD / 100 - SLACK
+    least = least_estimate(threshold)
     a, b = [], []
     for _, rows in _groups(batches, 1):
         sig = np.frombuffer(b"".join(r[2] for r in rows), U).reshape(len(rows), -1)
@@ -146,7 +158,7 @@ def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i in queue:
                 if not len(left):
                     break
-                near = (estimates(sig[i], sig[left]) >= least) & (100 * np.minimum(n[left], n[i]) >= THRESHOLD * np.maximum(n[left], n[i]))
+                near = (estimates(sig[i], sig[left]) >= least) & (100 * np.minimum(n[left], n[i]) >= threshold * np.maximum(n[left], n[i]))
                 found = left[near]
                 left = left[~near]
                 a += [rows[i][0]] * len(found)
@@ -185,9 +197,9 @@ def components(links: DataFrame) -> DataFrame:
     return labels if labels is not None else own.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Links of nodes to the least of theirs: (comp, i, j, node, n, sig, text), sorted by the first three."""
-    words, least = _words(), THRESHOLD / 100 - SLACK
+    words, least = _words(), least_estimate(threshold)
     schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("final", pa.bool_())])
     for _, rows in _groups(batches, 3):
         rows.sort(key=lambda r: (r[1], r[0]))
@@ -196,7 +208,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig = np.frombuffer(b"".join(r[2] for r in rows), U).reshape(len(rows), -1)
         own = np.arange(len(rows))  # the class of each row so far
         for i in range(1, len(rows)):
-            low = np.searchsorted(n[:i], -(-THRESHOLD * n[i] // 100))  # smaller sets can't reach it
+            low = np.searchsorted(n[:i], -(-threshold * n[i] // 100))  # smaller sets can't reach it
             if low == i:
                 continue
             e = estimates(sig[i], sig[low:i])
@@ -212,7 +224,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 x, y = sets[i], sets[j]
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int(np.count_nonzero(x[at] == y))
-                if 100 * both >= THRESHOLD * (len(x) + len(y) - both):
+                if 100 * both >= threshold * (len(x) + len(y) - both):
                     own[own == own[i]] = own[j]
         first: dict[int, bytes] = {}
         for c, r in zip(own.tolist(), rows, strict=True):
@@ -222,27 +234,30 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """Per row: key, n_shingles, component_id, kept, and ``rid``, a number for the row.
 
     A null or empty text has an empty set and is linked with nothing: its
     component is its own key. Rows with the same key are rows of their own; a
     component's id is its least key that isn't null, and null if all are. kept
     is key = component_id, false for a null key unless its row is alone.
+    Rows are linked at a similarity of ``threshold`` per cent, LEAST or more.
     Texts are shingled whole. An empty table gives no rows; other columns aren't read.
     """
+    if not LEAST <= threshold <= 100:
+        raise ValueError(f"threshold must be from {LEAST} to 100")
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(_signatures(docs, "key", "text"), "signatures")
+    rows = written(_signatures(docs, "key", "text", threshold), "signatures")
     nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("node", "n", "sig", F.explode("bands").alias("k"))
     sizes = nodes.select("node", F.explode("bands").alias("k")).groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     shared = written(member.join(sizes, "k"), "buckets")
     small = shared.filter(F.col("size") <= BUCKET).select("k", "node", "n", "sig").repartition(parts, "k").sortWithinPartitions("k")
     large = shared.filter((F.col("size") > BUCKET) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    candidates = components(small.mapInArrow(_within, "a binary, b binary").unionAll(large))
+    candidates = components(small.mapInArrow(lambda b: _within(b, threshold), "a binary, b binary").unionAll(large))
     # what must be compared, in blocks
     info = candidates.join(nodes.select("node", "rid", "n", "sig"), "node")
     counts = info.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
@@ -251,7 +266,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id")
     ids = docs.mapInArrow(_numbered, T.StructType([T.StructField("rid", T.LongType()), T.StructField("text", T.StringType())]))
     tasks = placed.join(ids, "rid").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = tasks.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sig", "text", (F.col("blocks") == 1).alias("final"))
-    links = written(tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_confirmed, "a binary, b binary, final boolean"), "confirmed")
+    links = written(tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _confirmed(b, threshold), "a binary, b binary, final boolean"), "confirmed")
     stars = links.filter("final").select(F.col("a").alias("node"), F.col("b").alias("root"))
     rest = links.filter("NOT final").select("a", "b")
     if not rest.isEmpty():
@@ -274,9 +289,9 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid += b.num_rows
 
 
-def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` with one of each component, all columns, unchanged: the least key, and of rows with that key the first."""
-    kept = near_duplicates(docs, text=text, key=key).filter("kept").select("rid", key, "n_shingles")
+    kept = near_duplicates(docs, text=text, key=key, threshold=threshold).filter("kept").select("rid", key, "n_shingles")
     single = kept.filter((F.col("n_shingles") == 0) | F.col(key).isNull()).select("rid")
     first = kept.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).agg(F.min("rid").alias("rid")).select("rid")
     mark = fresh(docs, "rid")

@@ -307,6 +307,34 @@ def test_near_duplicates(spark, small, monkeypatch):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute_components(t)
 
 
+def test_threshold_is_a_parameter(spark):
+    r = random.Random(4)
+    w = [f"w{r.randint(0, 5000)}" for _ in range(300)]
+    rows = [(0, " ".join(w)), (1, " ".join("new" if i % 50 == 20 else x for i, x in enumerate(w)))]  # 0.85 > J >= 0.8
+    rows += [(2, " ".join(w[:215]))]  # J < 0.8 with both
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    s = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (t.split() for _, t in rows)]
+    j = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
+    assert 0.8 <= j(0, 1) < 0.85 and j(0, 2) < 0.8 and j(1, 2) < 0.8
+    assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in near_dedup.one_of_each(docs, threshold=80).collect()} == {0, 2}
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(docs, threshold=79)
+
+
+def test_bands_suit_the_threshold():
+    for threshold in (80, 85, 90):
+        r, missed = np.random.default_rng(threshold), 0
+        for _ in range(200):
+            k = -(-400 * 2 * threshold // (100 + threshold))
+            x = r.integers(0, 1 << 64, 800 - k, np.uint64)
+            a, b = (near_dedup.minima(s) for s in (x[:400], x[400 - k :]))
+            p, q = (np.frombuffer(near_dedup.packed(m), np.uint64) for m in (a, b))
+            near = float(near_dedup.estimates(p, q[None])[0])
+            missed += near < near_dedup.least_estimate(threshold) or not (near_dedup.band_keys(a, threshold) == near_dedup.band_keys(b, threshold)).any()
+        assert not missed
+
+
 def test_estimates_are_corrected():
     r = np.random.default_rng(3)
     for share in (0.2, 0.5, 0.9):
