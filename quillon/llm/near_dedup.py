@@ -234,24 +234,19 @@ def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
-def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """Per row: key, n_shingles, component_id, kept, and ``rid``, a number for the row.
+def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (key, text): the rows (rid, key, n, node), the nodes, and the nodes with links (node, root, key, best), root the same for all of a component.
 
-    A null or empty text has an empty set and is linked with nothing: its
-    component is its own key. Rows with the same key are rows of their own; a
-    component's id is its least key that isn't null, and null if all are. kept
-    is key = component_id, false for a null key unless its row is alone.
-    Rows are linked at a similarity of ``threshold`` per cent, LEAST or more.
-    Texts are shingled whole. An empty table gives no rows; other columns aren't read.
+    best is (key is null, key, rid) of a node's row with the least key, nulls
+    last, and of rows with that key the first.
     """
     if not LEAST <= threshold <= 100:
         raise ValueError(f"threshold must be from {LEAST} to 100")
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = written(_signatures(docs, "key", "text", threshold), "signatures")
-    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min(F.struct(F.col("key").isNull().alias("null"), "key", "rid")).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("node", "n", "sig", F.explode("bands").alias("k"))
     sizes = nodes.select("node", F.explode("bands").alias("k")).groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     shared = written(member.join(sizes, "k"), "buckets")
@@ -272,7 +267,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     if not rest.isEmpty():
         stars = stars.unionAll(components(rest))
     stars = stars.unionAll(stars.select(F.col("root").alias("node"), "root")).distinct()
-    linked = written(stars.join(nodes.select("node", "key"), "node"), "linked")
+    return rows, nodes, written(stars.join(nodes.select("node", "key", "best"), "node"), "linked")
+
+
+def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
+    """Per row: key, n_shingles, component_id, kept, and ``rid``, a number for the row.
+
+    A null or empty text has an empty set and is linked with nothing: its
+    component is its own key. Rows with the same key are rows of their own; a
+    component's id is its least key that isn't null, and null if all are. kept
+    is key = component_id, false for a null key unless its row is alone.
+    Rows are linked at a similarity of ``threshold`` per cent, LEAST or more.
+    Texts are shingled whole. An empty table gives no rows; other columns aren't read.
+    """
+    rows, nodes, linked = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
     ids_of = linked.groupBy("root").agg(F.min("key").alias("component_id"))
     named = linked.select("node", "root").join(ids_of, "root").select("node", "component_id")
     alone = nodes.filter("copies > 1").select("node", "key").join(linked.select("node"), "node", "left_anti")
@@ -290,10 +298,14 @@ def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with one of each component, all columns, unchanged: the least key, and of rows with that key the first."""
-    kept = near_duplicates(docs, text=text, key=key, threshold=threshold).filter("kept").select("rid", key, "n_shingles")
-    single = kept.filter((F.col("n_shingles") == 0) | F.col(key).isNull()).select("rid")
-    first = kept.filter((F.col("n_shingles") > 0) & F.col(key).isNotNull()).groupBy(key).agg(F.min("rid").alias("rid")).select("rid")
+    """The rows of ``docs`` with one of each component, all columns, unchanged: the least key, nulls last, and of rows with that key the first.
+
+    Components are told apart by their texts, so keys may repeat or be null.
+    """
+    rows, nodes, linked = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
+    single = rows.filter(F.col("node").isNull()).select("rid")
+    alone = nodes.join(linked.select("node"), "node", "left_anti").select("best.rid")
+    first = linked.groupBy("root").agg(F.min("best").alias("best")).select("best.rid")
     mark = fresh(docs, "rid")
     schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
 
@@ -304,7 +316,7 @@ def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", thr
             rid += b.num_rows
 
     numbered = docs.mapInArrow(number, schema)
-    return numbered.join(single.unionAll(first).withColumnRenamed("rid", mark), mark, "left_semi").drop(mark)
+    return numbered.join(single.unionAll(alone).unionAll(first).withColumnRenamed("rid", mark), mark, "left_semi").drop(mark)
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,6 +322,16 @@ def test_threshold_is_a_parameter(spark):
         near_dedup.near_duplicates(docs, threshold=79)
 
 
+def test_one_of_each_with_any_keys(spark):
+    r = random.Random(5)
+    a, b, c, d = (" ".join(f"w{r.randint(0, 5000)}" for _ in range(300)) for _ in range(4))
+    near = c.rsplit(" ", 1)[0] + " other"
+    rows = [(1, a, 0), (1, b, 1), (1, b, 2), (None, c, 3), (None, c, 4), (None, near, 5), (None, d, 6), (7, d, 7), (1, "", 8), (1, None, 9), (None, "", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long").coalesce(1)
+    got = sorted(x.row for x in near_dedup.one_of_each(docs).collect())
+    assert got[:2] == [0, 1] and got[2] in (3, 4, 5) and got[3:] == [7, 8, 9, 10]
+
+
 def test_bands_suit_the_threshold():
     for threshold in (80, 85, 90):
         r, missed = np.random.default_rng(threshold), 0
