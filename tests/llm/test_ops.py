@@ -409,6 +409,15 @@ def test_quality_rules(docs, texts):
             assert r.byte_share == pytest.approx(sum(3 <= x < 259 for x in ids) / len(ids)) and r.chars_per_token == pytest.approx(r.word_chars / len(ids))
 
 
+def test_language_bands_bite(spark):
+    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet").collect()}
+    rows = [r for r in quality_rules.quality_rules(docs).collect() if not r.base_failed]
+    share = lambda q: np.mean([r.kept for r in rows if labels.get(r.doc_id) == q])
+    assert share(0) < 0.3 and share(1) > 0.95
+    assert set("de en es fr".split()) <= set(quality_rules.BANDS)
+
+
 def test_rejection_bands(spark):
     r = random.Random(1)
     good = " ".join("".join(r.choice(["the", "er", "on", "an", "re", "in"]) for _ in range(r.randint(1, 3))) for _ in range(200))
