@@ -34,14 +34,15 @@ BANDS = {
     "devanagari": (0.4, 4.0, 0.70, 2.5),
     "han": (0.3, 3.0, 0.90, 2.5),
     "other": (0.2, 8.0, 1.00, 2.0),
-    # Languages, from the sf0.1 documents with an even doc_id, quality 1 and no base failure (de 240, en 951, es 154, fr 233): the 1 % quantile and
-    # 1.1 times the maximum of characters per token, the 0.5 % quantile of entropy; byte share as for the script.
-    "de": (2.113, 2.68, 0.10, 5.80),
-    "en": (2.113, 2.67, 0.10, 5.77),
-    "es": (1.834, 2.29, 0.10, 5.80),
-    "fr": (1.873, 2.38, 0.10, 5.75),
+    # Languages, from the sf0.1 documents with an even doc_id, quality 1 and no base failure (de 240, en 951, es 154, fr 233): the 0.3 % quantile and
+    # 1.1 times the maximum of characters per token, the 0.2 % quantile of entropy; byte share as for the script.
+    "de": (2.064, 2.68, 0.10, 6.039),
+    "en": (2.066, 2.67, 0.10, 6.092),
+    "es": (1.803, 2.29, 0.10, 6.057),
+    "fr": (1.738, 2.38, 0.10, 6.024),
 }
-MIN_TOKENS = 64
+#: Of fewer tokens the entropy isn't judged, as it can't be high.
+MIN_TOKENS = 256
 #: First code points of the stretches that belong to a script, "" to none.
 STRETCHES = {0: "", 0x41: "latin", 0x5B: "", 0x61: "latin", 0x7B: "", 0xC0: "latin", 0x250: "", 0x370: "greek", 0x400: "cyrillic", 0x530: "", 0x590: "hebrew", 0x600: "arabic", 0x700: "", 0x900: "devanagari", 0x980: "", 0x3040: "han", 0xA000: ""}
 _STARTS, _SCRIPTS = np.array(list(STRETCHES), np.uint32), [*dict.fromkeys(x for x in STRETCHES.values() if x)]
@@ -115,8 +116,7 @@ def verdict(tokens: int, per_token: float, byte: float, entropy: float, band: tu
 
 
 def _judge(vocabulary: str, folder: str | None, bands: dict):
-    path = vocabulary_path(vocabulary, folder)
-    fertility = worker_cache(f"fertility {vocabulary}", lambda: Fertility(path))
+    fertility = worker_cache(f"fertility {vocabulary}", lambda: Fertility(vocabulary_path(vocabulary, folder)))
 
     def judge(texts: list[str | None], langs: list[str | None]) -> list[tuple]:
         rows = []
