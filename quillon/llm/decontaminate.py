@@ -1,10 +1,10 @@
 """Benchmark decontamination with DataFrame expressions only.
 
 Items are cut into windows of 13 normalised words (a shorter item is one
-window). The hash table of windows that is broadcast has as its key one word of
-each window, its longest; a pass over the documents' words finds where a key
-occurs, and the words around it are compared with the window, so that every hit
-is verified word by word. Only hits, and one row a document, are shuffled.
+window). A hash set of the distinct windows is broadcast; a pass over the
+documents hashes every window of their words, of each length that the set has,
+and probes the set. Each hit is verified word by word. Only hits, and one row a
+document, are shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from quillon.llm.common import ascii_lower, fresh, table, written
 
 WINDOW = 13
-#: The windows' table is broadcast up to this many of its words; beyond it, it is joined by a shuffle.
-MOST_WORDS = 4_000_000
+#: Words and items of the windows that are broadcast at once, and removed documents that are.
+MOST_CELLS, MOST_BAD = 4_000_000, 1_000_000
 #: A document is contaminated if at least one word in SHARE is hit.
 SHARE = 20
 
@@ -27,48 +27,75 @@ def words(c: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows of (anchor, found): for a key word, the windows that it stands for, each with the word's place and its items."""
+    """Rows of (w, items, hash): the distinct windows, each with its items."""
     w = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
     one = w.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s, window))).alias("w"))
-    distinct = one.groupBy("w").agg(F.collect_set("item").alias("items"))
-    best = F.array_max(F.transform("w", lambda x, i: F.struct(F.length(x).alias("n"), x.alias("x"), i.alias("i"))))
-    return distinct.select("w", "items", best.alias("best")).groupBy(F.col("best.x").alias("anchor")).agg(F.collect_list(F.struct("w", "items", F.col("best.i").alias("i"))).alias("found"))
+    return one.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("w"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE) -> DataFrame:
+def _probed(each: DataFrame, found: DataFrame, lengths: list[int], rows: bool) -> DataFrame:
+    """Verified hits of (k, mark, words) as rows (k, mark, n, s, items); with ``rows``, one with a null s for each document as well.
+
+    ``found`` is broadcast. The hashes are made in the document's row first, so that
+    the generator and the probe are compiled into one stage, in which the words
+    beside the hashes aren't copied.
+    """
+    many = lambda n: F.greatest(F.size("words") - (n - 1), F.lit(0))
+    hashes_of = lambda n: F.transform(F.when(many(n) > 0, F.sequence(F.lit(1), many(n))).otherwise(F.array().cast("array<int>")), lambda i: F.xxhash64(F.slice("words", i, n)))
+    each = each.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), *map(hashes_of, lengths)))
+    table = found.select("hash", "w", "items")
+    if rows:  # what the first place of each document meets
+        table = table.unionAll(found.sparkSession.sql("SELECT 0L AS hash, CAST(NULL AS array<string>) AS w, CAST(NULL AS array<string>) AS items"))
+    # outer, as Spark would else add a filter on the array's size, for which it makes all hashes once more
+    at = each.select("k", "mark", "words", F.posexplode_outer("hashes").alias("pos", "hash")).join(F.broadcast(table), "hash")
+    before, start = F.lit(0), F.lit(0)
+    for n in lengths:
+        start = F.when(F.size("w") == n, F.col("pos") - before).otherwise(start)
+        before = before + many(n)
+    true = (F.col("w").isNull() & (F.col("pos") == 0)) | ((start >= 1) & (F.slice("words", F.greatest(start, F.lit(1)), F.size("w")) == F.col("w")))
+    return at.filter(true).select("k", "mark", F.size("words").cast("long").alias("n"), F.when(F.col("w").isNotNull(), F.struct(start.alias("a"), F.size("w").alias("l"))).alias("s"), "items")
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text", window: int = WINDOW, share: int = SHARE, most: int = MOST_CELLS) -> DataFrame:
     """Per row: key, ``mark`` (a fingerprint of the text), n_words, n_hit, n_items, items_sha256, contaminated.
 
     A null or empty text has no words and isn't contaminated; items without
     words or id are left out, repeated items count once. Rows with the same key
     and text give as many equal rows; null keys are keys. An empty benchmark
-    hits nothing. Other columns aren't read.
+    hits nothing. Other columns aren't read. A table of more than ``most``
+    cells (words and items) is broadcast in parts, with a pass over the
+    documents for each: no window of a document is shuffled unless it hits.
     """
+    spark = docs.sparkSession
     found = written(windows(benchmark, item=item, text=item_text, window=window), "windows")
-    n = found.agg(F.sum(F.aggregate("found", F.lit(0), lambda a, x: a + F.size(x["w"])))).first()[0] or 0
-    none = found.sparkSession.sql("SELECT '' AS anchor, CAST(NULL AS array<struct<w:array<string>,items:array<string>,i:int>>) AS found")
-    found = found.unionByName(none)
-    if n <= MOST_WORDS:
-        found = F.broadcast(found)
-    # the empty word before a document's words meets the empty anchor: one row for each document, without a second pass
+    size = found.groupBy(F.size("w").alias("l")).agg(F.sum(F.size("w") + F.size("items")).alias("cells")).collect()  # at most ``window`` rows
+    lengths, parts = sorted(r.l for r in size), max(1, -(-sum(r.cells for r in size) // most))
     each = docs.select(F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), words(F.col(text)).alias("words"))
-    at = each.select("*", F.posexplode(F.concat(F.array(F.lit("")), F.col("words"))).alias("pos", "anchor")).join(found, "anchor")
-    tried = at.select("k", "mark", "words", "pos", F.explode_outer("found").alias("f"))
-    start = F.col("pos") - F.col("f.i")
-    true = F.col("f").isNull() | ((start >= 1) & (F.slice("words", F.greatest(start, F.lit(1)), F.size("f.w")) == F.col("f.w")))
-    kept = tried.filter(true).select("k", "mark", F.size("words").cast("long").alias("n"), F.when(F.col("f").isNotNull(), F.struct(start.alias("a"), F.size("f.w").alias("l"))).alias("s"), F.col("f.items").alias("items"))
+    kept = None
+    for i in range(parts):
+        part = found if parts == 1 else found.filter(F.pmod("hash", F.lit(parts)) == i)
+        some = _probed(each, part, lengths, i == 0)
+        kept = some if kept is None else kept.unionAll(some)
     by = kept.groupBy("k", "mark").agg(F.max("n").alias("n_words"), F.count_if(F.col("s").isNull()).alias("rows"), F.collect_set("s").alias("s"), F.collect_set("items").alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s["a"], s["a"] + s["l"] - 1))))).cast("long")
     out = by.select("*", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("i"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    return out.select(F.col("k").alias(key), "mark", "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    out = out.select(F.col("k").alias(key), F.col("mark").alias("mark" if key.lower() != "mark" else "_mark"), "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    return out if size else out.withColumn("contaminated", F.lit(False))
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str = "doc_id", window: int = WINDOW, share: int = SHARE) -> DataFrame:
-    """The rows of ``docs`` that aren't contaminated, with all their columns, unchanged."""
-    bad = hits(docs, benchmark, text=text, key=key, window=window, share=share).filter("contaminated").select(F.col(key).alias("k"), "mark").distinct()
+    """The rows of ``docs`` that aren't contaminated, with all their columns, unchanged.
+
+    The keys and fingerprints of the others are written and counted; up to
+    MOST_BAD of them are broadcast, so that no text is shuffled.
+    """
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("text"))
+    bad = written(hits(own, benchmark, key="k", window=window, share=share).filter("contaminated").select("k", "mark").distinct(), "contaminated")
     mark = fresh(docs, "mark")
     left = docs.withColumn(mark, F.coalesce(F.xxhash64(text), F.lit(0)))
-    return left.join(bad, left[key].eqNullSafe(bad["k"]) & (left[mark] == bad["mark"]), "left_anti").drop(mark)
+    named = bad.select(F.col("k").alias(fresh(left, "k")), F.col("mark").alias(fresh(left, "bad_mark")))
+    return left.join(F.broadcast(named) if bad.count() <= MOST_BAD else named, left[key].eqNullSafe(named[named.columns[0]]) & (left[mark] == named[named.columns[1]]), "left_anti").drop(mark)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
