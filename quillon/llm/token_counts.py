@@ -85,11 +85,10 @@ def count_tokens(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vo
     rows; repeated rows and null keys are kept as they are; other columns are
     not read, so their names can't clash. A text is never cut.
     """
-    path = vocabulary_path(vocabulary, folder)
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(vocabulary_path(vocabulary, folder)))
 
     def make():
-        count = worker_cache(f"count {vocabulary}", lambda: Counter(path, frequent.value, cache))
+        count = worker_cache(f"count {vocabulary}", lambda: Counter(vocabulary_path(vocabulary, folder), frequent.value, cache))
 
         def f(ids, texts):
             texts = [t or "" for t in texts]
