@@ -9,8 +9,11 @@
    A bucket of more than BUCKET nodes is linked whole, without comparing.
 3. The candidate graph's components are found by contraction. They only gather
    what must be compared: in each, links are confirmed on the full sets, and no
-   pair is tested that is joined already. Large components are split in blocks,
-   a task for each pair of blocks.
+   pair is tested that is joined already. Texts are fetched for candidates only.
+4. A large component is dealt to blocks. A few leaders, of the whole component,
+   stand in each block, so that most of a group of copies is joined in one pass,
+   whatever its size. What isn't in the largest class after that is compared with
+   every block; the rest needn't be.
 At a threshold of 85 a pair is missed by all bands with probability 1.5e-5, of 80
 with 3.2e-6.
 """
@@ -23,12 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import Bounded, fresh, ship, table, worker_cache, written
+from quillon.llm.common import Bounded, drop, fresh, ship, table, worker_cache, written
 from quillon.llm.lm_scoring import mixed
 
 WORDS, HASHES, NIBBLE = 5, 96, 4
@@ -36,7 +38,9 @@ WORDS, HASHES, NIBBLE = 5, 96, 4
 THRESHOLD, LEAST = 85, 80
 #: Standard deviations by which an estimate may fall below the threshold.
 SLACK = 4.5
-BUCKET, BLOCK_ROWS, BLOCK_BYTES = 2000, 1000, 24_000_000
+BUCKET, BLOCK_ROWS, BLOCK_BYTES, LEADERS = 2000, 1000, 24_000_000, 32
+#: Rows of keys and fingerprints that are broadcast; more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
 U = np.uint64
 _rng = np.random.default_rng(11)
 _MULTIPLY = _rng.integers(0, 1 << 64, HASHES, U, endpoint=False)[:, None] | U(1)
@@ -101,12 +105,17 @@ def _words() -> Bounded:
     return worker_cache("lm words", lambda: Bounded(lambda w: xxhash.xxh3_64_intdigest(w), 400_000))
 
 
-def _signatures(docs: DataFrame, key: str, text: str, threshold: int) -> DataFrame:
-    """Rows of (rid, key, n, node, sig, bands); node is null for a text without words."""
-    schema = T.StructType([T.StructField("rid", T.LongType()), docs.schema[key], T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+def _marked(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Of ``docs`` the key, the text and a fingerprint of it."""
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"))
+
+
+def _signatures(docs: DataFrame, threshold: int) -> DataFrame:
+    """Of (key, text, mark) rows of (key, mark, n, node, sig, bands); node is null for a text without words."""
+    schema = T.StructType([docs.schema["key"], T.StructField("mark", T.LongType()), T.StructField("n", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, rid = _words(), TaskContext.get().partitionId() << 40
+        words = _words()
         for b in batches:
             n, nodes, sigs, bands = [], [], [], []
             for t in b.column(1).to_pylist():
@@ -121,11 +130,9 @@ def _signatures(docs: DataFrame, key: str, text: str, threshold: int) -> DataFra
                     nodes.append(None)
                     sigs.append(None)
                     bands.append(None)
-            ids = pa.array(range(rid, rid + len(n)), pa.int64())
-            rid += len(n)
-            yield pa.RecordBatch.from_arrays([ids, b.column(0), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 _LINKS = pa.schema([("a", pa.binary()), ("b", pa.binary())])
@@ -177,50 +184,54 @@ def components(links: DataFrame) -> DataFrame:
     contracts the links, until none is left. What a round makes is written to the
     shared folder.
     """
-    own = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = written(own, "links")
-    labels = None
+    made = [written(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct(), "links")]
+    edges, labels = made[0], None
     while not edges.isEmpty():
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parents = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p"))
         for _ in range(2):
             up = parents.select(F.col("a").alias("p"), F.col("p").alias("q"))
             parents = written(parents.join(up, "p").select("a", F.col("q").alias("p")), "parents")
+            made.append(parents)
         of_a, of_b = parents.select("a", F.col("p").alias("pa")), parents.select(F.col("a").alias("b"), F.col("p").alias("pb"))
         moved = edges.join(of_a, "a").join(of_b, "b").filter("pa <> pb")
         edges = written(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+        made.append(edges)
         if labels is None:
             labels = parents.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
             to = parents.select(F.col("a").alias("root"), "p")
             labels = written(labels.join(to, "root", "left").select("node", F.coalesce("p", "root").alias("root")), "labels")
-    return labels if labels is not None else own.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            made.append(labels)
+    out = written(labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "components")
+    drop(*made)
+    return out
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
-    """Links of nodes to the least of theirs: (comp, i, j, node, n, sig, text), sorted by the first three."""
+    """Links of nodes to the least of theirs: (comp, i, j, node, n, sig, label, few, text), sorted by the first three.
+
+    Rows of one label are joined already. Only pairs with a row that is one of the few are compared.
+    """
     words, least = _words(), least_estimate(threshold)
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("final", pa.bool_())])
     for _, rows in _groups(batches, 3):
         rows.sort(key=lambda r: (r[1], r[0]))
-        sets = [shingles(r[3], words) for r in rows]
-        n = np.array([len(x) for x in sets])
+        sets = [shingles(r[5], words) for r in rows]
+        n, few = np.array([len(x) for x in sets]), np.array([r[4] for r in rows])
         sig = np.frombuffer(b"".join(r[2] for r in rows), U).reshape(len(rows), -1)
-        own = np.arange(len(rows))  # the class of each row so far
+        own = np.unique([r[3] for r in rows], return_inverse=True)[1]  # the class of each row so far
         for i in range(1, len(rows)):
             low = np.searchsorted(n[:i], -(-threshold * n[i] // 100))  # smaller sets can't reach it
             if low == i:
                 continue
             e = estimates(sig[i], sig[low:i])
-            e[e < least] = -1
-            tried: list[int] = []
+            e[(e < least) | (own[low:i] == own[i]) | ~(few[low:i] | few[i])] = -1
             for j in np.argsort(-e, kind="stable"):
                 if e[j] < 0:
                     break
                 j = low + int(j)
                 if own[j] == own[i]:
                     continue
-                tried.append(j)
                 x, y = sets[i], sets[j]
                 at = np.minimum(np.searchsorted(x, y), len(x) - 1)
                 both = int(np.count_nonzero(x[at] == y))
@@ -229,24 +240,23 @@ def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa
         first: dict[int, bytes] = {}
         for c, r in zip(own.tolist(), rows, strict=True):
             first[c] = min(first.get(c, r[0]), r[0])
-        out = [(r[0], first[c], r[4]) for c, r in zip(own.tolist(), rows, strict=True) if first[c] != r[0]]
+        out = [(r[0], first[c]) for c, r in zip(own.tolist(), rows, strict=True) if first[c] != r[0]]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=_LINKS)
 
 
 def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (key, text): the rows (rid, key, n, node), the nodes, and the nodes with links (node, root, key, best), root the same for all of a component.
+    """Of docs (key, text, mark): the rows (key, mark, n, node), the nodes, and the nodes with links (node, root, key, best), root the same for all of a component.
 
-    best is (key is null, key, rid) of a node's row with the least key, nulls
-    last, and of rows with that key the first.
+    best is the least (key is null, key, mark) of a node's rows.
     """
     if not LEAST <= threshold <= 100:
         raise ValueError(f"threshold must be from {LEAST} to 100")
     spark = docs.sparkSession
     ship(spark)
     parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(_signatures(docs, "key", "text", threshold), "signatures")
-    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min("rid").alias("rid"), F.min(F.struct(F.col("key").isNull().alias("null"), "key", "rid")).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    rows = written(_signatures(docs, threshold), "signatures")
+    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min(F.struct(F.col("key").isNull().alias("null"), "key", "mark")).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
     member = nodes.select("node", "n", "sig", F.explode("bands").alias("k"))
     sizes = nodes.select("node", F.explode("bands").alias("k")).groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
     shared = written(member.join(sizes, "k"), "buckets")
@@ -254,24 +264,51 @@ def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Data
     large = shared.filter((F.col("size") > BUCKET) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     candidates = components(small.mapInArrow(lambda b: _within(b, threshold), "a binary, b binary").unionAll(large))
     # what must be compared, in blocks
-    info = candidates.join(nodes.select("node", "rid", "n", "sig"), "node")
-    counts = info.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
-    placed = written(info.join(counts, "root"), "candidates")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    ids = docs.mapInArrow(_numbered, T.StructType([T.StructField("rid", T.LongType()), T.StructField("text", T.StringType())]))
-    tasks = placed.join(ids, "rid").withColumn("own", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = tasks.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "n", "sig", "text", (F.col("blocks") == 1).alias("final"))
-    links = written(tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _confirmed(b, threshold), "a binary, b binary, final boolean"), "confirmed")
-    stars = links.filter("final").select(F.col("a").alias("node"), F.col("b").alias("root"))
-    rest = links.filter("NOT final").select("a", "b")
-    if not rest.isEmpty():
-        stars = stars.unionAll(components(rest))
+    info = candidates.join(nodes.select("node", "best", "n", "sig"), "node")
+    counts = info.groupBy("root").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    placed = written(info.join(counts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
+    wanted = placed.select("node", F.col("best.key").alias("k"), F.col("best.mark").alias("m"))
+    if wanted.count() <= MOST_BROADCAST:
+        wanted = F.broadcast(wanted)
+    found = docs.join(wanted, docs["key"].eqNullSafe(wanted["k"]) & (docs["mark"] == wanted["m"])).select("node", "text")
+    texts = written(found.groupBy("node").agg(F.first("text").alias("text")), "texts")  # one of rows with equal keys and texts
+
+    def confirmed(tasks: DataFrame, name: str) -> DataFrame:
+        dealt = tasks.select("root", "i", "j", "node", "n", "sig", "label", "few").join(texts, "node").select("root", "i", "j", "node", "n", "sig", "label", "few", "text")
+        return written(dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _confirmed(b, threshold), "a binary, b binary"), name)
+
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < LEADERS)
+    once = placed.select("*", F.explode(F.when(leads, every).otherwise(F.array("own"))).alias("i"))
+    links = confirmed(once.select("*", F.lit(0).alias("j"), F.col("node").alias("label"), F.lit(True).alias("few")), "confirmed")
+    made = [shared, candidates, placed, texts, links]
+    split = placed.filter("blocks > 1")
+    if split.isEmpty():
+        stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    else:
+        classes = components(links)
+        labelled = split.join(classes.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        most = labelled.groupBy("root", "label").agg(F.count("*").alias("c")).groupBy("root").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
+        labelled = written(labelled.join(most, "root").withColumn("few", F.col("label") != F.col("main")), "labelled")
+        few = labelled.filter("few")
+        chunks = few.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("chunks"))
+        chunk = F.pmod(F.xxhash64("node", F.lit(2)), F.col("chunks")).cast("int")
+        sides = few.join(chunks, "root").select("*", F.explode(every).alias("i")).withColumn("j", chunk)
+        others = labelled.join(chunks, "root").select("*", F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("j"))
+        # one of the few that stands in its own block comes once
+        others = others.filter(~(F.col("few") & (F.col("j") == chunk))).withColumn("few", F.lit(False))
+        rest = confirmed(sides.unionByName(others), "confirmed")
+        made += [classes, labelled, rest]
+        stars = components(links.unionAll(rest))
+        made.append(stars)
     stars = stars.unionAll(stars.select(F.col("root").alias("node"), "root")).distinct()
-    return rows, nodes, written(stars.join(nodes.select("node", "key", "best"), "node"), "linked")
+    linked = written(stars.join(nodes.select("node", "key", "best"), "node"), "linked")
+    drop(*made)
+    return rows, nodes, linked
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """Per row: key, n_shingles, component_id, kept, and ``rid``, a number for the row.
+    """Per row: key, n_shingles, component_id, kept.
 
     A null or empty text has an empty set and is linked with nothing: its
     component is its own key. Rows with the same key are rows of their own; a
@@ -280,44 +317,45 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     Rows are linked at a similarity of ``threshold`` per cent, LEAST or more.
     Texts are shingled whole. An empty table gives no rows; other columns aren't read.
     """
-    rows, nodes, linked = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
+    rows, nodes, linked = _linked(_marked(docs, key, text), threshold)
     ids_of = linked.groupBy("root").agg(F.min("key").alias("component_id"))
     named = linked.select("node", "root").join(ids_of, "root").select("node", "component_id")
     alone = nodes.filter("copies > 1").select("node", "key").join(linked.select("node"), "node", "left_anti")
     named = written(named.unionAll(alone.select("node", F.col("key").alias("component_id"))), "named")
-    out = rows.select("rid", "key", "n", "node").join(named.withColumn("in", F.lit(True)), "node", "left")
+    drop(nodes, linked)
+    out = rows.select("key", "n", "node").join(named.withColumn("in", F.lit(True)), "node", "left")
     component = F.when(F.col("in"), F.col("component_id")).otherwise(F.col("key"))
-    return out.select("rid", F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.col("in").isNull()).alias("kept"))
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.col("in").isNull()).alias("kept"))
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rid = TaskContext.get().partitionId() << 40
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(range(rid, rid + b.num_rows), pa.int64()), b.column(1)], names=["rid", "text"])
-        rid += b.num_rows
-
-
-def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with one of each component, all columns, unchanged: the least key, nulls last, and of rows with that key the first.
+def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = LEAST) -> DataFrame:
+    """The rows of ``docs`` with one of each component, all columns, unchanged: the least key, nulls last, and of those the least fingerprint of the text.
 
-    Components are told apart by their texts, so keys may repeat or be null.
+    Components are told apart by their texts, so keys may repeat or be null; of
+    rows that are equal in both one stays. Up to MOST_BROADCAST keys of rows
+    that go are broadcast, so that no text is shuffled.
     """
-    rows, nodes, linked = _linked(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), threshold)
-    single = rows.filter(F.col("node").isNull()).select("rid")
-    alone = nodes.join(linked.select("node"), "node", "left_anti").select("best.rid")
-    first = linked.groupBy("root").agg(F.min("best").alias("best")).select("best.rid")
-    mark = fresh(docs, "rid")
-    schema = T.StructType([*docs.schema.fields, T.StructField(mark, T.LongType())])
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rid = TaskContext.get().partitionId() << 40
-        for b in batches:
-            yield b.append_column(mark, pa.array(range(rid, rid + b.num_rows), pa.int64()))
-            rid += b.num_rows
-
-    numbered = docs.mapInArrow(number, schema)
-    return numbered.join(single.unionAll(alone).unionAll(first).withColumnRenamed("rid", mark), mark, "left_semi").drop(mark)
+    rows, nodes, linked = _linked(_marked(docs, key, text), threshold)
+    firsts = linked.groupBy("root").agg(F.min("best").alias("keep"))
+    keep = linked.select("node", "root").join(firsts, "root").select("node", "keep")
+    alone = nodes.filter("copies > 1").select("node", F.col("best").alias("keep")).join(linked.select("node"), "node", "left_anti")
+    grouped = rows.select("key", "mark", "node").join(keep.unionAll(alone), "node")
+    own = F.struct(F.col("key").isNull().alias("null"), "key", "mark")
+    judged = written(grouped.groupBy("key", "mark").agg(F.bool_and(own == F.col("keep")).alias("first"), F.count("*").alias("rows")).filter("NOT first OR rows > 1"), "judged")
+    drop(rows, nodes, linked)
+    mark = fresh(docs, "mark")
+    marked = docs.withColumn(mark, F.coalesce(F.xxhash64(text), F.lit(0)))
+    n = judged.count()
+    gone = judged.select(F.col("key").alias(fresh(marked, "k")), F.col("mark").alias(fresh(marked, "m")), "first")
+    k, m, _ = gone.columns
+    gone = F.broadcast(gone) if n <= MOST_BROADCAST else gone
+    same = marked[key].eqNullSafe(gone[k]) & (marked[mark] == gone[m])
+    out = marked.join(gone, same, "left_anti").select(*docs.columns)
+    if judged.filter("first").isEmpty():
+        return out
+    several = marked.join(gone.filter("first"), same, "left_semi")
+    return out.unionAll(several.groupBy(key, mark).agg(F.first(F.struct(*docs.columns)).alias("r")).select("r.*"))
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("rid")
+    return near_duplicates(table(spark, sf_dir, "documents"))
