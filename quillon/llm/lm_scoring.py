@@ -7,16 +7,23 @@ filter: an n-gram of count c is entered as the events (n-gram, 1) to
 (n-gram, q), q = 1 + floor(log2 c). The segments grow with what was counted.
 
 Scoring. The segments are broadcast: all of the words', and the pairs' in one
-or more groups of at most ``most_mb``, a pass over the texts for each group (a
-sum over tokens can be made in parts). A count is read by repeated membership
-probes (n-gram, 1), (n-gram, 2), ... until one fails. A token's probability
-mixes the pair's share of its history with the word's, by a weight that depends
-on the history's quantised count and is fitted by leaving each token out, over
-all training texts.
+or more groups of at most ``most_mb``, made and freed one after the other, with
+a pass over the texts for each group (a sum over tokens can be made in parts). A
+count is read by repeated membership probes (n-gram, 1), (n-gram, 2), ... until
+one fails, and stands for the middle of its range. A token's probability mixes
+the pair's share of its history with the word's, by a weight that depends on the
+history's quantised count and is fitted by leaving each token out, over all
+training texts. Words' shares are of the sum of all words' read counts, and
+pairs' of the sum of their history's, so that a history's probabilities, an
+unknown word's with them, sum to 1 (but for false positives of the filter). The
+histories' sums come from the shards: a pair's fingerprint holds 32 bits of its
+history, behind SALT bits that split frequent ones. They are broadcast for the
+``frequent`` most frequent words; a rarer history's pairs count with the least of
+their range over the most of its own, so that they sum to less than 1.
 
 The base score needs exact counts: those of the ``frequent`` most frequent
-words are broadcast, those of the others are joined. All of those are rare, so
-that the join has no hot key.
+words are broadcast, those of the others are joined. A word that the filter
+doesn't know needs no join; what is left is rare in training texts.
 """
 
 from __future__ import annotations
@@ -38,6 +45,10 @@ FOLDS, HELD_OUT = 5, 1
 #: Bits of the filter an event, and probes an event, all in one 64-bit block.
 BITS, PROBES = 12, 5
 MOST_MB, FREQUENT = 256, 1_000_000
+#: The words' filter is broadcast whole, up to so many MB; beyond them the operator stops.
+MOST_WORDS_MB = 1024
+#: Bits of a pair's fingerprint before those of its history.
+SALT = 4
 LEVELS = 48
 GRID = np.concatenate([[0], np.geomspace(0.0003, 0.1, 16), np.linspace(0.13, 0.97, 29)])
 _END = np.uint64(0x9E3779B97F4A7C15)
@@ -99,7 +110,14 @@ def pairs(t: np.ndarray) -> np.ndarray:
     """Fingerprints of each token with the one before it (the first's is an end)."""
     h = np.empty_like(t)
     h[0], h[1:] = _END, t[:-1]
-    return mixed(h * U(0xD1342543DE82EF95) + t)
+    k = mixed(h * U(0xD1342543DE82EF95) + t)
+    low = 32 - SALT
+    return (k >> U(64 - SALT) << U(64 - SALT)) | (h >> U(32) << U(low)) | (k & U((1 << low) - 1))
+
+
+def histories(keys: np.ndarray) -> np.ndarray:
+    """The 32 bits of the history in pairs' fingerprints."""
+    return keys << U(SALT) >> U(32)
 
 
 def added(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -121,8 +139,10 @@ def quantised(counts: np.ndarray) -> np.ndarray:
     return np.frexp(counts.astype(float))[1]  # 1 + floor(log2 c)
 
 
-#: The mean count of a quantised count's range; 0 for none.
+#: The middle of a quantised count's range, its least and its most; 0 for none.
 MEANS = np.array([0.0, *(1.5 * 2.0**j - 0.5 for j in range(LEVELS))])
+LEASTS = np.array([0.0, *(2.0**j for j in range(LEVELS))])
+MOSTS = np.array([0.0, *(2.0 ** (j + 1) - 1 for j in range(LEVELS))])
 
 
 def _event(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -195,7 +215,10 @@ class Filter:
 
 
 def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
-    """Rows of (kind, shard, hashes, counts): kind 0 words, with counts; kind 1 segments of words', kind 2 of pairs' filter (in ``filter``)."""
+    """Rows of (kind, shard, hashes, counts): kind 0 words, with counts; kind 1 segments of words', kind 2 of pairs' filter (in ``filter``); kind 3 histories, with twice the sum of their pairs' read counts.
+
+    ``total`` has the words' tokens in kind 0, their number in kind 1, and twice the sum of their read counts in kind 4.
+    """
     shift = U(64 - shards.bit_length() + 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,10 +264,18 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
         def done():
             k, c = added(np.concatenate(keys), np.concatenate(counts))
             kind, shard = at
+            twice = (2 * MEANS[quantised(c)]).astype(np.int64)
             if kind == 0:
                 for i in range(0, len(k), 1 << 16):
                     s = slice(i, i + (1 << 16))
                     yield row(0, shard, k[s].view(np.int64), c[s], None, int(c[s].sum()))
+                yield row(4, shard, None, None, None, int(twice.sum()))
+            else:
+                h = histories(k)
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                of, sums = h[first].view(np.int64), np.add.reduceat(twice, first)
+                for i in range(0, len(of), 1 << 16):
+                    yield row(3, shard, of[i : i + (1 << 16)], sums[i : i + (1 << 16)], None, 0)
             yield row(kind + 1, shard, None, None, segment(k, c), len(k))
 
         for b in batches:
@@ -284,8 +315,8 @@ def _filter(counted: DataFrame, kind: int, shards: int, low: int, high: int, mos
     return Filter(shards, low, high, segments(), sizes)
 
 
-def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
-    """The count from which words are frequent, so that at most ``most`` are; those words' fingerprints, sorted, and counts."""
+def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """The count from which words are frequent, so that at most ``most`` are; those words' fingerprints, sorted, their counts, and the sums of the read counts of pairs that they begin."""
     each = counted.filter("kind = 0").select(F.explode("counts").alias("c"))
     by_bits = dict(each.groupBy(F.floor(F.log2("c")).alias("b")).count().collect())  # at most 64 rows
     bits, n = 64, 0
@@ -297,21 +328,40 @@ def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarra
     keys = np.concatenate([np.array([], np.int64), *(np.asarray(x.values) for x in rows["h"])]).view(U)
     counts = np.concatenate([np.array([], np.int64), *(np.asarray(x.values) for x in rows["c"])])
     order = np.argsort(keys)
-    return least, keys[order], counts[order]
+    keys, counts = keys[order], counts[order]
+    every = counted.filter("kind = 3").select(F.inline(F.arrays_zip("hashes", "counts"))).groupBy("hashes").agg(F.sum("counts").alias("n"))
+    own = counted.filter("kind = 0").select(F.inline(F.arrays_zip("hashes", "counts"))).filter(F.col("counts") >= least).select(F.shiftrightunsigned("hashes", 32).alias("hashes")).distinct()
+    found = every.join(own, "hashes").toArrow()  # no more than the frequent words
+    at = found["hashes"].to_numpy().astype(U)
+    by = np.argsort(at)
+    at, n = at[by], found["n"].to_numpy()[by] / 2
+    place = np.minimum(np.searchsorted(at, keys >> U(32)), max(0, len(at) - 1))
+    sums = np.where(at[place] == keys >> U(32), n[place], 0.0) if len(at) else np.zeros(len(keys))
+    return least, keys, counts, sums
 
 
 # ---------------------------------------------------------------- scoring
 
 
 class Model:
-    """Counts out of the filters, for one group of the pairs' shards."""
+    """Counts out of the filters, for one group of the pairs' shards.
+
+    ``top`` and ``sums`` are the frequent words' fingerprints, sorted, and the sums of
+    the read counts of the pairs that they begin; ``norm`` is the words' sum with what smooths it.
+    """
+
+    def __init__(self, words: Filter, two: Filter, norm: float, top: np.ndarray, sums: np.ndarray):
+        self.words, self.two, self.norm, self.top, self.sums = words, two, norm, top, sums
 
-    def __init__(self, words: Filter, two: Filter, total: int, kinds: int):
-        self.words, self.two = words, two
-        self.total, self.norm = total, total + 0.5 * (kinds + 1)
+    def summed(self, kinds: np.ndarray) -> np.ndarray:
+        """The sums of words that are frequent; 0 for others."""
+        if not len(self.top):
+            return np.zeros(len(kinds))
+        at = np.minimum(np.searchsorted(self.top, kinds), len(self.top) - 1)
+        return np.where(self.top[at] == kinds, self.sums[at], 0.0)
 
     def read(self, kinds: np.ndarray, place: np.ndarray, left_out: bool) -> tuple[np.ndarray, ...]:
-        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities.
+        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities, the words' levels.
 
         Each text ends with an end token, so that what stands before a text's first token is one.
         """
@@ -321,6 +371,9 @@ class Model:
         before = np.empty(len(t), np.int64)
         level = levels[place]
         before[0], before[1:] = levels[-1], level[:-1]
+        sums = self.summed(kinds)
+        of = np.empty(len(t))
+        of[0], of[1:] = sums[-1], sums[place[:-1]]
         most = np.minimum(level, before)  # a pair isn't more frequent than its words
         one, less = MEANS[levels], int(left_out)
         if self.two.low == 0 and self.two.high == self.two.shards:
@@ -329,41 +382,57 @@ class Model:
             shard = self.two.shard(p)
             own, two = (self.two.low <= shard) & (shard < self.two.high), np.zeros(len(t), np.int64)
             two[own] = self.two.levels(p[own], most[own])
-        share = np.maximum(MEANS - less, 0)[two] / np.maximum(MEANS - less, 1)[before]
-        return own, before, np.minimum(1, share), ((np.maximum(one - less, 0) + 0.5) / self.norm)[place]
+        frequent = of > 0
+        share = np.maximum(np.where(frequent, MEANS[two], LEASTS[two]) - less, 0) / np.maximum(np.where(frequent, of, MOSTS[before]) - less, 1)
+        return own, before, np.minimum(1, share), ((np.maximum(one - less, 0) + 0.5) / self.norm)[place], level
 
 
 #: Bins of the log2 of a pair's share over its word's probability, for the fit; the first is for no pair.
 _BINS, _LOWEST, _FINE = 512, -16, 8
 
 
-def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_mb: int = MOST_MB, frequent: int = FREQUENT) -> DataFrame:
+def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_mb: float = MOST_MB, most_words_mb: float = MOST_WORDS_MB, frequent: int = FREQUENT) -> DataFrame:
     """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Trained on the rows that aren't held out (see held_out). A null or empty
     text is its end token alone. Null keys count as the empty text for the fold;
     repeated rows each count and are each scored. Without training rows
-    train_tokens is 0 and every base probability 1. Texts are read whole;
+    train_tokens is 0 and every base probability 1. A words' filter of more than
+    ``most_words_mb`` is an error, as it is broadcast whole. Texts are read whole;
     other columns aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
-    docs = docs.select(key, text)
+    docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shards = 8
     while shards < min(docs.rdd.getNumPartitions(), 1 << 16):
         shards *= 2
-    counted = _count(docs, key, text, shards)
+    counted = _count(docs, "key", "text", shards)
     sums = {r.kind: r for r in counted.groupBy("kind").agg(F.sum("total").alias("total"), F.sum(F.length("filter")).alias("bytes")).collect()}
     total, kinds = (int(sums[0].total), int(sums[1].total)) if 0 in sums else (0, 0)
-    least, top, top_counts = _frequent(counted, frequent)
+    least, top, top_counts, top_sums = _frequent(counted, frequent)
     share = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     sc = spark.sparkContext
-    shared = sc.broadcast({"words": _filter(counted, 1, shards, 0, shards), "top": top, "logs": share(top_counts)})
+    if 1 in sums and sums[1].bytes > most_words_mb * 1e6:
+        raise ValueError(f"the words' filter has {sums[1].bytes / 1e6:.0f} MB; most_words_mb allows {most_words_mb}")
+    shared = sc.broadcast({"words": _filter(counted, 1, shards, 0, shards), "top": top, "sums": top_sums, "logs": share(top_counts)})
+    read_norm = (sums[4].total / 2 if 4 in sums else 0) + 0.5 * (kinds + 1)
     group = max(1, int(shards * most_mb * 1e6 / max(1, sums[2].bytes))) if 2 in sums else shards
-    groups = [sc.broadcast(_filter(counted, 2, shards, i, min(i + group, shards))) for i in range(0, shards, group)]
+    starts = range(0, shards, group)
+    held: dict = {}
+
+    def pairs_of(i: int):
+        """The broadcast filter of the shards from ``i``, in place of the one before it."""
+        if i not in held:
+            for b in held.values():
+                b.destroy()
+            held.clear()
+            held[i] = sc.broadcast(_filter(counted, 2, shards, i, min(i + group, shards)))
+        return held[i]
 
     def model(two) -> Model:
-        return Model(shared.value["words"], two.value, total, kinds)
+        v = shared.value
+        return Model(v["words"], two.value, read_norm, v["top"], v["sums"])
 
     def fit(two):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +440,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
             sums = np.zeros((LEVELS + 1) * _BINS, np.int64)
             for b in batches:
                 for _, _, _, k, place in encoded(b.column(1).filter(_trained(b.column(0)))):
-                    own, before, pair, one = m.read(k, place, True)
+                    own, before, pair, one, _ = m.read(k, place, True)
                     x = pair[own] / one[own]
                     some = x > 0
                     bins = np.zeros(len(x), np.int64)
@@ -385,16 +454,16 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     weights = np.zeros(LEVELS + 1)
     if total:
         n = np.zeros((LEVELS + 1) * _BINS)
-        for g in groups:
+        for g in starts:
             with small_batches(spark):
-                binned = fit(g).collect()  # at most LEVELS * _BINS rows
+                binned = fit(pairs_of(g)).collect()  # at most LEVELS * _BINS rows
             for r in binned:
                 n[r.bin] += r.n
         x = np.concatenate([[0.0], 2.0 ** ((np.arange(1, _BINS) - 0.5) / _FINE + _LOWEST)])
         gain = np.log(1 - GRID + np.outer(x, GRID))  # of each bin and weight, over the word alone
         weights = GRID[(n.reshape(LEVELS + 1, _BINS) @ gain).argmax(axis=1)]
 
-    kind = docs.schema[key]
+    kind = docs.schema["key"]
     first_schema = T.StructType([kind]).add("rid", "long").add("held_out", "boolean").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", T.ArrayType(T.LongType())).add("score", "double")
     other_schema = T.StructType().add("rid", "long").add("score", "double")
 
@@ -406,7 +475,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
                 ids = b.column(0).to_pylist()
                 for start, end, n, kinds_, where in encoded(b.column(1)):
                     first_of = np.cumsum(n) - n
-                    own, before, pair, one = m.read(kinds_, where, False)
+                    own, before, pair, one, level = m.read(kinds_, where, False)
                     w = weights[before]
                     scores = np.add.reduceat(np.where(own, np.log10(w * pair + (1 - w) * one), 0), first_of)
                     rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
@@ -419,29 +488,31 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
                     there = known_kind[where]
                     base = np.add.reduceat(np.where(known_kind, logs[place] if len(top) else 0, 0)[where], first_of)
                     known = np.add.reduceat(there.astype(np.int64), first_of)
-                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n - known)]), pa.int32()), pa.array(kinds_[where[~there]].view(np.int64), pa.int64()))
+                    asked = ~there & (level > 0)  # what the filter lacks was never counted
+                    n_rare = np.add.reduceat(asked.astype(np.int64), first_of)
+                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(kinds_[where[asked]].view(np.int64), pa.int64()))
                     yield pa.RecordBatch.from_arrays([b.column(0)[start:end], rid, pa.array([held_out(d) for d in ids[start:end]], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=first_schema.names)
 
         return docs.mapInArrow(run, first_schema if first else other_schema)
 
-    rows = written(score(groups[0], True), "lm-scores")
+    rows = written(score(pairs_of(0), True), "lm-scores")
     rare = rows.select("rid", F.explode("rare").alias("hash"))
     counts = counted.filter("kind = 0").select(F.inline(F.arrays_zip("hashes", "counts"))).filter(F.col("counts") < least)
     norm = total + 0.5 * (kinds + 1)
     parts = rare.join(counts, rare.hash == counts.hashes).groupBy("rid").agg(F.count("*").alias("seen"), F.sum(F.log10((F.col("counts") + 0.5) / norm)).alias("more"))
-    out = rows.select(key, "rid", "held_out", "n_tokens", "known", "base", "score", F.size("rare").alias("n_rare"))
-    if len(groups) > 1:
-        rest = [written(score(g, False), "lm-scores") for g in groups[1:]]  # alone, as a union would number the partitions anew
+    out = rows.drop("rare")
+    if len(starts) > 1:
+        rest = [written(score(pairs_of(g), False), "lm-scores") for g in starts[1:]]  # alone, as a union would number the partitions anew
         every = rest[0]
         for r in rest[1:]:
             every = every.unionAll(r)
         out = out.join(every.groupBy("rid").agg(F.sum("score").alias("rest")), "rid").withColumn("score", F.col("score") + F.col("rest"))
-    for b in (shared, *groups):  # all that needs them is written
-        b.unpersist()
+    for b in (shared, *held.values()):  # all that needs them is written
+        b.destroy()
     seen = F.coalesce("seen", F.lit(0))
     return out.join(parts, "rid", "left").select(
-        key, "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_rare") - seen) * F.lit(float(np.log10(0.5 / norm)))).alias("base_score"), "score",
+        F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("known") - seen) * F.lit(float(np.log10(0.5 / norm)))).alias("base_score"), "score",
     )
 
 
