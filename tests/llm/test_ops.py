@@ -1,9 +1,11 @@
 """Each operator on odd rows, and against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -80,25 +82,59 @@ def test_stage_functions_keep_columns(odd, empty):
     assert masked[7].text == "mail [EMAIL] or [PHONE] and [IP] or [CARD]" and masked[7].n_chars == len(masked[7].text) and masked[0].text is None
 
 
+def brute_licenses(text):
+    """The verdict on a text in plain Python: (n_licenses, n_unconfirmed, families, probability)."""
+    m, known, yes, every, best = license_scan.fitted(), set(license_scan.fitted()["vocabulary"]), set(), set(), 0.0
+    for pos, p in enumerate(re.split(license_scan.BLANK, text or "")):
+        words = license_scan.words_of(p)
+        runs = []
+        for i in (i for i, w in enumerate(words) if w in known):
+            if runs and i - runs[-1][1] <= license_scan.GAP:
+                runs[-1][1] = i
+            else:
+                runs.append([i, i])
+        for a, b in runs:
+            a, b = max(0, a - license_scan.AROUND), min(len(words), b + license_scan.AROUND + 1)
+            for q in range(a, max(a, b - license_scan.STEP - 1) + 1, license_scan.STEP):
+                piece = words[q : min(q + license_scan.PIECE, b)]
+                pairs = {" ".join(x) for x in zip(piece, piece[1:])}
+                for f, family in enumerate(license_scan.FAMILIES):
+                    z = m["bias"][f] + sum(m["weights"][g][f] for g in {*piece, *pairs} if g in m["weights"])
+                    prob = 1 / (1 + math.exp(-z / m["temperature"]))
+                    if prob >= m["threshold"]:
+                        every.add((pos, family))
+                        if any(len({*zip(t.split(), t.split()[1:])} & {tuple(x.split()) for x in pairs}) >= license_scan.CONTAINED * len({*zip(t.split(), t.split()[1:])}) for t in license_scan.TEMPLATES[family]):
+                            yes.add((pos, family))
+                            best = max(best, prob)
+    return len(yes), len(every - yes), ",".join(sorted({f for _, f in yes})), round(best, 6)
+
+
 def test_license_scan(spark, docs, texts):
     said = {"mit": "Released under the MIT License", "apache-2.0": "Apache License, Version 2.0", "gpl": "GNU General Public License", "cc-by-nc": "CC BY-NC 4.0", "reserved": "All rights reserved"}
     for i, r in by_id(license_scan.license_scan(docs)).items():
         assert r.families == ",".join(sorted(k for k, s in said.items() if s in texts[i]))
+        assert tuple(r)[1:4] == brute_licenses(texts[i])[:3] and r.probability == pytest.approx(brute_licenses(texts[i])[3], abs=2e-6)
     m = license_scan.fitted()
     assert m["held_out"][0] > 0.97
-    rows = [(0, "see the license agreement"), (1, LONG + " Released under the MIT License. " + LONG), (2, "a driver license is required")]
-    got = by_id(license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")))
-    assert [got[i].families for i in range(3)] == ["", "mit", ""]
+    assert max(len(t.split()) for ts in license_scan.TEMPLATES.values() for t in ts) <= license_scan.PIECE - license_scan.STEP
 
 
-def test_license_scores_are_the_models(spark):
-    m = license_scan.fitted()
-    words = "this work is licensed under the gnu general public license version 3".split()
-    grams = {*words, *map(" ".join, zip(words, words[1:]))}
-    z = np.array(m["bias"]) + sum(np.array(m["weights"].get(g, [0] * len(m["bias"]))) for g in sorted(grams))
-    e = np.exp((z - z.max()) / m["temperature"])
-    got = license_scan.license_scan(spark.createDataFrame([(0, " ".join(words))], "doc_id long, text string")).first()
-    assert got.families == "gpl" and got.probability == pytest.approx(float(e.max() / e.sum()), abs=1e-5)
+def test_licenses_in_one_line(spark):
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    want = {"MIT license or Apache License 2.0": "apache-2.0,mit", "licensed under the mit license, or the gnu general public license version 2": "gpl,mit", "SPDX-License-Identifier: MIT": "mit", "GPL-2.0-only": "gpl", "BSD-2-Clause": "bsd", "GNU Affero General Public License": "agpl", "ISC License": "isc", "Boost Software License": "boost", "Eclipse Public License - v 2.0": "epl", "see the license agreement": "", "a driver license is required": "", "students at MIT": "", "the license of the bar": "", "Released\nunder the MIT\nLicense": "mit", LONG + " Released under the MIT License. " + LONG: "mit"}
+    want |= {"software a b c d e f " * n + notice: "mit" for n in (1, 56, *range(60, 66), 400)}
+    want |= {"software license x y z " * n + notice + " license copy" * 500: "mit" for n in (31, 32, 33)}
+    got = by_id(license_scan.license_scan(spark.createDataFrame(list(enumerate(want)), "doc_id long, text string")))
+    for i, (t, families) in enumerate(want.items()):
+        assert got[i].families == families, t[-200:]
+        assert tuple(got[i])[1:4] == brute_licenses(t)[:3]
+
+
+def test_license_scan_is_linear(spark):
+    began = time.time()
+    line = "software license x y z a b c d e f g h i j k l " * 20_000
+    r = license_scan.license_scan(spark.createDataFrame([(0, line), (1, line.replace(" ", "  ") + "\n" * 100_000)], "doc_id long, text string")).collect()
+    assert len(r) == 2 and time.time() - began < 60
 
 
 def test_chat_round_trip(spark):
@@ -106,6 +142,7 @@ def test_chat_round_trip(spark):
     bits = ["\\", "<|", "|>", "<|end|>", "<|turn|>", "a", "\n", "<", "\\<|text|>", "é", "𝄞", "$1", ""]
     rows = [(c, t, r.choice(["user", "assistant", "assistant", "sys<|"]), "".join(r.choice(bits) for _ in range(r.randint(0, 6))) or None) for c in range(40) for t in range(r.randint(1, 8))]
     rows += [(None, None, None, None), (50, 1, "user", "x"), (50, 1, "user", "x")]
+    rows += [(60, t, "user" if t % 7 == 3 else "assistant", f"t{t}") for t in range(2000)]
     d = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("c", F.lit(1)).withColumn("i", F.lit(2)).repartition(4))
     got = {x.conv_id: x for x in d.select("*", chat_format.read_turns(F.col("formatted")).alias("turns"), chat_format.read_loss(F.col("formatted"), F.col("loss")).alias("lost")).collect()}
     want = defaultdict(list)
@@ -134,12 +171,28 @@ def test_decontamination_small(spark):
     assert [(got[i].n_words, got[i].n_hit, got[i].n_items, got[i].contaminated) for i in range(1, 6)] == [(20, 14, 1, True), (4, 2, 1, True), (12, 0, 0, False), (0, 0, 0, False), (1, 0, 0, False)]
     assert got[2].items_sha256 == hashlib.sha256(b"2").hexdigest() and got[4].items_sha256 == hashlib.sha256(b"").hexdigest()
     assert decontaminate.hits(d, b.filter("false")).filter("n_hit > 0").count() == 0
-    old = decontaminate.MOST_WORDS
-    decontaminate.MOST_WORDS = 0  # the way for tables too large to broadcast
-    try:
-        assert sorted(decontaminate.hits(d, b).collect()) == sorted(got.values())
-    finally:
-        decontaminate.MOST_WORDS = old
+    assert sorted(decontaminate.hits(d, b, most=5).collect()) == sorted(got.values())  # the way for tables too large to broadcast at once
+
+
+def test_decontamination_is_linear(spark):
+    item = " ".join(f"Q{i}" for i in range(13))
+    d = spark.createDataFrame([(1, "x " * 200_000 + item + " y" * 200_000)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, item), (2, "q1 q2")], "item_id long, text string")
+    began = time.time()
+    r = decontaminate.hits(d, b, most=5).first()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (400_013, 13, 2, False) and time.time() - began < 60
+
+
+def test_keys_with_the_operators_names(spark):
+    b = spark.createDataFrame([(1, "short item")], "item_id long, text string")
+    for key in ("mark", "score", "k"):
+        d = spark.createDataFrame([(1, "a short item", 0), (2, "b " * 60, 0)], f"{key} long, text string, more long")
+        assert [r[key] for r in decontaminate.without_contaminated(d, b, key=key).collect()] == [2]
+        assert {r[key] for r in decontaminate.hits(d, b, key=key).collect()} == {1, 2}
+        assert sorted(r[key] for r in near_dedup.one_of_each(d, key=key).collect()) == [1, 2]
+        assert {r[key] for r in near_dedup.near_duplicates(d, key=key).collect()} == {1, 2}
+        assert {r[0] for r in lm_scoring.lm_scores(d, key=key).collect()} == {1, 2}
+        assert {r[0] for r in license_scan.license_scan(d, key=key).collect()} == {1, 2}
 
 
 def test_native_plans(spark, docs):
@@ -163,7 +216,7 @@ def test_lm_scores(spark, docs, texts):
     toks = {i: [*x.encode().lower().split(), None] for i, x in texts.items()}
     c = Counter(w for i, x in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
     n, v = sum(c.values()), len(c)
-    runs = [by_id(lm_scoring.lm_scores(docs, **k)) for k in ({}, {"most_mb": 0.02, "frequent": 50})]
+    runs = [by_id(lm_scoring.lm_scores(docs, **k)) for k in ({}, {"most_mb": 0.02}, {"frequent": 50})]
     for i, x in toks.items():
         want = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
         for got in runs:
@@ -175,6 +228,79 @@ def test_lm_scores(spark, docs, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+@pytest.mark.parametrize("frequent", [1_000_000, 0])
+def test_probabilities_sum_to_one(spark, frequent, monkeypatch):
+    """Over all words and an unknown one, for each history; with rare histories' shares below 1."""
+    monkeypatch.setattr(lm_scoring, "BITS", 400)  # so that nothing is there by chance
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(12)]
+    train = [" ".join(r.choices(vocabulary, [2.0**-i for i in range(12)], k=r.randint(1, 40))) for _ in range(60)]
+    train[0] += " " + " ".join(vocabulary)
+    ids = iter(i for i in range(10_000) if not lm_scoring.held_out(i))
+    held = iter(i for i in range(10_000) if lm_scoring.held_out(i))
+    rows = [(next(ids), x) for x in train]
+    asked = {}
+    for h in vocabulary:
+        for w in [*vocabulary, "never", None]:
+            i = next(held)
+            asked[i] = (h, w)
+            rows.append((i, h if w is None else f"{h} {w}"))
+    got = {r.doc_id: r.score for r in lm_scoring.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), frequent=frequent).collect()}
+    m = brute_model([x.split() for x in train])
+    weights = m["weights"](frequent)
+    for i, (h, w) in asked.items():
+        assert got[i] == pytest.approx(m["score"]([h, w] if w else [h], weights, frequent), abs=1e-9)
+    for h in vocabulary:
+        mass = sum(m["p"](h, w, weights, frequent) for w in [*vocabulary, None, "never"])
+        assert mass == pytest.approx(1) if frequent else mass <= 1 + 1e-9
+
+
+def brute_model(texts):
+    """The model as its docstring says, from exact counts in plain Python."""
+    one, two = Counter(), Counter()
+    for x in texts:
+        x = [*x, None]
+        one.update(x)
+        two.update(zip([None, *x], x))
+    level = lambda c: c.bit_length()
+    mid = lambda c: 1.5 * 2 ** (level(c) - 1) - 0.5 if c else 0.0
+    norm = sum(map(mid, one.values())) + 0.5 * (len(one) + 1)
+    sums = Counter()
+    for (h, _), c in two.items():
+        sums[h] += mid(c)
+
+    def parts(h, w, frequent, less=0):
+        c = two[h, w]
+        if frequent:
+            share = max(mid(c) - less, 0) / max(sums[h] - less, 1)
+        else:
+            share = max((2 ** (level(c) - 1) if c else 0) - less, 0) / max((2 ** level(one[h]) - 1 if one[h] else 0) - less, 1)
+        return min(1, share), (max(mid(one[w]) - less, 0) + 0.5) / norm
+
+    def weights(frequent):
+        """By the history's level, the grid's weight that fits best; ratios are binned as the operator does."""
+        n = np.zeros((lm_scoring.LEVELS + 1, lm_scoring._BINS))
+        for x in texts:
+            x = [*x, None]
+            for h, w in zip([None, *x], x):
+                a, b = parts(h, w, frequent, 1)
+                k = int(np.clip((math.log2(a / b) - lm_scoring._LOWEST) * lm_scoring._FINE + 1, 1, lm_scoring._BINS - 1)) if a > 0 else 0
+                n[level(one[h]), k] += 1
+        ratio = np.concatenate([[0.0], 2.0 ** ((np.arange(1, lm_scoring._BINS) - 0.5) / lm_scoring._FINE + lm_scoring._LOWEST)])
+        return lm_scoring.GRID[(n @ np.log(1 - lm_scoring.GRID + np.outer(ratio, lm_scoring.GRID))).argmax(axis=1)]
+
+    def p(h, w, weights, frequent):
+        a, b = parts(h, w, frequent)
+        k = weights[level(one[h])]
+        return k * a + (1 - k) * b
+
+    def score(x, weights, frequent):
+        x = [*x, None]
+        return sum(math.log10(p(h, w, weights, frequent)) for h, w in zip([None, *x], x))
+
+    return {"p": p, "score": score, "weights": weights}
+
+
 def test_log_frequency_filter():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 64, 5000, np.uint64))
@@ -229,6 +355,32 @@ def test_private_data_is_linear():
         private_data.base_spans(t)
 
 
+def test_field_is_linear():
+    began = time.time()
+    for t in ("a" * 1_000_000 + "1", "中" * 1_000_000 + "@b", "a1@" * 300_000, "x" * 500_000 + " 1 " + "y" * 500_000):
+        private_data.find([t], private_data.fitted())
+    assert time.time() - began < 10
+    for t in ("".join(random.Random(i).choice("ab1@ \n.é") for _ in range(30)) for i in range(2000)):
+        assert [m.span() for m in private_data._TOKEN.finditer(t)] == [m.span() for m in re.finditer(r"\S*[0-9@]\S*", t)]
+
+
+def test_marginals_against_all_labellings():
+    """Exact where the edges form a tree; close to it where they form a loop."""
+    w = private_data.fitted()
+    r = np.random.default_rng(3)
+    n = private_data.NONE + 1
+    for chain, skip, within in (([(0, 1), (1, 2), (2, 3)], [], 1e-3), ([(0, 1)], [(1, 2), (1, 3)], 1e-3), ([(0, 1), (1, 2), (2, 3)], [(0, 2)], 0.1)):
+        for observed in ([-1] * 4, [3, -1, -1, -1]):
+            x = (r.random((4, len(private_data.FEATURES))) < 0.15).astype(float)
+            g = {"x": x, "observed": np.array(observed), "chain": np.array(chain, int).reshape(-1, 2), "skip": np.array(skip, int).reshape(-1, 2)}
+            unary, total = x @ w["unary"], np.zeros((4, n))
+            for labels in itertools.product(range(n), repeat=4):
+                if all(o in (-1, k) for o, k in zip(observed, labels)):
+                    e = sum(unary[i, k] for i, k in enumerate(labels)) + sum(w["chain"][labels[a], labels[b]] for a, b in chain) + sum(w["skip"][labels[a], labels[b]] for a, b in skip)
+                    total[range(4), labels] += math.exp(e)
+            assert np.abs(private_data.marginals(g, w) - total / total.sum(axis=1, keepdims=True)).max() < within
+
+
 def check_pieces(rows, ids):
     by = defaultdict(list)
     seq = defaultdict(list)
@@ -263,7 +415,7 @@ def test_packing(spark, docs, texts, odd, empty):
         assert e(s) == e.whole(s), repr(s)
 
 
-def brute_components(texts):
+def brute_components(texts, threshold=85):
     sets = {}
     for i, t in texts.items():
         w = (t or "").encode().lower().split()
@@ -278,7 +430,7 @@ def brute_components(texts):
     for i, s in sets.items():
         n = Counter(j for x in s for j in holders[x])
         for j, k in n.items():
-            if 100 * k >= 85 * (len(s) + len(sets[j]) - k) and root(i) != root(j):
+            if 100 * k >= threshold * (len(s) + len(sets[j]) - k) and root(i) != root(j):
                 up[max(root(i), root(j))] = min(root(i), root(j))
         for x in s:
             holders[x].append(i)
@@ -302,6 +454,8 @@ def test_near_duplicates(spark, small, monkeypatch):
     if small:  # the ways for buckets and components that are large
         monkeypatch.setattr(near_dedup, "BUCKET", 5)
         monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 20)
+        monkeypatch.setattr(near_dedup, "LEADERS", 2)
+        monkeypatch.setattr(near_dedup, "MOST_BROADCAST", 0)
     t = near_texts()
     got = by_id(near_dedup.near_duplicates(spark.createDataFrame(list(t.items()), "doc_id long, text string").repartition(4)))
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == brute_components(t)
@@ -316,7 +470,7 @@ def test_threshold_is_a_parameter(spark):
     s = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (t.split() for _, t in rows)]
     j = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
     assert 0.8 <= j(0, 1) < 0.85 and j(0, 2) < 0.8 and j(1, 2) < 0.8
-    assert {r.doc_id for r in near_dedup.one_of_each(docs).collect()} == {0, 1, 2}
+    assert {r.doc_id for r in near_dedup.one_of_each(docs, threshold=85).collect()} == {0, 1, 2}
     assert {r.doc_id for r in near_dedup.one_of_each(docs, threshold=80).collect()} == {0, 2}
     with pytest.raises(ValueError):
         near_dedup.near_duplicates(docs, threshold=79)

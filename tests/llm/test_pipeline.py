@@ -25,7 +25,7 @@ def test_stages(spark):
     judged = {r.doc_id: r.kept for r in quality_rules.quality_rules(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
     a, b, c, d = ({r.doc_id: r for r in rows} for rows in out[:4])
     assert set(a) == {i for i, k in judged.items() if k} and all(a[i] == start[i] for i in a)
-    want = brute_components({i: r.text for i, r in a.items()})
+    want = brute_components({i: r.text for i, r in a.items()}, 80)
     assert set(b) == {i for i, x in want.items() if x[2]} and all(b[i] == a[i] for i in b)
     words = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) if w]
     grams = {tuple(w[i : i + 13]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect() for w in [words(r.text)] if w for i in range(max(1, len(w) - 12))}
