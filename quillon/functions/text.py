@@ -18,6 +18,56 @@ HINT_STOPWORDS = ["the", "of", "and", "act", "code", "india", "indian", "from",
 HINTS = {"BNS": ["nyaya"], "BNSS": ["nagarik", "suraksha"], "BSA": ["sakshya"], "POCSO": ["children", "sexual", "offences"], "ICA": ["contract"], "SRA": ["specific", "relief"], "IBC": ["insolvency", "bankruptcy"], "COI": ["constitution"]}
 PUNISHMENT = [r"shall be punished with [^.]+", r"punishable with [^.]+", r"shall be liable to [^.]+"]
 
+HEADING_TERMS = [
+    (r"\bpunishment\b", "दंड"), (r"\bpenalty\b", "दंड"), (r"\bfor\b", "के लिए"), (r"\bof\b", "का"), (r"\band\b", "और"), (r"\bwith\b", "सहित"), (r"\bwithout\b", "बिना"),
+    (r"\bto\b", "को"), (r"\bin\b", "में"), (r"\bon\b", "पर"), (r"\bby\b", "द्वारा"), (r"\bfrom\b", "से"), (r"\bunder\b", "के तहत"), (r"\bagainst\b", "के विरुद्ध"),
+    (r"\bdefinition\b", "परिभाषा"), (r"\binterpretation\b", "व्याख्या"), (r"\bgeneral explanation\b", "सामान्य स्पष्टीकरण"), (r"\belectronic\b", "इलेक्ट्रॉनिक"),
+    (r"\bproperty\b", "संपत्ति"), (r"\bperson\b", "व्यक्ति"), (r"\bwoman\b", "महिला"), (r"\bchild\b", "बालक"), (r"\bdeath\b", "मृत्यु"),
+    (r"\bdishonestly\b", "बेईमानी से"), (r"\bfraudulently\b", "कपटपूर्वक"), (r"\bdelivery\b", "सुपुर्दगी"), (r"\binducing\b", "प्रेरित करना"), (r"\bintent\b", "आशय"),
+    (r"\bintention\b", "आशय"), (r"\bcriminal\b", "आपराधिक"), (r"\boffence\b", "अपराध"), (r"\boffences\b", "अपराध"), (r"\bact\b", "अधिनियम"), (r"\bsection\b", "धारा"),
+    (r"\bmurder\b", "हत्या"), (r"\bculpable homicide\b", "गैर इरादतन हत्या"), (r"\btheft\b", "चोरी"), (r"\brobbery\b", "लूट"), (r"\bdacoity\b", "डकैती"),
+    (r"\bcheating\b", "धोखाधड़ी"), (r"\bcriminal breach of trust\b", "आपराधिक न्यासभंग"), (r"\bforgery\b", "जालसाजी"), (r"\bextortion\b", "उगाही"),
+    (r"\bkidnapping\b", "अपहरण"), (r"\babduction\b", "अपहरण"), (r"\brape\b", "बलात्कार"), (r"\bsexual harassment\b", "यौन उत्पीड़न"), (r"\bassault\b", "आक्रमण"),
+    (r"\bhurt\b", "चोट"), (r"\bgrievous hurt\b", "गंभीर चोट"), (r"\bwrongful restraint\b", "अवैध निरोध"), (r"\bwrongful confinement\b", "अवैध निरुद्धि"),
+    (r"\bdefamation\b", "मानहानि"), (r"\bsedition\b", "देशद्रोह"), (r"\badultery\b", "व्यभिचार"), (r"\bdowry death\b", "दहेज मृत्यु"), (r"\bdowry\b", "दहेज"),
+    (r"\bpublic servant\b", "लोक सेवक"), (r"\babetment\b", "उकसावा"), (r"\battempt\b", "प्रयास"), (r"\bconspiracy\b", "षड्यंत्र"), (r"\bcommon intention\b", "समान आशय"),
+    (r"\bcommon object\b", "सामान्य उद्देश्य"), (r"\bevidence\b", "साक्ष्य"), (r"\belectronic evidence\b", "इलेक्ट्रॉनिक साक्ष्य"), (r"\bconfession\b", "स्वीकारोक्ति"),
+    (r"\bstatement\b", "बयान"), (r"\bbail\b", "जमानत"), (r"\banticipatory bail\b", "अग्रिम जमानत"), (r"\barrest\b", "गिरफ्तारी"), (r"\binvestigation\b", "जांच"),
+    (r"\btrial\b", "विचारण"), (r"\bprocedure\b", "प्रक्रिया"), (r"\bcognizable\b", "संज्ञेय"), (r"\bnon-cognizable\b", "असंज्ञेय"), (r"\bcompoundable\b", "समझौतायोग्य"),
+    (r"\bnon-compoundable\b", "असमझौतायोग्य"), (r"\bcontract\b", "अनुबंध"), (r"\bagreement\b", "समझौता"), (r"\bconsideration\b", "प्रतिफल"), (r"\bvoid\b", "शून्य"),
+    (r"\bspecific relief\b", "विशिष्ट अनुतोष"), (r"\barbitration\b", "मध्यस्थता"), (r"\bconciliation\b", "सुलह"), (r"\bcompany\b", "कंपनी"), (r"\bdirector\b", "निदेशक"),
+    (r"\binsolvency\b", "दिवालियापन"), (r"\bbankruptcy\b", "दिवालियापन"), (r"\bconsumer\b", "उपभोक्ता"), (r"\bmarriage\b", "विवाह"),
+    (r"\bdomestic violence\b", "घरेलू हिंसा"), (r"\bchild\b", "बालक"), (r"\bchildren\b", "बालक"),
+]
+QUERY_WORDS = {"Indian Penal Code": "भारतीय दंड संहिता", "Code of Criminal Procedure": "दंड प्रक्रिया संहिता", "Negotiable Instruments Act": "परक्राम्य लिखत अधिनियम", "What does ": ""}
+QUERY_TEMPLATES = [
+    (r"^What does (Section .+?) say\?$", r"\1 में क्या कहा गया है?"), (r"^Explain (Section .+?)$", r"\1 की व्याख्या करें।"), (r"^What is (Section .+?)\?$", r"\1 क्या है?"), (r"^Show me (Section .+?)$", r"मुझे \1 दिखाइए।"),
+    (r"^What does (Section .+?) cover\?$", r"\1 में क्या प्रावधान है?"), (r"^What is the punishment for (.+)\?$", r"\1 के लिए सजा क्या है?"), (r"^What is the sentence for (.+)\?$", r"\1 के लिए दंड क्या है?"),
+    (r"^How many years imprisonment for (.+)\?$", r"\1 के लिए कितने वर्ष की सजा है?"), (r"^How long can you be jailed for (.+)\?$", r"\1 के लिए कितनी अवधि की जेल हो सकती है?"), (r"^Has (.+) been overruled\?$", r"क्या \1 को निरस्त किया जा चुका है?"),
+    (r"^What happened to (.+)\?$", r"\1 के साथ क्या हुआ?"), (r"^What changed in (.+)\?$", r"\1 में क्या बदलाव हुआ है?"), (r"^Are there new provisions for (.+)\?$", r"क्या \1 के लिए नए प्रावधान हैं?"),
+    (r"^What are the legal requirements for (.+)\?$", r"\1 के लिए कानूनी आवश्यकताएँ क्या हैं?"), (r"^What are the ingredients of (.+)\?$", r"\1 के आवश्यक तत्व क्या हैं?"),
+]
+QUERY_SUFFIX = " के बारे में कानूनी स्थिति क्या है?"
+
+
+def heading_alias(c: Column) -> Column:
+    """A heading with its known terms in Hindi, one term after the other; empty if nothing changed."""
+    low = F.lower(F.trim(c))
+    out = reduce(lambda h, t: F.regexp_replace(h, "(?i)" + t[0], t[1]), HEADING_TERMS, low)
+    out = F.trim(F.regexp_replace(out, r"\s+", " "), F.lit(" .;-:"))
+    for pattern, once in ((r"के लिए\s+के लिए", "के लिए"), (r"का\s+का( |$)", "का$1"), (r"और\s+और", "और")):
+        out = F.regexp_replace(out, pattern, once)
+    return F.when(F.lower(out) == low, "").otherwise(out)
+
+
+def hindi_query(c: Column) -> Column:
+    """A query with its acts' names replaced, in the first template that it matches, else with the suffix."""
+    q = reduce(lambda h, t: F.replace(h, F.lit(t[0]), F.lit(t[1])), QUERY_WORDS.items(), F.trim(c))
+    made = F.concat(F.regexp_replace(q, r"\?$", ""), F.lit(QUERY_SUFFIX))
+    for pattern, to in reversed(QUERY_TEMPLATES):
+        made = F.when(q.rlike(pattern), F.regexp_replace(q, pattern, to.replace("\\1", "$1"))).otherwise(made)
+    return made
+
 
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))

@@ -14,8 +14,31 @@ from pyspark.sql import functions as F
 from quillon.functions import text as x
 
 # Act names, their variants and word lists, in their order.
-ACT_NAMES = {"IPC": "Indian Penal Code 1860", "INDIAN PENAL CODE": "Indian Penal Code 1860", "BNS": "Bharatiya Nyaya Sanhita 2023", "BHARATIYA NYAYA SANHITA": "Bharatiya Nyaya Sanhita 2023", "CRPC": "Code of Criminal Procedure 1973", "CODE OF CRIMINAL PROCEDURE": "Code of Criminal Procedure 1973", "BNSS": "Bharatiya Nagarik Suraksha Sanhita 2023", "NI ACT": "Negotiable Instruments Act 1881", "NEGOTIABLE INSTRUMENTS ACT": "Negotiable Instruments Act 1881", "EVIDENCE ACT": "Indian Evidence Act 1872", "COMPANIES ACT": "Companies Act 2013", "CPC": "Code of Civil Procedure 1908", "CODE OF CIVIL PROCEDURE": "Code of Civil Procedure 1908", "LIMITATION ACT": "Limitation Act 1963", "LA": "Limitation Act 1963"}
-ACT_VARIANTS = {"IPC": ["IPC", "INDIAN PENAL CODE", "PENAL CODE"], "BNS": ["BNS", "BHARATIYA NYAYA SANHITA", "NYAYA SANHITA"], "CRPC": ["CRPC", "CR.P.C", "CODE OF CRIMINAL PROCEDURE", "CRIMINAL PROCEDURE CODE"], "BNSS": ["BNSS", "BHARATIYA NAGARIK SURAKSHA SANHITA"], "NI ACT": ["NI ACT", "NEGOTIABLE INSTRUMENTS ACT", "N.I. ACT"], "COMPANIES ACT": ["COMPANIES ACT"], "CPC": ["CPC", "CODE OF CIVIL PROCEDURE"]}
+ACT_NAMES = {
+    "IPC": "Indian Penal Code 1860", "INDIAN PENAL CODE": "Indian Penal Code 1860", "INDIAN PENAL CODE 1860": "Indian Penal Code 1860",
+    "BNS": "Bharatiya Nyaya Sanhita 2023", "BHARATIYA NYAYA SANHITA": "Bharatiya Nyaya Sanhita 2023", "BHARATIYA NYAYA SANHITA 2023": "Bharatiya Nyaya Sanhita 2023",
+    "CRPC": "Code of Criminal Procedure 1973", "CR.P.C": "Code of Criminal Procedure 1973", "CODE OF CRIMINAL PROCEDURE": "Code of Criminal Procedure 1973", "CODE OF CRIMINAL PROCEDURE 1973": "Code of Criminal Procedure 1973",
+    "BNSS": "Bharatiya Nagarik Suraksha Sanhita 2023", "BHARATIYA NAGARIK SURAKSHA SANHITA": "Bharatiya Nagarik Suraksha Sanhita 2023", "BHARATIYA NAGARIK SURAKSHA SANHITA 2023": "Bharatiya Nagarik Suraksha Sanhita 2023",
+    "NI ACT": "Negotiable Instruments Act 1881", "NEGOTIABLE INSTRUMENTS ACT": "Negotiable Instruments Act 1881", "NEGOTIABLE INSTRUMENTS ACT 1881": "Negotiable Instruments Act 1881",
+    "IEA": "Indian Evidence Act 1872", "INDIAN EVIDENCE ACT": "Indian Evidence Act 1872", "INDIAN EVIDENCE ACT 1872": "Indian Evidence Act 1872", "EVIDENCE ACT": "Indian Evidence Act 1872",
+    "BSA": "Bharatiya Sakshya Adhiniyam 2023", "BHARATIYA SAKSHYA ADHINIYAM": "Bharatiya Sakshya Adhiniyam 2023", "BHARATIYA SAKSHYA ADHINIYAM 2023": "Bharatiya Sakshya Adhiniyam 2023",
+    "CPC": "Code of Civil Procedure 1908", "CODE OF CIVIL PROCEDURE": "Code of Civil Procedure 1908", "CODE OF CIVIL PROCEDURE 1908": "Code of Civil Procedure 1908",
+    "COMPANIES ACT": "Companies Act 2013", "COMPANIES ACT 2013": "Companies Act 2013", "CONSUMER PROTECTION ACT": "Consumer Protection Act 2019", "CONSUMER PROTECTION ACT 2019": "Consumer Protection Act 2019",
+    "HINDU MARRIAGE ACT": "Hindu Marriage Act 1955", "HINDU MARRIAGE ACT 1955": "Hindu Marriage Act 1955", "HMA": "Hindu Marriage Act 1955",
+    "ARBITRATION AND CONCILIATION ACT": "Arbitration and Conciliation Act 1996", "ARBITRATION AND CONCILIATION ACT 1996": "Arbitration and Conciliation Act 1996", "ACA": "Arbitration and Conciliation Act 1996",
+    "TRANSFER OF PROPERTY ACT": "Transfer of Property Act 1882", "TRANSFER OF PROPERTY ACT 1882": "Transfer of Property Act 1882", "TPA": "Transfer of Property Act 1882",
+    "LIMITATION ACT": "Limitation Act 1963", "LIMITATION ACT 1963": "Limitation Act 1963", "LA": "Limitation Act 1963",
+    "PWDVA": "Protection of Women from Domestic Violence Act 2005", "PROTECTION OF WOMEN FROM DOMESTIC VIOLENCE ACT": "Protection of Women from Domestic Violence Act 2005", "PROTECTION OF WOMEN FROM DOMESTIC VIOLENCE ACT 2005": "Protection of Women from Domestic Violence Act 2005",
+    "POCSO": "Protection of Children from Sexual Offences Act 2012", "PROTECTION OF CHILDREN FROM SEXUAL OFFENCES ACT": "Protection of Children from Sexual Offences Act 2012", "PROTECTION OF CHILDREN FROM SEXUAL OFFENCES ACT 2012": "Protection of Children from Sexual Offences Act 2012",
+    "SRA": "Specific Relief Act 1963", "SPECIFIC RELIEF ACT": "Specific Relief Act 1963", "SPECIFIC RELIEF ACT 1963": "Specific Relief Act 1963",
+}
+ACT_VARIANTS = {
+    "IPC": ["IPC", "INDIAN PENAL CODE", "PENAL CODE"], "BNS": ["BNS", "BHARATIYA NYAYA SANHITA", "NYAYA SANHITA"], "CRPC": ["CRPC", "CR.P.C", "CODE OF CRIMINAL PROCEDURE", "CRIMINAL PROCEDURE CODE"],
+    "BNSS": ["BNSS", "BHARATIYA NAGARIK SURAKSHA SANHITA"], "NI ACT": ["NI ACT", "NEGOTIABLE INSTRUMENTS ACT", "N.I. ACT"], "NIA": ["NIA", "NI ACT", "NEGOTIABLE INSTRUMENTS ACT", "N.I. ACT"],
+    "COMPANIES ACT": ["COMPANIES ACT"], "EVIDENCE ACT": ["EVIDENCE ACT", "INDIAN EVIDENCE ACT"], "HMA": ["HMA", "HINDU MARRIAGE ACT"], "POCSO": ["POCSO", "PROTECTION OF CHILDREN FROM SEXUAL OFFENCES"],
+    "PWDVA": ["PWDVA", "DOMESTIC VIOLENCE ACT", "PROTECTION OF WOMEN FROM DOMESTIC VIOLENCE"], "SRA": ["SRA", "SPECIFIC RELIEF ACT"], "TPA": ["TPA", "TRANSFER OF PROPERTY ACT"], "LA": ["LA", "LIMITATION ACT"],
+    "ACA": ["ACA", "ARBITRATION AND CONCILIATION ACT", "ARBITRATION ACT"], "CPC": ["CPC", "CODE OF CIVIL PROCEDURE"],
+}
 REPLACED = {"ipc": (r"(?i)\b(IPC|Indian Penal Code)\b", r"(?i)\b(BNS|Bharatiya Nyaya Sanhita)\b"), "crpc": (r"(?i)\b(CrPC|Code of Criminal Procedure)\b", r"(?i)\b(BNSS|Bharatiya Nagarik Suraksha Sanhita)\b"), "evidence": (r"(?i)\b(IEA|Evidence Act)\b", r"(?i)\b(BSA|Bharatiya Sakshya Adhiniyam)\b")}
 MATCH_STOPWORDS = ["SECTION", "ARTICLE", "ORDER", "RULE", "CODE", "ACT", "PROCEDURE", "CHILDREN", "FROM", "SEXUAL", "OFFENCES", "OF", "THE", "AND", "FOR", "UNDER"]
 RUBRIC_STOPWORDS = ["the", "a", "an", "is", "are", "was", "were", "in", "of", "to", "and", "or", "for", "with", "on", "at", "from", "by", "that", "this", "which", "shall", "may", "any", "such", "said", "under", "section", "act"]

@@ -14,11 +14,13 @@ HEADING = r"(?i)^(section|article)\s+\d+|^\d+(\.\d+)*\.?\s+[A-Z]|^[A-Z][A-Z ]{5,
 def lines(df: DataFrame, key: str, text: str, heading: str = HEADING) -> DataFrame:
     """Rows of (key, pos, line, part): part counts the headings up to a line; 0 stands before the first.
 
-    Parts are numbered inside the row, by a fold over the heading lines' positions, so that nothing is shuffled.
+    Parts are numbered inside the row, each repeated for its lines, so that nothing is shuffled and the time is in proportion to the lines.
     """
     split = df.select(key, F.split(text, "\n").alias("l"))
-    marks = split.select(key, "l", F.filter(F.transform("l", lambda x, i: F.when(x.rlike(heading), i)), lambda i: i.isNotNull()).alias("h"))
-    return marks.select(key, "h", F.posexplode("l").alias("pos", "line")).select(key, "pos", "line", F.size(F.filter("h", lambda i: i <= F.col("pos"))).alias("part"))
+    at = F.filter(F.transform("l", lambda x, i: F.when(x.rlike(heading), i)), lambda i: i.isNotNull())
+    marks = split.select(key, "l", F.concat(F.array(F.lit(0)), at).alias("h"))
+    parts = F.flatten(F.transform("h", lambda i, k: F.array_repeat(k, F.coalesce(F.get("h", k + 1), F.size("l")) - i)))
+    return marks.select(key, F.posexplode(F.arrays_zip("l", parts.alias("p"))).alias("pos", "z")).select(key, "pos", F.col("z.l").alias("line"), F.col("z.p").alias("part"))
 
 
 def clauses(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -31,6 +33,17 @@ def clauses(df: DataFrame, key: str, text: str) -> DataFrame:
     return full.select(key, F.inline(F.when(F.size("c") > 0, F.col("c")).otherwise(whole)))
 
 
+def act_sections(files: DataFrame, text: str) -> DataFrame:
+    """The sections of act files, one text a row: ACT_NAME and SHORT_NAME lines, then ``[SECTION n] title`` blocks; a file without names is an error."""
+    name = lambda what: F.trim(F.regexp_extract(text, rf"(?m)^{what}:[ \t]*(.+)$", 1))
+    own = files.filter(F.col(text).rlike(r"\S")).select(text, name("ACT_NAME").alias("act_name"), name("SHORT_NAME").alias("short_name"))
+    own = own.filter(F.when((F.col("act_name") != "") & (F.col("short_name") != ""), True).otherwise(F.raise_error(F.lit("ACT_NAME or SHORT_NAME is missing"))))
+    blocks = own.select("act_name", "short_name", F.explode(F.split(text, r"(?:^|\n)(?=\[SECTION\s+[0-9A-Za-z]+\])")).alias("b")).filter(F.startswith("b", F.lit("[SECTION")))
+    number, title = F.regexp_extract("b", r"^\[SECTION\s+([0-9A-Za-z]+)\]", 1), F.trim(F.regexp_extract("b", r"^\[SECTION\s+[0-9A-Za-z]+\]\s*([^\n]+)", 1))
+    lines = F.filter(F.transform(F.split(F.regexp_replace("b", r"^[^\n]*\n?", ""), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return blocks.select("act_name", "short_name", F.concat("short_name", F.lit("_"), number).alias("id"), number.alias("section_number"), title.alias("section_title"), F.trim(F.concat(F.lit("Section "), number, F.lit(" "), title, F.lit(". "), F.array_join(lines, " "))).alias("full_text"))
+
+
 def pack_sentences(c: Column, limit: int) -> Column:
     """Sentences packed greedily into pieces of fewer than ``limit`` words (a longer sentence is a piece)."""
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: s != "")

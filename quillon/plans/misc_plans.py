@@ -7,16 +7,20 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text
 from quillon.operators import parsing as p
 from quillon.operators.relational import first_of, topk, upsert
 from quillon.plans.registry import query
+from quillon.sources import seeds
 from quillon.sources.sinks import scratch
 from quillon.streaming import jobs
 
 _HEAD = p.HEADING
 _L = f"l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM clauses)), m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEAD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l)"
 query("t10_section_lines", f"WITH {_L} SELECT doc_id, CAST(pos AS INT) AS pos, line, CAST(part AS INT) AS part FROM m")(lambda t: p.lines(t.clauses, "doc_id", "text"))
-query("t08_rank_candidates", "WITH f AS (SELECT url, min(page_id) AS page_id, max(length(html)) AS score FROM pages GROUP BY 1) SELECT page_id, score FROM f ORDER BY score DESC, page_id LIMIT 8")(lambda t: t.pages.groupBy("url").agg(F.min("page_id").alias("page_id"), F.max(F.length("html")).alias("score")).orderBy(F.desc("score"), "page_id").limit(8).select("page_id", "score"))
+# candidates of an act's page: how well an address and a page's start speak for the act, then the eight best
+_T8 = "CASE WHEN contains(lower(url), 'example') THEN 40 ELSE 0 END + CASE WHEN contains(lower(url), '.org') OR contains(lower(url), '.gov') THEN 25 ELSE 0 END + CAST(least(length(html) // 200, 60) AS INT) - CASE WHEN contains(lower(html), ' vs ') THEN 50 ELSE 0 END"
+query("t08_rank_candidates", f"WITH f AS (SELECT url, min(page_id) AS page_id, max({_T8}) AS score FROM pages GROUP BY 1) SELECT page_id, CAST(score AS INT) AS score FROM f ORDER BY score DESC, page_id LIMIT 8")(lambda t: t.pages.select("url", "page_id", (F.when(F.contains(F.lower("url"), F.lit("example")), 40).otherwise(0) + F.when(F.contains(F.lower("url"), F.lit(".org")) | F.contains(F.lower("url"), F.lit(".gov")), 25).otherwise(0) + F.least(F.floor(F.length("html") / 200), F.lit(60)) - F.when(F.contains(F.lower("html"), F.lit(" vs ")), 50).otherwise(0)).cast("int").alias("s")).groupBy("url").agg(F.min("page_id").alias("page_id"), F.max("s").alias("score")).orderBy(F.desc("score"), "page_id").limit(8).select("page_id", "score"))
 _C = f"{_L}, k AS (SELECT doc_id, part, min(pos) AS pos, min_by(line, pos) AS heading, trim(coalesce(string_agg(CASE WHEN first_ THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS content FROM (SELECT *, pos = min(pos) OVER (PARTITION BY doc_id, part) AS first_ FROM m WHERE part > 0) GROUP BY 1, 2), g AS (SELECT * FROM k WHERE content <> '')"
 query("t33_clauses", f"WITH {_C} SELECT doc_id, CAST(part AS INT) AS clause, heading, content FROM g UNION ALL SELECT doc_id, 1, 'Document', trim(text) FROM clauses WHERE doc_id NOT IN (SELECT doc_id FROM g)")(lambda t: p.clauses(t.clauses, "doc_id", "text"))
 query("t35_clause_filter", f"WITH {_C} SELECT doc_id, CAST(part AS INT) AS clause FROM g WHERE contains(lower(content), 'due') OR contains(lower(heading), 'confidential')")(lambda t: p.clauses(t.clauses, "doc_id", "text").filter((F.col("heading") != "Document") & (F.contains(F.lower("content"), F.lit("due")) | F.contains(F.lower("heading"), F.lit("confidential")))).select("doc_id", "clause"))
@@ -25,10 +29,16 @@ query("t21_sentence_packing")(lambda t: t.documents.select("doc_id", F.posexplod
 query("t11_section_cleanup", "WITH a AS (SELECT id, act_name, section_number, CASE WHEN length(full_text) > 3000 THEN substr(full_text, 1, 3000) || '...' ELSE full_text END AS body FROM bare_acts WHERE length(full_text) >= 30), b AS (SELECT *, row_number() OVER (PARTITION BY act_name, section_number ORDER BY id) AS k FROM a QUALIFY k <= 2), c AS (SELECT *, row_number() OVER (PARTITION BY act_name, md5(body) ORDER BY id) AS d FROM b QUALIFY d = 1) SELECT id, act_name, section_number, md5(body) AS signature FROM c")(lambda t: first_of(topk(t.bare_acts.filter(F.length("full_text") >= 30).select("id", "act_name", "section_number", F.md5(F.when(F.length("full_text") > 3000, F.concat(F.substring("full_text", 1, 3000), F.lit("..."))).otherwise(F.col("full_text"))).alias("signature")), ["act_name", "section_number"], ["id"], 2), ["act_name", "signature"], ["id"]))
 query("t12_numbered_split", r"WITH s AS (SELECT doc_id, regexp_split_to_array(chr(10) || text, '\n\s*\d+\.\s+') AS parts FROM clauses) SELECT doc_id, CAST(i - 1 AS INT) AS number, trim(parts[i]) AS body FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM s) WHERE trim(parts[i]) <> ''")(lambda t: t.clauses.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), r"\n\s*\d+\.\s+")).alias("number", "body")).select("doc_id", "number", F.trim("body").alias("body")).filter("number > 0 AND body <> ''"))
 query("t13_fallback_split")(lambda t: t.clauses.withColumn("a", F.split("text", r"\n(?=Section \d+)")).withColumn("b", F.split("text", r"\n(?=\d+\.)")).select("doc_id", F.posexplode(F.when(F.size("a") >= 10, F.col("a")).otherwise(F.col("b"))).alias("part", "body")).filter(F.length("body") >= 30))
-_ALIAS = [("Offence", "अपराध"), ("offence", "अपराध"), ("theft", "चोरी"), ("Punishment", "दंड")]
-query("t15_heading_alias", "SELECT id, CASE WHEN a = section_title THEN '' ELSE a END AS alias FROM (SELECT id, section_title, replace(replace(replace(replace(section_title, 'Offence', 'अपराध'), 'offence', 'अपराध'), 'theft', 'चोरी'), 'Punishment', 'दंड') AS a FROM bare_acts)")(lambda t: (lambda d: d.select("id", F.when(F.col("a") == F.col("section_title"), "").otherwise(F.col("a")).alias("alias")))(t.bare_acts.withColumn("a", __import__("functools").reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), _ALIAS, F.col("section_title")))))
+_ALIAS_SQL = "lower(trim(section_title))"
+for _p, _r in text.HEADING_TERMS:
+    _ALIAS_SQL = f"regexp_replace({_ALIAS_SQL}, '(?i){_p}', '{_r}', 'g')"
+query("t15_heading_alias", f"""WITH a AS (SELECT id, lower(trim(section_title)) AS low, trim(regexp_replace({_ALIAS_SQL}, '\\s+', ' ', 'g'), ' .;-:') AS a FROM bare_acts), b AS (SELECT id, low, regexp_replace(regexp_replace(regexp_replace(a, 'के लिए\\s+के लिए', 'के लिए', 'g'), 'का\\s+का( |$)', 'का\\1', 'g'), 'और\\s+और', 'और', 'g') AS a FROM a)
+SELECT id, CASE WHEN lower(a) = low THEN '' ELSE a END AS alias FROM b""")(lambda t: t.bare_acts.select("id", text.heading_alias(F.col("section_title")).alias("alias")))
 query("t17_heading_update", "SELECT id, CASE WHEN id % 3 = 0 THEN 'changed ' || section_title ELSE section_title END AS section_title FROM bare_acts")(lambda t: upsert(t.bare_acts.select("id", "section_title"), t.bare_acts.filter("id % 3 = 0").select("id", F.concat(F.lit("changed "), "section_title").alias("section_title")), ["id"]))
-query("t41_query_templates", r"SELECT row_idx, CASE WHEN regexp_matches(query_text, '^Question \d+ on Section \d+$') THEN regexp_replace(query_text, '^Question (\d+) on Section (\d+)$', 'धारा \2 पर प्रश्न \1') ELSE query_text || ' (हिंदी में बताइए)' END AS hindi FROM ground_truth")(lambda t: t.ground_truth.select("row_idx", F.when(F.col("query_text").rlike(r"^Question \d+ on Section \d+$"), F.regexp_replace("query_text", r"^Question (\d+) on Section (\d+)$", "धारा $2 पर प्रश्न $1")).otherwise(F.concat("query_text", F.lit(" (हिंदी में बताइए)"))).alias("hindi")))
+_T41 = "trim(query_text)"
+for _p, _r in text.QUERY_WORDS.items():
+    _T41 = f"replace({_T41}, '{_p}', '{_r}')"
+query("t41_query_templates", f"WITH q AS (SELECT row_idx, {_T41} AS q FROM asked) SELECT row_idx, CASE " + " ".join(f"WHEN regexp_matches(q, '{p}') THEN regexp_replace(q, '{p}', '{r}')" for p, r in text.QUERY_TEMPLATES) + f" ELSE regexp_replace(q, '\\?$', '') || '{text.QUERY_SUFFIX}' END AS hindi FROM q")(lambda t: t.asked.select("row_idx", text.hindi_query(F.col("query_text")).alias("hindi")))
 query("t43_list_parse", "SELECT row_idx, system, CASE WHEN act1 IS NULL THEN '' ELSE act1 || '|' || section1 END AS items FROM responses")(lambda t: t.responses.withColumn("raw", F.when(F.col("act1").isNull(), "nan").otherwise(F.concat(F.lit("['"), "act1", F.lit("', '"), "section1", F.lit("']")))).select("row_idx", "system", F.array_join(F.coalesce(F.from_json("raw", "array<string>"), F.from_json(F.translate("raw", "'", '"'), "array<string>"), F.array().cast("array<string>")), "|").alias("items")))
 query("t45_map_rows", "SELECT row_idx, system, metric, v FROM (SELECT row_idx, system, 'car' AS metric, car AS v FROM scores UNION ALL SELECT row_idx, system, 'hr', hr FROM scores)")(lambda t: t.scores.select("row_idx", "system", F.explode(F.create_map(F.lit("car"), "car", F.lit("hr"), "hr")).alias("metric", "v")))
 
@@ -50,19 +60,29 @@ def _written(df, write):
 query("s01_collections", "SELECT 'bare_acts' AS collection, count(*) AS n FROM bare_acts UNION ALL SELECT 'case_law', count(*) FROM case_law")(lambda t: t.spark.read.parquet(_written(t.bare_acts.select(F.lit("bare_acts").alias("collection")).unionAll(t.case_law.select(F.lit("case_law"))).withColumn("one", F.lit(1)), lambda d, q: d.write.partitionBy("collection").parquet(q))).groupBy("collection").agg(F.count("*").alias("n")))
 query("s07_insert", "SELECT id, act_name FROM bare_acts UNION ALL SELECT id + 1000000000, act_name FROM bare_acts WHERE id % 50 = 0")(lambda t: t.spark.read.parquet(_written(t.bare_acts.select("id", "act_name"), lambda d, q: (d.write.parquet(q), d.filter("id % 50 = 0").select((F.col("id") + 1000000000).alias("id"), "act_name").write.mode("append").parquet(q)))))
 query("s10_reset", "SELECT id FROM bare_acts WHERE id % 2 = 1")(lambda t: t.spark.read.parquet(_written(t.bare_acts.select("id"), lambda d, q: (d.filter("id % 2 = 0").write.parquet(q), d.filter("id % 2 = 1").write.mode("overwrite").parquet(q)))))
-query("s11_export_import", "SELECT id, act_name, section_number FROM bare_acts")(lambda t: t.spark.read.schema("ids array<long>, acts array<string>, sections array<string>, count long").json(_written(t.bare_acts.groupBy("act_name", "section_number").agg(F.collect_list("id").alias("ids"), F.count("*").alias("count")).select("ids", F.transform("ids", lambda i: F.col("act_name")).alias("acts"), F.transform("ids", lambda i: F.col("section_number")).alias("sections"), "count"), lambda d, q: d.write.json(q))).filter(F.when(F.size("ids") == F.col("count"), True).otherwise(F.raise_error(F.lit("count differs")))).select(F.inline(F.arrays_zip("ids", "acts", "sections"))).toDF("id", "act_name", "section_number"))
-query("s12_reindex", "SELECT id, length(full_text) AS code FROM bare_acts")(lambda t: t.spark.read.parquet(_written(t.bare_acts.select("id", F.length("full_text").alias("code")), lambda d, q: d.write.mode("overwrite").parquet(q))))
+# at most a thousand ids an exported row, so that a section may have any number
+query("s11_export_import", "SELECT id, act_name, section_number FROM bare_acts")(lambda t: t.spark.read.schema("ids array<long>, acts array<string>, sections array<string>, count long").json(_written(t.bare_acts.groupBy("act_name", "section_number", F.floor(F.col("id") / 1000)).agg(F.collect_list("id").alias("ids"), F.count("*").alias("count")).select("ids", F.transform("ids", lambda i: F.col("act_name")).alias("acts"), F.transform("ids", lambda i: F.col("section_number")).alias("sections"), "count"), lambda d, q: d.write.json(q))).filter(F.when(F.size("ids") == F.col("count"), True).otherwise(F.raise_error(F.lit("count differs")))).select(F.inline(F.arrays_zip("ids", "acts", "sections"))).toDF("id", "act_name", "section_number"))
+# the other collection's vectors are of a unit length
+query("s12_reindex", "SELECT vec_id, label, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")(lambda t: t.spark.read.parquet(_written(t.embeddings.select("vec_id", "label", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("norm")).join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("vec_id", "label", F.round("norm", 4).alias("norm"), F.transform("embedding", lambda v: v / F.col("norm")).alias("unit")), lambda d, q: d.write.mode("overwrite").parquet(q))).select("vec_id", "label", "norm"))
 query("s14_csv", "SELECT row_idx, system, car, hr FROM scores")(lambda t: t.spark.read.schema("row_idx long, system string, car double, hr double").csv(_written(t.scores.select("row_idx", "system", "car", "hr"), lambda d, q: d.write.csv(q, header=True)), header=True))
 query("s15_json_checkpoint", "SELECT row_idx, system, answer FROM responses")(lambda t: t.spark.read.schema("row_idx long, system string, answer string").json(_written(t.responses.select("row_idx", "system", "answer"), lambda d, q: d.write.json(q))))
 query("s16_unanswered_log", "SELECT query_id, query_text FROM queries WHERE query_text = '' OR query_type = 'error'")(lambda t: t.spark.read.schema("query_id long, query_text string").json(_written(t.queries.filter("query_text = ''").select("query_id", "query_text"), lambda d, q: (d.write.json(q), t.queries.filter("query_text <> '' AND query_type = 'error'").select("query_id", "query_text").write.mode("append").json(q)))))
-query("s17_act_file", r"SELECT act_name, section_number, title FROM (SELECT 'Act ' || CAST(id AS STRING) AS act_name, section_number, section_title AS title FROM bare_acts)")(lambda t: t.spark.read.text(_written(t.bare_acts.select(F.format_string("ACT_NAME: Act %d\n[SECTION %s] %s\nbody\x1e", "id", "section_number", "section_title").alias("value")), lambda d, q: d.write.text(q)), lineSep="\x1e").select(F.regexp_extract("value", r"ACT_NAME: ([^\n]+)", 1).alias("act_name"), F.regexp_extract("value", r"\[SECTION ([^\]]+)\]", 1).alias("section_number"), F.regexp_extract("value", r"\[SECTION [^\]]+\] ([^\n]+)", 1).alias("title")).filter("act_name <> ''"))
+# a file of an act: a head with its names, then sections; here two for each
+_S17 = lambda: F.format_string("ACT_NAME: %s no. %d\nSHORT_NAME: A%d\n\n[SECTION %s] %s\n  first line\n\n of %s  \n[SECTION %sA] Second part\nbody\x1e", "act_name", "id", "id", "section_number", "section_title", "lang", "section_number")
+query("s17_act_file", r"""WITH b AS (SELECT act_name || ' no. ' || CAST(id AS STRING) AS act_name, 'A' || CAST(id AS STRING) AS short_name, section_number AS n, trim(section_title) AS title, lang FROM bare_acts)
+SELECT act_name, short_name, short_name || '_' || n AS id, n AS section_number, title AS section_title, 'Section ' || n || ' ' || title || '. first line of ' || lang AS full_text FROM b
+UNION ALL SELECT act_name, short_name, short_name || '_' || n || 'A', n || 'A', 'Second part', 'Section ' || n || 'A Second part. body' FROM b""")(lambda t: p.act_sections(t.spark.read.text(_written(t.bare_acts.select(_S17().alias("value")), lambda d, q: d.write.text(q)), lineSep="\x1e"), "value"))
 query("s26_tables", "SELECT CAST(timestamp AS DATE) AS day, count(*) AS n FROM queries GROUP BY 1")(lambda t: t.spark.read.parquet(_written(t.queries.withColumn("day", F.to_date("timestamp")), lambda d, q: d.write.partitionBy("day").parquet(q))).groupBy("day").agg(F.count("*").alias("n")))
 query("s27_log_insert", "SELECT query_id, confidence FROM responses_log")(lambda t: t.spark.read.parquet(_written(t.responses_log.select("query_id", "confidence"), lambda d, q: d.write.mode("append").parquet(q))))
-query("s28_seed_tables", "SELECT * FROM (VALUES ('A1', 'Indian Penal Code 1860', 2013), ('A2', 'Companies Act 2013', 2017), ('A3', 'Code of Criminal Procedure 1973', 2018)) v(id, act_name, amendment_year)")(lambda t: t.spark.createDataFrame([("A1", "Indian Penal Code 1860", 2013), ("A2", "Companies Act 2013", 2017), ("A3", "Code of Criminal Procedure 1973", 2018)], "id string, act_name string, amendment_year int"))
+query("s28_seed_tables", "SELECT * FROM (VALUES " + ", ".join(f"('amendments', '{a}', '{b}', '{c}', {d})" for a, b, c, d in seeds.AMENDMENTS) + ", " + ", ".join(f"('overruling_map', '{a}', '{b}', '{c}', {d})" for a, b, c, d in seeds.OVERRULINGS) + ") v(collection, id, name, reference, year)")(lambda t: seeds.tables(t.spark))
 # ---- streaming
 query("g01_available_now", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda t: jobs.run_once(t, lambda s: s.select("event_type", "event_id")).groupBy("event_type").agg(F.count("*").alias("n")))
 query("g03_look_back", "SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-13 12:00:00' AND ts < TIMESTAMP '2024-01-20 12:00:00'")(lambda t: jobs.run_once(t, lambda s: s.filter((F.col("ts") >= F.lit("2024-01-13 12:00:00").cast("timestamp")) & (F.col("ts") < F.lit("2024-01-20 12:00:00").cast("timestamp"))).select("event_id")))
-query("g05_skip_duplicates", "SELECT DISTINCT user_id, event_type, value FROM events")(lambda t: jobs.run_once(t, lambda s: s.dropDuplicates(["user_id", "event_type", "value"]).select("user_id", "event_type", "value")))
+query("g05_skip_duplicates", "SELECT DISTINCT user_id, event_type, value FROM events")(lambda t: jobs.run_once(t, lambda s: s.withWatermark("ts", "90 days").dropDuplicatesWithinWatermark(["user_id", "event_type", "value"]).select("user_id", "event_type", "value")))
 query("g06_append_log", "SELECT event_id, value FROM events WHERE event_type = 'error'")(lambda t: jobs.run_once(t, lambda s: s.filter("event_type = 'error'").select("event_id", "value")))
-query("g07_hourly", "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")(lambda t: jobs.run_once(t, lambda s: s.withWatermark("ts", "1 day").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", "total"), mode="complete"))
+_G7 = "SELECT date_trunc('{0}', ts) AS {0}, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2"
+query("g04_last_run", "SELECT count(*) AS taken, max(ts) AS newest FROM events")(lambda t: jobs.last_run(t))
+query("g07_hourly", _G7.format("hour"))(lambda t: jobs.windows(t, "1 hour", "hour"))
+query("g07_daily", _G7.format("day"))(lambda t: jobs.windows(t, "1 day", "day"))
+query("g07_weekly", _G7.format("week"))(lambda t: jobs.windows(t, "7 days", "week", "4 days"))  # weeks start on Mondays
 query("g08_resume", "SELECT event_id FROM events")(lambda t: jobs.resumed(t))

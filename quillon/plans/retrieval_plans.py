@@ -8,17 +8,19 @@ from quillon.functions import rules as r
 from quillon.operators import retrieval as x
 from quillon.operators.relational import topk
 from quillon.plans.registry import query
+from quillon.plans.rule_plans import TYPE_SQL
 
 r6 = lambda c: F.round(c, 6)
 _TOK = r"regexp_extract_all(regexp_replace(regexp_replace(lower(text), 'section\s+(\d+[a-z]?)', 'section_\1', 'g'), 'sec\.\s+(\d+[a-z]?)', 'section_\1', 'g'), '[\p{L}\p{N}_]+')"
 BM25_SQL = f"""tok AS (SELECT doc_id, {_TOK} AS t FROM documents), post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2),
-st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term, n), w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM raw) ELSE raw END AS idf FROM raw),
+st AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM tok), raw AS (SELECT term, ln(n - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM post, st GROUP BY term, n), mean AS (SELECT avg(raw) AS mean FROM raw), w AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * mean ELSE raw END AS idf FROM raw, mean),
 q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY 1, 2),
 bm AS (SELECT item_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN post USING (term) JOIN w USING (term), st GROUP BY 1, 2),
 top AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM bm QUALIFY rank <= 20)"""
 _bm25 = lambda t, k=20: x.bm25(t.documents, t.benchmark.select("item_id", F.col("text").alias("q")), doc="doc_id", text="text", query="item_id", query_text="q", k=k)
 query("r01_bm25_postings", f"WITH tok AS (SELECT doc_id, {_TOK} AS t FROM documents) SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, CAST(len(t) AS INT) AS dl, unnest(t) AS term FROM tok) GROUP BY 1, 2")(lambda t: x.postings(t.documents, "doc_id", "text"))
-query("r01_bm25_idf", f"WITH {BM25_SQL} SELECT term, round(idf, 6) AS idf FROM w")(lambda t: x.idf(x.term_counts(t.documents, "text")).select("term", r6(F.col("idf")).alias("idf")))
+_IDF_SQL = BM25_SQL[: BM25_SQL.index(",\nq AS")]
+query("r01_bm25_idf", f"WITH {_IDF_SQL} SELECT term, round(idf, 6) AS idf FROM w")(lambda t: x.idf(x.term_counts(t.documents, "text")).select("term", r6(F.col("idf")).alias("idf")))
 query("r02_bm25_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM top")(lambda t: _bm25(t))
 # the stated queries: every vector whose id is divisible by 20
 DENSE_SQL = """dq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dp AS (SELECT query_id, vec_id, label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings e, dq),
@@ -28,28 +30,32 @@ _dense = lambda t, k=20: x.dense(t.embeddings, _dq(t), key="vec_id", vector="emb
 query("r03_dense_top20", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM dense")(lambda t: _dense(t))
 query("r04_distance_similarity", f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(1 / (1 + (2 - 2 * score)), 6) AS similarity FROM dense")(lambda t: _dense(t).select("query_id", "vec_id", r6(1 / (1 + (2 - 2 * F.col("score")))).alias("similarity")))
 query("r05_post_filter", f"WITH {BM25_SQL} SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM top JOIN documents USING (doc_id) WHERE lang = 'en'")(lambda t: _bm25(t).join(t.documents.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("item_id", "doc_id", "rank"))
-_FUSED = f"{BM25_SQL}, dist AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY abs(n_chars - length(b.text)), doc_id) AS rank FROM top JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id)), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM dist) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
+# the second ranking that is fused: documents' vectors have the documents' ids, item i asks with vector 20 * i
+_FUSED = f"{BM25_SQL}, {DENSE_SQL}, by_vector AS (SELECT query_id // 20 AS item_id, vec_id AS doc_id, score, rank FROM dense WHERE query_id // 20 IN (SELECT item_id FROM benchmark) AND vec_id IN (SELECT doc_id FROM documents)), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM by_vector) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
 
 
-def _near_length(top, t):
-    """A second ranking for fusion: the same candidates by how close their length is to the query's."""
-    q = x.checked(t.benchmark.select("item_id", F.length("text").alias("ql")))
-    p = top.select("item_id", "doc_id").join(t.documents.select("doc_id", "n_chars"), "doc_id").join(q, "item_id")
-    return topk(p.select("item_id", "doc_id", F.abs(F.col("n_chars") - F.col("ql")).alias("gap")), ["item_id"], ["gap", "doc_id"], 20, rank="rank")
+def _by_vector(t):
+    asked = _dq(t).join(x.checked(t.benchmark.select((F.col("item_id") * 20).alias("query_id")).distinct()), "query_id", "left_semi")
+    top = x.dense(t.embeddings, asked, key="vec_id", vector="embedding", query="query_id", query_vector="q", k=20)
+    own = top.select((F.col("query_id") / 20).cast("long").alias("item_id"), F.col("vec_id").alias("doc_id"), "score", "rank")
+    return own.join(t.documents.select("doc_id").distinct(), "doc_id", "left_semi").select("item_id", "doc_id", "score", "rank")
 
 
 def _fused(t):
-    top = _bm25(t)
-    return x.fuse([top, _near_length(top, t)], "item_id", "doc_id")
+    return x.fuse([_bm25(t), _by_vector(t)], "item_id", "doc_id")
+
+
 query("r06_rrf", f"WITH {_FUSED} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM fused")(lambda t: _fused(t))
 
 
-@query("r07_rerank", f"""WITH {_FUSED}, c AS (SELECT item_id, doc_id, round(1.0 * length(d.text) / (length(d.text) + length(b.text)) + 0.35 * len(list_intersect(string_split(lower(b.text), ' '), string_split(lower(d.text), ' '))) / len(list_distinct(string_split(lower(b.text), ' '))), 6) AS final FROM fused JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id))
+@query("r07_rerank", f"""WITH {_FUSED}, c AS (SELECT item_id, doc_id, round(coalesce(v.score, 0) + 0.35 * len(list_intersect(string_split(lower(b.text), ' '), string_split(lower(d.text), ' '))) / len(list_distinct(string_split(lower(b.text), ' '))), 6) AS final FROM fused JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) LEFT JOIN by_vector v USING (item_id, doc_id))
 SELECT item_id, doc_id, final, CAST(row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS INT) AS place, round(1 / (1 + exp(-final)), 6) AS confidence FROM c QUALIFY place <= 5""")
 def _rerank(t):
-    c = _fused(t).join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
+    """The scorer's column is the vectors' closeness, 0 where it wasn't ranked."""
+    scorer = _by_vector(t).select("item_id", "doc_id", F.col("score").alias("scorer"))
+    c = _fused(t).join(scorer, ["item_id", "doc_id"], "left").join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
     words = F.split(F.lower("q"), " ")
-    return x.rerank(c, query="item_id", doc="doc_id", score=F.length("text") / (F.length("text") + F.length("q")), overlap=F.size(F.array_intersect(words, F.split(F.lower("text"), " "))) / F.size(F.array_distinct(words)), k=5).select("item_id", "doc_id", "final", "place", "confidence")
+    return x.rerank(c, query="item_id", doc="doc_id", score=F.coalesce("scorer", F.lit(0.0)), overlap=F.size(F.array_intersect(words, F.split(F.lower("text"), " "))) / F.size(F.array_distinct(words)), k=5).select("item_id", "doc_id", "final", "place", "confidence")
 
 
 query("r08_no_rerank", f"WITH {_FUSED} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CAST(0.5 AS DOUBLE) AS confidence, 'LOW' AS level FROM fused WHERE rank <= 5")(lambda t: _fused(t).filter("rank <= 5").select("item_id", "doc_id", "rank", F.lit(0.5).alias("confidence"), r.level(F.lit(0.5)).alias("level")))
@@ -67,7 +73,26 @@ query("r11_stats", f"WITH {BM25_SQL} SELECT count(*) AS documents, (SELECT count
 query("r13_retrieve", f"""WITH {_FUSED}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
 SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")(lambda t: _fused(t).filter("rank <= 5").withColumn("act_name", F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")).join(t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n")), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments")))
 query("r15_footer", "SELECT row_idx, system, CASE WHEN contains(answer, 'Sources:') OR act1 IS NULL THEN answer ELSE answer || ' Sources: ' || concat_ws('; ', act1 || ' ' || section1, act2 || ' ' || section2) END AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(F.col("answer").contains("Sources:") | F.col("act1").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit(" Sources: "), F.concat_ws("; ", F.concat("act1", F.lit(" "), "section1"), F.concat("act2", F.lit(" "), "section2")))).alias("answer")))
-query("r16_context", "SELECT act_name, section_number, string_agg('[' || section_title || '] ' || substr(coalesce(nullif(full_text, ''), 'No text available'), 1, 60), chr(10) ORDER BY id) AS context FROM bare_acts GROUP BY 1, 2")(lambda t: t.bare_acts.groupBy("act_name", "section_number").agg(F.array_sort(F.collect_list(F.struct("id", F.concat(F.lit("["), "section_title", F.lit("] "), F.substring(F.coalesce(F.nullif("full_text", F.lit("")), F.lit("No text available")), 1, 60)).alias("line")))).alias("l")).select("act_name", "section_number", F.array_join(F.transform("l", lambda l: l["line"]), "\n").alias("context")))
+_RULE = "=" * 80
+
+
+@query("r16_context", f"""WITH {_FUSED}, k AS (SELECT item_id, rank, doc_id, score, act_name, section_number, section_title, coalesce(nullif(full_text, ''), 'No text available') AS full_text, is_replaced, coalesce(n, 0) AS n FROM fused JOIN bare_acts b ON b.id = doc_id LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number) WHERE rank <= 5)
+SELECT item_id, 'RETRIEVAL SUMMARY:' || chr(10) || 'Query Type: ' || any_value({TYPE_SQL.replace('query_text', 'text')}) || chr(10) || 'Confidence Level: ' || max(CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END) FILTER (rank = 1) || chr(10) || 'BNS/BNSS Transition Notes: ' || CASE WHEN bool_or(is_replaced) THEN 'Yes' ELSE 'No' END || chr(10) || chr(10)
+  || '{_RULE}' || chr(10) || 'BARE ACTS / STATUTORY PROVISIONS:' || chr(10) || '{_RULE}' || chr(10)
+  || string_agg(chr(10) || '[ACT ' || CAST(rank AS STRING) || ']' || chr(10) || 'Act: ' || act_name || chr(10) || 'Section: ' || section_number || chr(10) || 'Title: ' || section_title || chr(10) || 'Confidence: ' || printf('%.3f', score * 30) || chr(10) || CASE WHEN is_replaced THEN 'TRANSITION: the law was replaced' || chr(10) ELSE '' END || chr(10) || 'Text:' || chr(10) || full_text || CASE WHEN n > 0 THEN chr(10) || chr(10) || 'This section has ' || CAST(n AS STRING) || ' amendment(s)' ELSE '' END, chr(10) ORDER BY rank)
+  || chr(10) || chr(10) || '{_RULE}' || chr(10) || 'RETRIEVAL STATISTICS:' || chr(10) || 'Bare Acts: ' || CAST(count(*) AS STRING) || chr(10) || 'Amendments: ' || CAST(CAST(sum(n) AS BIGINT) AS STRING) || chr(10) || '{_RULE}' AS context FROM k JOIN benchmark USING (item_id) GROUP BY 1""")
+def _context(t):
+    """The whole texts of an item's five best acts, with what is known of each, as one text."""
+    n = t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n"))
+    k = _fused(t).filter("rank <= 5").join(t.bare_acts.withColumnRenamed("id", "doc_id"), "doc_id").join(n, ["act_name", "section_number"], "left").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("asked"))), "item_id").withColumn("n", F.coalesce("n", F.lit(0)))
+    lit = F.lit
+    act = F.concat(lit("\n[ACT "), F.col("rank").cast("string"), lit("]\nAct: "), "act_name", lit("\nSection: "), "section_number", lit("\nTitle: "), "section_title", lit("\nConfidence: "), F.format_string("%.3f", F.col("score") * 30), lit("\n"), F.when(F.col("is_replaced"), "TRANSITION: the law was replaced\n").otherwise(""), lit("\nText:\n"), F.coalesce(F.nullif("full_text", lit("")), lit("No text available")), F.when(F.col("n") > 0, F.concat(lit("\n\nThis section has "), F.col("n").cast("string"), lit(" amendment(s)"))).otherwise(""))
+    by = k.groupBy("item_id").agg(F.first(r.query_type(F.col("asked"))).alias("kind"), F.max(F.when(F.col("rank") == 1, r.level(F.col("score") * 30))).alias("level"), F.bool_or("is_replaced").alias("notes"), F.array_sort(F.collect_list(F.struct("rank", act.alias("a")))).alias("acts"), F.count("*").alias("c"), F.sum("n").alias("n"))  # five at most
+    head = F.concat(lit("RETRIEVAL SUMMARY:\nQuery Type: "), "kind", lit("\nConfidence Level: "), "level", lit("\nBNS/BNSS Transition Notes: "), F.when(F.col("notes"), "Yes").otherwise("No"), lit(f"\n\n{_RULE}\nBARE ACTS / STATUTORY PROVISIONS:\n{_RULE}\n"))
+    return by.select("item_id", F.concat(head, F.array_join(F.transform("acts", lambda a: a["a"]), "\n"), lit(f"\n\n{_RULE}\nRETRIEVAL STATISTICS:\nBare Acts: "), F.col("c").cast("string"), lit("\nAmendments: "), F.col("n").cast("string"), lit(f"\n{_RULE}")).alias("context"))
+
+
+
 query("r17_warnings", "SELECT row_idx, system, concat_ws('; ', CASE WHEN lower(confidence) = 'low' THEN 'low confidence' END, CASE WHEN transition_note <> '' THEN 'law replaced' END, CASE WHEN contains(answer, 'overruled') THEN 'overruled case' END) AS warnings FROM responses")(lambda t: t.responses.select("row_idx", "system", F.concat_ws("; ", F.when(F.lower("confidence") == "low", "low confidence"), F.when(F.col("transition_note") != "", "law replaced"), F.when(F.col("answer").contains("overruled"), "overruled case")).alias("warnings")))
 query("r18_simple_baseline", f"WITH {DENSE_SQL}, u AS (SELECT query_id, vec_id, 2 - 2 * score AS d FROM dp), t3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS k FROM u QUALIFY k <= 3) SELECT query_id, round(avg(d), 6) AS mean_distance, CASE WHEN round(avg(1 - d / 2), 6) >= 0.8 THEN 'high' WHEN round(avg(1 - d / 2), 6) >= 0.65 THEN 'medium' ELSE 'low' END AS label FROM t3 GROUP BY 1")(lambda t: _dense(t, 3).withColumn("d", 2 - 2 * F.col("score")).groupBy("query_id").agg(r6(F.avg("d")).alias("mean_distance"), r6(F.avg(1 - F.col("d") / 2)).alias("s")).select("query_id", "mean_distance", F.when(F.col("s") >= 0.8, "high").when(F.col("s") >= 0.65, "medium").otherwise("low").alias("label")))
 query("r19_masking", r"SELECT row_idx, system, regexp_replace(regexp_replace(answer, '(?i)section\s+30[0-4]\b', '[unverified]', 'g'), '(?i)\bsec\s+30[0-4]\b', '[unverified]', 'g') AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.regexp_replace(F.regexp_replace("answer", r"(?i)section\s+30[0-4]\b", "[unverified]"), r"(?i)\bsec\s+30[0-4]\b", "[unverified]").alias("answer")))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.operators import stats as s
 from quillon.operators.relational import topk
 from quillon.plans.registry import query
+from quillon.sources.sinks import scratch
 
 r6 = lambda c: F.round(c, 6)
 WIDE = "w AS (SELECT row_idx, max(car) FILTER (system = 'full') AS a, max(car) FILTER (system = 'simple') AS b, max(hr) FILTER (system = 'full') AS ha, max(hr) FILTER (system = 'simple') AS hb FROM scores GROUP BY 1)"
@@ -23,8 +26,8 @@ def _p(t):
 
 
 _LCG = "CAST(floor((((id * 7919 + 13) % 2147483648) * 1103515245 + 12345) % 2147483648 * n / 2147483648) AS BIGINT)"
-query("e02_bootstrap", f"""WITH v AS (SELECT row_idx, car FROM scores WHERE system = 'full'), c AS (SELECT count(*) AS n FROM v), d AS (SELECT id // n AS b, {_LCG.replace('* n /', '* CAST(n AS DOUBLE) /')} AS i FROM (SELECT unnest(range(200 * (SELECT n FROM c))) AS id), c),
-m AS (SELECT b, avg(car) AS mean FROM d JOIN v ON d.i = v.row_idx GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")(lambda t: s.bootstrap(t.scores.filter("system = 'full'"), "row_idx", "car", 200))
+query("e02_bootstrap", f"""WITH v AS (SELECT row_idx, car FROM scores WHERE system = 'full'), c AS (SELECT count(*) AS n FROM v), d AS (SELECT id // n AS b, {_LCG.replace('* n /', '* CAST(n AS DOUBLE) /')} AS i FROM (SELECT unnest(range(10000 * (SELECT n FROM c))) AS id), c),
+m AS (SELECT b, avg(car) AS mean FROM d JOIN v ON d.i = v.row_idx GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 6) AS low, round(quantile_cont(mean, 0.975), 6) AS high FROM m""")(lambda t: s.bootstrap(t.scores.filter("system = 'full'"), "row_idx", "car"))
 query("e03_effect_sizes", f"WITH {WIDE} SELECT round((avg(a) - avg(b)) / sqrt((var_pop(a) + var_pop(b)) / 2), 6) AS d_pop, round((avg(a) - avg(b)) / sqrt((var_samp(a) + var_samp(b)) / 2), 6) AS d_samp, round(avg(a - b) / stddev_samp(a - b), 6) AS dz FROM w")(lambda t: s.paired(_wide(t), F.col("a"), F.col("b")).select(*[r6(c).alias(c) for c in ("d_pop", "d_samp", "dz")]))
 query("e04_effect_labels", "SELECT system, category, CASE WHEN abs(d) < 0.2 THEN 'negligible' WHEN abs(d) < 0.5 THEN 'small' WHEN abs(d) < 0.8 THEN 'medium' ELSE 'large' END AS label FROM (SELECT system, category, round((avg(car) - 0.5) / stddev_samp(car), 6) AS d FROM scores GROUP BY 1, 2)")(lambda t: t.scores.groupBy("system", "category").agg(r6((F.avg("car") - 0.5) / F.stddev_samp("car")).alias("d")).select("system", "category", s.effect_label(F.col("d")).alias("label")))
 query("e05_bonferroni", f"WITH {WIDE} SELECT 0.05 / 8 AS alpha, abs(round({_T}, 6)) > 2.73 AS significant FROM w")(lambda t: s.paired(_wide(t), F.col("a"), F.col("b")).select(F.lit(0.05 / 8).alias("alpha"), (F.abs(r6("t")) > 2.73).alias("significant")))
@@ -79,6 +82,9 @@ query("e23_classifier_metrics", f"WITH c AS (SELECT count(*) FILTER (y = 1 AND p
 @query("e23_classifier_fit")
 def _fit(t):
     rows = t.labels.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", F.col("quality").cast("double").alias("y"), (F.length(F.regexp_replace("text", r"[^#*$%&|<>]", "")) / F.greatest(F.length("text"), F.lit(1)) * 10).alias("symbols"), (F.length(F.regexp_replace("text", "[^A-Z!]", "")) / F.greatest(F.length("text"), F.lit(1)) * 10).alias("capitals"))
+    path = f"{scratch(t.spark)}/features-{uuid.uuid4().hex}"
+    rows.write.parquet(path)  # each step of the fit reads these few columns only
+    rows = t.spark.read.schema(rows.schema).parquet(path)
     w = s.logistic(rows.filter("doc_id % 5 <> 0"), ["symbols", "capitals"], "y")
     return rows.filter("doc_id % 5 = 0").select("doc_id", "y", F.round(1 / (1 + F.exp(-(F.col("symbols") * w[0] + F.col("capitals") * w[1] + w[2]))), 6).alias("p"))
 

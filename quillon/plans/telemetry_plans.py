@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quillon.functions import text as x
 from quillon.operators.relational import first_of, numbered, topk, upsert
 from quillon.plans.registry import query
 
@@ -122,10 +123,20 @@ query("s05_collection_counts", "SELECT coalesce(collection, 'total') AS collecti
 query("s06_counts_by_act", "SELECT act_name, count(*) AS n FROM bare_acts GROUP BY 1")(lambda t: t.bare_acts.groupBy("act_name").agg(F.count("*").alias("n")))
 query("s08_upsert", "SELECT id, act_name, section_number FROM bare_acts WHERE id % 10 <> 0 UNION ALL SELECT id, 'Amended Act', section_number FROM bare_acts WHERE id % 10 = 0 UNION ALL SELECT id + 1000000000, 'New Act', section_number FROM bare_acts WHERE id % 20 = 0")(lambda t: upsert(t.bare_acts.select("id", "act_name", "section_number"), t.bare_acts.filter("id % 10 = 0").select("id", F.lit("Amended Act").alias("act_name"), "section_number").unionAll(t.bare_acts.filter("id % 20 = 0").select(F.col("id") + 1000000000, F.lit("New Act"), "section_number")), ["id"]))
 query("s09_reload", "SELECT id, section_number FROM bare_acts WHERE act_name <> 'Bharatiya Nyaya Sanhita 2023' UNION ALL SELECT id, 'new ' || section_number FROM bare_acts WHERE act_name = 'Bharatiya Nyaya Sanhita 2023' AND id % 2 = 1")(lambda t: t.bare_acts.filter("act_name <> 'Bharatiya Nyaya Sanhita 2023'").select("id", "section_number").unionAll(t.bare_acts.filter("act_name = 'Bharatiya Nyaya Sanhita 2023' AND id % 2 = 1").select("id", F.concat(F.lit("new "), "section_number"))))
-query("s18_qa_reader", "SELECT item_id, 'Question: ' || text || chr(10) || 'Answer: ' || coalesce(substr(text, 1, 20), '') AS combined FROM benchmark WHERE text <> ''")(lambda t: t.benchmark.filter("text <> ''").select("item_id", F.concat(F.lit("Question: "), "text", F.lit("\nAnswer: "), F.coalesce(F.substring("text", 1, 20), F.lit(""))).alias("combined")))
+# questions with context and answer, out of conversations: the first user and assistant texts and the system's; long ones are cut into windows of 500 words that start every 450
+_QA = "SELECT conv_id, coalesce(min_by(text, turn) FILTER (role = 'user'), '') AS q, coalesce(min_by(text, turn) FILTER (role = 'system'), '') AS c, coalesce(min_by(text, turn) FILTER (role = 'assistant'), '') AS a FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1"
+query("s18_qa_reader", rf"""WITH f AS (SELECT conv_id, 'Question: ' || q || chr(10) || chr(10) || 'Context: ' || c || chr(10) || chr(10) || 'Answer: ' || a AS t FROM ({_QA})), w AS (SELECT conv_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda w: w <> '') AS w FROM f)
+SELECT conv_id, CASE WHEN floor(len(w) / 0.75) > 500 THEN CAST(s / 450 AS INT) ELSE 0 END AS chunk, CASE WHEN floor(len(w) / 0.75) > 500 THEN array_to_string(w[s + 1 : s + 500], ' ') ELSE t END AS combined FROM (SELECT conv_id, t, w, unnest(range(0, CASE WHEN floor(len(w) / 0.75) > 500 THEN len(w) ELSE 1 END, 450)) AS s FROM w)""")(lambda t: _qa(t))
 query("s19_instruction_reader", "SELECT conv_id, turn, text AS instruction, response FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = 'user' AND next_role = 'assistant' AND text <> '' AND response <> ''")(lambda t: t.conversations.withColumn("response", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("next_role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'user' AND next_role = 'assistant' AND text <> '' AND response <> ''").select("conv_id", "turn", F.col("text").alias("instruction"), "response"))
 query("s20_judgments", "SELECT doc_id, n_chars FROM documents WHERE length(text) >= 500 ORDER BY doc_id LIMIT 3000")(lambda t: t.documents.filter(F.length("text") >= 500).select("doc_id", "n_chars").orderBy("doc_id").limit(3000))
 query("s23_density", "SELECT page_id, length(html) / 2 >= 50 AS dense FROM pages")(lambda t: t.pages.select("page_id", (F.length("html") / 2 >= 50).alias("dense")))
 query("s24_format_router", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'unsupported' END AS route FROM pages")(lambda t: t.pages.withColumn("ext", F.element_at(F.array(*map(F.lit, ["pdf", "docx", "doc", "txt"])), (F.col("page_id") % 4 + 1).cast("int"))).select("page_id", F.when(F.col("ext").isin("pdf", "docx"), F.col("ext")).otherwise("unsupported").alias("route")))
 query("s25_path_selection", "SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 1")(lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(1))
 query("s29_critical_pairs", "SELECT DISTINCT act_name, section_number, false AS current FROM bare_acts WHERE is_replaced UNION ALL SELECT DISTINCT 'new ' || act_name, section_number, true FROM bare_acts WHERE is_replaced")(lambda t: t.bare_acts.filter("is_replaced").select("act_name", "section_number").distinct().select(F.inline(F.array(F.struct("act_name", "section_number", F.lit(False).alias("current")), F.struct(F.concat(F.lit("new "), "act_name").alias("act_name"), "section_number", F.lit(True).alias("current"))))))
+
+
+def _qa(t):
+    said = lambda role: F.coalesce(F.min_by(F.when(F.col("role") == role, F.col("text")), F.when(F.col("role") == role, F.col("turn"))), F.lit(""))
+    each = t.conversations.filter("conv_id IS NOT NULL").groupBy("conv_id").agg(said("user").alias("q"), said("system").alias("c"), said("assistant").alias("a"))
+    full = each.select("conv_id", F.concat(F.lit("Question: "), "q", F.lit("\n\nContext: "), "c", F.lit("\n\nAnswer: "), "a").alias("t"))
+    return full.select("conv_id", F.posexplode(F.when(x.token_estimate(F.col("t")) > 500, x.chunks(F.col("t"), 500, 50)).otherwise(F.array("t"))).alias("chunk", "combined"))

@@ -36,7 +36,7 @@ _per_doc("t07_target_page", lambda: {"valid": (F.length("text") >= 200) & (F.siz
 _per_doc("t09_parse_section", lambda: {"number": F.regexp_extract(F.substring("text", 1, 200), r"(?i)section\s+(\d+[A-Z]?)", 1), "title": F.substring(F.regexp_extract("text", r"^([^.\n]*)", 1), 1, 150), "punishment": x.punishment(F.col("text"))},
          r"regexp_extract(substr(text, 1, 200), '(?i)section\s+(\d+[A-Z]?)', 1) AS number, substr(regexp_extract(text, '^([^.\n]*)', 1), 1, 150) AS title, coalesce(nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be punished with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)punishable with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be liable to [^.]+', 0), ''), '') AS punishment")
 _per_doc("t14_punishment", lambda: {"punishment": x.punishment(F.col("text"))}, r"coalesce(nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be punished with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)punishable with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be liable to [^.]+', 0), ''), '') AS punishment")
-_per_doc("t16_embedding_text", lambda: {"embedding_text": F.concat_ws(" ", F.nullif("source", F.lit("src0")), F.nullif("lang", F.lit("")), F.substring("text", 1, 200))}, "concat_ws(' ', nullif(source, 'src0'), nullif(lang, ''), substr(text, 1, 200)) AS embedding_text")
+_per_doc("t16_embedding_text", lambda: {"embedding_text": F.concat_ws(" ", F.nullif("source", F.lit("src0")), F.nullif("lang", F.lit("")), F.col("text"))}, "concat_ws(' ', nullif(source, 'src0'), nullif(lang, ''), text) AS embedding_text")
 query("t18_word_chunks", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM legal)
 SELECT doc_id, CAST(s / 500 AS INT) AS chunk, array_to_string(w[s + 1 : s + 600], ' ') AS chunk_text FROM (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 500)) AS s FROM w)""")(lambda t: t.legal.select("doc_id", F.posexplode(x.chunks(F.col("text"), 600, 100)).alias("chunk", "chunk_text")))
 query("t19_token_chunks", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM legal)

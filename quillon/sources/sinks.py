@@ -12,10 +12,12 @@ _own: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one where that is unset and all runs in one process."""
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if given:
         return f"{given.rstrip('/')}/quillon-sinks"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="quillon-"))
         atexit.register(shutil.rmtree, _own[0], True)

@@ -21,9 +21,9 @@ ADAPTERS: dict[str, str] = {
         WHEN 2 THEN 'What is the Punishment for theft' WHEN 3 THEN 'Has Section 66A of the IT Act been amended in 2015?' WHEN 4 THEN 'Explain BNSS Section 35 and CrPC Section 41'
         WHEN 5 THEN 'Cases decided on bail' WHEN 6 THEN 'AIR 1978 SC 597' WHEN 7 THEN 'Compare the old and new evidence law' WHEN 8 THEN '' ELSE 'Is consideration needed for contract ' || CAST(event_id % 7 AS STRING) || '?' END AS query_text
         FROM events""",
-    "responses_log": f"""SELECT event_id * 2 AS response_id, event_id AS query_id, event_type AS query_type, value * 25 AS response_time_ms,
+    "responses_log": f"""SELECT event_id * 2 AS response_id, CASE WHEN event_id % 7 = 0 THEN -1 - event_id ELSE event_id END AS query_id, event_type AS query_type, value * 25 AS response_time_ms,
         CASE WHEN value < 15 THEN 'LOW' WHEN value < 50 THEN 'MEDIUM' ELSE 'HIGH' END AS confidence, {_K} % 8 AS sources_count, {_K} % 4 AS bare_acts_retrieved,
-        {_K} % 3 AS case_laws_retrieved, {_K} % 2 AS amendments_retrieved, event_id % 9 = 0 AS trigger_uncertainty, ts AS timestamp FROM events WHERE event_id % 7 <> 0
+        {_K} % 3 AS case_laws_retrieved, {_K} % 2 AS amendments_retrieved, event_id % 9 = 0 AS trigger_uncertainty, ts AS timestamp FROM events
         UNION ALL SELECT event_id * 2 + 1, event_id, event_type, value * 30, 'MEDIUM', 3, 1, 1, 1, false, ts FROM events WHERE event_id % 5 = 0""",
     "feedback": """SELECT doc_id AS feedback_id, doc_id AS query_id, doc_id * 2 AS response_id, CAST(1 + (doc_id * 7 + quality) % 5 AS INT) AS rating, quality = 1 AS helpful, toxic = 0 AS accurate FROM labels""",
     # corpus
@@ -41,12 +41,13 @@ ADAPTERS: dict[str, str] = {
         WHEN 10 THEN 'POCSO and the Information Technology Act, Section 66A, were cited. PAGE 1 OF 10'
         ELSE 'section 420.0 420 420A x' END || ' ' || coalesce(text, '') AS text FROM documents""",
     "bare_acts": """SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name,
-        CAST(300 + doc_id % 37 AS STRING) AS section_number, source, lang, n_chars, 'Offence ' || CAST(doc_id % 11 AS STRING) AS section_title, text AS full_text, doc_id % 3 = 0 AS is_replaced FROM documents WHERE doc_id % 37 <> 8""",
+        CAST(CASE WHEN doc_id % 37 = 8 THEN 908 ELSE 300 + doc_id % 37 END AS STRING) AS section_number, source, lang, n_chars, CASE doc_id % 23 WHEN 1 THEN 'Punishment for theft' WHEN 2 THEN 'Dishonestly inducing delivery of property' WHEN 3 THEN 'Definition of electronic evidence'
+        WHEN 4 THEN 'Anticipatory bail and arrest without trial' WHEN 5 THEN 'Criminal breach of trust by public servant' WHEN 6 THEN 'Agreement in restraint of marriage' WHEN 7 THEN 'Culpable homicide; dowry death. ' WHEN 8 THEN 'Insolvency  of  company director' ELSE 'Offence ' || CAST(doc_id % 11 AS STRING) END AS section_title, text AS full_text, doc_id % 3 = 0 AS is_replaced FROM documents""",
     "case_law": """SELECT doc_id AS case_id, 'AIR ' || CAST(1950 + doc_id % 70 AS STRING) || ' SC ' || CAST(doc_id % 50 AS STRING) AS citation, 1950 + doc_id % 70 AS year, source AS court, lang, n_chars, text AS chunk_text FROM documents""",
     "amendments": """SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Companies Act 2013' END AS act_name,
-        CAST(300 + event_id % 41 AS STRING) AS section_number, 1990 + event_id % 34 AS amendment_year, event_type AS importance FROM events WHERE event_id % 10 = 3""",
-    "overruling_map": """SELECT event_id AS id, 'AIR ' || CAST(1950 + event_id % 70 AS STRING) || ' SC ' || CAST(event_id % 50 AS STRING) AS overruled_citation, '(2018) 5 SCC ' || CAST(event_id AS STRING) AS overruled_by_citation,
-        2000 + event_id % 24 AS year_overruled, event_type AS legal_area FROM events WHERE event_id % 6 = 1""",
+        CAST(CASE WHEN event_id % 10 = 3 THEN 300 + event_id % 41 ELSE 1000 + event_id END AS STRING) AS section_number, 1990 + event_id % 34 AS amendment_year, event_type AS importance FROM events""",
+    "overruling_map": """SELECT event_id AS id, CASE WHEN event_id % 6 = 1 THEN 'AIR ' || CAST(1950 + event_id % 70 AS STRING) || ' SC ' || CAST(event_id % 50 AS STRING) ELSE 'SCR ' || CAST(event_id AS STRING) END AS overruled_citation, '(2018) 5 SCC ' || CAST(event_id AS STRING) AS overruled_by_citation,
+        2000 + event_id % 24 AS year_overruled, event_type AS legal_area FROM events""",
     # evaluation
     "ground_truth": """SELECT doc_id AS row_idx, 'Q' || CAST(doc_id AS STRING) AS query_id, lang AS domain,
         CASE doc_id % 5 WHEN 0 THEN 'Section Lookup' WHEN 1 THEN 'Case Law Search' WHEN 2 THEN 'BNS Transition' WHEN 3 THEN 'Amendment Query' ELSE 'Multi-hop' END AS category,
@@ -66,13 +67,17 @@ ADAPTERS: dict[str, str] = {
         CASE WHEN (d.doc_id + s.n) % 5 = 4 THEN NULL WHEN (d.doc_id + s.n) % 3 = 0 THEN 'case_law' ELSE 'bare_act' END AS type1,
         CASE (d.doc_id + s.n) % 5 WHEN 0 THEN 'Indian Penal Code' WHEN 1 THEN 'BNS' WHEN 2 THEN 'CrPC' WHEN 3 THEN 'NI Act' ELSE NULL END AS act1,
         CASE WHEN (d.doc_id + s.n) % 5 = 4 THEN NULL WHEN (d.doc_id + s.n) % 3 = 0 THEN 'AIR 1978 SC ' || CAST(d.doc_id % 30 AS STRING) ELSE 'Section ' || CAST(300 + (d.doc_id + s.n) % 20 AS STRING) END AS section1,
-        CASE WHEN (d.doc_id + s.n) % 4 = 1 THEN 'Companies Act' ELSE NULL END AS act2, CASE WHEN (d.doc_id + s.n) % 4 = 1 THEN CAST(300 + d.doc_id % 20 AS STRING) ELSE NULL END AS section2,
+        CASE WHEN (d.doc_id + s.n) % 4 = 1 THEN CASE d.doc_id % 10 WHEN 1 THEN 'POCSO Act' WHEN 2 THEN 'Hindu Marriage Act' WHEN 3 THEN 'SRA' WHEN 4 THEN 'TPA' WHEN 5 THEN 'PWDVA 2005' WHEN 6 THEN 'Arbitration and Conciliation' WHEN 7 THEN 'Consumer Protection Act' WHEN 8 THEN 'Land Act' WHEN 9 THEN 'BSA' ELSE 'Companies Act' END ELSE NULL END AS act2, CASE WHEN (d.doc_id + s.n) % 4 = 1 THEN CAST(300 + d.doc_id % 20 AS STRING) ELSE NULL END AS section2,
         CASE WHEN (d.doc_id + s.n) % 8 = 3 THEN 'IPC was replaced' ELSE '' END AS transition_note, (d.doc_id + s.n) % 11 = 0 AS trigger_uncertainty, CAST((d.doc_id + s.n) % 40 AS DOUBLE) / 10 AS seconds
         FROM documents d CROSS JOIN (SELECT 'full' AS system, 0 AS n UNION ALL SELECT 'simple', 1 UNION ALL SELECT 'none', 2) s""",
     "scores": """SELECT d.doc_id AS row_idx, 'Q' || CAST(d.doc_id AS STRING) AS query_id, s.system, CASE d.doc_id % 4 WHEN 0 THEN 'criminal' WHEN 1 THEN 'civil' WHEN 2 THEN 'corporate' ELSE 'family' END AS category,
         CASE d.doc_id % 3 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' ELSE 'hard' END AS difficulty, CAST((d.doc_id * 7 + s.n * 3) % 11 AS DOUBLE) / 10 AS car, CAST((d.doc_id * 5 + s.n * 13) % 17 AS DOUBLE) / 16 AS hr, (d.doc_id + s.n * 29) % 101 AS acs,
         CASE WHEN (d.doc_id + s.n) % 6 = 0 THEN 1 ELSE 0 END AS abstained, CASE (d.doc_id + s.n * 2) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, (d.doc_id * 3 + s.n) % 2 AS correct
         FROM documents d CROSS JOIN (SELECT 'full' AS system, 0 AS n UNION ALL SELECT 'simple', 1 UNION ALL SELECT 'none', 2) s""",
+    "asked": """SELECT doc_id AS row_idx, CASE doc_id % 19 WHEN 0 THEN 'What does Section ' || CAST(doc_id % 500 AS STRING) || ' say?' WHEN 1 THEN 'Explain Section ' || CAST(doc_id % 500 AS STRING) || ' of the Indian Penal Code' WHEN 2 THEN 'What is Section ' || CAST(doc_id % 500 AS STRING) || '?'
+        WHEN 3 THEN 'Show me Section ' || CAST(doc_id % 500 AS STRING) WHEN 4 THEN 'Section 9: What does Section 9 cover?' WHEN 5 THEN 'What is the punishment for theft?' WHEN 6 THEN 'What is the sentence for fraud?' WHEN 7 THEN 'How many years imprisonment for forgery?'
+        WHEN 8 THEN 'How long can you be jailed for perjury?' WHEN 9 THEN 'Has AIR 1950 SC 27 been overruled?' WHEN 10 THEN 'What happened to the Negotiable Instruments Act?' WHEN 11 THEN 'What changed in the Code of Criminal Procedure?' WHEN 12 THEN 'Are there new provisions for bail?'
+        WHEN 13 THEN 'What are the legal requirements for a will?' WHEN 14 THEN 'What are the ingredients of cheating?' WHEN 15 THEN '  Is consent needed?  ' WHEN 16 THEN '' WHEN 17 THEN 'What is Section 5 of the Indian Penal Code?' ELSE 'bail in ' || lang END AS query_text FROM documents""",
     "ratings": """SELECT doc_id AS query_id, e.evaluator, CAST((doc_id * 7 + e.n * doc_id % 3) % 5 AS INT) AS score FROM labels CROSS JOIN (SELECT 'a' AS evaluator, 1 AS n UNION ALL SELECT 'b', 2 UNION ALL SELECT 'c', 4) e""",
     "clauses": """SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'ARTICLE 1 TERMS' || chr(10) || 'The parties agree.' || chr(10) || '1.1 Scope' || chr(10) || 'Works described here.' || chr(10) || '2. Payment' || chr(10) || 'Fees are due.' || chr(10)
         WHEN 1 THEN '1. Definitions' || chr(10) || '2. Term' || chr(10) || 'One year.' || chr(10) || 'CONFIDENTIALITY' || chr(10) || 'Keep secrets.' || chr(10) WHEN 2 THEN 'Section 4 Liability' || chr(10) || 'Limited.' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents""",

@@ -1,5 +1,11 @@
 import math
+import os
 import random
+import re
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -106,3 +112,117 @@ def test_upsert_and_topk(spark):
     old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), spark.createDataFrame([(2, "c"), (3, "d")], "k int, v string")
     assert sorted(map(tuple, upsert(old, new, ["k"]).collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert topk(old.unionAll(new), ["k"], ["v"], 1).count() == 3
+
+
+def test_act_names_as_literals(spark):
+    """Against the names themselves, not the engine's table; the first key of which one is a prefix of the other wins."""
+    want = {"IPC": "Indian Penal Code 1860", "indian penal code 186": "Indian Penal Code 1860", "Cr.P.C": "Code of Criminal Procedure 1973", "BNS": "Bharatiya Nyaya Sanhita 2023", "BNSS": "Bharatiya Nagarik Suraksha Sanhita 2023", "IEA": "Indian Evidence Act 1872", "BSA": "Bharatiya Sakshya Adhiniyam 2023", "Consumer Protection Act": "Consumer Protection Act 2019", "HMA": "Hindu Marriage Act 1955", "ACA": "Arbitration and Conciliation Act 1996", "TPA": "Transfer of Property Act 1882", "PWDVA 2005": "Protection of Women from Domestic Violence Act 2005", "POCSO Act": "Protection of Children from Sexual Offences Act 2012", "SRA": "Specific Relief Act 1963", "LA": "Limitation Act 1963", "LAND ACT": "Limitation Act 1963", "BNS Act": "Bharatiya Nyaya Sanhita 2023", "CPC": "Code of Civil Procedure 1908", "NI Act": "Negotiable Instruments Act 1881", "Motor Vehicles Act": None, "": None}
+    rows = spark.createDataFrame(list(enumerate(want)), "i long, a string")
+    got = {r.a: r.name for r in rows.select("a", metrics.act_name(F.col("a")).alias("name")).collect()}
+    assert got == want and len(metrics.ACT_NAMES) == 51 and len(metrics.ACT_VARIANTS) == 16
+
+
+@pytest.mark.parametrize(("act", "cited", "want"), [("PWDVA", "DOMESTIC VIOLENCE ACT 12", True), ("NIA", "N.I. ACT 138", True), ("ACA", "ARBITRATION ACT 34", True), ("EVIDENCE ACT", "INDIAN EVIDENCE ACT 65B", True), ("HMA", "HINDU SUCCESSION ACT", False), ("UNKNOWN ACT", "THE UNKNOWN ACT 3", True), ("SRA", "", False), ("", "", True)])
+def test_act_mentioned(spark, act, cited, want):
+    assert spark.range(1).select(metrics.act_mentioned(F.lit(act), F.lit(cited))).first()[0] is want
+
+
+@pytest.mark.parametrize(("heading", "want"), [("Punishment for theft", "दंड के लिए चोरी"), ("Dishonestly inducing delivery of property", "बेईमानी से प्रेरित करना सुपुर्दगी का संपत्ति"), ("Culpable homicide.", "गैर इरादतन हत्या"), ("Anticipatory bail", "anticipatory जमानत"), ("Offence 3", "अपराध 3"), ("Miscellany", ""), ("", "")])
+def test_heading_alias(spark, heading, want):
+    assert spark.range(1).select(text.heading_alias(F.lit(heading))).first()[0] == want
+
+
+@pytest.mark.parametrize(("query", "want"), [("What is Section 5 of the Indian Penal Code?", "Section 5 of the भारतीय दंड संहिता क्या है?"), (" What is the punishment for theft? ", "theft के लिए सजा क्या है?"), ("Has AIR 1950 SC 27 been overruled?", "क्या AIR 1950 SC 27 को निरस्त किया जा चुका है?"), ("bail?", "bail के बारे में कानूनी स्थिति क्या है?"), ("What does Section 9 say?", "Section 9 say के बारे में कानूनी स्थिति क्या है?")])
+def test_hindi_query(spark, query, want):
+    """The word that is replaced by nothing goes before the templates are tried, so that the first of them never matches."""
+    assert spark.range(1).select(text.hindi_query(F.lit(query))).first()[0] == want
+
+
+def test_act_file(spark):
+    body = "ACT_NAME: The Act\nSHORT_NAME: TA\n\n[SECTION 1] Short title\n  This is \n\n one.\n[SECTION 2A] Next\nTwo"
+    got = sorted(map(tuple, parsing.act_sections(spark.createDataFrame([(body,), ("\n",)], "v string"), "v").collect()))
+    assert got == [("The Act", "TA", "TA_1", "1", "Short title", "Section 1 Short title. This is one."), ("The Act", "TA", "TA_2A", "2A", "Next", "Section 2A Next. Two")]
+    with pytest.raises(Exception, match="missing"):
+        parsing.act_sections(spark.createDataFrame([("no names",)], "v string"), "v").collect()
+
+
+def rows_of(spark, name):
+    from quillon.plans import QUERIES
+    from tests.oracle import DATA
+
+    return [tuple(r) for r in QUERIES[name](spark, DATA).collect()]
+
+
+def frame(spark, name):
+    from quillon.sources.tables import Tables
+    from tests.oracle import DATA
+
+    return getattr(Tables(spark, DATA), name).collect()
+
+
+def test_fallback_split_by_hand(spark):
+    want = []
+    for r in frame(spark, "clauses"):
+        a = re.split(r"\n(?=Section \d+)", r.text)
+        parts = a if len(a) >= 10 else re.split(r"\n(?=\d+\.)", r.text)
+        want += [(r.doc_id, i, x) for i, x in enumerate(parts) if len(x) >= 30]
+    assert sorted(rows_of(spark, "t13_fallback_split")) == sorted(want)
+
+
+def test_auto_numbers_by_hand(spark):
+    want = []
+    for r in frame(spark, "clauses"):
+        top, out = 0, []
+        for h in (x for x in r.text.split("\n") if re.search(r"(?i)^(section|article)\s+[0-9]+|^[0-9]+(\.[0-9]+)*\.?\s+[A-Z]|^[A-Z][A-Z ]{5,60}$", x, re.A)):
+            m = re.match(r"(?i)(?:section|article)?\s*(\d+)", h)
+            top = max(top, int(m[1])) if m else top + 1
+            out.append(m[1] if m else str(top))
+        want.append((r.doc_id, ",".join(out)))
+    assert sorted(rows_of(spark, "t34_auto_numbers")) == sorted(want)
+
+
+def test_round_robin_by_hand(spark):
+    first = {}
+    for r in sorted(frame(spark, "ground_truth"), key=lambda r: r.row_idx):
+        first.setdefault(r.query_text, r)
+    by = {}
+    for r in sorted(first.values(), key=lambda r: r.row_idx):
+        by.setdefault(r.category, []).append(r.row_idx)
+    turns = [(i + 1, c, v[i]) for i in range(40) for c, v in sorted(by.items()) if i < len(v)]
+    assert rows_of(spark, "w11_round_robin") == turns[:40]
+
+
+def test_random_system_is_fair_and_repeatable(spark):
+    got = rows_of(spark, "w17_random_system")
+    assert got == rows_of(spark, "w17_random_system") and len({q for q, _ in got}) == len(got) == len(frame(spark, "ground_truth"))
+    for s in ("full", "simple", "none"):
+        assert len(got) / 3 - 4 * math.sqrt(len(got) * 2 / 9) < sum(x == s for _, x in got) < len(got) / 3 + 4 * math.sqrt(len(got) * 2 / 9)
+
+
+def test_classifier_fit_by_hand(spark):
+    quality = {r.doc_id: float(r.quality) for r in frame(spark, "labels")}
+    rows = []
+    for r in frame(spark, "documents"):
+        if r.doc_id in quality and r.text is not None:
+            n = max(len(r.text), 1)
+            rows.append((r.doc_id, quality[r.doc_id], 10 * len(re.findall(r"[#*$%&|<>]", r.text)) / n, 10 * len(re.findall("[A-Z!]", r.text)) / n))
+    train, w = [r for r in rows if r[0] % 5], [0.0, 0.0, 0.0]
+    for _ in range(60):
+        g = [0.0, 0.0, 0.0]
+        for _, y, a, b in train:
+            e = y - 1 / (1 + math.exp(-(a * w[0] + b * w[1] + w[2])))
+            g = [g[0] + e * a, g[1] + e * b, g[2] + e]
+        w = [v + x / len(train) for v, x in zip(w, g)]
+    want = {r[0]: 1 / (1 + math.exp(-(r[2] * w[0] + r[3] * w[1] + w[2]))) for r in rows if r[0] % 5 == 0}
+    assert {d: p for d, _, p in rows_of(spark, "e23_classifier_fit")} == {d: pytest.approx(p, abs=2e-6) for d, p in want.items()}
+
+
+def test_works_without_the_optional_folders(tmp_path):
+    """In a copy without them the entry point imports and has the engine's own queries."""
+    root = Path(__file__).resolve().parents[1]
+    for name in ("quillon", "tests"):
+        shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__", "llm"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; from quillon.plans import QUERIES, ORACLES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES); import tests.test_units, tests.test_queries; print('fine')"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "fine", done.stderr
