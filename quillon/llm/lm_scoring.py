@@ -6,11 +6,12 @@ fingerprint's top bits. A shard adds them up and builds its own segment of the
 filter: an n-gram of count c is entered as the events (n-gram, 1) to
 (n-gram, q), q = 1 + floor(log2 c). The segments grow with what was counted.
 
-Scoring. The segments are broadcast: all of the words', and the pairs' in one
-or more groups of at most ``most_mb``, made and freed one after the other, with
-a pass over the texts for each group (a sum over tokens can be made in parts). A
-count is read by repeated membership probes (n-gram, 1), (n-gram, 2), ... until
-one fails, and stands for the middle of its range. A token's probability mixes
+Scoring. The filter is put together and broadcast while the words' part has at
+most ``most_words_mb`` and the pairs' at most ``most_mb``. A larger one stays
+where it is: the texts' distinct words and pairs are dealt to its shards, each
+shard probes its own segment, and the answers are joined to the numbered tokens,
+with the same scores. A count is read by repeated membership probes (n-gram, 1),
+(n-gram, 2), ... until one fails, and stands for the middle of its range. A token's probability mixes
 the pair's share of its history with the word's, by a weight that depends on the
 history's quantised count and is fitted by leaving each token out, over all
 training texts. Words' shares are of the sum of all words' read counts, and
@@ -29,7 +30,7 @@ doesn't know needs no join; what is left is rare in training texts.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +39,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from quillon.llm.common import ship, small_batches, table, written
+from quillon.llm.common import drop, ship, small_batches, table, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Bits of the filter an event, and probes an event, all in one 64-bit block.
 BITS, PROBES = 12, 5
-MOST_MB, FREQUENT = 256, 1_000_000
-#: The words' filter is broadcast whole, up to so many MB; beyond them the operator stops.
-MOST_WORDS_MB = 1024
+#: Most MB of the pairs' and of the words' filter that are broadcast; words whose counts are.
+MOST_MB, MOST_WORDS_MB, FREQUENT = 256, 256, 1_000_000
 #: Bits of a pair's fingerprint before those of its history.
 SALT = 4
 LEVELS = 48
@@ -106,6 +107,11 @@ def encoded(texts: pa.Array, most: int = 2_000_000) -> Iterator[tuple[int, int,
     pa.default_memory_pool().release_unused()
 
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shards of fingerprints: their top bits, for a power of two of shards."""
+    return (keys >> U(64 - shards.bit_length() + 1)).astype(np.int64) if shards > 1 else np.zeros(len(keys), np.int64)
+
+
 def pairs(t: np.ndarray) -> np.ndarray:
     """Fingerprints of each token with the one before it (the first's is an end)."""
     h = np.empty_like(t)
@@ -167,14 +173,14 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 
 
 class Filter:
-    """The segments of the shards low to high - 1, put together.
+    """The segments of the shards, put together; a shard without one holds nothing.
 
     With the ``sizes`` of the segments given, they may come one by one in any
     order, so that there is never more than one copy of them all.
     """
 
-    def __init__(self, shards: int, low: int, high: int, segments: dict[int, bytes] | Iterable[tuple[int, bytes]], sizes: dict[int, int] | None = None):
-        self.shards, self.low, self.high = shards, low, high
+    def __init__(self, shards: int, segments: dict[int, bytes] | Iterable[tuple[int, bytes]], sizes: dict[int, int] | None = None):
+        self.shards = shards
         self.start, self.size = np.zeros(shards, U), np.zeros(shards, U)
         if isinstance(segments, dict):
             segments, sizes = segments.items(), {k: len(x) for k, x in segments.items()}
@@ -186,14 +192,11 @@ class Filter:
         for k, x in segments:
             self.bits[8 * int(self.start[k]) : 8 * int(self.start[k] + self.size[k])] = x
 
-    def shard(self, keys: np.ndarray) -> np.ndarray:
-        return (keys >> U(64 - self.shards.bit_length() + 1)).astype(np.int64) if self.shards > 1 else np.zeros(len(keys), np.int64)
-
     def levels(self, keys: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
         """Quantised counts, by probing one level after the other, up to ``most``."""
         blocks = np.frombuffer(self.bits, "<u8")
         q = np.zeros(len(keys), np.int64)
-        shard = self.shard(keys)
+        shard = shard_of(keys, self.shards)
         start, size = self.start[shard], self.size[shard]
         live = np.flatnonzero(size > 0)
         for level in range(1, LEVELS):
@@ -219,7 +222,6 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
 
     ``total`` has the words' tokens in kind 0, their number in kind 1, and twice the sum of their read counts in kind 4.
     """
-    shift = U(64 - shards.bit_length() + 1)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds, counts, two, n = [], [], [], 0
@@ -234,8 +236,7 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
                     k, c = added(every)
                     del every
                 c = c.astype(np.uint32)
-                shard = (k >> shift).astype(np.int32) if shards > 1 else np.zeros(len(k), np.int32)
-                cuts = np.searchsorted(shard, np.arange(shards + 1))
+                cuts = np.searchsorted(shard_of(k, shards), np.arange(shards + 1))
                 some = [s for s in range(shards) if cuts[s] < cuts[s + 1]]
                 for i in range(0, len(some), 16):
                     part = some[i : i + 16]
@@ -298,9 +299,9 @@ def _count(docs: DataFrame, key: str, text: str, shards: int) -> DataFrame:
     return written(dealt.mapInArrow(merge, "kind int, shard int, hashes array<long>, counts array<long>, filter binary, total long"), "lm-counts")
 
 
-def _filter(counted: DataFrame, kind: int, shards: int, low: int, high: int, most: int = 16_000_000) -> Filter:
-    """The filter of a range of shards, brought to the driver in pieces of about ``most`` bytes."""
-    rows = counted.filter((F.col("kind") == kind) & (F.col("shard") >= low) & (F.col("shard") < high))
+def _filter(counted: DataFrame, kind: int, shards: int, most: int = 16_000_000) -> Filter:
+    """The whole filter, brought to the driver in pieces of about ``most`` bytes."""
+    rows = counted.filter(F.col("kind") == kind)
     sizes = dict(rows.select("shard", F.length("filter")).collect())
 
     def segments():
@@ -312,7 +313,7 @@ def _filter(counted: DataFrame, kind: int, shards: int, low: int, high: int, mos
                     yield r.shard, r.filter
                 first, waiting = k + 1, 0
 
-    return Filter(shards, low, high, segments(), sizes)
+    return Filter(shards, segments(), sizes)
 
 
 def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -344,14 +345,14 @@ def _frequent(counted: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarra
 
 
 class Model:
-    """Counts out of the filters, for one group of the pairs' shards.
+    """Probabilities out of read counts.
 
     ``top`` and ``sums`` are the frequent words' fingerprints, sorted, and the sums of
     the read counts of the pairs that they begin; ``norm`` is the words' sum with what smooths it.
     """
 
-    def __init__(self, words: Filter, two: Filter, norm: float, top: np.ndarray, sums: np.ndarray):
-        self.words, self.two, self.norm, self.top, self.sums = words, two, norm, top, sums
+    def __init__(self, norm: float, top: np.ndarray, sums: np.ndarray):
+        self.norm, self.top, self.sums = norm, top, sums
 
     def summed(self, kinds: np.ndarray) -> np.ndarray:
         """The sums of words that are frequent; 0 for others."""
@@ -360,31 +361,73 @@ class Model:
         at = np.minimum(np.searchsorted(self.top, kinds), len(self.top) - 1)
         return np.where(self.top[at] == kinds, self.sums[at], 0.0)
 
-    def read(self, kinds: np.ndarray, place: np.ndarray, left_out: bool) -> tuple[np.ndarray, ...]:
-        """For the tokens of whole texts in a row: which pairs belong to this group, the histories' levels, the pairs' shares, the words' probabilities, the words' levels.
+    def read(self, kinds: np.ndarray, place: np.ndarray, levels: np.ndarray, two: Callable[[np.ndarray, np.ndarray], np.ndarray], left_out: bool) -> tuple[np.ndarray, ...]:
+        """For the tokens of whole texts in a row: the histories' levels, the pairs' shares, the words' probabilities, the words' levels.
 
+        ``levels`` are those of the kinds; ``two`` gives pairs' levels up to a most.
         Each text ends with an end token, so that what stands before a text's first token is one.
         """
-        t = kinds[place]
-        p = pairs(t)
-        levels = self.words.levels(kinds)
-        before = np.empty(len(t), np.int64)
+        before = np.empty(len(place), np.int64)
         level = levels[place]
         before[0], before[1:] = levels[-1], level[:-1]
         sums = self.summed(kinds)
-        of = np.empty(len(t))
+        of = np.empty(len(place))
         of[0], of[1:] = sums[-1], sums[place[:-1]]
-        most = np.minimum(level, before)  # a pair isn't more frequent than its words
+        pair = two(pairs(kinds[place]), np.minimum(level, before))  # a pair isn't more frequent than its words
         one, less = MEANS[levels], int(left_out)
-        if self.two.low == 0 and self.two.high == self.two.shards:
-            own, two = np.ones(len(t), bool), self.two.levels(p, most)
-        else:
-            shard = self.two.shard(p)
-            own, two = (self.two.low <= shard) & (shard < self.two.high), np.zeros(len(t), np.int64)
-            two[own] = self.two.levels(p[own], most[own])
         frequent = of > 0
-        share = np.maximum(np.where(frequent, MEANS[two], LEASTS[two]) - less, 0) / np.maximum(np.where(frequent, of, MOSTS[before]) - less, 1)
-        return own, before, np.minimum(1, share), ((np.maximum(one - less, 0) + 0.5) / self.norm)[place], level
+        share = np.maximum(np.where(frequent, MEANS[pair], LEASTS[pair]) - less, 0) / np.maximum(np.where(frequent, of, MOSTS[before]) - less, 1)
+        return before, np.minimum(1, share), ((np.maximum(one - less, 0) + 0.5) / self.norm)[place], level
+
+
+def _dealt(docs: DataFrame, counted: DataFrame, shards: int) -> DataFrame:
+    """Levels of all words and pairs of (key, text) rows, read by the shards: rows of (ids, n, kinds, place, answers).
+
+    A row has a range of texts as encoded() gives it, its numbers written before
+    they are dealt. answers are (kind, shard, levels), of the sorted fingerprints
+    of its words (kind 1) and of its distinct pairs (kind 2).
+    """
+    schema = T.StructType().add("rid", "long").add("ids", T.ArrayType(docs.schema["key"].dataType)).add("n", "binary").add("kinds", "binary").add("place", "binary")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rid = TaskContext.get().partitionId() << 40
+        for b in batches:
+            for start, end, n, kinds, place in encoded(b.column(1)):
+                ids = pa.ListArray.from_arrays(pa.array([0, end - start], pa.int32()), b.column(0)[start:end])
+                yield pa.RecordBatch.from_arrays([pa.array([rid], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in (n, kinds, place))], names=schema.names)
+                rid += 1
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, kinds, place in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                kinds, place = np.frombuffer(kinds, U), np.frombuffer(place, np.int32)
+                for kind, keys in ((1, np.sort(kinds)), (2, np.unique(pairs(kinds[place])))):
+                    cuts = np.searchsorted(shard_of(keys, shards), np.arange(shards + 1))
+                    some = np.flatnonzero(np.diff(cuts))
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array([rid] * len(some), pa.int64()), pa.array([keys[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], names=["kind", "shard", "rid", "part"])
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own = None, None
+        for b in batches:
+            out = []
+            for kind, shard, rid, part in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (kind, shard) != at:
+                    at, own = (kind, shard), Filter(shards, {})
+                if rid < 0:  # the shard's own segment, before what is asked of it
+                    own = Filter(shards, {shard: part})
+                else:
+                    out.append((kind, shard, rid, own.levels(np.frombuffer(part, U)).astype(np.uint8).tobytes()))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["kind", "shard", "rid", "levels"])
+
+    numbered = written(docs.mapInArrow(number, schema), "lm-tokens")
+    segments = counted.filter("kind IN (1, 2)").filter("filter IS NOT NULL").select("kind", "shard", F.lit(-1).cast("long").alias("rid"), F.col("filter").alias("part"))
+    asked = numbered.select("rid", "kinds", "place").mapInArrow(deal, "kind int, shard int, rid long, part binary").unionAll(segments)
+    answered = asked.repartitionById(shards, F.col("shard")).sortWithinPartitions("kind", "shard", "rid").mapInArrow(probe, "kind int, shard int, rid long, levels binary")
+    answers = answered.groupBy("rid").agg(F.collect_list(F.struct("kind", "shard", "levels")).alias("answers"))  # no more of a range than its own words and pairs
+    out = written(numbered.join(answers, "rid").drop("rid"), "lm-levels")
+    drop(numbered)
+    return out
 
 
 #: Bins of the log2 of a pair's share over its word's probability, for the fit; the first is for no pair.
@@ -397,9 +440,9 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     Trained on the rows that aren't held out (see held_out). A null or empty
     text is its end token alone. Null keys count as the empty text for the fold;
     repeated rows each count and are each scored. Without training rows
-    train_tokens is 0 and every base probability 1. A words' filter of more than
-    ``most_words_mb`` is an error, as it is broadcast whole. Texts are read whole;
-    other columns aren't read.
+    train_tokens is 0 and every base probability 1. A filter beyond ``most_mb`` or
+    ``most_words_mb`` isn't broadcast but asked in its shards; the result is the
+    same. Texts are read whole; other columns aren't read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -413,104 +456,98 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     least, top, top_counts, top_sums = _frequent(counted, frequent)
     share = lambda c: np.log10((c + 0.5) / (total + 0.5 * (kinds + 1)))
     sc = spark.sparkContext
-    if 1 in sums and sums[1].bytes > most_words_mb * 1e6:
-        raise ValueError(f"the words' filter has {sums[1].bytes / 1e6:.0f} MB; most_words_mb allows {most_words_mb}")
-    shared = sc.broadcast({"words": _filter(counted, 1, shards, 0, shards), "top": top, "sums": top_sums, "logs": share(top_counts)})
     read_norm = (sums[4].total / 2 if 4 in sums else 0) + 0.5 * (kinds + 1)
-    group = max(1, int(shards * most_mb * 1e6 / max(1, sums[2].bytes))) if 2 in sums else shards
-    starts = range(0, shards, group)
-    held: dict = {}
-
-    def pairs_of(i: int):
-        """The broadcast filter of the shards from ``i``, in place of the one before it."""
-        if i not in held:
-            for b in held.values():
-                b.destroy()
-            held.clear()
-            held[i] = sc.broadcast(_filter(counted, 2, shards, i, min(i + group, shards)))
-        return held[i]
-
-    def model(two) -> Model:
-        v = shared.value
-        return Model(v["words"], two.value, read_norm, v["top"], v["sums"])
-
-    def fit(two):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m = model(two)
-            sums = np.zeros((LEVELS + 1) * _BINS, np.int64)
-            for b in batches:
-                for _, _, _, k, place in encoded(b.column(1).filter(_trained(b.column(0)))):
-                    own, before, pair, one, _ = m.read(k, place, True)
-                    x = pair[own] / one[own]
-                    some = x > 0
-                    bins = np.zeros(len(x), np.int64)
-                    bins[some] = np.clip((np.log2(x[some]) - _LOWEST) * _FINE + 1, 1, _BINS - 1).astype(np.int64)
-                    sums += np.bincount(before[own] * _BINS + bins, minlength=len(sums))
-            at = np.flatnonzero(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bin", "n"])
-
-        return docs.mapInArrow(run, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    small = all(k not in sums or sums[k].bytes <= mb * 1e6 for k, mb in ((1, most_words_mb), (2, most_mb)))
+    shared = sc.broadcast({"top": top, "sums": top_sums, "logs": share(top_counts)} | ({"words": _filter(counted, 1, shards)} if small else {}))
+    two = sc.broadcast(_filter(counted, 2, shards)) if small else None
+    source = docs if small else _dealt(docs, counted, shards)
+
+    def model() -> Model:
+        return Model(read_norm, shared.value["top"], shared.value["sums"])
+
+    def probed(batches: Iterator[pa.RecordBatch], left_out: bool):
+        """Ranges of texts with the broadcast filter's counts: keys, tokens of each text, kinds, places, which tokens count, and what read() gives."""
+        m, words = model(), shared.value["words"]
+        for b in batches:
+            ids, texts = b.columns
+            if left_out:
+                own = _trained(ids)
+                ids, texts = ids.filter(own), texts.filter(own)
+            for start, end, n, k, place in encoded(texts):
+                yield ids[start:end].to_pylist(), n, k, place, slice(None), m.read(k, place, words.levels(k), two.value.levels, left_out)
+
+    def answered(batches: Iterator[pa.RecordBatch], left_out: bool):
+        """The same, with the shards' answers."""
+        m = model()
+        for b in batches:
+            for ids, n, k, place, answers in zip(*b.columns, strict=True):
+                ids, answers = ids.as_py(), sorted(answers.as_py(), key=lambda x: (x["kind"], x["shard"]))
+                n, k, place = (np.frombuffer(x.as_buffer(), t) for x, t in ((n, np.int64), (k, U), (place, np.int32)))
+                one, of_pairs = (np.frombuffer(b"".join(x["levels"] for x in answers if x["kind"] == i), np.uint8).astype(np.int64) for i in (1, 2))
+                levels = np.empty(len(k), np.int64)
+                levels[np.argsort(k)] = one
+                own = np.repeat([not held_out(x) for x in ids], n) if left_out else slice(None)
+                yield ids, n, k, place, own, m.read(k, place, levels, lambda p, most, q=of_pairs: np.minimum(q[np.unique(p, return_inverse=True)[1]], most), left_out)
+
+    reads = probed if small else answered
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((LEVELS + 1) * _BINS, np.int64)
+        for _, _, _, _, own, (before, pair, one, _) in reads(batches, True):
+            x = pair[own] / one[own]
+            some = x > 0
+            bins = np.zeros(len(x), np.int64)
+            bins[some] = np.clip((np.log2(x[some]) - _LOWEST) * _FINE + 1, 1, _BINS - 1).astype(np.int64)
+            sums += np.bincount(before[own] * _BINS + bins, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums[at], pa.int64())], names=["bin", "n"])
 
     weights = np.zeros(LEVELS + 1)
     if total:
         n = np.zeros((LEVELS + 1) * _BINS)
-        for g in starts:
-            with small_batches(spark):
-                binned = fit(pairs_of(g)).collect()  # at most LEVELS * _BINS rows
-            for r in binned:
-                n[r.bin] += r.n
+        with small_batches(spark):
+            binned = source.mapInArrow(fit, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()  # at most LEVELS * _BINS rows
+        for r in binned:
+            n[r.bin] = r.n
         x = np.concatenate([[0.0], 2.0 ** ((np.arange(1, _BINS) - 0.5) / _FINE + _LOWEST)])
         gain = np.log(1 - GRID + np.outer(x, GRID))  # of each bin and weight, over the word alone
         weights = GRID[(n.reshape(LEVELS + 1, _BINS) @ gain).argmax(axis=1)]
 
-    kind = docs.schema["key"]
-    first_schema = T.StructType([kind]).add("rid", "long").add("held_out", "boolean").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", T.ArrayType(T.LongType())).add("score", "double")
-    other_schema = T.StructType().add("rid", "long").add("score", "double")
-
-    def score(two, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            m, part, i = model(two), TaskContext.get().partitionId() << 40, 0
-            top, logs = shared.value["top"], shared.value["logs"]
-            for b in batches:
-                ids = b.column(0).to_pylist()
-                for start, end, n, kinds_, where in encoded(b.column(1)):
-                    first_of = np.cumsum(n) - n
-                    own, before, pair, one, level = m.read(kinds_, where, False)
-                    w = weights[before]
-                    scores = np.add.reduceat(np.where(own, np.log10(w * pair + (1 - w) * one), 0), first_of)
-                    rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
-                    i += len(n)
-                    if not first:
-                        yield pa.RecordBatch.from_arrays([rid, pa.array(scores, pa.float64())], names=["rid", "score"])
-                        continue
-                    place = np.minimum(np.searchsorted(top, kinds_), max(0, len(top) - 1))
-                    known_kind = top[place] == kinds_ if len(top) else np.zeros(len(kinds_), bool)
-                    there = known_kind[where]
-                    base = np.add.reduceat(np.where(known_kind, logs[place] if len(top) else 0, 0)[where], first_of)
-                    known = np.add.reduceat(there.astype(np.int64), first_of)
-                    asked = ~there & (level > 0)  # what the filter lacks was never counted
-                    n_rare = np.add.reduceat(asked.astype(np.int64), first_of)
-                    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(kinds_[where[asked]].view(np.int64), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([b.column(0)[start:end], rid, pa.array([held_out(d) for d in ids[start:end]], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=first_schema.names)
-
-        return docs.mapInArrow(run, first_schema if first else other_schema)
-
-    rows = written(score(pairs_of(0), True), "lm-scores")
+    key_type = docs.schema["key"]
+    schema = T.StructType([key_type]).add("rid", "long").add("held_out", "boolean").add("n_tokens", "long").add("known", "long").add("base", "double").add("rare", T.ArrayType(T.LongType())).add("score", "double")
+    arrow_key = to_arrow_type(key_type.dataType)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, i = TaskContext.get().partitionId() << 40, 0
+        top, logs = shared.value["top"], shared.value["logs"]
+        for ids, n, kinds_, where, _, (before, pair, one, level) in reads(batches, False):
+            first_of = np.cumsum(n) - n
+            w = weights[before]
+            scores = np.add.reduceat(np.log10(w * pair + (1 - w) * one), first_of)
+            rid = pa.array(range(part | i, (part | i) + len(n)), pa.int64())
+            i += len(n)
+            place = np.minimum(np.searchsorted(top, kinds_), max(0, len(top) - 1))
+            known_kind = top[place] == kinds_ if len(top) else np.zeros(len(kinds_), bool)
+            there = known_kind[where]
+            base = np.add.reduceat(np.where(known_kind, logs[place] if len(top) else 0, 0)[where], first_of)
+            known = np.add.reduceat(there.astype(np.int64), first_of)
+            asked = ~there & (level > 0)  # what the filter lacks was never counted
+            n_rare = np.add.reduceat(asked.astype(np.int64), first_of)
+            rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_rare)]), pa.int32()), pa.array(kinds_[where[asked]].view(np.int64), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, arrow_key), rid, pa.array([held_out(d) for d in ids], pa.bool_()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), rare, pa.array(scores, pa.float64())], names=schema.names)
+
+    rows = written(source.mapInArrow(score, schema), "lm-scores")
+    for b in (shared, two):  # all that needs them is written
+        if b is not None:
+            b.destroy()
+    if not small:
+        drop(source)
     rare = rows.select("rid", F.explode("rare").alias("hash"))
     counts = counted.filter("kind = 0").select(F.inline(F.arrays_zip("hashes", "counts"))).filter(F.col("counts") < least)
     norm = total + 0.5 * (kinds + 1)
     parts = rare.join(counts, rare.hash == counts.hashes).groupBy("rid").agg(F.count("*").alias("seen"), F.sum(F.log10((F.col("counts") + 0.5) / norm)).alias("more"))
-    out = rows.drop("rare")
-    if len(starts) > 1:
-        rest = [written(score(pairs_of(g), False), "lm-scores") for g in starts[1:]]  # alone, as a union would number the partitions anew
-        every = rest[0]
-        for r in rest[1:]:
-            every = every.unionAll(r)
-        out = out.join(every.groupBy("rid").agg(F.sum("score").alias("rest")), "rid").withColumn("score", F.col("score") + F.col("rest"))
-    for b in (shared, *held.values()):  # all that needs them is written
-        b.destroy()
     seen = F.coalesce("seen", F.lit(0))
-    return out.join(parts, "rid", "left").select(
+    return rows.join(parts, "rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("known") - seen) * F.lit(float(np.log10(0.5 / norm)))).alias("base_score"), "score",
     )

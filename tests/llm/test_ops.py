@@ -57,6 +57,7 @@ OPERATORS = {
     "hits": lambda d: decontaminate.hits(d, benchmark(d.sparkSession)),
     "tokens": lambda d: token_counts.count_tokens(d),
     "lm": lambda d: lm_scoring.lm_scores(d),
+    "lm in shards": lambda d: lm_scoring.lm_scores(d, most_mb=0),
     "private": lambda d: private_data.private_data(d),
     "near": lambda d: near_dedup.near_duplicates(d),
     "resample": lambda d: quality_resampling.resample(d, d.sparkSession.read.parquet(f"{DATA}/labels.parquet")),
@@ -216,7 +217,7 @@ def test_lm_scores(spark, docs, texts):
     toks = {i: [*x.encode().lower().split(), None] for i, x in texts.items()}
     c = Counter(w for i, x in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1 for w in x)
     n, v = sum(c.values()), len(c)
-    runs = [by_id(lm_scoring.lm_scores(docs, **k)) for k in ({}, {"most_mb": 0.02}, {"frequent": 50})]
+    runs = [by_id(lm_scoring.lm_scores(docs, **k)) for k in ({}, {"most_mb": 0.02}, {"frequent": 50}, {"most_words_mb": 0, "frequent": 50})]
     for i, x in toks.items():
         want = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in x)
         for got in runs:
@@ -224,6 +225,7 @@ def test_lm_scores(spark, docs, texts):
             assert r.base_score == pytest.approx(want) and (r.n_known, r.n_tokens, r.train_tokens) == (sum(c[w] > 0 for w in x), len(x), n)
             assert r.score < 0
         assert runs[0][i].score == pytest.approx(runs[1][i].score)
+        assert runs[2][i].score == pytest.approx(runs[3][i].score)
     held = [r for r in runs[0].values() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
@@ -305,7 +307,7 @@ def test_log_frequency_filter():
     r = np.random.default_rng(1)
     keys = np.unique(r.integers(0, 1 << 64, 5000, np.uint64))
     counts = r.integers(1, 1000, len(keys))
-    f = lm_scoring.Filter(1, 0, 1, {0: lm_scoring.segment(keys, counts)})
+    f = lm_scoring.Filter(1, {0: lm_scoring.segment(keys, counts)})
     q = f.levels(keys)
     assert (q >= lm_scoring.quantised(counts)).all() and (q == lm_scoring.quantised(counts)).mean() > 0.97
     assert (f.levels(r.integers(0, 1 << 64, 5000, np.uint64)) > 0).mean() < 0.03
