@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as x
+from quillon.operators.retrieval import cosine
 
 # Act names, their variants and word lists, in their order.
 ACT_NAMES = {
@@ -160,3 +161,30 @@ def hallucinations(j: DataFrame, sections: DataFrame, cases: DataFrame) -> DataF
     out = j.select("row_idx", "system", inline.alias("inline")).join(per, ["row_idx", "system"], "left").fillna(0, ["claims", "sections", "cases"])
     total = F.col("claims") + F.col("inline")
     return out.withColumn("total", total).withColumn("rate", (F.col("sections") + F.col("cases") + F.col("inline")) / F.greatest(total, F.lit(1)))
+
+
+def semantic(reference: Column, answer_vector: Column, answer: Column, fallback: Column) -> Column:
+    """Closeness of an answer's vector to its reference's in per cent: 0 for an empty answer, the fallback where a vector is missing."""
+    close = (cosine(reference, answer_vector) + 1) / 2 * 100
+    missing = reference.isNull() | answer_vector.isNull()
+    return F.when(F.trim(answer) == "", 0.0).when(missing, fallback).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), close)), 2))
+
+
+#: The categories that are asked of the cases.
+CASE_CATEGORIES = ["case_law_search", "overruled_detection"]
+
+
+def precision_at_k(ranked: DataFrame, truth: DataFrame, acts: DataFrame, cases: DataFrame, ks: tuple[int, ...] = (1, 3)) -> DataFrame:
+    """Rows of (row_idx, p_at_k for each k): of what ``ranked`` (row_idx, doc_id, rank) found, the share that its metadata make relevant.
+
+    A question of the cases wants the expected citation, any other the act's
+    full name and its section. A question without results has 0.
+    """
+    found = ranked.filter(F.col("rank") <= max(ks)).select("row_idx", "doc_id", "rank")
+    found = found.join(acts.select(F.col("id").alias("doc_id"), "act_name", "section_number"), "doc_id", "left").join(cases.select(F.col("case_id").alias("doc_id"), "citation"), "doc_id", "left")
+    case = F.lower(F.replace("category", F.lit(" "), F.lit("_"))).isin(CASE_CATEGORIES)
+    act = (F.col("section_number") == F.col("correct_section")) & (F.col("act_name") == F.coalesce(act_name(F.col("correct_act")), F.lower("correct_act")))
+    hit = F.coalesce(F.when(case, F.col("citation") == F.col("correct_citation")).otherwise(act), F.lit(False))
+    j = truth.select("row_idx", "category", "correct_act", "correct_section", "correct_citation").join(found, "row_idx", "left").withColumn("hit", hit)
+    share = lambda k: F.count_if(F.col("hit") & (F.col("rank") <= k)) / F.greatest(F.least(F.lit(k), F.count("rank")), F.lit(1))
+    return j.groupBy("row_idx").agg(*[F.round(share(k), 6).alias(f"p_at_{k}") for k in ks])

@@ -9,6 +9,7 @@ from quillon.functions import rules as r
 from quillon.operators import metrics as m
 from quillon.operators.relational import topk
 from quillon.plans.registry import query
+from quillon.plans.retrieval_plans import FUSED_SQL, fused
 from quillon.plans.rule_plans import ABSTAIN_SQL, any_sql
 from quillon.plans.text_plans import citation_sql
 
@@ -89,15 +90,32 @@ query("m05_rubric_rows", f"WITH {ACS} SELECT row_idx, system, CAST(acs AS DOUBLE
 query("m05_rubric", f"WITH {ACS} SELECT system, category, round(avg(acs), 4) AS acs FROM acs GROUP BY 1, 2")(lambda t: m.rubric(_j(t)).groupBy("system", "category").agg(F.round(F.avg("acs"), 4).alias("acs")))
 
 
-@query("m06_semantic", "SELECT a.vec_id, round(greatest(0, least(100, (list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(a.embedding AS DOUBLE[])) * list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) + 1) / 2 * 100)), 4) AS acs FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
+# a reference's vector has the row's number, an answer's one that depends on its system; the rows beyond the vectors fall back on the rubric
+_COS = "list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(b.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * list_dot_product(CAST(c.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])))"
+
+
+@query("m06_semantic", f"""WITH {ACS} SELECT acs.row_idx, acs.system, CAST(CASE WHEN trim(r.answer) = '' THEN 0 WHEN b.vec_id IS NULL OR c.vec_id IS NULL THEN acs ELSE round(greatest(0, least(100, ({_COS} + 1) / 2 * 100)), 2) END AS DOUBLE) AS acs
+FROM acs JOIN responses r USING (row_idx, system) LEFT JOIN embeddings b ON b.vec_id = acs.row_idx LEFT JOIN embeddings c ON c.vec_id = acs.row_idx + length(acs.system)""")
 def _semantic(t):
-    from quillon.operators.retrieval import cosine
+    j = m.rubric(_j(t)).select("row_idx", "system", "answer", "acs", (F.col("row_idx") + F.length("system")).alias("of_answer"))
+    j = j.join(t.embeddings.select(F.col("vec_id").alias("row_idx"), F.col("embedding").alias("b")), "row_idx", "left").join(t.embeddings.select(F.col("vec_id").alias("of_answer"), F.col("embedding").alias("c")), "of_answer", "left")
+    return j.select("row_idx", "system", m.semantic(F.col("b"), F.col("c"), F.col("answer"), F.col("acs")).alias("acs"))
+
+
+_M7 = f"""{FUSED_SQL}, m7 AS (SELECT g.row_idx, rank, coalesce(CASE WHEN lower(replace(g.category, ' ', '_')) IN ('case_law_search', 'overruled_detection') THEN c.citation = g.correct_citation
+ ELSE b.section_number = g.correct_section AND b.act_name = coalesce({_act_sql('g.correct_act')}, lower(g.correct_act)) END, false) AS hit
+ FROM ground_truth g LEFT JOIN (SELECT item_id, doc_id, rank FROM fused WHERE rank <= 3) f ON f.item_id = g.row_idx LEFT JOIN bare_acts b ON b.id = f.doc_id LEFT JOIN case_law c ON c.case_id = f.doc_id WHERE g.row_idx IN (SELECT item_id FROM benchmark)),
+p7 AS (SELECT row_idx, round(count(*) FILTER (hit AND rank <= 1), 6) AS p_at_1, round(count(*) FILTER (hit AND rank <= 3) / greatest(least(3, count(rank)), 1), 6) AS p_at_3 FROM m7 GROUP BY 1)"""
+
 
-    a, b = t.embeddings.select("vec_id", F.col("embedding").alias("a")), t.embeddings.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"))
-    return a.join(b, "vec_id").select("vec_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (cosine(F.col("a"), F.col("b")) + 1) / 2 * 100)), 4).alias("acs"))
+def _precision(t):
+    """Of the fused rankings for the benchmark's items; item i asks the ground truth's question i."""
+    asked = t.ground_truth.join(t.benchmark.select(F.col("item_id").alias("row_idx")), "row_idx", "left_semi")
+    return m.precision_at_k(fused(t).withColumnRenamed("item_id", "row_idx"), asked, t.bare_acts, t.case_law)
 
 
-query("m07_precision_at_k", "WITH k AS (SELECT l_suppkey, l_returnflag = 'N' AS hit, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem) SELECT l_suppkey, CAST(max(CASE WHEN rank = 1 AND hit THEN 1.0 ELSE 0.0 END) AS DOUBLE) AS p1, round(count(*) FILTER (hit) / least(5, count(*)), 6) AS p5 FROM k WHERE rank <= 5 GROUP BY 1")(lambda t: topk(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_returnflag") == "N").alias("hit")), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 5, rank="rank").groupBy("l_suppkey").agg(F.max(((F.col("rank") == 1) & F.col("hit")).cast("double")).alias("p1"), r6(F.count_if("hit") / F.least(F.lit(5), F.count("*"))).alias("p5")))
+query("m07_precision_at_k", f"WITH {_M7} SELECT row_idx, CAST(p_at_1 AS DOUBLE) AS p_at_1, CAST(p_at_3 AS DOUBLE) AS p_at_3 FROM p7")(_precision)
+query("m07_precision", f"WITH {_M7} SELECT round(avg(p_at_1) * 100, 4) AS p_at_1, round(avg(p_at_3) * 100, 4) AS p_at_3 FROM p7")(lambda t: _precision(t).agg(*[F.round(F.avg(c) * 100, 4).alias(c) for c in ("p_at_1", "p_at_3")]))
 _target = lambda: F.when(F.col("confidence") == "high", 0.90).when(F.col("confidence") == "medium", 0.725).otherwise(0.50)
 query("m08_calibration", "WITH l AS (SELECT system, confidence, count(*) AS n, abs(avg(correct) - CASE confidence WHEN 'high' THEN 0.90 WHEN 'medium' THEN 0.725 ELSE 0.50 END) AS e FROM scores GROUP BY 1, 2) SELECT system, round(sum(n * e) / sum(n), 6) AS error, sum(n * e) / sum(n) < 0.15 AS good FROM l GROUP BY 1")(lambda t: t.scores.groupBy("system", "confidence").agg(F.count("*").alias("n"), F.avg("correct").alias("accuracy")).withColumn("e", F.abs(F.col("accuracy") - _target())).groupBy("system").agg(r6(F.sum(F.col("n") * F.col("e")) / F.sum("n")).alias("error"), (F.sum(F.col("n") * F.col("e")) / F.sum("n") < 0.15).alias("good")))
 

@@ -85,4 +85,6 @@ query("g04_last_run", "SELECT count(*) AS taken, max(ts) AS newest FROM events")
 query("g07_hourly", _G7.format("hour"))(lambda t: jobs.windows(t, "1 hour", "hour"))
 query("g07_daily", _G7.format("day"))(lambda t: jobs.windows(t, "1 day", "day"))
 query("g07_weekly", _G7.format("week"))(lambda t: jobs.windows(t, "7 days", "week", "4 days"))  # weeks start on Mondays
+query("g07_sessions", """WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS first FROM events), k AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(lambda t: jobs.sessions(t))
 query("g08_resume", "SELECT event_id FROM events")(lambda t: jobs.resumed(t))

@@ -31,7 +31,7 @@ query("r03_dense_top20", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score, CAST
 query("r04_distance_similarity", f"WITH {DENSE_SQL} SELECT query_id, vec_id, round(1 / (1 + (2 - 2 * score)), 6) AS similarity FROM dense")(lambda t: _dense(t).select("query_id", "vec_id", r6(1 / (1 + (2 - 2 * F.col("score")))).alias("similarity")))
 query("r05_post_filter", f"WITH {BM25_SQL} SELECT item_id, doc_id, CAST(rank AS INT) AS rank FROM top JOIN documents USING (doc_id) WHERE lang = 'en'")(lambda t: _bm25(t).join(t.documents.select("doc_id", "lang"), "doc_id").filter("lang = 'en'").select("item_id", "doc_id", "rank"))
 # the second ranking that is fused: documents' vectors have the documents' ids, item i asks with vector 20 * i
-_FUSED = f"{BM25_SQL}, {DENSE_SQL}, by_vector AS (SELECT query_id // 20 AS item_id, vec_id AS doc_id, score, rank FROM dense WHERE query_id // 20 IN (SELECT item_id FROM benchmark) AND vec_id IN (SELECT doc_id FROM documents)), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM by_vector) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
+FUSED_SQL = f"{BM25_SQL}, {DENSE_SQL}, by_vector AS (SELECT query_id // 20 AS item_id, vec_id AS doc_id, score, rank FROM dense WHERE query_id // 20 IN (SELECT item_id FROM benchmark) AND vec_id IN (SELECT doc_id FROM documents)), fu AS (SELECT item_id, doc_id, round(sum(1 / (60 + rank)), 9) AS score FROM (SELECT item_id, doc_id, rank FROM top UNION ALL SELECT item_id, doc_id, rank FROM by_vector) GROUP BY 1, 2), fused AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM fu QUALIFY rank <= 20)"
 
 
 def _by_vector(t):
@@ -41,24 +41,24 @@ def _by_vector(t):
     return own.join(t.documents.select("doc_id").distinct(), "doc_id", "left_semi").select("item_id", "doc_id", "score", "rank")
 
 
-def _fused(t):
+def fused(t):
     return x.fuse([_bm25(t), _by_vector(t)], "item_id", "doc_id")
 
 
-query("r06_rrf", f"WITH {_FUSED} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM fused")(lambda t: _fused(t))
+query("r06_rrf", f"WITH {FUSED_SQL} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM fused")(lambda t: fused(t))
 
 
-@query("r07_rerank", f"""WITH {_FUSED}, c AS (SELECT item_id, doc_id, round(coalesce(v.score, 0) + 0.35 * len(list_intersect(string_split(lower(b.text), ' '), string_split(lower(d.text), ' '))) / len(list_distinct(string_split(lower(b.text), ' '))), 6) AS final FROM fused JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) LEFT JOIN by_vector v USING (item_id, doc_id))
+@query("r07_rerank", f"""WITH {FUSED_SQL}, c AS (SELECT item_id, doc_id, round(coalesce(v.score, 0) + 0.35 * len(list_intersect(string_split(lower(b.text), ' '), string_split(lower(d.text), ' '))) / len(list_distinct(string_split(lower(b.text), ' '))), 6) AS final FROM fused JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) LEFT JOIN by_vector v USING (item_id, doc_id))
 SELECT item_id, doc_id, final, CAST(row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS INT) AS place, round(1 / (1 + exp(-final)), 6) AS confidence FROM c QUALIFY place <= 5""")
 def _rerank(t):
     """The scorer's column is the vectors' closeness, 0 where it wasn't ranked."""
     scorer = _by_vector(t).select("item_id", "doc_id", F.col("score").alias("scorer"))
-    c = _fused(t).join(scorer, ["item_id", "doc_id"], "left").join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
+    c = fused(t).join(scorer, ["item_id", "doc_id"], "left").join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
     words = F.split(F.lower("q"), " ")
     return x.rerank(c, query="item_id", doc="doc_id", score=F.coalesce("scorer", F.lit(0.0)), overlap=F.size(F.array_intersect(words, F.split(F.lower("text"), " "))) / F.size(F.array_distinct(words)), k=5).select("item_id", "doc_id", "final", "place", "confidence")
 
 
-query("r08_no_rerank", f"WITH {_FUSED} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CAST(0.5 AS DOUBLE) AS confidence, 'LOW' AS level FROM fused WHERE rank <= 5")(lambda t: _fused(t).filter("rank <= 5").select("item_id", "doc_id", "rank", F.lit(0.5).alias("confidence"), r.level(F.lit(0.5)).alias("level")))
+query("r08_no_rerank", f"WITH {FUSED_SQL} SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CAST(0.5 AS DOUBLE) AS confidence, 'LOW' AS level FROM fused WHERE rank <= 5")(lambda t: fused(t).filter("rank <= 5").select("item_id", "doc_id", "rank", F.lit(0.5).alias("confidence"), r.level(F.lit(0.5)).alias("level")))
 query("r09_filtered_dense", f"WITH {DENSE_SQL} SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM dp WHERE label = 1) WHERE k <= 5")(lambda t: x.dense(t.embeddings.filter("label = 1"), _dq(t), key="vec_id", vector="embedding", query="query_id", query_vector="q", k=5).select("query_id", "vec_id", "score"))
 
 
@@ -70,13 +70,13 @@ def _relaxed(t):
 
 
 query("r11_stats", f"WITH {BM25_SQL} SELECT count(*) AS documents, (SELECT count(*) FROM w) AS terms, (SELECT round(avgdl, 6) FROM st) AS mean_length FROM documents")(lambda t: t.documents.agg(F.count("*").alias("documents")).crossJoin(x.idf(x.term_counts(t.documents, "text")).agg(F.count("*").alias("terms"))).crossJoin(x.bm25_stats(x.term_counts(t.documents, "text")).select(r6(F.col("avgdl")).alias("mean_length"))))
-query("r13_retrieve", f"""WITH {_FUSED}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
-SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")(lambda t: _fused(t).filter("rank <= 5").withColumn("act_name", F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")).join(t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n")), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments")))
+query("r13_retrieve", f"""WITH {FUSED_SQL}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
+SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")(lambda t: fused(t).filter("rank <= 5").withColumn("act_name", F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")).join(t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n")), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments")))
 query("r15_footer", "SELECT row_idx, system, CASE WHEN contains(answer, 'Sources:') OR act1 IS NULL THEN answer ELSE answer || ' Sources: ' || concat_ws('; ', act1 || ' ' || section1, act2 || ' ' || section2) END AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(F.col("answer").contains("Sources:") | F.col("act1").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit(" Sources: "), F.concat_ws("; ", F.concat("act1", F.lit(" "), "section1"), F.concat("act2", F.lit(" "), "section2")))).alias("answer")))
 _RULE = "=" * 80
 
 
-@query("r16_context", f"""WITH {_FUSED}, k AS (SELECT item_id, rank, doc_id, score, act_name, section_number, section_title, coalesce(nullif(full_text, ''), 'No text available') AS full_text, is_replaced, coalesce(n, 0) AS n FROM fused JOIN bare_acts b ON b.id = doc_id LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number) WHERE rank <= 5)
+@query("r16_context", f"""WITH {FUSED_SQL}, k AS (SELECT item_id, rank, doc_id, score, act_name, section_number, section_title, coalesce(nullif(full_text, ''), 'No text available') AS full_text, is_replaced, coalesce(n, 0) AS n FROM fused JOIN bare_acts b ON b.id = doc_id LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number) WHERE rank <= 5)
 SELECT item_id, 'RETRIEVAL SUMMARY:' || chr(10) || 'Query Type: ' || any_value({TYPE_SQL.replace('query_text', 'text')}) || chr(10) || 'Confidence Level: ' || max(CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END) FILTER (rank = 1) || chr(10) || 'BNS/BNSS Transition Notes: ' || CASE WHEN bool_or(is_replaced) THEN 'Yes' ELSE 'No' END || chr(10) || chr(10)
   || '{_RULE}' || chr(10) || 'BARE ACTS / STATUTORY PROVISIONS:' || chr(10) || '{_RULE}' || chr(10)
   || string_agg(chr(10) || '[ACT ' || CAST(rank AS STRING) || ']' || chr(10) || 'Act: ' || act_name || chr(10) || 'Section: ' || section_number || chr(10) || 'Title: ' || section_title || chr(10) || 'Confidence: ' || printf('%.3f', score * 30) || chr(10) || CASE WHEN is_replaced THEN 'TRANSITION: the law was replaced' || chr(10) ELSE '' END || chr(10) || 'Text:' || chr(10) || full_text || CASE WHEN n > 0 THEN chr(10) || chr(10) || 'This section has ' || CAST(n AS STRING) || ' amendment(s)' ELSE '' END, chr(10) ORDER BY rank)
@@ -84,7 +84,7 @@ SELECT item_id, 'RETRIEVAL SUMMARY:' || chr(10) || 'Query Type: ' || any_value({
 def _context(t):
     """The whole texts of an item's five best acts, with what is known of each, as one text."""
     n = t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n"))
-    k = _fused(t).filter("rank <= 5").join(t.bare_acts.withColumnRenamed("id", "doc_id"), "doc_id").join(n, ["act_name", "section_number"], "left").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("asked"))), "item_id").withColumn("n", F.coalesce("n", F.lit(0)))
+    k = fused(t).filter("rank <= 5").join(t.bare_acts.withColumnRenamed("id", "doc_id"), "doc_id").join(n, ["act_name", "section_number"], "left").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("asked"))), "item_id").withColumn("n", F.coalesce("n", F.lit(0)))
     lit = F.lit
     act = F.concat(lit("\n[ACT "), F.col("rank").cast("string"), lit("]\nAct: "), "act_name", lit("\nSection: "), "section_number", lit("\nTitle: "), "section_title", lit("\nConfidence: "), F.format_string("%.3f", F.col("score") * 30), lit("\n"), F.when(F.col("is_replaced"), "TRANSITION: the law was replaced\n").otherwise(""), lit("\nText:\n"), F.coalesce(F.nullif("full_text", lit("")), lit("No text available")), F.when(F.col("n") > 0, F.concat(lit("\n\nThis section has "), F.col("n").cast("string"), lit(" amendment(s)"))).otherwise(""))
     by = k.groupBy("item_id").agg(F.first(r.query_type(F.col("asked"))).alias("kind"), F.max(F.when(F.col("rank") == 1, r.level(F.col("score") * 30))).alias("level"), F.bool_or("is_replaced").alias("notes"), F.array_sort(F.collect_list(F.struct("rank", act.alias("a")))).alias("acts"), F.count("*").alias("c"), F.sum("n").alias("n"))  # five at most

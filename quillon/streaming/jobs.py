@@ -47,6 +47,12 @@ def windows(t: Tables, width: str, name: str, start: str | None = None) -> DataF
     return run_updates(t, lambda s: s.withWatermark("ts", "1 day").groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias(name), "event_type", "n", "total"), [name, "event_type"])
 
 
+def sessions(t: Tables, gap: str = "30 minutes") -> DataFrame:
+    """Each user's sessions, which a pause of ``gap`` ends, once the watermark has passed them; open ones stay in the state."""
+    w = F.session_window("ts", gap)
+    return run_once(t, lambda s: s.withWatermark("ts", "1 day").groupBy("user_id", w.alias("w")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", "total"))
+
+
 def last_run(t: Tables) -> DataFrame:
     """What a job's state holds after a run: how many rows it has taken, and the newest; a second run with the state adds nothing."""
     root = f"{scratch(t.spark)}/stream-{uuid.uuid4().hex}"

@@ -226,3 +226,19 @@ def test_works_without_the_optional_folders(tmp_path):
     code = "import __spark_entry__ as e; from quillon.plans import QUERIES, ORACLES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES); import tests.test_units, tests.test_queries; print('fine')"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
     assert done.stdout.strip() == "fine", done.stderr
+
+
+def test_precision_by_hand(spark):
+    acts = spark.createDataFrame([(1, "Indian Penal Code 1860", "302"), (2, "Indian Penal Code 1860", "303"), (3, "Code of Criminal Procedure 1973", "302")], "id long, act_name string, section_number string")
+    cases = spark.createDataFrame([(1, "AIR 1 SC 1"), (2, "AIR 2 SC 2")], "case_id long, citation string")
+    truth = spark.createDataFrame([(0, "Section Lookup", "IPC", "302", ""), (1, "Case Law Search", "IPC", "302", "AIR 2 SC 2"), (2, "Section Lookup", "IPC", "302", ""), (3, "Section Lookup", "", "", "")], "row_idx long, category string, correct_act string, correct_section string, correct_citation string")
+    ranked = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (1, 1, 1), (1, 2, 2), (1, 3, 3), (1, 1, 4), (3, 9, 1)], "row_idx long, doc_id long, rank int")
+    got = {r.row_idx: (r.p_at_1, r.p_at_3) for r in metrics.precision_at_k(ranked, truth, acts, cases).collect()}
+    assert got == {0: (1.0, 0.5), 1: (0.0, 0.333333), 2: (0.0, 0.0), 3: (0.0, 0.0)}
+
+
+def test_semantic_by_hand(spark):
+    rows = [([1.0, 0.0], [1.0, 0.0], "a"), ([1.0, 0.0], [-2.0, 0.0], "a"), ([1.0, 0.0], [0.0, 3.0], "a"), ([1.0, 0.0], [1.0, 0.0], " "), (None, [1.0, 0.0], "a"), ([1.0, 0.0], None, "a")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b array<double>, c array<double>, answer string")
+    got = [r[0] for r in df.orderBy("i").select(metrics.semantic(F.col("b"), F.col("c"), F.col("answer"), F.lit(33.3))).collect()]
+    assert got == [100.0, 0.0, 50.0, 0.0, 33.3, 33.3]
