@@ -514,22 +514,45 @@ def test_estimates_are_corrected():
         assert np.mean(e) == pytest.approx(share, abs=0.04)
 
 
+def brute_resampling(texts, good):
+    """log ratios and sample keys in plain Python whole numbers."""
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & mask
+        return x ^ (x >> 31)
+
+    def grams(text):
+        h = [xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()]
+        return [x % quality_resampling.BUCKETS for x in h] + [mix((a * 0xD1342543DE82EF95 + b) & mask) % quality_resampling.BUCKETS for a, b in itertools.pairwise(h)]
+
+    each = {i: grams(t) for i, t in texts.items()}
+    every, target = Counter(), Counter()
+    for i, g in each.items():
+        every.update(g)
+        if i in good:
+            target.update(g)
+    p = lambda c, b: (c[b] + 1) / (sum(c.values()) + quality_resampling.BUCKETS)
+    logs = {b: math.log(p(target, b)) - math.log(p(every, b)) for b in every}
+    ratio = {i: math.fsum(logs[b] for b in g) for i, g in each.items()}
+    noise = {i: -math.log(-math.log(((xxhash.xxh3_64_intdigest(str(i).encode(), quality_resampling.SEED) >> 11) + 0.5) / 2**53)) for i in texts}
+    return {i: (len(each[i]), ratio[i], ratio[i] + noise[i]) for i in texts}
+
+
 def test_resampling(spark, docs, texts):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     got = quality_resampling.resample(docs, labels).toPandas().sort_values("sample_key", ascending=False)
-    k = math.ceil(quality_resampling.FRACTION * len(got))
-    assert got.kept.tolist() == [True] * k + [False] * (len(got) - k)
     merged = got.merge(labels.toPandas(), on="doc_id")
     assert merged[merged.quality == 1].log_ratio.mean() > merged[merged.quality == 0].log_ratio.mean()
-    good = {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()}
-    words = quality_resampling._words()
-    n = np.zeros((2, quality_resampling.BUCKETS))
-    for i, t in texts.items():
-        b = np.bincount(quality_resampling.buckets(t, words), minlength=quality_resampling.BUCKETS)
-        n += [b, b * (i in good)]
-    p = np.log((n + 1) / (n.sum(axis=1, keepdims=True) + quality_resampling.BUCKETS))
+    want = brute_resampling(texts, {r.doc_id for r in labels.filter("quality = 1 AND toxic = 0").collect()})
     for r in got.itertuples():
-        assert r.log_ratio == pytest.approx((p[1] - p[0])[quality_resampling.buckets(texts[r.doc_id], words)].sum())
+        n, ratio, key = want[r.doc_id]
+        assert r.n_grams == n and r.log_ratio == pytest.approx(ratio, abs=1e-8) and r.sample_key == pytest.approx(key, abs=1e-8)
+    best = sorted(want, key=lambda i: -want[i][2])[: math.ceil(quality_resampling.FRACTION * len(want))]
+    assert set(got[got.kept].doc_id) == set(best)
 
 
 def test_kth_largest(spark):
