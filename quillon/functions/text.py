@@ -16,6 +16,7 @@ CITATIONS_STRICT = [r"AIR\s+\d{4}\s+SC\s+\d+", r"\(\d{4}\)\s+\d+\s+SCC\s+\d+", r
 COURTS = {"bombay": "Bombay High Court", "delhi": "Delhi High Court", "madras": "Madras High Court", "calcutta": "Calcutta High Court", "allahabad": "Allahabad High Court", "karnataka": "Karnataka High Court", "kerala": "Kerala High Court", "gujarat": "Gujarat High Court", "rajasthan": "Rajasthan High Court", "punjab": "Punjab and Haryana High Court"}
 HINT_STOPWORDS = ["the", "of", "and", "act", "code", "india", "indian", "from", "law", "rules", "rule", "section", "sanhita", "adhiniyam"]
 HINTS = {"BNS": ["nyaya"], "BNSS": ["nagarik", "suraksha"], "BSA": ["sakshya"], "POCSO": ["children", "sexual", "offences"], "ICA": ["contract"], "SRA": ["specific", "relief"], "IBC": ["insolvency", "bankruptcy"], "COI": ["constitution"]}
+ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
 PUNISHMENT = [r"shall be punished with [^.]+", r"punishable with [^.]+", r"shall be liable to [^.]+"]
 
 HEADING_TERMS = [
@@ -155,6 +156,13 @@ def clean_scraped(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[^\p{L}\p{N}_\s.,;:()\-'\"/\[\]]", ""))
 
 
+def unescape(c: Column) -> Column:
+    """The characters that HTML's five own entities and the hard space stand for."""
+    for entity, character in ENTITIES.items():
+        c = F.replace(c, F.lit(entity), F.lit(character))
+    return c
+
+
 def clean_document(c: Column) -> Column:
     c = F.regexp_replace(F.regexp_replace(c, r"\n{3,}", "\n\n"), " {2,}", " ")
     return F.trim(F.replace(F.regexp_replace(c, r"(?i)Page \d+ of \d+", ""), F.lit("\r\n"), F.lit("\n")))

@@ -8,6 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.functions import text as fn
+
+#: What of a page isn't text.
+HIDDEN = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]+>"
 HEADING = r"(?i)^(section|article)\s+\d+|^\d+(\.\d+)*\.?\s+[A-Z]|^[A-Z][A-Z ]{5,60}$"
 
 
@@ -44,6 +48,18 @@ def act_sections(files: DataFrame, text: str) -> DataFrame:
     return blocks.select("act_name", "short_name", F.concat("short_name", F.lit("_"), number).alias("id"), number.alias("section_number"), title.alias("section_title"), F.trim(F.concat(F.lit("Section "), number, F.lit(" "), title, F.lit(". "), F.array_join(lines, " "))).alias("full_text"))
 
 
+def page_documents(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    """The documents of fetched pages: title, text, the acts and sections that the text names, and an id made of title and the text's start.
+
+    The text is that of the page's article without scripts, comments and marks; a page without one is no document.
+    """
+    plain = lambda c: fn.clean_scraped(fn.unescape(F.regexp_replace(c, HIDDEN, " ")))
+    body = pages.select(key, url, F.regexp_extract(html, r"(?is)<article[^>]*>(.*?)</article>", 1).alias("a"))
+    read = body.select(key, url, plain(F.regexp_extract("a", r"(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("h"), plain(F.col("a")).alias("content")).filter("content <> ''")
+    titled = read.select(key, url, F.coalesce(F.nullif("h", F.lit("")), F.lit("Unknown Case")).alias("title"), "content")
+    return titled.select(key, url, F.substring(F.sha2(F.concat("title", F.substring("content", 1, 500)), 256), 1, 16).alias("id"), "title", "content", F.array_join(fn.acts_present(F.col("content")), "|").alias("acts"), F.array_join(fn.sections_all(F.col("content")), "|").alias("sections"))
+
+
 def pack_sentences(c: Column, limit: int) -> Column:
     """Sentences packed greedily into pieces of fewer than ``limit`` words (a longer sentence is a piece)."""
     sentences = F.filter(F.split(c, r"(?<=[.!?])\s+"), lambda s: s != "")

@@ -76,7 +76,9 @@ query("e20_figure_data", "SELECT category, confidence, round(avg(car), 6) AS mea
 query("e21_provenance", "SELECT count(*) AS n_rows, count(car) AS car, count(hr) AS hr, count(act1) AS act1 FROM scores JOIN responses USING (row_idx, system)")(lambda t: t.scores.join(t.responses, ["row_idx", "system"]).agg(F.count("*").alias("n_rows"), F.count("car").alias("car"), F.count("hr").alias("hr"), F.count("act1").alias("act1")))
 query("e22_split_sizes", "SELECT CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS split, count(*) AS n, count(*) FILTER (quality = 1) AS positives, count(*) FILTER (quality = 0) AS negatives FROM labels GROUP BY 1")(lambda t: t.labels.groupBy(F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train").alias("split")).agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("positives"), F.count_if(F.col("quality") == 0).alias("negatives")))
 _PRED = "SELECT quality AS y, CASE WHEN toxic = 0 AND doc_id % 7 <> 0 THEN 1 ELSE 0 END AS p FROM labels"
-query("e23_classifier_metrics", f"WITH c AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn FROM ({_PRED})) SELECT round(1.0 * (tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(1.0 * tp / greatest(tp + fp, 1), 6) AS precision_, round(1.0 * tp / greatest(tp + fn, 1), 6) AS recall_, round(2.0 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1 FROM c")(lambda t: t.labels.select(F.col("quality").alias("y"), F.when((F.col("toxic") == 0) & (F.col("doc_id") % 7 != 0), 1).otherwise(0).alias("p")).agg(*[F.count_if((F.col("y") == y) & (F.col("p") == p)).alias(n) for n, y, p in (("tp", 1, 1), ("fp", 0, 1), ("fn", 1, 0), ("tn", 0, 0))]).selectExpr("round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy", "round(tp / greatest(tp + fp, 1), 6) AS precision_", "round(tp / greatest(tp + fn, 1), 6) AS recall_", "round(2 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1"))
+query("e23_classifier_metrics", f"""WITH c AS (SELECT count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn, count(*) FILTER (y = 0 AND p = 0) AS tn FROM ({_PRED}))
+SELECT tp, fp, fn, tn, round(1.0 * (tp + tn) / greatest(tp + tn + fp + fn, 1), 6) AS accuracy, round(1.0 * tp / greatest(tp + fp, 1), 6) AS precision_, round(1.0 * tp / greatest(tp + fn, 1), 6) AS recall_, round(2.0 * tp / greatest(2 * tp + fp + fn, 1), 6) AS f1,
+round((1.0 * tp / greatest(tp + fp, 1) + 1.0 * tn / greatest(tn + fn, 1)) / 2, 6) AS macro_precision, round((1.0 * tp / greatest(tp + fn, 1) + 1.0 * tn / greatest(tn + fp, 1)) / 2, 6) AS macro_recall, round((2.0 * tp / greatest(2 * tp + fp + fn, 1) + 2.0 * tn / greatest(2 * tn + fp + fn, 1)) / 2, 6) AS macro_f1 FROM c""")(lambda t: s.classified(t.labels, F.col("quality"), F.when((F.col("toxic") == 0) & (F.col("doc_id") % 7 != 0), 1).otherwise(0)))
 
 
 @query("e23_classifier_fit")

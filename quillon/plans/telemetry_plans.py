@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as x
+from quillon.operators import parsing
 from quillon.operators.relational import first_of, numbered, topk, upsert
 from quillon.plans.registry import query
 
@@ -129,6 +130,20 @@ query("s18_qa_reader", rf"""WITH f AS (SELECT conv_id, 'Question: ' || q || chr(
 SELECT conv_id, CASE WHEN floor(len(w) / 0.75) > 500 THEN CAST(s / 450 AS INT) ELSE 0 END AS chunk, CASE WHEN floor(len(w) / 0.75) > 500 THEN array_to_string(w[s + 1 : s + 500], ' ') ELSE t END AS combined FROM (SELECT conv_id, t, w, unnest(range(0, CASE WHEN floor(len(w) / 0.75) > 500 THEN len(w) ELSE 1 END, 450)) AS s FROM w)""")(lambda t: _qa(t))
 query("s19_instruction_reader", "SELECT conv_id, turn, text AS instruction, response FROM (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS response, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations) WHERE role = 'user' AND next_role = 'assistant' AND text <> '' AND response <> ''")(lambda t: t.conversations.withColumn("response", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).withColumn("next_role", F.lead("role").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("role = 'user' AND next_role = 'assistant' AND text <> '' AND response <> ''").select("conv_id", "turn", F.col("text").alias("instruction"), "response"))
 query("s20_judgments", "SELECT doc_id, n_chars FROM documents WHERE length(text) >= 500 ORDER BY doc_id LIMIT 3000")(lambda t: t.documents.filter(F.length("text") >= 500).select("doc_id", "n_chars").orderBy("doc_id").limit(3000))
+
+
+def _plain(c):
+    """SQL of the text of HTML, cleaned."""
+    c = f"regexp_replace({c}, '{parsing.HIDDEN}', ' ', 'g')"
+    for entity, character in x.ENTITIES.items():
+        c = f"replace({c}, '{entity}', '{character.replace(chr(39), chr(39) * 2)}')"
+    return rf"""trim(regexp_replace(regexp_replace({c}, '\s+', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s.,;:()\-''"/\[\]]', '', 'g'))"""
+
+
+# pages stand for what a browser would fetch
+query("s21_page_documents", rf"""WITH b AS (SELECT page_id, url, regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1) AS a FROM pages), r AS (SELECT page_id, url, coalesce(nullif({_plain("regexp_extract(a, '(?is)<h1[^>]*>(.*?)</h1>', 1)")}, ''), 'Unknown Case') AS title, {_plain("a")} AS content FROM b)
+SELECT page_id, url, substr(sha256(title || substr(content, 1, 500)), 1, 16) AS id, title, content, array_to_string(list_sort(list_filter([{", ".join(f"'{p}'" for p in x.ACTS_16)}], lambda n: contains(lower(content), lower(n)))), '|') AS acts,
+array_to_string(list_sort(list_distinct(flatten([regexp_extract_all(content, '(?i)Section\s+(\d+[A-Z]*)', 1), regexp_extract_all(content, '(?i)Sec\.\s+(\d+[A-Z]*)', 1), regexp_extract_all(content, '(?i)S\.\s+(\d+[A-Z]*)', 1)]))), '|') AS sections FROM r WHERE content <> ''""")(lambda t: parsing.page_documents(t.pages, "page_id", "url", "html"))
 query("s23_density", "SELECT page_id, length(html) / 2 >= 50 AS dense FROM pages")(lambda t: t.pages.select("page_id", (F.length("html") / 2 >= 50).alias("dense")))
 query("s24_format_router", "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'docx' ELSE 'unsupported' END AS route FROM pages")(lambda t: t.pages.withColumn("ext", F.element_at(F.array(*map(F.lit, ["pdf", "docx", "doc", "txt"])), (F.col("page_id") % 4 + 1).cast("int"))).select("page_id", F.when(F.col("ext").isin("pdf", "docx"), F.col("ext")).otherwise("unsupported").alias("route")))
 query("s25_path_selection", "SELECT source, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, source LIMIT 1")(lambda t: t.documents.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(1))

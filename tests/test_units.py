@@ -1,3 +1,4 @@
+import hashlib
 import math
 import os
 import random
@@ -7,6 +8,7 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -206,15 +208,13 @@ def test_classifier_fit_by_hand(spark):
         if r.doc_id in quality and r.text is not None:
             n = max(len(r.text), 1)
             rows.append((r.doc_id, quality[r.doc_id], 10 * len(re.findall(r"[#*$%&|<>]", r.text)) / n, 10 * len(re.findall("[A-Z!]", r.text)) / n))
-    train, w = [r for r in rows if r[0] % 5], [0.0, 0.0, 0.0]
-    for _ in range(60):
-        g = [0.0, 0.0, 0.0]
-        for _, y, a, b in train:
-            e = y - 1 / (1 + math.exp(-(a * w[0] + b * w[1] + w[2])))
-            g = [g[0] + e * a, g[1] + e * b, g[2] + e]
-        w = [v + x / len(train) for v, x in zip(w, g)]
+    train = np.array([(a, b, 1.0, y) for d, y, a, b in rows if d % 5])
+    x, y, w, penalty = train[:, :3], train[:, 3], np.zeros(3), np.array([1.0, 1.0, 0.0])
+    for _ in range(50):  # Newton's method on the penalised sum of losses
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (p - y) + penalty * w)
     want = {r[0]: 1 / (1 + math.exp(-(r[2] * w[0] + r[3] * w[1] + w[2]))) for r in rows if r[0] % 5 == 0}
-    assert {d: p for d, _, p in rows_of(spark, "e23_classifier_fit")} == {d: pytest.approx(p, abs=2e-6) for d, p in want.items()}
+    assert {d: p for d, _, p in rows_of(spark, "e23_classifier_fit")} == {d: pytest.approx(p, abs=2e-5) for d, p in want.items()}
 
 
 def test_works_without_the_optional_folders(tmp_path):
@@ -242,3 +242,19 @@ def test_semantic_by_hand(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, b array<double>, c array<double>, answer string")
     got = [r[0] for r in df.orderBy("i").select(metrics.semantic(F.col("b"), F.col("c"), F.col("answer"), F.lit(33.3))).collect()]
     assert got == [100.0, 0.0, 50.0, 0.0, 33.3, 33.3]
+
+
+def test_classified_by_hand(spark):
+    rows = spark.createDataFrame([(1, 1)] * 3 + [(1, 0)] + [(0, 1)] * 2 + [(0, 0)] * 4, "y int, p int")
+    got = stats.classified(rows, F.col("y"), F.col("p")).first().asDict()
+    assert got == {"tp": 3, "fp": 2, "fn": 1, "tn": 4, "accuracy": 0.7, "precision_": 0.6, "recall_": 0.75, "f1": 0.666667, "macro_precision": 0.7, "macro_recall": 0.708333, "macro_f1": 0.69697}
+    assert set(stats.classified(rows.limit(0), F.col("y"), F.col("p")).first()) == {0}
+
+
+def test_page_documents_by_hand(spark):
+    html = "<html><title>no</title><nav>menu</nav><article class='x'><h1>State &amp; <b>Rao</b></h1><script>var s='Section 9';</script><!-- Section 8 --><p>Under Section 302 of the Indian Penal Code,&nbsp;S. 34.</p></article><footer>Section 7</footer></html>"
+    pages = spark.createDataFrame([(1, "u", html), (2, "u", "<p>no article</p>"), (3, "u", None), (4, "u", "<article><p>plain</p></article>")], "page_id long, url string, html string")
+    got = {r.page_id: r for r in parsing.page_documents(pages, "page_id", "url", "html").collect()}
+    title, content = "State  Rao", "State  Rao Under Section 302 of the Indian Penal Code, S. 34."
+    assert set(got) == {1, 4} and (got[1].title, got[1].content, got[1].acts, got[1].sections) == (title, content, "Indian Penal Code", "302|34")
+    assert got[1].id == hashlib.sha256((title + content).encode()).hexdigest()[:16] and (got[4].title, got[4].content) == ("Unknown Case", "plain")
