@@ -11,7 +11,7 @@ from quillon.functions import text
 from quillon.operators import parsing as p
 from quillon.operators.relational import first_of, topk, upsert
 from quillon.plans.registry import query
-from quillon.sources import seeds
+from quillon.sources import seeds, workbooks
 from quillon.sources.sinks import scratch
 from quillon.streaming import jobs
 
@@ -64,6 +64,17 @@ query("s10_reset", "SELECT id FROM bare_acts WHERE id % 2 = 1")(lambda t: t.spar
 query("s11_export_import", "SELECT id, act_name, section_number FROM bare_acts")(lambda t: t.spark.read.schema("ids array<long>, acts array<string>, sections array<string>, count long").json(_written(t.bare_acts.groupBy("act_name", "section_number", F.floor(F.col("id") / 1000)).agg(F.collect_list("id").alias("ids"), F.count("*").alias("count")).select("ids", F.transform("ids", lambda i: F.col("act_name")).alias("acts"), F.transform("ids", lambda i: F.col("section_number")).alias("sections"), "count"), lambda d, q: d.write.json(q))).filter(F.when(F.size("ids") == F.col("count"), True).otherwise(F.raise_error(F.lit("count differs")))).select(F.inline(F.arrays_zip("ids", "acts", "sections"))).toDF("id", "act_name", "section_number"))
 # the other collection's vectors are of a unit length
 query("s12_reindex", "SELECT vec_id, label, round(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 4) AS norm FROM embeddings")(lambda t: t.spark.read.parquet(_written(t.embeddings.select("vec_id", "label", F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))).alias("norm")).join(t.embeddings.select("vec_id", "embedding"), "vec_id").select("vec_id", "label", F.round("norm", 4).alias("norm"), F.transform("embedding", lambda v: v / F.col("norm")).alias("unit")), lambda d, q: d.write.mode("overwrite").parquet(q))).select("vec_id", "label", "norm"))
+
+
+@query("s13_workbook", "SELECT system, category, round(avg(car), 6) AS car, count(*) AS n FROM scores GROUP BY 1, 2")
+def _workbook(t):
+    """The means by category as a workbook for reviewers, with a sheet of instructions, read back."""
+    means = t.scores.groupBy("system", "category").agg(F.round(F.avg("car"), 6).alias("car"), F.count("*").alias("n"))  # some twenty rows
+    path = f"{scratch(t.spark)}/report-{uuid.uuid4().hex}.xlsx"
+    workbooks.write_workbook({"INSTRUCTIONS": t.spark.range(1).select(F.lit("Check each mean; leave the other columns as they are.").alias("INSTRUCTIONS")), "Category Means": means}, path)
+    return workbooks.read_sheet(t.spark, path, "Category Means", "system string, category string, car double, n long")
+
+
 query("s14_csv", "SELECT row_idx, system, car, hr FROM scores")(lambda t: t.spark.read.schema("row_idx long, system string, car double, hr double").csv(_written(t.scores.select("row_idx", "system", "car", "hr"), lambda d, q: d.write.csv(q, header=True)), header=True))
 query("s15_json_checkpoint", "SELECT row_idx, system, answer FROM responses")(lambda t: t.spark.read.schema("row_idx long, system string, answer string").json(_written(t.responses.select("row_idx", "system", "answer"), lambda d, q: d.write.json(q))))
 query("s16_unanswered_log", "SELECT query_id, query_text FROM queries WHERE query_text = '' OR query_type = 'error'")(lambda t: t.spark.read.schema("query_id long, query_text string").json(_written(t.queries.filter("query_text = ''").select("query_id", "query_text"), lambda d, q: (d.write.json(q), t.queries.filter("query_text <> '' AND query_type = 'error'").select("query_id", "query_text").write.mode("append").json(q)))))

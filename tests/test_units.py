@@ -6,6 +6,7 @@ import re
 import shutil
 import subprocess
 import sys
+import zipfile
 from pathlib import Path
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from quillon.functions import rules, text
 from quillon.operators import metrics, parsing, retrieval, stats
 from quillon.operators.relational import topk, upsert
+from quillon.sources import workbooks
 
 TRUTH = "row_idx long, query_id string, category string, correct_act string, correct_section string, correct_citation string, summary string, amendment_applies string, transition_applies string, overruling_applies string"
 RESPONSE = "system string, row_idx long, query_id string, answer string, confidence string, type1 string, act1 string, section1 string, act2 string, section2 string, transition_note string, trigger_uncertainty boolean"
@@ -258,3 +260,30 @@ def test_page_documents_by_hand(spark):
     title, content = "State  Rao", "State  Rao Under Section 302 of the Indian Penal Code, S. 34."
     assert set(got) == {1, 4} and (got[1].title, got[1].content, got[1].acts, got[1].sections) == (title, content, "Indian Penal Code", "302|34")
     assert got[1].id == hashlib.sha256((title + content).encode()).hexdigest()[:16] and (got[4].title, got[4].content) == ("Unknown Case", "plain")
+
+
+def test_workbook_round_trip(spark, tmp_path):
+    kinds = "a string, b double, c long, d boolean, e string"
+    rows = [("x & <y>", 0.1, 7, True, "two\nlines"), (None, None, None, None, "_x0041_ \r\x0b _x"), ("  spaces ", -1e300, -(1 << 40), False, "\U0001f600 ü"), ("", 3.0, 0, None, '"quoted"')]
+    df = spark.createDataFrame(rows, kinds)
+    for i in range(2):
+        workbooks.write_workbook({"First": spark.range(3), "Data & more": df}, f"{tmp_path}/book{i}.xlsx")
+    read = lambda sheet, schema: sorted(map(repr, map(tuple, workbooks.read_sheet(spark, str(tmp_path), sheet, schema).collect())))
+    assert read("Data & more", kinds) == sorted(map(repr, rows * 2))
+    assert read("Data & more", "e string, gone int") == sorted(repr((r[4], None)) for r in rows * 2)
+    assert read("First", "id int") == sorted(repr((i,)) for i in [0, 1, 2] * 2) and read("None", "id int") == []
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        workbooks.write_workbook({"First": spark.range(3)}, f"{tmp_path}/more.xlsx", most=2)
+    with pytest.raises(ValueError, match="longer than a cell"):
+        workbooks.write_workbook({"First": spark.range(1).select(F.repeat(F.lit("x"), 32_768))}, f"{tmp_path}/long.xlsx")
+
+
+def test_workbook_of_another_program(spark, tmp_path):
+    """Shared strings, cells by reference with gaps, an absolute target, an empty row."""
+    main, rel = workbooks.MAIN, workbooks.RELATIONS
+    with zipfile.ZipFile(tmp_path / "b.xlsx", "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="S" sheetId="4" r:id="q"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="q" Target="/xl/sheets/own.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>name</t></si><si><r><t>far</t></r><r><t> out</t></r></si></sst>')
+        z.writestr("xl/sheets/own.xml", f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="B1" t="s"><v>0</v></c><c r="AB1" t="str"><v>last</v></c></row><row r="2"><c r="AB2"><v>2.0</v></c></row><row r="3"/><row r="4"><c r="A4"><v>1</v></c><c r="B4" t="s"><v>1</v></c></row></sheetData></worksheet>')
+    assert sorted(map(repr, map(tuple, workbooks.read_sheet(spark, str(tmp_path / "b.xlsx"), "S", "name string, last long").collect()))) == ["('far out', None)", "(None, 2)"]
