@@ -435,7 +435,7 @@ _BINS, _LOWEST, _FINE = 512, -16, 8
 
 
 def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_mb: float = MOST_MB, most_words_mb: float = MOST_WORDS_MB, frequent: int = FREQUENT) -> DataFrame:
-    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row: key, held_out, n_tokens, n_known, train_tokens, base_score, score, score_per_token.
 
     Trained on the rows that aren't held out (see held_out). A null or empty
     text is its end token alone. Null keys count as the empty text for the fold;
@@ -549,7 +549,7 @@ def lm_scores(docs: DataFrame, *, text: str = "text", key: str = "doc_id", most_
     seen = F.coalesce("seen", F.lit(0))
     return rows.join(parts, "rid", "left").select(
         F.col("key").alias(key), "held_out", "n_tokens", (F.col("known") + seen).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("known") - seen) * F.lit(float(np.log10(0.5 / norm)))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("more", F.lit(0.0)) + (F.col("n_tokens") - F.col("known") - seen) * F.lit(float(np.log10(0.5 / norm)))).alias("base_score"), "score", (F.col("score") / F.col("n_tokens")).alias("score_per_token"),
     )
 
 

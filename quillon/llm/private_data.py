@@ -299,7 +299,7 @@ def find(texts: list[str | None], weights: dict, threshold: float = THRESHOLD) -
 
 
 def private_data(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:
-    """Per row: key, counts and digest of the patterns' spans, and ``spans``, all spans.
+    """Per row: key, counts and digest of the patterns' spans, and ``spans``, all spans, with their number ``n_spans``.
 
     A null or empty text has no spans (zero counts, the digest of "", an empty
     string). Null keys and repeated rows stay, each judged alone; texts are
@@ -312,12 +312,12 @@ def private_data(docs: DataFrame, *, text: str = "text", key: str = "doc_id", th
             found = find(texts, weights.value, threshold)
             base = [spell(b) for b, _ in found]
             counts = [[sum(s[0] == k for s in b) for b, _ in found] for k in range(len(KINDS))]
-            return [ids, *counts, [hashlib.sha256(b.encode()).hexdigest() for b in base], [spell([*b, *a]) for b, a in found]]
+            return [ids, *counts, [hashlib.sha256(b.encode()).hexdigest() for b in base], [spell([*b, *a]) for b, a in found], [len(b) + len(a) for b, a in found]]
 
         return f
 
     kind = dict(docs.dtypes)[key].replace("bigint", "long")
-    return per_row(docs, [key, text], make, f"{key} {kind},n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string")
+    return per_row(docs, [key, text], make, f"{key} {kind},n_email long,n_ip long,n_card long,n_phone long,base_sha256 string,spans string,n_spans long")
 
 
 def masked(text: str, spans: list[Span]) -> str:

@@ -223,7 +223,7 @@ def test_lm_scores(spark, docs, texts):
         for got in runs:
             r = got[i]
             assert r.base_score == pytest.approx(want) and (r.n_known, r.n_tokens, r.train_tokens) == (sum(c[w] > 0 for w in x), len(x), n)
-            assert r.score < 0
+            assert r.score < 0 and r.score_per_token == pytest.approx(r.score / len(x))
         assert runs[0][i].score == pytest.approx(runs[1][i].score)
         assert runs[2][i].score == pytest.approx(runs[3][i].score)
     held = [r for r in runs[0].values() if r.held_out]
@@ -337,6 +337,7 @@ def test_private_data(docs, texts):
         spelled = private_data.spell(base)
         assert got[i].base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
         assert set(filter(None, spelled.split(","))) <= set(got[i].spans.split(","))
+        assert got[i].n_spans == len([*filter(None, got[i].spans.split(","))])
 
 
 def test_field_on_held_out_documents():
