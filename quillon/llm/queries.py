@@ -17,6 +17,7 @@ from quillon.llm.private_data import op6_private_data
 from quillon.llm.quality_resampling import op9_quality_resampling
 from quillon.llm.quality_rules import op10_quality_rules
 from quillon.llm.token_counts import op4_token_counts
+from quillon.llm.tokenizer_alignment import op12_tokenizer_alignment
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_resampling": op9_quality_resampling,
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_decontamination": OP3_SQL, "op11_hard_negatives": OP11_SQL}
