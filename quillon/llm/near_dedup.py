@@ -22,11 +22,11 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,13 +47,13 @@ _MULTIPLY = _rng.integers(0, 1 << 64, HASHES, U, endpoint=False)[:, None] | U(1)
 _XOR = _rng.integers(0, 1 << 64, HASHES, U, endpoint=False)[:, None]
 
 
-def shingles(text: str | None, words: Bounded) -> np.ndarray:
-    """Fingerprints of a text's distinct shingles, sorted; of the whole sequence, if it is shorter."""
+def shingles(text: str | None, words: Bounded, of: int = WORDS) -> np.ndarray:
+    """Fingerprints of a text's distinct shingles of ``of`` words, sorted; of the whole sequence, if it is shorter."""
     w = (text or "").encode().lower().split()
     if not w:
         return np.array([], U)
     h = np.fromiter(map(words.__getitem__, w), U, len(w))
-    n = min(WORDS, len(h))
+    n = min(of, len(h))
     x = np.full(len(h) - n + 1, n, U)
     for i in range(n):
         x = mixed(x * U(0xD1342543DE82EF95) + h[i : len(h) - n + 1 + i])
@@ -245,25 +245,11 @@ def _confirmed(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*out, strict=True)], schema=_LINKS)
 
 
-def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of docs (key, text, mark): the rows (key, mark, n, node), the nodes, and the nodes with links (node, root, key, best), root the same for all of a component.
+def classes_of(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, parts: int, confirm: Callable) -> DataFrame:
+    """Of nodes (node, best, n, sig) and their candidate components (node, root): rows (node, root), root the same for all that are linked.
 
-    best is the least (key is null, key, mark) of a node's rows.
+    ``confirm`` gets rows (root, i, j, node, n, sig, label, few, text) sorted by the first three and gives links (a, b) inside them.
     """
-    if not LEAST <= threshold <= 100:
-        raise ValueError(f"threshold must be from {LEAST} to 100")
-    spark = docs.sparkSession
-    ship(spark)
-    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = written(_signatures(docs, threshold), "signatures")
-    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min(F.struct(F.col("key").isNull().alias("null"), "key", "mark")).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
-    member = nodes.select("node", "n", "sig", F.explode("bands").alias("k"))
-    sizes = nodes.select("node", F.explode("bands").alias("k")).groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
-    shared = written(member.join(sizes, "k"), "buckets")
-    small = shared.filter(F.col("size") <= BUCKET).select("k", "node", "n", "sig").repartition(parts, "k").sortWithinPartitions("k")
-    large = shared.filter((F.col("size") > BUCKET) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    candidates = components(small.mapInArrow(lambda b: _within(b, threshold), "a binary, b binary").unionAll(large))
-    # what must be compared, in blocks
     info = candidates.join(nodes.select("node", "best", "n", "sig"), "node")
     counts = info.groupBy("root").agg(F.count("*").alias("size"), F.ceil(F.greatest(F.count("*") / BLOCK_ROWS, F.sum("n") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
     placed = written(info.join(counts, "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "candidates")
@@ -275,13 +261,13 @@ def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Data
 
     def confirmed(tasks: DataFrame, name: str) -> DataFrame:
         dealt = tasks.select("root", "i", "j", "node", "n", "sig", "label", "few").join(texts, "node").select("root", "i", "j", "node", "n", "sig", "label", "few", "text")
-        return written(dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(lambda b: _confirmed(b, threshold), "a binary, b binary"), name)
+        return written(dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(confirm, "a binary, b binary"), name)
 
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
     leads = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("node", F.lit(1)), F.col("size")) < LEADERS)
     once = placed.select("*", F.explode(F.when(leads, every).otherwise(F.array("own"))).alias("i"))
     links = confirmed(once.select("*", F.lit(0).alias("j"), F.col("node").alias("label"), F.lit(True).alias("few")), "confirmed")
-    made = [shared, candidates, placed, texts, links]
+    made = [placed, texts, links]
     split = placed.filter("blocks > 1")
     if split.isEmpty():
         stars = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -301,9 +287,32 @@ def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, Data
         made += [classes, labelled, rest]
         stars = components(links.unionAll(rest))
         made.append(stars)
-    stars = stars.unionAll(stars.select(F.col("root").alias("node"), "root")).distinct()
-    linked = written(stars.join(nodes.select("node", "key", "best"), "node"), "linked")
+    out = written(stars.unionAll(stars.select(F.col("root").alias("node"), "root")).distinct(), "classes")
     drop(*made)
+    return out
+
+
+def _linked(docs: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of docs (key, text, mark): the rows (key, mark, n, node), the nodes, and the nodes with links (node, root, key, best), root the same for all of a component.
+
+    best is the least (key is null, key, mark) of a node's rows.
+    """
+    if not LEAST <= threshold <= 100:
+        raise ValueError(f"threshold must be from {LEAST} to 100")
+    spark = docs.sparkSession
+    ship(spark)
+    parts = max(docs.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = written(_signatures(docs, threshold), "signatures")
+    nodes = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min("key").alias("key"), F.count("*").alias("copies"), F.min(F.struct(F.col("key").isNull().alias("null"), "key", "mark")).alias("best"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands")), "nodes")
+    member = nodes.select("node", "n", "sig", F.explode("bands").alias("k"))
+    sizes = nodes.select("node", F.explode("bands").alias("k")).groupBy("k").agg(F.count("*").alias("size"), F.min("node").alias("hub")).filter("size > 1")
+    shared = written(member.join(sizes, "k"), "buckets")
+    small = shared.filter(F.col("size") <= BUCKET).select("k", "node", "n", "sig").repartition(parts, "k").sortWithinPartitions("k")
+    large = shared.filter((F.col("size") > BUCKET) & (F.col("node") != F.col("hub"))).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    candidates = components(small.mapInArrow(lambda b: _within(b, threshold), "a binary, b binary").unionAll(large))
+    classes = classes_of(docs, nodes, candidates, parts, lambda b: _confirmed(b, threshold))
+    linked = written(classes.join(nodes.select("node", "key", "best"), "node"), "linked")
+    drop(shared, candidates, classes)
     return rows, nodes, linked
 
 
@@ -318,14 +327,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", key: str = "doc_id",
     Texts are shingled whole. An empty table gives no rows; other columns aren't read.
     """
     rows, nodes, linked = _linked(_marked(docs, key, text), threshold)
+    out, component, alone = component_ids(rows, nodes, linked)
+    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, alone).alias("kept"))
+
+
+def component_ids(rows: DataFrame, nodes: DataFrame, linked: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """The rows (key, n, node) with their component's id, and whether they are alone, as columns of the frame given; drops nodes and linked."""
     ids_of = linked.groupBy("root").agg(F.min("key").alias("component_id"))
     named = linked.select("node", "root").join(ids_of, "root").select("node", "component_id")
     alone = nodes.filter("copies > 1").select("node", "key").join(linked.select("node"), "node", "left_anti")
     named = written(named.unionAll(alone.select("node", F.col("key").alias("component_id"))), "named")
     drop(nodes, linked)
     out = rows.select("key", "n", "node").join(named.withColumn("in", F.lit(True)), "node", "left")
-    component = F.when(F.col("in"), F.col("component_id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.col("in").isNull()).alias("kept"))
+    return out, F.when(F.col("in"), F.col("component_id")).otherwise(F.col("key")), F.col("in").isNull()
 
 
 def one_of_each(docs: DataFrame, *, text: str = "text", key: str = "doc_id", threshold: int = LEAST) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.chat_format import OP2_SQL, op2_chat_formatting
 from quillon.llm.decontaminate import OP3_SQL, op3_decontamination
 from quillon.llm.hard_negatives import OP11_SQL, op11_hard_negatives
+from quillon.llm.jaccard_join import op13_jaccard_join
 from quillon.llm.license_scan import op1_license_scan
 from quillon.llm.lm_scoring import op5_lm_scoring
 from quillon.llm.near_dedup import op8_near_dedup
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_rules": op10_quality_rules,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {"op2_chat_formatting": OP2_SQL, "op3_decontamination": OP3_SQL, "op11_hard_negatives": OP11_SQL}
