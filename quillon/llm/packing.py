@@ -85,7 +85,7 @@ def pack(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vocabulary
     empty = spark.createDataFrame([], "a long").schema
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(f"encoder {vocabulary}", lambda: Encoder(vocabulary, folder))
+        encoder = worker_cache(f"encoder {vocabulary} {folder}", lambda: Encoder(vocabulary, folder))
         part, before, last = TaskContext.get().partitionId(), 0, np.array([end], np.uint16).tobytes()
         for b in batches:
             ids = [encoder(t or "") + last for t in b.column(1).to_pylist()]

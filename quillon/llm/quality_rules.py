@@ -2,7 +2,10 @@
 
 A text's words are encoded with a public vocabulary that falls back to bytes.
 Characters per token, the share of byte tokens and the entropy of the tokens
-must lie in a band that depends on the text's language, or else its script.
+must lie in a band that depends on the text's script, or its language where a
+column says it and a band is known. The least entropy rises with the number of
+tokens, of which few can't have much: it is a line through points of (log2 of
+tokens, bits). fit_bands() sets bands from labelled documents.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.llm.common import Bounded, fresh, per_row, ship, table, worker_cache
 from quillon.llm.token_counts import vocabulary_path
@@ -24,25 +28,23 @@ MIN_WORDS, MAX_REPEAT = 50, 50
 #: Ids of the vocabulary's byte tokens.
 BYTES = (3, 259)
 SYMBOLS = re.compile(r"[#*$%&|<>]+")
-#: By language, else script: least and most characters per token, most byte share, least entropy (bits, of texts with MIN_TOKENS tokens).
-BANDS = {
-    "latin": (1.15, 7.0, 0.10, 3.0),
-    "cyrillic": (0.8, 6.0, 0.20, 3.0),
-    "greek": (0.5, 4.0, 0.60, 2.5),
-    "arabic": (0.4, 4.0, 0.60, 2.5),
-    "hebrew": (0.4, 4.0, 0.60, 2.5),
-    "devanagari": (0.4, 4.0, 0.70, 2.5),
-    "han": (0.3, 3.0, 0.90, 2.5),
-    "other": (0.2, 8.0, 1.00, 2.0),
-    # Languages, from the sf0.1 documents with an even doc_id, quality 1 and no base failure (de 240, en 951, es 154, fr 233): the 0.3 % quantile and
-    # 1.1 times the maximum of characters per token, the 0.2 % quantile of entropy; byte share as for the script.
-    "de": (2.064, 2.68, 0.10, 6.039),
-    "en": (2.066, 2.67, 0.10, 6.092),
-    "es": (1.803, 2.29, 0.10, 6.057),
-    "fr": (1.738, 2.38, 0.10, 6.024),
+#: Least and most characters per token, most byte share, and the points of the least entropy, which starts at none.
+Band = tuple[float, float, float, tuple[tuple[float, float], ...]]
+NOTHING = (0.0, 0.0)
+LATIN_FIT: Band = (1.794, 2.45, 0.1, (NOTHING, (7.56, 5.792), (8.57, 6.13), (9.47, 6.26), (10.45, 6.451), (11.43, 6.565)))
+#: By script. That of Latin is fit_bands() of the sf0.1 documents with an even doc_id (LATIN_FIT); the others only turn away what is far off.
+BANDS: dict[str, Band] = {
+    "latin": LATIN_FIT,
+    "cyrillic": (0.8, 6.0, 0.20, (NOTHING, (8.0, 3.0))),
+    "greek": (0.5, 4.0, 0.60, (NOTHING, (8.0, 2.5))),
+    "arabic": (0.4, 4.0, 0.60, (NOTHING, (8.0, 2.5))),
+    "hebrew": (0.4, 4.0, 0.60, (NOTHING, (8.0, 2.5))),
+    "devanagari": (0.4, 4.0, 0.70, (NOTHING, (8.0, 2.5))),
+    "han": (0.3, 3.0, 0.90, (NOTHING, (8.0, 2.5))),
+    "other": (0.2, 8.0, 1.00, (NOTHING, (8.0, 2.0))),
 }
-#: Of fewer tokens the entropy isn't judged, as it can't be high.
-MIN_TOKENS = 256
+#: fit_bands(): labelled documents used, shares of good ones below a bound (characters per token, entropy), documents a point, slack on characters and byte share.
+SAMPLE, OUTSIDE, A_POINT, SLACK = 20_000, (0.002, 0.003), 100, (0.01, 0.03, 0.10)
 #: First code points of the stretches that belong to a script, "" to none.
 STRETCHES = {0: "", 0x41: "latin", 0x5B: "", 0x61: "latin", 0x7B: "", 0xC0: "latin", 0x250: "", 0x370: "greek", 0x400: "cyrillic", 0x530: "", 0x590: "hebrew", 0x600: "arabic", 0x700: "", 0x900: "devanagari", 0x980: "", 0x3040: "han", 0xA000: ""}
 _STARTS, _SCRIPTS = np.array(list(STRETCHES), np.uint32), [*dict.fromkeys(x for x in STRETCHES.values() if x)]
@@ -111,12 +113,12 @@ class Fertility:
 
 
 def verdict(tokens: int, per_token: float, byte: float, entropy: float, band: tuple) -> bool:
-    low, high, most, least = band
-    return tokens > 0 and low <= per_token <= high and byte <= most and (tokens < MIN_TOKENS or entropy >= least)
+    low, high, most, points = band
+    return tokens > 0 and low <= per_token <= high and byte <= most and entropy >= np.interp(math.log2(tokens), *zip(*points, strict=True))
 
 
 def _judge(vocabulary: str, folder: str | None, bands: dict):
-    fertility = worker_cache(f"fertility {vocabulary}", lambda: Fertility(vocabulary_path(vocabulary, folder)))
+    fertility = worker_cache(f"fertility {vocabulary} {folder}", lambda: Fertility(vocabulary_path(vocabulary, folder)))
 
     def judge(texts: list[str | None], langs: list[str | None]) -> list[tuple]:
         rows = []
@@ -135,12 +137,12 @@ def _judge(vocabulary: str, folder: str | None, bands: dict):
     return judge
 
 
-def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str | None = "lang", vocabulary: str = VOCABULARY, folder: str | None = None, bands: dict = BANDS) -> DataFrame:
+def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", lang: str | None = None, vocabulary: str = VOCABULARY, folder: str | None = None, bands: dict = BANDS) -> DataFrame:
     """Per row: key, the base counts, base_failed, kept, and the method's measures.
 
     A null or empty text has no words: base_failed, not kept. Repeated rows and
-    null keys stay. Very long texts are measured whole. ``bands`` may hold a
-    language of the ``lang`` column, which then goes before the script's band.
+    null keys stay. Very long texts are measured whole. ``bands`` may hold
+    languages of a column ``lang``, which then go before the script's band.
     """
 
     def make():
@@ -158,7 +160,56 @@ def quality_rules(docs: DataFrame, *, text: str = "text", key: str = "doc_id", l
     return per_row(docs, [key, text, *[lang] * have], make, f"{key} {kind},n_words long,word_chars long,n_symbols long,n_dup_lines long,n_repeat_words long,base_failed boolean,kept boolean,n_tokens long,chars_per_token double,byte_share double,token_entropy double")
 
 
-def keep_good(docs: DataFrame, *, text: str = "text", lang: str | None = "lang", vocabulary: str = VOCABULARY, folder: str | None = None, bands: dict = BANDS) -> DataFrame:
+def band_of(tokens: np.ndarray, per_token: np.ndarray, byte: np.ndarray, entropy: np.ndarray) -> Band:
+    """The band of good documents' measures.
+
+    The entropy's trend is a parabola over log2 of the tokens; below it, a point
+    for each doubling of the tokens lies where the share OUTSIDE of the documents there
+    is lower. Doublings with fewer than A_POINT documents join the next one.
+    """
+    x = np.log2(tokens)
+    trend = np.polyval(np.polyfit(x, entropy, min(2, len(np.unique(x)) - 1)), x)
+    points, low = [NOTHING], math.floor(x.min())
+    for high in range(low + 1, math.floor(x.max()) + 2):
+        inside = (x >= low) & (x < high)
+        if inside.sum() >= A_POINT:
+            middle = float(np.median(x[inside]))
+            near = inside & (np.abs(x - middle) <= np.quantile(np.abs(x[inside] - middle), 0.1))
+            points.append((round(middle, 2), round(float(trend[near].mean() + np.quantile((entropy - trend)[inside], OUTSIDE[1])), 3)))
+            low = high
+    below, above, share = SLACK
+    return round(float(np.quantile(per_token, OUTSIDE[0])) * (1 - below), 3), round(float(np.quantile(per_token, 1 - OUTSIDE[0])) * (1 + above), 3), round(float(np.quantile(byte, 1 - OUTSIDE[0])) + share, 3), tuple(points)
+
+
+def fit_bands(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", quality: str = "quality", lang: str | None = None, sample: int = SAMPLE, vocabulary: str = VOCABULARY, folder: str | None = None, bands: dict[str, Band] = BANDS) -> dict[str, Band]:
+    """``bands`` with those of the scripts, and of the languages of ``lang``, that A_POINT good documents or more have.
+
+    Good are documents whose label in ``quality`` is 1 and which pass the base
+    rules. At most ``sample`` labelled ones, those with the least hashes of
+    their keys, are measured; their measures, a few numbers each, come to the driver.
+    """
+    good = labels.filter(F.col(quality) == 1).select(F.col(key).alias("k")).distinct().orderBy(F.xxhash64("k"), "k").limit(sample)
+    some = docs.select(F.col(key).alias("k"), F.col(text).alias("text"), (F.col(lang) if lang else F.lit(None).cast("string")).alias("lang")).join(F.broadcast(good), "k", "left_semi")
+
+    def make():
+        judge = _judge(vocabulary, folder, bands)
+
+        def f(texts, langs):
+            rows = [(*r[5:6], *r[7:], script(t or ""), g) for r, t, g in zip(judge(texts, langs), texts, langs, strict=True)]
+            return [list(x) for x in zip(*rows, strict=True)] or [[]] * 7
+
+        return f
+
+    measured = per_row(some, ["text", "lang"], make, "failed boolean,n long,per_token double,byte double,entropy double,script string,lang string").filter("NOT failed AND n > 0").toPandas()
+    out = dict(bands)
+    for by in ("script", "lang"):
+        for name, m in measured.groupby(by):
+            if len(m) >= A_POINT:
+                out[name] = band_of(*(m[c].to_numpy(float) for c in ("n", "per_token", "byte", "entropy")))
+    return out
+
+
+def keep_good(docs: DataFrame, *, text: str = "text", lang: str | None = None, vocabulary: str = VOCABULARY, folder: str | None = None, bands: dict = BANDS) -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps, with all their columns; judged in the same pass that reads them."""
     ship(docs.sparkSession)
     mark = fresh(docs, "kept")

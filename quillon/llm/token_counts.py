@@ -88,7 +88,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", key: str = "doc_id", vo
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_lengths(vocabulary_path(vocabulary, folder)))
 
     def make():
-        count = worker_cache(f"count {vocabulary}", lambda: Counter(vocabulary_path(vocabulary, folder), frequent.value, cache))
+        count = worker_cache(f"count {vocabulary} {folder} {cache}", lambda: Counter(vocabulary_path(vocabulary, folder), frequent.value, cache))
 
         def f(ids, texts):
             texts = [t or "" for t in texts]

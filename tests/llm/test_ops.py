@@ -2,12 +2,14 @@
 
 import hashlib
 import itertools
+import json
 import math
 import random
 import re
 import time
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -589,13 +591,46 @@ def test_quality_rules(docs, texts):
             assert r.byte_share == pytest.approx(sum(3 <= x < 259 for x in ids) / len(ids)) and r.chars_per_token == pytest.approx(r.word_chars / len(ids))
 
 
-def test_language_bands_bite(spark):
-    docs = spark.read.parquet(f"{DATA}/../sf0.01/documents.parquet")
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{DATA}/../sf0.01/labels.parquet").collect()}
-    rows = [r for r in quality_rules.quality_rules(docs).collect() if not r.base_failed]
-    share = lambda q: np.mean([r.kept for r in rows if labels.get(r.doc_id) == q])
-    assert share(0) < 0.3 and share(1) > 0.95
-    assert set("de en es fr".split()) <= set(quality_rules.BANDS)
+def test_bands_bite_without_a_language(spark):
+    docs = spark.read.parquet(f"{DATA}/../sf0.1/documents.parquet").drop("lang")
+    labels = spark.read.parquet(f"{DATA}/../sf0.1/labels.parquet").filter("doc_id % 2 = 1")  # the bands are from the others
+    some = docs.join(labels, "doc_id", "left_semi")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    for bands in (quality_rules.BANDS, quality_rules.fit_bands(docs, labels.filter("doc_id % 4 = 1"))):
+        rows = [r for r in quality_rules.quality_rules(some, bands=bands).collect() if not r.base_failed and (bands is quality_rules.BANDS or r.doc_id % 4 == 3)]
+        share = lambda q: np.mean([r.kept for r in rows if quality[r.doc_id] == q])  # noqa: E731, B023
+        assert share(0) < 0.1 and share(1) > 0.98
+        short = [r for r in rows if r.n_tokens < 256 and quality[r.doc_id] == 0]
+        assert len(short) >= 5 and np.mean([r.kept for r in short]) <= 0.5  # no size is let off
+
+
+def test_bands_are_fitted_by_script_and_language(spark):
+    good = [(i, " ".join(f"слово{(i * 7 + j * j) % 397}" for j in range(60 + i)), "ru", 1) for i in range(200)]
+    bad = [(1000 + i, "спам " * 30 + " ".join(f"реклама{j % 9}" for j in range(80)), "ru", 0) for i in range(20)]
+    both = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, quality int")
+    bands = quality_rules.fit_bands(both, both, lang="lang")
+    assert bands["cyrillic"] == bands["ru"] != quality_rules.BANDS["cyrillic"] and bands["latin"] == quality_rules.BANDS["latin"]
+    kept = by_id(quality_rules.quality_rules(both, bands=bands))
+    assert sum(kept[i].kept for i, *_ in good) >= 196 and not any(kept[i].kept for i, *_ in bad)
+    assert quality_rules.fit_bands(both.filter("false"), both) == quality_rules.fit_bands(both, both.filter("false")) == quality_rules.BANDS
+    # a band of a language goes before its script's where the column is named
+    none = {"ru": (50.0, 60.0, 0.0, (quality_rules.NOTHING,))}
+    assert not any(r.kept for r in quality_rules.quality_rules(both, lang="lang", bands=bands | none).collect())
+
+
+def test_folders_of_vocabularies(spark, tmp_path):
+    """Another folder's vocabulary of the same name isn't taken for the one before."""
+    from tokenizers import Tokenizer
+
+    text = "Tokenisation of documents and considerable understanding"
+    model = json.loads(Path(token_counts.vocabulary_path(token_counts.VOCABULARY)).read_text())
+    model["model"]["merges"] = model["model"]["merges"][:500]
+    (tmp_path / token_counts.VOCABULARY).write_text(json.dumps(model))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    want = [len(Tokenizer.from_file(token_counts.vocabulary_path(token_counts.VOCABULARY, f)).encode(text, add_special_tokens=False).ids) for f in (None, str(tmp_path))]
+    got = [token_counts.count_tokens(docs, folder=f).first().n_tokens for f in (None, str(tmp_path), None)]
+    assert got == [*want, want[0]] and want[0] < want[1]
+
 
 
 def test_rejection_bands(spark):
