@@ -80,15 +80,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    _there.add(path)
     return out
 
 
+#: Paths of tables of written() that haven't been dropped.
+_there: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    _there.discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes tables of written() that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.written_to)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, df.written_to)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that were written inside when the block ends, but for those put into the list that it is given.
+
+    Put it around what builds an operator's result and reads it: what an
+    operator returns may read its tables when an action starts.
+    """
+    before, keep = set(_there), []
+    try:
+        yield keep
+    finally:
+        for path in _there - before - {df.written_to for df in keep}:
+            _delete(spark, path)
 
 
 _shipped: set[str] = set()

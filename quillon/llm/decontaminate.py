@@ -12,11 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ascii_lower, fresh, table, written
+from quillon.llm.common import ascii_lower, drop, fresh, table, written
 
 WINDOW = 13
-#: Words and items of the windows that are broadcast at once, and removed documents that are.
-MOST_CELLS, MOST_BAD = 4_000_000, 1_000_000
+#: Words of the windows that are broadcast at once, removed documents and distinct sets of items that are.
+MOST_CELLS, MOST_BAD, MOST_NAMED = 4_000_000, 1_000_000, 100_000
 #: A document is contaminated if at least one word in SHARE is hit.
 SHARE = 20
 
@@ -26,12 +26,22 @@ def words(c: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(c, F.lit(""))), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
-def windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Rows of (w, items, hash): the distinct windows, each with its items."""
+def windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text", window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """Rows of (w, hash, items), the distinct windows, each with a number for the items that have it; and rows of (items, item).
+
+    Windows with the same items share their number, so that a passage that many
+    items have lists them once; no row holds a list of items.
+    """
     w = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-    one = w.select("item", F.explode(F.transform(starts, lambda s: F.slice("w", s, window))).alias("w"))
-    return one.groupBy("w").agg(F.collect_set("item").alias("items")).withColumn("hash", F.xxhash64("w"))
+    one = written(w.select("item", F.explode(F.array_distinct(F.transform(starts, lambda s: F.slice("w", s, window)))).alias("w")).distinct().withColumn("hash", F.xxhash64("w")), "item_windows")
+    mixed = lambda seed: F.sum(F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1 << 31)))
+    each = one.groupBy("w", "hash").agg(F.xxhash64(F.count("*"), mixed(1), mixed(2), mixed(3)).alias("items"))
+    found = written(each, "windows")
+    first = found.groupBy("items").agg(F.min(F.struct("hash", "w")).alias("f")).select("items", "f.w")
+    listed = written(one.select("w", "item").join(first, "w").select("items", "item"), "items")
+    drop(one)
+    return found, listed
 
 
 def _probed(each: DataFrame, found: DataFrame, lengths: list[int], rows: bool) -> DataFrame:
@@ -46,7 +56,7 @@ def _probed(each: DataFrame, found: DataFrame, lengths: list[int], rows: bool) -
     each = each.withColumn("hashes", F.concat(F.array(F.lit(0).cast("long")), *map(hashes_of, lengths)))
     table = found.select("hash", "w", "items")
     if rows:  # what the first place of each document meets
-        table = table.unionAll(found.sparkSession.sql("SELECT 0L AS hash, CAST(NULL AS array<string>) AS w, CAST(NULL AS array<string>) AS items"))
+        table = table.unionAll(found.sparkSession.sql("SELECT 0L AS hash, CAST(NULL AS array<string>) AS w, CAST(NULL AS bigint) AS items"))
     # outer, as Spark would else add a filter on the array's size, for which it makes all hashes once more
     at = each.select("k", "mark", "words", F.posexplode_outer("hashes").alias("pos", "hash")).join(F.broadcast(table), "hash")
     before, start = F.lit(0), F.lit(0)
@@ -64,12 +74,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     words or id are left out, repeated items count once. Rows with the same key
     and text give as many equal rows; null keys are keys. An empty benchmark
     hits nothing. Other columns aren't read. A table of more than ``most``
-    cells (words and items) is broadcast in parts, with a pass over the
-    documents for each: no window of a document is shuffled unless it hits.
+    words is broadcast in parts, with a pass over the documents for each: no
+    window of a document is shuffled unless it hits. Items come in after that,
+    once for all documents that hit windows with the same items.
     """
     spark = docs.sparkSession
-    found = written(windows(benchmark, item=item, text=item_text, window=window), "windows")
-    size = found.groupBy(F.size("w").alias("l")).agg(F.sum(F.size("w") + F.size("items")).alias("cells")).collect()  # at most ``window`` rows
+    found, listed = windows(benchmark, item=item, text=item_text, window=window)
+    size = found.groupBy(F.size("w").alias("l")).agg(F.sum(F.size("w")).alias("cells")).collect()  # at most ``window`` rows
     lengths, parts = sorted(r.l for r in size), max(1, -(-sum(r.cells for r in size) // most))
     each = docs.select(F.col(key).alias("k"), F.coalesce(F.xxhash64(text), F.lit(0)).alias("mark"), words(F.col(text)).alias("words"))
     kept = None
@@ -77,10 +88,17 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
         part = found if parts == 1 else found.filter(F.pmod("hash", F.lit(parts)) == i)
         some = _probed(each, part, lengths, i == 0)
         kept = some if kept is None else kept.unionAll(some)
-    by = kept.groupBy("k", "mark").agg(F.max("n").alias("n_words"), F.count_if(F.col("s").isNull()).alias("rows"), F.collect_set("s").alias("s"), F.collect_set("items").alias("items"))
     hit = F.size(F.array_distinct(F.flatten(F.transform("s", lambda s: F.sequence(s["a"], s["a"] + s["l"] - 1))))).cast("long")
-    out = by.select("*", hit.alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("i"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
-    out = out.select(F.col("k").alias(key), F.col("mark").alias("mark" if key.lower() != "mark" else "_mark"), "n_words", "n_hit", F.size("i").cast("long").alias("n_items"), F.sha2(F.array_join("i", ","), 256).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    by = kept.groupBy("k", "mark").agg(F.max("n").alias("n_words"), F.count_if(F.col("s").isNull()).alias("rows"), F.collect_set("s").alias("s"), F.array_sort(F.collect_set("items")).alias("items"))
+    by = written(by.select("k", "mark", "n_words", "rows", hit.alias("n_hit"), "items"), "hit")
+    # what each set of numbers stands for
+    several = by.filter(F.size("items") > 0).select("items").distinct().select("items", F.explode("items").alias("i"))
+    named = several.join(listed.withColumnRenamed("items", "i"), "i").groupBy("items").agg(F.array_sort(F.collect_set("item")).alias("names"))
+    named = written(named.select("items", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")), "named_items")
+    drop(listed)
+    out = by.join(F.broadcast(named) if named.count() <= MOST_NAMED else named, "items", "left").select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
+    out = out.select(F.col("k").alias(key), F.col("mark").alias("mark" if key.lower() != "mark" else "_mark"), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+    drop(found)
     return out if size else out.withColumn("contaminated", F.lit(False))
 
 

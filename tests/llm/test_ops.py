@@ -646,3 +646,24 @@ def test_rejection_bands(spark):
     got = by_id(quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), bands=quality_rules.BANDS | {"en": quality_rules.BANDS["latin"]}))
     assert got[0].kept and not got[1].kept and not got[1].base_failed and not got[2].kept and not got[2].base_failed
     assert quality_rules.script("Привет мир") == "cyrillic" and quality_rules.script("123") == "other" and quality_rules.script("Éa") == "latin"
+
+
+def test_window_of_many_items(spark):
+    """A window that thousands of items have is one row; its items come in once for all documents that hit it."""
+    line = " ".join(f"shared{i}" for i in range(20))
+    items = [(f"i{k}", f"{line} own{k} " + " ".join(f"x{k}y{j}" for j in range(k % 15))) for k in range(4000)]
+    bench = spark.createDataFrame([*items, items[0], (None, line), ("none", None), ("short", "only three words")], "item_id string, text string")
+    found, listed = decontaminate.windows(bench)
+    assert found.groupBy("w").count().filter("count > 1").isEmpty() and "array<string>" not in dict(listed.dtypes).values()
+    assert listed.groupBy("items").count().agg(F.max("count")).first()[0] == 4000 and listed.count() < 4000 * 15
+    docs = [(d, f"pre{d} {line} post") for d in range(6)] + [(7, "only three words"), (8, items[14][1]), (9, "nothing"), (9, None)]
+    got = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()
+    every = hashlib.sha256(",".join(sorted(k for k, _ in items)).encode()).hexdigest()
+    assert len(got) == 10
+    for r in got:
+        if r.doc_id < 6 or r.doc_id == 8:
+            assert (r.n_items, r.items_sha256) == (4000, every) and r.contaminated
+        elif r.doc_id == 7:
+            assert (r.n_items, r.n_hit, r.items_sha256) == (1, 3, hashlib.sha256(b"short").hexdigest())
+        else:
+            assert (r.n_items, r.n_hit, r.items_sha256) == (0, 0, hashlib.sha256(b"").hexdigest())
