@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm.common import table, written
+from quillon.llm.common import drop, released, table, written
 from quillon.llm.decontaminate import without_contaminated
 from quillon.llm.near_dedup import one_of_each
 from quillon.llm.packing import pack
@@ -48,9 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = written(docs, name)
+    """The rows of the last stage. When it returns, all tables that it wrote are deleted but for the one that holds them."""
+    docs, last = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES:
+        with released(spark) as keep:
+            docs = written(stage(spark, docs, sf_dir), name)
+            keep.append(docs)
+        if last is not None:
+            drop(last)
+        last = docs
     return docs
