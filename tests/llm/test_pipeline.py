@@ -55,3 +55,25 @@ def test_empty_and_null_rows(spark):
             frame = written(f(spark, frame, DATA), name)
             if name == "packing":
                 assert frame.count() == 0
+
+
+def test_tables_are_deleted(spark):
+    """run() leaves the table of its rows; an operator's go when the block around it ends."""
+    import corpus_pipeline
+    from quillon.llm import common
+    from quillon.llm.decontaminate import op3_decontamination
+
+    root = common.Path(common.shared_dir(spark).removeprefix("file:")) / "quillon"
+    there = lambda: {p.name for p in root.iterdir()} if root.exists() else set()
+    before = there()
+    n = corpus_pipeline.run(spark, DATA).count()
+    left = there() - before
+    assert n > 0 and len(left) == 1 and min(left).startswith("packing-")
+    with common.released(spark) as keep:
+        df = op3_decontamination(spark, DATA)
+        kept = written(df, "result")
+        keep.append(kept)
+        assert len(there() - before - left) > 1
+    assert {p.split("-")[0] for p in there() - before - left} == {"result"} and kept.count() == 200
+    common.drop(kept)
+    assert there() == before | left
