@@ -95,7 +95,6 @@ def _context(t):
 
 query("r17_warnings", "SELECT row_idx, system, concat_ws('; ', CASE WHEN lower(confidence) = 'low' THEN 'low confidence' END, CASE WHEN transition_note <> '' THEN 'law replaced' END, CASE WHEN contains(answer, 'overruled') THEN 'overruled case' END) AS warnings FROM responses")(lambda t: t.responses.select("row_idx", "system", F.concat_ws("; ", F.when(F.lower("confidence") == "low", "low confidence"), F.when(F.col("transition_note") != "", "law replaced"), F.when(F.col("answer").contains("overruled"), "overruled case")).alias("warnings")))
 query("r18_simple_baseline", f"WITH {DENSE_SQL}, u AS (SELECT query_id, vec_id, 2 - 2 * score AS d FROM dp), t3 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS k FROM u QUALIFY k <= 3) SELECT query_id, round(avg(d), 6) AS mean_distance, CASE WHEN round(avg(1 - d / 2), 6) >= 0.8 THEN 'high' WHEN round(avg(1 - d / 2), 6) >= 0.65 THEN 'medium' ELSE 'low' END AS label FROM t3 GROUP BY 1")(lambda t: _dense(t, 3).withColumn("d", 2 - 2 * F.col("score")).groupBy("query_id").agg(r6(F.avg("d")).alias("mean_distance"), r6(F.avg(1 - F.col("d") / 2)).alias("s")).select("query_id", "mean_distance", F.when(F.col("s") >= 0.8, "high").when(F.col("s") >= 0.65, "medium").otherwise("low").alias("label")))
-query("r19_masking", r"SELECT row_idx, system, regexp_replace(regexp_replace(answer, '(?i)section\s+30[0-4]\b', '[unverified]', 'g'), '(?i)\bsec\s+30[0-4]\b', '[unverified]', 'g') AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.regexp_replace(F.regexp_replace("answer", r"(?i)section\s+30[0-4]\b", "[unverified]"), r"(?i)\bsec\s+30[0-4]\b", "[unverified]").alias("answer")))
 # similarity joins: the stated queries against all vectors
 query("j18_similarity_top_k", f"WITH {DENSE_SQL} SELECT query_id, vec_id, CAST(rank AS INT) AS rank FROM dense WHERE rank <= 3")(lambda t: _dense(t, 3).select("query_id", "vec_id", "rank"))
 
@@ -117,7 +116,3 @@ def _preference(t):
     twin = t.documents.filter("doc_id % 2 = 1 AND lang <> 'en'").groupBy("lang").agg(F.count("*").alias("n"))
     return t.documents.select("lang").distinct().join(twin, "lang", "left").select("lang", F.when(F.col("n") > 0, "documents_ml").otherwise("documents").alias("collection"))
 
-
-_HINT = "CASE WHEN contains(lower(query), lower(regexp_extract(section, '(\\d+)', 1))) THEN 400 ELSE 0 END"
-query("r14_structured_citations", f"""WITH c AS (SELECT row_idx, system, query, 1 AS pos, act1 AS act, section1 AS section, CASE WHEN type1 = 'bare_act' THEN 100 ELSE 60 END AS base FROM responses WHERE act1 IS NOT NULL UNION ALL SELECT row_idx, system, query, 2, act2, section2, 80 FROM responses WHERE act2 IS NOT NULL),
-k AS (SELECT *, base + {_HINT} AS score FROM c) SELECT row_idx, system, act, section, CAST(score AS INT) AS score, CAST(row_number() OVER (PARTITION BY row_idx, system ORDER BY score DESC, pos) AS INT) AS place FROM k""")(lambda t: topk(t.responses.select("row_idx", "system", "query", F.inline(F.array(F.struct(F.lit(1).alias("pos"), F.col("act1").alias("act"), F.col("section1").alias("section"), F.when(F.col("type1") == "bare_act", 100).otherwise(60).alias("base")), F.struct(F.lit(2).alias("pos"), F.col("act2").alias("act"), F.col("section2").alias("section"), F.lit(80).alias("base"))))).filter("act IS NOT NULL").withColumn("score", F.col("base") + F.when(F.contains(F.lower("query"), F.lower(F.regexp_extract("section", r"(\d+)", 1))), 400).otherwise(0)), ["row_idx", "system"], [F.desc("score"), "pos"], 4, rank="place").select("row_idx", "system", "act", "section", "score", "place"))

@@ -78,6 +78,19 @@ ADAPTERS: dict[str, str] = {
         WHEN 3 THEN 'Show me Section ' || CAST(doc_id % 500 AS STRING) WHEN 4 THEN 'Section 9: What does Section 9 cover?' WHEN 5 THEN 'What is the punishment for theft?' WHEN 6 THEN 'What is the sentence for fraud?' WHEN 7 THEN 'How many years imprisonment for forgery?'
         WHEN 8 THEN 'How long can you be jailed for perjury?' WHEN 9 THEN 'Has AIR 1950 SC 27 been overruled?' WHEN 10 THEN 'What happened to the Negotiable Instruments Act?' WHEN 11 THEN 'What changed in the Code of Criminal Procedure?' WHEN 12 THEN 'Are there new provisions for bail?'
         WHEN 13 THEN 'What are the legal requirements for a will?' WHEN 14 THEN 'What are the ingredients of cheating?' WHEN 15 THEN '  Is consent needed?  ' WHEN 16 THEN '' WHEN 17 THEN 'What is Section 5 of the Indian Penal Code?' ELSE 'bail in ' || lang END AS query_text FROM documents""",
+    "cited_answers": """SELECT doc_id AS row_idx, CASE doc_id % 12 WHEN 0 THEN 'Under Section ' || CAST(300 + doc_id % 60 AS STRING) || ' of Indian Penal Code 1860 theft is punished; not so Section 300 of Indian Penal Code 1860.'
+        WHEN 1 THEN 'Negotiable Instruments Act 1881, Section ' || CAST(300 + doc_id % 45 AS STRING) || '. Negotiable Instruments Act 1881 Section 138 is about cheques' WHEN 2 THEN 'see Section 5 of Indian Penal Code 1860, Section 302 of Evidence Act 1872.'
+        WHEN 3 THEN 'section 420A of negotiable instruments act 1881; SECTION 301 OF INDIAN PENAL CODE 1860' WHEN 4 THEN 'Section 999 of Companies Act 2013, Section 999 of Companies Act 2013, and once more Section 999 of Companies Act 2013.' WHEN 5 THEN '' WHEN 6 THEN NULL
+        WHEN 7 THEN 'Nothing is cited but Section 302 of the Code.' WHEN 8 THEN 'Section 303 of' || chr(10) || 'Indian Penal Code 1860' || chr(10) || 'Indian Penal Code 1860, Section 304A' WHEN 9 THEN 'é Section 12b of Land Act 1894, Section 308 of Indian Penal Code 1860. Stamp Act 1899, Section 3; end'
+        ELSE 'By Section ' || CAST(doc_id % 400 AS STRING) || ' of Indian Penal Code 1860 and Section ' || CAST(doc_id % 350 AS STRING) || ' of Negotiable Instruments Act 1881 it is void.' END || ' ' || substr(coalesce(text, ''), 1, 80) AS answer FROM documents""",
+    "lookups": """SELECT doc_id AS row_idx, CASE doc_id % 14 WHEN 0 THEN 'What is Section ' || CAST(300 + doc_id % 37 AS STRING) || ' of IPC?' WHEN 1 THEN 'ipc ' || CAST(300 + doc_id % 37 AS STRING) || 'a punishment' WHEN 2 THEN 'धारा ' || CAST(300 + doc_id % 37 AS STRING) || ' भारतीय दंड संहिता'
+        WHEN 3 THEN 'Negotiable Instruments Act and 138' WHEN 4 THEN 'sec. 35 of the Bharatiya Nagarik Suraksha Sanhita' WHEN 5 THEN 'BNS 103 or IPC 302' WHEN 6 THEN 'bail in 1998' WHEN 7 THEN '' WHEN 8 THEN NULL WHEN 9 THEN 'Is s. 13 of the Hindu Marriage Act in force'
+        WHEN 10 THEN 'Arbitration Act, section ' || CAST(doc_id % 90 AS STRING) WHEN 11 THEN 'Does limitation act bar it' WHEN 12 THEN 'Code of Criminal Procedure ' || CAST(300 + doc_id % 37 AS STRING) ELSE 'domestic violence act S 12' END AS query FROM documents""",
+    "found_sources": """SELECT d.doc_id AS row_idx, s.n AS pos, CASE WHEN s.n >= 4 THEN 'case_law' ELSE 'bare_act' END AS type,
+        CASE WHEN s.n >= 4 THEN CASE (d.doc_id + s.n) % 5 WHEN 0 THEN '' ELSE ' State v. Person ' || CAST((d.doc_id + s.n) % 6 AS STRING) END ELSE CASE (d.doc_id + s.n) % 6 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'code of criminal procedure' WHEN 2 THEN 'Negotiable Instruments Act 1881' WHEN 3 THEN ' Hindu Marriage Act ' WHEN 4 THEN 'Companies Act 2013' ELSE 'Arbitration and Conciliation Act 1996' END END AS name,
+        CASE WHEN s.n >= 4 THEN CASE (d.doc_id + s.n) % 7 WHEN 0 THEN NULL ELSE 'AIR 1978 SC ' || CAST(d.doc_id % 9 AS STRING) END ELSE CASE (d.doc_id * 3 + s.n) % 8 WHEN 0 THEN '' WHEN 1 THEN 'section ' || CAST(300 + d.doc_id % 37 AS STRING) WHEN 2 THEN CAST(300 + d.doc_id % 37 AS STRING) || 'A' WHEN 3 THEN '13' WHEN 4 THEN '138.' ELSE CAST(300 + d.doc_id % 37 AS STRING) END END AS reference,
+        CASE WHEN s.n < 4 AND (d.doc_id + s.n) % 9 = 2 THEN 'BNS Section ' || CAST(100 + d.doc_id % 50 AS STRING) WHEN s.n < 4 AND (d.doc_id + s.n) % 9 = 5 THEN 'bnss section ' || CAST(30 + d.doc_id % 9 AS STRING) WHEN (d.doc_id + s.n) % 9 = 7 THEN 'repealed' ELSE NULL END AS replaced_by
+        FROM documents d CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5) s""",
     "ratings": """SELECT doc_id AS query_id, e.evaluator, CAST((doc_id * 7 + e.n * doc_id % 3) % 5 AS INT) AS score FROM labels CROSS JOIN (SELECT 'a' AS evaluator, 1 AS n UNION ALL SELECT 'b', 2 UNION ALL SELECT 'c', 4) e""",
     "clauses": """SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'ARTICLE 1 TERMS' || chr(10) || 'The parties agree.' || chr(10) || '1.1 Scope' || chr(10) || 'Works described here.' || chr(10) || '2. Payment' || chr(10) || 'Fees are due.' || chr(10)
         WHEN 1 THEN '1. Definitions' || chr(10) || '2. Term' || chr(10) || 'One year.' || chr(10) || 'CONFIDENTIALITY' || chr(10) || 'Keep secrets.' || chr(10) WHEN 2 THEN 'Section 4 Liability' || chr(10) || 'Limited.' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents""",
@@ -116,4 +129,6 @@ def with_adapters(sql: str) -> str:
         return sql
     made = ",\n".join(f"{n} AS ({ADAPTERS[n]})" for n in used)
     sql = sql.strip()
+    if re.match(r"(?i)with\s+recursive\s", sql):
+        return f"WITH RECURSIVE {made}, {re.sub(r'(?i)^with\s+recursive\s', '', sql)}"
     return f"WITH {made}, {sql[5:]}" if re.match(r"(?i)with\s", sql) else f"WITH {made}\n{sql}"
