@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from quillon.functions import rules as r
+from quillon.operators import lexical_index as li
 from quillon.operators import retrieval as x
 from quillon.operators import vector_index as vi
 from quillon.plans.registry import query
@@ -25,6 +26,17 @@ query("r01_bm25_postings", f"WITH tok AS (SELECT doc_id, {_TOK} AS t FROM docume
 _IDF_SQL = BM25_SQL[: BM25_SQL.index(",\nq AS")]
 query("r01_bm25_idf", f"WITH {_IDF_SQL} SELECT term, round(idf, 6) AS idf FROM w")(lambda t: x.idf(x.term_counts(t.documents, "text")).select("term", r6(F.col("idf")).alias("idf")))
 query("r02_bm25_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM top")(lambda t: _bm25(t))
+
+
+@query("r02_indexed_top20", f"WITH {BM25_SQL.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 50 <> 7)')} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM top")
+def _indexed(t):
+    """The same from a maintained index: two inserts, of which the second also brings documents that are there, and a delete."""
+    index = li.open_lexical(t.spark, f"{scratch(t.spark)}/terms-{uuid.uuid4().hex}")
+    index = li.insert(index, t.documents.filter("doc_id % 3 < 2"))
+    index = li.delete(li.insert(index, t.documents.filter("doc_id % 3 > 0")), t.documents.filter("doc_id % 50 = 7"))
+    return li.search(index, t.benchmark.select("item_id", F.col("text").alias("q")), query="item_id", query_text="q").withColumnRenamed("doc", "doc_id")
+
+
 # the stated queries: every vector whose id is divisible by 20
 DENSE_SQL = """dq AS (SELECT vec_id AS query_id, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), dp AS (SELECT query_id, vec_id, label, round(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(q AS DOUBLE[])) / sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) * list_dot_product(CAST(q AS DOUBLE[]), CAST(q AS DOUBLE[]))), 6) AS score FROM embeddings e, dq),
 dense AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM dp QUALIFY rank <= 20)"""
