@@ -22,8 +22,8 @@ from quillon.functions.text import bm25_tokens
 from quillon.operators.relational import topk
 from quillon.operators.retrieval import EPSILON, K1, MOST_BROADCAST, B
 
-#: Buckets of terms and of documents, postings of a block, terms that are pushed to the scan as values.
-BUCKETS, BLOCK, MOST_PUSHED = 64, 256, 500
+#: Buckets of terms and of documents of a new index, postings of a block, terms that are pushed to the scan as values.
+BUCKETS, BLOCK, MOST_PUSHED = 32, 256, 500
 
 
 @dataclass
@@ -38,6 +38,10 @@ class LexicalIndex:
     tokens: int = 0
     gone: int = 0
     mean: float = 0.0
+    buckets: int = BUCKETS
+
+    def bucket(self, c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(self.buckets)).cast("int")
 
     @property
     def avgdl(self) -> float:
@@ -62,28 +66,24 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def bucket_of(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
-
-
-def open_lexical(spark: SparkSession, path: str) -> LexicalIndex:
-    """The newest version."""
+def open_lexical(spark: SparkSession, path: str, buckets: int = BUCKETS) -> LexicalIndex:
+    """The newest version; of a new index an empty one, with so many buckets."""
     root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
     fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(root):
-        return LexicalIndex(spark, path)
+        return LexicalIndex(spark, path, buckets=buckets)
     names = [int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()]
-    return LexicalIndex(spark, path, **json.loads(spark.read.text(f"{path}/manifests/{max(names)}").first().value)) if names else LexicalIndex(spark, path)
+    return LexicalIndex(spark, path, **json.loads(spark.read.text(f"{path}/manifests/{max(names)}").first().value)) if names else LexicalIndex(spark, path, buckets=buckets)
 
 
 def _publish(old: LexicalIndex, segments: list[int], gone: int) -> LexicalIndex:
     """The next version. Its manifest is written aside and renamed: of two writers of one version the second fails, and a reader never sees half of one."""
-    spark, new = old.spark, LexicalIndex(old.spark, old.path, old.version + 1, segments, gone=gone)
+    spark, new = old.spark, LexicalIndex(old.spark, old.path, old.version + 1, segments, gone=gone, buckets=old.buckets)
     live = alive(new).agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     new.n, new.tokens = live.n, live.t or 0
     raw = F.log(F.lit(new.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     new.mean = term_counts(new).agg(F.avg(raw)).first()[0] or 0.0
-    said = json.dumps({"version": new.version, "segments": segments, "n": new.n, "tokens": new.tokens, "gone": gone, "mean": new.mean})
+    said = json.dumps({"version": new.version, "segments": segments, "n": new.n, "tokens": new.tokens, "gone": gone, "mean": new.mean, "buckets": new.buckets})
     aside, at = f"{old.path}/manifests/_{new.version}_{max(segments, default=0)}", f"{old.path}/manifests/{new.version}"
     spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(aside)
     jvm = spark._jvm
@@ -131,7 +131,7 @@ def _next(index: LexicalIndex) -> int:
 
 def _write_postings(index: LexicalIndex, each: DataFrame, segment: int) -> None:
     """(term, doc, tf, dl) as postings and bounds; terms that fill a bucket are sorted by ranges, so that one term isn't one task."""
-    placed = each.withColumn("bucket", bucket_of(F.col("term")))
+    placed = each.withColumn("bucket", index.bucket("term"))
     parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["bucket", "term", F.desc("tf"), "dl", "doc"]
     # blocks are counted inside a range; the range's number keeps those of a term that lies in two apart
@@ -142,15 +142,15 @@ def _write_postings(index: LexicalIndex, each: DataFrame, segment: int) -> None:
     blocks.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
     there = index.spark.read.schema(POSTINGS).parquet(path)
     bounds = there.groupBy("bucket", "term", "block").agg(F.count("*").alias("rows"), F.max("tf").alias("most_tf"), F.min("tf").alias("least_tf"), F.max("dl").alias("most_dl"), F.min("dl").alias("least_dl"))
-    bounds.repartition(parts, "bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/bounds/segment={segment}")
+    bounds.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/bounds/segment={segment}")
 
 
 def _write_docs(index: LexicalIndex, docs: DataFrame, segment: int) -> None:
-    docs.repartition(int(index.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.pmod(F.xxhash64("doc", F.lit(1)), F.lit(4))).write.partitionBy("bucket").parquet(f"{index.path}/docs/segment={segment}")
+    docs.repartition("bucket").write.partitionBy("bucket").parquet(f"{index.path}/docs/segment={segment}")
 
 
 def _write_terms(index: LexicalIndex, changes: DataFrame, segment: int) -> None:
-    sums = changes.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", bucket_of(F.col("term")))
+    sums = changes.groupBy("term").agg(F.sum("df").alias("df")).withColumn("bucket", index.bucket("term"))
     sums.repartition("bucket").write.partitionBy("bucket").parquet(f"{index.path}/terms/segment={segment}")
 
 
@@ -160,8 +160,8 @@ def _bury(index: LexicalIndex, keys: DataFrame, segment: int) -> DataFrame:
     n = wanted.count()
     if n <= MOST_BROADCAST:
         wanted = F.broadcast(wanted)
-    if n < BUCKETS:
-        found = found.filter(F.col("bucket").isin([r[0] for r in wanted.select(bucket_of(F.col("doc"))).distinct().collect()]))
+    if n < index.buckets:
+        found = found.filter(F.col("bucket").isin([r[0] for r in wanted.select(index.bucket("doc")).distinct().collect()]))
     path = f"{index.path}/gone/segment={segment}"
     found.join(wanted, "doc", "left_semi").select("doc", "terms").write.parquet(path)
     return index.spark.read.schema("doc long, terms array<string>").parquet(path)
@@ -182,7 +182,7 @@ def insert(index: LexicalIndex, docs: DataFrame, doc: str = "doc_id", text: str
     named.groupBy("doc").agg(F.min_by("t", F.xxhash64("t")).alias("t")).write.parquet(stage)
     there = spark.read.schema("doc long, t array<string>").parquet(stage)
     dead = _bury(index, there.select("doc"), segment) if index.n else None
-    _write_docs(index, there.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("terms"), bucket_of(F.col("doc")).alias("bucket")), segment)
+    _write_docs(index, there.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("terms"), index.bucket("doc").alias("bucket")), segment)
     each = there.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
     _write_postings(index, each, segment)
     counts = spark.read.schema(BOUNDS).parquet(f"{index.path}/bounds/segment={segment}").groupBy("term").agg(F.sum("rows").alias("df"))
@@ -239,7 +239,7 @@ def search(index: LexicalIndex, queries: DataFrame, *, query: str, query_text: s
     few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     small = F.broadcast if few else lambda df: df
     terms = asked.select("term").distinct()
-    buckets = sorted(r[0] for r in terms.select(bucket_of(F.col("term"))).distinct().collect())  # BUCKETS numbers at most
+    buckets = sorted(r[0] for r in terms.select(index.bucket("term")).distinct().collect())  # one number a bucket at most
     some = [r[0] for r in terms.limit(MOST_PUSHED + 1).collect()]
     pushed = F.col("term").isin(some) if len(some) <= MOST_PUSHED else F.lit(True)
     of = lambda part, schema: index.read(part, schema).filter(F.col("bucket").isin(buckets) & pushed)
