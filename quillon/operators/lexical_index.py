@@ -12,7 +12,6 @@ change. search() reads the buckets of the queries' terms only.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import bm25_tokens
 from quillon.operators.relational import topk
 from quillon.operators.retrieval import EPSILON, K1, MOST_BROADCAST, B
+from quillon.sources import manifests
 
 #: Buckets of terms and of documents of a new index, postings of a block, terms that are pushed to the scan as values.
 BUCKETS, BLOCK, MOST_PUSHED = 32, 256, 500
@@ -49,7 +49,7 @@ class LexicalIndex:
 
     def read(self, part: str, schema: str, segments: list[int] | None = None) -> DataFrame:
         """A part of all segments, of those that have it."""
-        paths = [p for s in (self.segments if segments is None else segments) if _exists(self.spark, p := f"{self.path}/{part}/segment={s}")]
+        paths = [p for s in (self.segments if segments is None else segments) if manifests.exists(self.spark, p := f"{self.path}/{part}/segment={s}")]
         if not paths:
             return self.spark.createDataFrame([], f"{schema}, segment int")
         return self.spark.read.schema(f"{schema}, segment int").option("basePath", f"{self.path}/{part}").parquet(*paths)
@@ -61,36 +61,20 @@ TERMS = "term string, df long, bucket int"
 DOCS = "doc long, dl int, terms array<string>, bucket int"
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def open_lexical(spark: SparkSession, path: str, buckets: int = BUCKETS) -> LexicalIndex:
     """The newest version; of a new index an empty one, with so many buckets."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/manifests")
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(root):
-        return LexicalIndex(spark, path, buckets=buckets)
-    names = [int(s.getPath().getName()) for s in fs.listStatus(root) if s.getPath().getName().isdigit()]
-    return LexicalIndex(spark, path, **json.loads(spark.read.text(f"{path}/manifests/{max(names)}").first().value)) if names else LexicalIndex(spark, path, buckets=buckets)
+    known = manifests.versions(spark, path)
+    return LexicalIndex(spark, path, **manifests.read(spark, path, known[-1])) if known else LexicalIndex(spark, path, buckets=buckets)
 
 
 def _publish(old: LexicalIndex, segments: list[int], gone: int) -> LexicalIndex:
-    """The next version. Its manifest is written aside and renamed: of two writers of one version the second fails, and a reader never sees half of one."""
+    """The next version, with its figures."""
     spark, new = old.spark, LexicalIndex(old.spark, old.path, old.version + 1, segments, gone=gone, buckets=old.buckets)
     live = alive(new).agg(F.count("*").alias("n"), F.sum("dl").alias("t")).first()
     new.n, new.tokens = live.n, live.t or 0
     raw = F.log(F.lit(new.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     new.mean = term_counts(new).agg(F.avg(raw)).first()[0] or 0.0
-    said = json.dumps({"version": new.version, "segments": segments, "n": new.n, "tokens": new.tokens, "gone": gone, "mean": new.mean, "buckets": new.buckets})
-    aside, at = f"{old.path}/manifests/_{new.version}_{max(segments, default=0)}", f"{old.path}/manifests/{new.version}"
-    spark.createDataFrame([(said,)], "value string").coalesce(1).write.mode("overwrite").text(aside)
-    jvm = spark._jvm
-    a, b = jvm.org.apache.hadoop.fs.Path(aside), jvm.org.apache.hadoop.fs.Path(at)
-    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(b) or not fs.rename(a, b):
-        raise RuntimeError(f"version {new.version} of {old.path} was written by another")
+    manifests.publish(spark, old.path, new.version, {"version": new.version, "segments": segments, "n": new.n, "tokens": new.tokens, "gone": gone, "mean": new.mean, "buckets": new.buckets})
     return new
 
 
@@ -119,13 +103,8 @@ def alive(index: LexicalIndex) -> DataFrame:
 
 def _next(index: LexicalIndex) -> int:
     """A number that no segment has, published or not."""
-    root = index.spark._jvm.org.apache.hadoop.fs.Path(index.path)
-    fs = root.getFileSystem(index.spark._jsc.hadoopConfiguration())
-    used = [0, *index.segments]
-    for part in ("docs", "gone"):
-        p = index.spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/{part}")
-        if fs.exists(p):
-            used += [int(x.getPath().getName().split("=")[1]) for x in fs.listStatus(p) if x.getPath().getName().startswith("segment=")]
+    used = [int(n.split("=")[1]) for part in ("docs", "gone") for n in manifests.names(index.spark, f"{index.path}/{part}")]
+    used += [0, *index.segments]
     return max(used) + 1
 
 
@@ -187,7 +166,7 @@ def insert(index: LexicalIndex, docs: DataFrame, doc: str = "doc_id", text: str
     _write_postings(index, each, segment)
     counts = spark.read.schema(BOUNDS).parquet(f"{index.path}/bounds/segment={segment}").groupBy("term").agg(F.sum("rows").alias("df"))
     _write_terms(index, counts if dead is None else counts.unionAll(_minus(dead)), segment)
-    _remove(spark, stage)
+    manifests.remove(spark, stage)
     return _publish(index, [*index.segments, segment], index.gone + (dead.count() if dead is not None else 0))
 
 
@@ -208,20 +187,12 @@ def merge(index: LexicalIndex) -> LexicalIndex:
     return _publish(index, [segment], 0)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def vacuum(index: LexicalIndex) -> None:
     """Deletes segments that ``index``, the newest version, doesn't name; older readers lose theirs."""
-    jvm = index.spark._jvm
     for part in ("postings", "bounds", "terms", "docs", "gone"):
-        p = jvm.org.apache.hadoop.fs.Path(f"{index.path}/{part}")
-        fs = p.getFileSystem(index.spark._jsc.hadoopConfiguration())
-        for x in fs.listStatus(p) if fs.exists(p) else []:
-            if int(x.getPath().getName().split("=")[1]) not in index.segments:
-                fs.delete(x.getPath(), True)
+        for n in manifests.names(index.spark, f"{index.path}/{part}"):
+            if int(n.split("=")[1]) not in index.segments:
+                manifests.remove(index.spark, f"{index.path}/{part}/{n}")
 
 
 def _weight(tf: Column, dl: Column, avgdl: float) -> Column:

@@ -13,7 +13,7 @@ from quillon.operators.relational import first_of, topk, upsert
 from quillon.plans.registry import query
 from quillon.sources import seeds, workbooks
 from quillon.sources.sinks import scratch
-from quillon.streaming import jobs
+from quillon.streaming import jobs, once
 
 _HEAD = p.HEADING
 _L = f"l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM clauses)), m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEAD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l)"
@@ -99,3 +99,22 @@ query("g07_weekly", _G7.format("week"))(lambda t: jobs.windows(t, "7 days", "wee
 query("g07_sessions", """WITH e AS (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true) AS first FROM events), k AS (SELECT *, sum(CAST(first AS INT)) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM e)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, round(sum(value), 4) AS total FROM k GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")(lambda t: jobs.sessions(t))
 query("g08_resume", "SELECT event_id FROM events")(lambda t: jobs.resumed(t))
+
+
+@query("g08_done_ids", "SELECT event_id, value * 2 AS doubled FROM events")
+def _done_ids(t):
+    """Each event is worked on once: a second run, with other state but the same done ids, finds nothing to do."""
+    root = f"{scratch(t.spark)}/once-{uuid.uuid4().hex}"
+    for _ in range(2):
+        once.each_once(jobs._stream(t), root, "event_id", lambda df: df.select("event_id", (F.col("value") * 2).alias("doubled"))).awaitTermination()
+    return once.results(t.spark, root)
+
+
+@query("g05_near_copies")
+def _near_copies(t):
+    """Documents that aren't near copies of one kept before them; a document's time is a minute for each id."""
+    docs = t.spark.readStream.schema(t.documents.schema).option("pathGlobFilter", "*.parquet").parquet(f"{t.sf_dir}/documents.parque[t]")
+    timed = docs.withColumn("at", F.timestamp_seconds(F.col("doc_id") * 60))
+    root = f"{scratch(t.spark)}/near-{uuid.uuid4().hex}"
+    once.skip_near_copies(timed, root, key="doc_id", text="text", time="at").awaitTermination()
+    return once.results(t.spark, root).select("doc_id")
