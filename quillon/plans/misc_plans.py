@@ -18,16 +18,11 @@ from quillon.streaming import jobs, once
 _HEAD = p.HEADING
 _L = f"l AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM clauses)), m AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_HEAD}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS part FROM l)"
 query("t10_section_lines", f"WITH {_L} SELECT doc_id, CAST(pos AS INT) AS pos, line, CAST(part AS INT) AS part FROM m")(lambda t: p.lines(t.clauses, "doc_id", "text"))
-# candidates of an act's page: how well an address and a page's start speak for the act, then the eight best
-_T8 = "CASE WHEN contains(lower(url), 'example') THEN 40 ELSE 0 END + CASE WHEN contains(lower(url), '.org') OR contains(lower(url), '.gov') THEN 25 ELSE 0 END + CAST(least(length(html) // 200, 60) AS INT) - CASE WHEN contains(lower(html), ' vs ') THEN 50 ELSE 0 END"
-query("t08_rank_candidates", f"WITH f AS (SELECT url, min(page_id) AS page_id, max({_T8}) AS score FROM pages GROUP BY 1) SELECT page_id, CAST(score AS INT) AS score FROM f ORDER BY score DESC, page_id LIMIT 8")(lambda t: t.pages.select("url", "page_id", (F.when(F.contains(F.lower("url"), F.lit("example")), 40).otherwise(0) + F.when(F.contains(F.lower("url"), F.lit(".org")) | F.contains(F.lower("url"), F.lit(".gov")), 25).otherwise(0) + F.least(F.floor(F.length("html") / 200), F.lit(60)) - F.when(F.contains(F.lower("html"), F.lit(" vs ")), 50).otherwise(0)).cast("int").alias("s")).groupBy("url").agg(F.min("page_id").alias("page_id"), F.max("s").alias("score")).orderBy(F.desc("score"), "page_id").limit(8).select("page_id", "score"))
 _C = f"{_L}, k AS (SELECT doc_id, part, min(pos) AS pos, min_by(line, pos) AS heading, trim(coalesce(string_agg(CASE WHEN first_ THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS content FROM (SELECT *, pos = min(pos) OVER (PARTITION BY doc_id, part) AS first_ FROM m WHERE part > 0) GROUP BY 1, 2), g AS (SELECT * FROM k WHERE content <> '')"
 query("t33_clauses", f"WITH {_C} SELECT doc_id, CAST(part AS INT) AS clause, heading, content FROM g UNION ALL SELECT doc_id, 1, 'Document', trim(text) FROM clauses WHERE doc_id NOT IN (SELECT doc_id FROM g)")(lambda t: p.clauses(t.clauses, "doc_id", "text"))
 query("t35_clause_filter", f"WITH {_C} SELECT doc_id, CAST(part AS INT) AS clause FROM g WHERE contains(lower(content), 'due') OR contains(lower(heading), 'confidential')")(lambda t: p.clauses(t.clauses, "doc_id", "text").filter((F.col("heading") != "Document") & (F.contains(F.lower("content"), F.lit("due")) | F.contains(F.lower("heading"), F.lit("confidential")))).select("doc_id", "clause"))
 query("t34_auto_numbers")(lambda t: t.clauses.select("doc_id", F.filter(F.split("text", "\n"), lambda x: x.rlike(p.HEADING)).alias("headings")).mapInPandas(p.auto_numbers("doc_id"), "doc_id long, numbers string"))
 query("t21_sentence_packing")(lambda t: t.documents.select("doc_id", F.posexplode(p.pack_sentences(F.col("text"), 120)).alias("piece", "text")))
-query("t11_section_cleanup", "WITH a AS (SELECT id, act_name, section_number, CASE WHEN length(full_text) > 3000 THEN substr(full_text, 1, 3000) || '...' ELSE full_text END AS body FROM bare_acts WHERE length(full_text) >= 30), b AS (SELECT *, row_number() OVER (PARTITION BY act_name, section_number ORDER BY id) AS k FROM a QUALIFY k <= 2), c AS (SELECT *, row_number() OVER (PARTITION BY act_name, md5(body) ORDER BY id) AS d FROM b QUALIFY d = 1) SELECT id, act_name, section_number, md5(body) AS signature FROM c")(lambda t: first_of(topk(t.bare_acts.filter(F.length("full_text") >= 30).select("id", "act_name", "section_number", F.md5(F.when(F.length("full_text") > 3000, F.concat(F.substring("full_text", 1, 3000), F.lit("..."))).otherwise(F.col("full_text"))).alias("signature")), ["act_name", "section_number"], ["id"], 2), ["act_name", "signature"], ["id"]))
-query("t12_numbered_split", r"WITH s AS (SELECT doc_id, regexp_split_to_array(chr(10) || text, '\n\s*\d+\.\s+') AS parts FROM clauses) SELECT doc_id, CAST(i - 1 AS INT) AS number, trim(parts[i]) AS body FROM (SELECT doc_id, parts, unnest(range(2, len(parts) + 1)) AS i FROM s) WHERE trim(parts[i]) <> ''")(lambda t: t.clauses.select("doc_id", F.posexplode(F.split(F.concat(F.lit("\n"), "text"), r"\n\s*\d+\.\s+")).alias("number", "body")).select("doc_id", "number", F.trim("body").alias("body")).filter("number > 0 AND body <> ''"))
 query("t13_fallback_split")(lambda t: t.clauses.withColumn("a", F.split("text", r"\n(?=Section \d+)")).withColumn("b", F.split("text", r"\n(?=\d+\.)")).select("doc_id", F.posexplode(F.when(F.size("a") >= 10, F.col("a")).otherwise(F.col("b"))).alias("part", "body")).filter(F.length("body") >= 30))
 _ALIAS_SQL = "lower(trim(section_title))"
 for _p, _r in text.HEADING_TERMS:

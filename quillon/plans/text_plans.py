@@ -31,10 +31,6 @@ query("t06_search_score", _HINTS + r""", n AS (SELECT *, trim(regexp_replace(reg
 SELECT id, CAST(len(list_filter(hints, lambda w: contains(norm, w))) * 10 - CASE WHEN contains(' ' || norm || ' ', ' vs ') OR contains(' ' || norm || ' ', ' high court ') OR contains(' ' || norm || ' ', ' supreme court ') THEN 30 ELSE 0 END
 + CASE WHEN contains(' ' || norm || ' ', ' act ') OR contains(' ' || norm || ' ', ' code ') OR contains(' ' || norm || ' ', ' constitution ') THEN 8 ELSE 0 END
 + CASE WHEN (short = 'BNS' AND contains(norm, 'nyaya') AND NOT contains(norm, 'nagarik')) OR (short = 'BNSS' AND contains(norm, 'nagarik') AND contains(norm, 'suraksha')) THEN 25 ELSE 0 END AS INT) AS score FROM n""")(lambda t: t.bare_acts.select("id", x.search_score(F.concat("act_name", F.lit(" "), "section_title", F.when(F.col("id") % 5 == 0, " vs State").otherwise("")), F.col("act_name"), _short()).alias("score")))
-_per_doc("t07_target_page", lambda: {"valid": (F.length("text") >= 200) & (F.size(F.filter(F.array(*map(F.lit, ["section", "act", "punish", "court"])), lambda w: F.contains(F.lower(F.substring("text", 1, 6000)), w))) >= 2) & ~(F.lower(F.substring("text", 1, 6000)).contains("high court") & ~F.lower(F.substring("text", 1, 6000)).contains(" act"))},
-         "length(text) >= 200 AND len(list_filter(['section', 'act', 'punish', 'court'], lambda w: contains(lower(substr(text, 1, 6000)), w))) >= 2 AND NOT (contains(lower(substr(text, 1, 6000)), 'high court') AND NOT contains(lower(substr(text, 1, 6000)), ' act')) AS valid")
-_per_doc("t09_parse_section", lambda: {"number": F.regexp_extract(F.substring("text", 1, 200), r"(?i)section\s+(\d+[A-Z]?)", 1), "title": F.substring(F.regexp_extract("text", r"^([^.\n]*)", 1), 1, 150), "punishment": x.punishment(F.col("text"))},
-         r"regexp_extract(substr(text, 1, 200), '(?i)section\s+(\d+[A-Z]?)', 1) AS number, substr(regexp_extract(text, '^([^.\n]*)', 1), 1, 150) AS title, coalesce(nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be punished with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)punishable with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be liable to [^.]+', 0), ''), '') AS punishment")
 _per_doc("t14_punishment", lambda: {"punishment": x.punishment(F.col("text"))}, r"coalesce(nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be punished with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)punishable with [^.]+', 0), ''), nullif(regexp_extract(substr(text, 1, 1000), '(?i)shall be liable to [^.]+', 0), ''), '') AS punishment")
 _per_doc("t16_embedding_text", lambda: {"embedding_text": F.concat_ws(" ", F.nullif("source", F.lit("src0")), F.nullif("lang", F.lit("")), F.col("text"))}, "concat_ws(' ', nullif(source, 'src0'), nullif(lang, ''), text) AS embedding_text")
 query("t18_word_chunks", r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS w FROM legal)

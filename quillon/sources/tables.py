@@ -14,6 +14,9 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 _K = "CAST(replace(replace(props, '{\"k\": ', ''), '}', '') AS INT)"
 
+_ACT = "CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Bharatiya Nagarik Suraksha Sanhita 2023' ELSE 'Indian Contract Act 1872' END"
+_LINES = lambda *parts: " || chr(10) || ".join(parts)
+
 ADAPTERS: dict[str, str] = {
     # telemetry
     "queries": """SELECT event_id AS query_id, event_type AS query_type, ts AS timestamp, user_id AS session_id,
@@ -94,6 +97,17 @@ ADAPTERS: dict[str, str] = {
     "ratings": """SELECT doc_id AS query_id, e.evaluator, CAST((doc_id * 7 + e.n * doc_id % 3) % 5 AS INT) AS score FROM labels CROSS JOIN (SELECT 'a' AS evaluator, 1 AS n UNION ALL SELECT 'b', 2 UNION ALL SELECT 'c', 4) e""",
     "clauses": """SELECT doc_id, lang, CASE doc_id % 4 WHEN 0 THEN 'ARTICLE 1 TERMS' || chr(10) || 'The parties agree.' || chr(10) || '1.1 Scope' || chr(10) || 'Works described here.' || chr(10) || '2. Payment' || chr(10) || 'Fees are due.' || chr(10)
         WHEN 1 THEN '1. Definitions' || chr(10) || '2. Term' || chr(10) || 'One year.' || chr(10) || 'CONFIDENTIALITY' || chr(10) || 'Keep secrets.' || chr(10) WHEN 2 THEN 'Section 4 Liability' || chr(10) || 'Limited.' || chr(10) ELSE '' END || coalesce(text, '') AS text FROM documents""",
+    "act_texts": f"""SELECT doc_id AS id, {_ACT} AS act_name, source AS section_title, CAST(CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 40 END AS INT) AS expected, CASE doc_id % 7
+        WHEN 0 THEN {_ACT} || ': the petitioner vs State, High Court. ' || coalesce(text, '')
+        WHEN 1 THEN {_LINES(_ACT + " || ' An Act of Parliament'", "'Section 1. Short title'", "substr(text, 1, 90)", "'  section 2 - Definitions'", "substr(text, 60, 400)", "'Section 2: Definitions'", "substr(text, 60, 400)", "'Section 2. Third'", "substr(text, 10, 300)", "'Sec. 3A) Chapter heads'", "'Chapter words, few but enough.'", "'Article 4'", "''", "substr(text, 1, 4000)", "'SECTION 5(2). 12: Numbers go'", "substr(text, 5, 200)")}
+        WHEN 2 THEN {_LINES("'Preamble'", "'1. Alpha'", "substr(text, 1, 120)", "'2) Beta'", "substr(text, 20, 200)", "'3(1) - Gamma  of   spaces'", "substr(text, 1, 3500)", "'4. Part of nothing'", "'5. Part of nothing more than this'")}
+        WHEN 3 THEN {_LINES("coalesce(source, '')", *(f"'{i}. ' || substr(text, {7 * i}, {30 * i})" for i in range(1, 13)))}
+        WHEN 4 THEN {_LINES("'Section 1 Only'", "substr(text, 1, 200)", "'Section 2 Two'", "substr(text, 1, 200)")}
+        WHEN 5 THEN 'Sec. ' || CAST(doc_id % 500 AS STRING) || 'B. Title of this' || chr(10) || ' one. Whoever does it shall be punished with fine and more. ' || substr(coalesce(text, ''), 1, 500)
+        ELSE CASE doc_id % 2 WHEN 0 THEN '17. ' ELSE 'see 12A - ' END || coalesce(text, '') END AS full_text FROM documents""",
+    "act_links": f"""SELECT d.doc_id, {_ACT} AS act_name, s.n AS pos, CASE WHEN (d.doc_id + s.n) % 13 = 4 THEN NULL ELSE 'https://example.org/doc/' || CAST((d.doc_id * 7 + s.n * s.n) % 23 AS STRING) END AS url,
+        CASE (d.doc_id + s.n) % 8 WHEN 0 THEN ' The Indian Penal Code, 1860 ' WHEN 1 THEN 'Bharatiya Nyaya Sanhita, 2023' WHEN 2 THEN 'Section 302 in The Indian Penal Code' WHEN 3 THEN 'State vs Nobody on Penal Code' WHEN 4 THEN NULL WHEN 5 THEN 'Bharatiya Nagarik Suraksha Sanhita' WHEN 6 THEN 'The Indian Contract Act, 1872' ELSE d.source END AS label
+        FROM documents d CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10 UNION ALL SELECT 11) s""",
     "risks": """SELECT doc_id, CAST(doc_id % 9 AS INT) AS clause_number, CASE doc_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE source END AS clause_type FROM documents""",
 }
 
