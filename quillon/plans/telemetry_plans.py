@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as x
 from quillon.operators import parsing
 from quillon.operators.relational import first_of, numbered, topk, upsert
+from quillon.operators.transitions import transitions
 from quillon.plans.registry import query
 
 r6 = lambda c: F.round(c, 6)
@@ -61,7 +62,20 @@ query("j12_holdout", "SELECT row_idx FROM ground_truth WHERE row_idx NOT IN (SEL
 query("j13_evaluated", "SELECT row_idx, category FROM ground_truth WHERE lower(trim(query_text)) IN (SELECT lower(trim(query)) FROM responses WHERE confidence = 'high')")(lambda t: t.ground_truth.withColumn("k", F.lower(F.trim("query_text"))).join(t.responses.filter("confidence = 'high'").select(F.lower(F.trim("query")).alias("k")), "k", "left_semi").select("row_idx", "category"))
 _MAP = "SELECT act_name, section_number, min(CAST(section_number AS INT) + 1000) AS new_section, min(CASE WHEN CAST(section_number AS INT) % 9 = 0 THEN 'removed' ELSE 'replaced' END) AS change FROM bare_acts WHERE is_replaced GROUP BY ALL"
 _map = lambda t: t.bare_acts.filter("is_replaced").groupBy("act_name", "section_number").agg(F.min(F.col("section_number").cast("int") + 1000).alias("new_section"), F.min(F.when(F.col("section_number").cast("int") % 9 == 0, "removed").otherwise("replaced")).alias("change"))
-query("j14_mapping", f"SELECT c.row_idx, c.system, CASE WHEN m.change = 'removed' THEN 'removed' WHEN m.change IS NULL THEN NULL ELSE CAST(m.new_section AS STRING) END AS now FROM ({_CITED}) c LEFT JOIN ({_MAP}) m ON c.act_name = m.act_name AND c.section_number = m.section_number")(lambda t: _cited(t).join(_map(t), _ON, "left").select("row_idx", "system", F.when(F.col("change") == "removed", "removed").when(F.col("change").isNotNull(), F.col("new_section").cast("string")).alias("now")))
+#: A model's word on each section, and the table of replaced sections.
+_PREDICTED = """SELECT DISTINCT act_name, section_number, CAST(section_number AS INT) % 4 = 1 AS is_superseded, CASE WHEN CAST(section_number AS INT) % 8 = 1 THEN '' ELSE 'New Section ' || CAST(CAST(section_number AS INT) + 50 AS STRING) END AS replacement FROM bare_acts"""
+_REPLACED = """SELECT CASE WHEN act_name = 'Indian Penal Code 1860' THEN 'IPC' ELSE 'CrPC' END AS old, section_number AS section, min(CASE WHEN CAST(section_number AS INT) % 9 = 0 AND act_name = 'Indian Penal Code 1860' THEN 'removed' ELSE CAST(CAST(section_number AS INT) + 1000 AS STRING) END) AS new, min('as ' || act_name) AS changes
+        FROM bare_acts WHERE act_name IN ('Indian Penal Code 1860', 'Code of Criminal Procedure 1973') AND CAST(section_number AS INT) % 3 <> 1 GROUP BY 1, 2"""
+_made = lambda t, sql: t.spark.sql(sql.replace("FROM bare_acts", "FROM {bare_acts}"), bare_acts=t.bare_acts)
+query(
+    "j14_mapping",
+    f"""WITH predicted AS ({_PREDICTED}), replaced AS ({_REPLACED}), j AS (SELECT b.id, b.act_name, b.section_number, CASE b.act_name WHEN 'Indian Penal Code 1860' THEN 'IPC' WHEN 'Code of Criminal Procedure 1973' THEN 'CrPC' END AS old, p.is_superseded, p.replacement FROM bare_acts b LEFT JOIN predicted p USING (act_name, section_number)),
+k AS (SELECT j.*, r.new, r.changes, coalesce(is_superseded, false) AND j.old IS NOT NULL AS learned, CASE j.old WHEN 'IPC' THEN 'BNS' ELSE 'BNSS' END AS newer FROM j LEFT JOIN replaced r ON j.old = r.old AND j.section_number = r.section),
+n AS (SELECT *, old || ' Section ' || section_number AS original, CASE WHEN replacement <> '' THEN replacement WHEN old = 'IPC' THEN 'Removed in BNS' ELSE 'BNSS equivalent' END AS by_ FROM k WHERE old IS NOT NULL)
+SELECT id, act_name, section_number, CASE WHEN learned OR new IS NOT NULL THEN original END AS original, CASE WHEN learned THEN by_ WHEN new = 'removed' THEN 'Removed in ' || newer ELSE newer || ' Section ' || new END AS replaced_by, CASE WHEN learned THEN 'learned transition classifier' ELSE changes END AS changes,
+CASE WHEN learned THEN '⚠️ Note: ' || original || ' has been superseded. Suggested replacement: ' || by_ || '.' WHEN new = 'removed' THEN '⚠️ Note: ' || original || ' has been removed in Bharatiya Nyaya Sanhita 2023.' ELSE '⚠️ Note: ' || original || ' has been replaced by ' || newer || ' Section ' || new || '. Changes: ' || changes END AS note, CASE WHEN learned THEN 'learned' WHEN new IS NOT NULL THEN 'rule_map' END AS source FROM n
+UNION ALL SELECT id, act_name, section_number, NULL, NULL, NULL, NULL, NULL FROM k WHERE old IS NULL""",
+)(lambda t: transitions(t.bare_acts.select("id", "act_name", "section_number"), _made(t, _PREDICTED), _made(t, _REPLACED)))
 query("j15_mentioned_sections", f"""WITH e AS (SELECT DISTINCT row_idx, system, unnest(regexp_extract_all(answer, '(?i)sec(?:tion)?\\s+(\\d+)', 1)) AS section_number FROM responses)
 SELECT e.row_idx, e.system, array_to_string(list_sort(list(m.act_name || ' ' || e.section_number || ' ' || m.change)), '; ') AS notes FROM e JOIN ({_MAP}) m ON e.section_number = m.section_number GROUP BY 1, 2""")(lambda t: t.responses.select("row_idx", "system", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(r"(?i)sec(?:tion)?\s+(\d+)"), F.lit(1)))).alias("section_number")).join(_map(t), "section_number").groupBy("row_idx", "system").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "act_name", "section_number", "change"))), "; ").alias("notes")))
 query("j16_key_order", "SELECT o.pos, g.query_id, g.category FROM (SELECT doc_id, row_number() OVER (ORDER BY quality, doc_id DESC) - 1 AS pos FROM labels) o LEFT JOIN ground_truth g ON o.doc_id = g.row_idx")(lambda t: numbered(t.labels.select("quality", "doc_id"), ["quality", F.desc("doc_id")]).select("pos", F.col("doc_id").alias("row_idx")).join(t.ground_truth.select("row_idx", "query_id", "category"), "row_idx", "left").drop("row_idx"))

@@ -220,14 +220,29 @@ def test_classifier_fit_by_hand(spark):
 
 
 def test_works_without_the_optional_folders(tmp_path):
-    """In a copy without them the entry point imports and has the engine's own queries."""
+    """In a copy without them the entry point imports, has the engine's own queries, and they run."""
     root = Path(__file__).resolve().parents[1]
     for name in ("quillon", "tests"):
         shutil.copytree(root / name, tmp_path / name, ignore=shutil.ignore_patterns("__pycache__", "llm"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; from quillon.plans import QUERIES, ORACLES; assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES); import tests.test_units, tests.test_queries; print('fine')"
-    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
-    assert done.stdout.strip() == "fine", done.stderr
+    code = """
+import __spark_entry__ as e
+from quillon.plans import ORACLES, QUERIES
+from quillon.session import session
+from tests.oracle import DATA, compare, duck
+import quillon, tests.test_queries, tests.test_units
+assert quillon.__path__[0].startswith({here!r})
+assert set(e.queries()) == set(QUERIES) and set(e.oracle_sql()) == set(ORACLES)
+spark = session("local[2]", 4, spark__ui__enabled="false", spark__ui__showConsoleProgress="false")
+for name in ("a01_summary", "r14_structured_citations", "t24_acts_as_written"):
+    compare(e.queries()[name](spark, DATA), e.oracle_sql()[name], duck())
+assert e.entry(spark).count() > 0
+print("fine")
+""".format(here=str(tmp_path))
+    before = os.environ.get("PYTHONPATH")
+    path = os.pathsep.join([str(tmp_path), *([before] if before else []), *[p for p in sys.path if p and Path(p) != root]])
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": path}, capture_output=True, text=True, timeout=600)
+    assert done.stdout.strip().endswith("fine"), done.stderr
 
 
 def test_precision_by_hand(spark):
