@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quillon.functions import text
 from quillon.operators import parsing as p
 from quillon.operators.relational import first_of, topk, upsert
+from quillon.operators.sampling import pick_unique
 from quillon.plans.registry import query
-from quillon.sources import seeds, workbooks
+from quillon.sources import files, seeds, workbooks
 from quillon.sources.sinks import scratch
 from quillon.streaming import jobs, once
 
@@ -45,6 +46,22 @@ def _round_robin(t):
     return topk(g, ["category"], ["row_idx"], 40, rank="turn").orderBy("turn", "category").limit(40).select("turn", "category", "row_idx")
 
 
+@query("w11_unique_pick")
+def _unique_pick(t):
+    """40 rows, categories in turn, sections that aren't used yet first; a section's reference is its act and number."""
+    reference = F.when(F.col("correct_section") != "", F.concat_ws(" ", "correct_act", "correct_section")).otherwise(F.col("correct_act"))
+    return pick_unique(t.ground_truth.withColumn("reference", reference), key="row_idx", category="category", reference="reference", order=["row_idx"])
+
+
+@query("s23_decoded", "SELECT doc_id, 'Doc ' || CAST(doc_id AS VARCHAR) AS title, text, len(text) < 50 AS thin FROM (SELECT doc_id, regexp_replace(regexp_replace(coalesce(text, ''), '[^a-zA-Z .]+', ' ', 'g'), '^ +| +$', '', 'g') AS text FROM documents WHERE doc_id % 50 = 0) WHERE text <> ''")
+def _decoded(t):
+    """Documents written as DOCX bytes and decoded again, with the rule on density."""
+    plain = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "[^a-zA-Z .]+", " "), "^ +| +$", "")
+    some = t.documents.filter("doc_id % 50 = 0").select(F.concat(F.lit("x/"), "doc_id", F.lit(".docx")).alias("path"), F.concat(F.lit("Doc "), "doc_id").alias("title"), plain.alias("text")).filter("text <> ''")
+    made = files.decoded(files.as_docx(some))
+    return made.select(F.regexp_extract("path", r"(\d+)", 1).cast("long").alias("doc_id"), "title", "text", F.col("problem").isNotNull().alias("thin"))
+
+
 # ---- sources and sinks: what is written is read again
 def _written(df, write):
     path = f"{scratch(df.sparkSession)}/{uuid.uuid4().hex}"

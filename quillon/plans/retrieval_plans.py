@@ -31,7 +31,7 @@ query("r02_bm25_top20", f"WITH {BM25_SQL} SELECT item_id, doc_id, score, CAST(ra
 @query("r02_indexed_top20", f"WITH {BM25_SQL.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id % 50 <> 7)')} SELECT item_id, doc_id, score, CAST(rank AS INT) AS rank FROM top")
 def _indexed(t):
     """The same from a maintained index: two inserts, of which the second also brings documents that are there, and a delete."""
-    index = li.open_lexical(t.spark, f"{scratch(t.spark)}/terms-{uuid.uuid4().hex}")
+    index = li.open_lexical(t.spark, f"{scratch(t.spark)}/terms-{uuid.uuid4().hex}", buckets=8)
     index = li.insert(index, t.documents.filter("doc_id % 3 < 2"))
     index = li.delete(li.insert(index, t.documents.filter("doc_id % 3 > 0")), t.documents.filter("doc_id % 50 = 7"))
     return li.search(index, t.benchmark.select("item_id", F.col("text").alias("q")), query="item_id", query_text="q").withColumnRenamed("doc", "doc_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators import stats as s
 from quillon.operators.relational import topk
+from quillon.operators.sampling import examples
 from quillon.plans.registry import query
 from quillon.sources.sinks import scratch
 
@@ -54,10 +55,14 @@ _SC = "correct + 0.5 * CASE confidence WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0
 _sc = lambda: F.col("correct") + 0.5 * F.when(F.col("confidence") == "high", 1.0).when(F.col("confidence") == "medium", 0.5).otherwise(0.0)
 
 
-@query("e14_examples", f"WITH r AS (SELECT system, row_idx, {_SC} AS score FROM scores), k AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY score DESC, row_idx) AS b, row_number() OVER (PARTITION BY system ORDER BY score, row_idx) AS w FROM r) SELECT system, row_idx, 'best' AS side FROM k WHERE b <= 5 UNION ALL SELECT system, row_idx, 'worst' FROM k WHERE w <= 5")
-def _examples(t):
-    r = t.scores.select("system", "row_idx", _sc().alias("score"))
-    return topk(r, ["system"], [F.desc("score"), "row_idx"], 5).select("system", "row_idx", F.lit("best").alias("side")).unionAll(topk(r, ["system"], ["score", "row_idx"], 5).select("system", "row_idx", F.lit("worst")))
+def examples_sql(score: str) -> str:
+    kind = "CASE WHEN lower(confidence) = 'high' AND correct = 0 THEN 'overconfident_error' WHEN lower(confidence) = 'low' AND correct = 1 THEN 'underconfident_success' END"
+    return f"""WITH r AS (SELECT system, row_idx, {score} AS score, {kind} AS kind FROM scores), k AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY score DESC, row_idx) AS b, row_number() OVER (PARTITION BY system ORDER BY score, row_idx DESC) AS w, row_number() OVER (PARTITION BY system, kind IS NULL ORDER BY score DESC, row_idx) AS o FROM r)
+SELECT system, row_idx, 'best' AS side, CAST(b AS INT) AS place FROM k WHERE b <= 5 UNION ALL SELECT system, row_idx, 'worst', CAST(w AS INT) FROM k WHERE w <= 5 UNION ALL SELECT system, row_idx, kind, CAST(o AS INT) FROM k WHERE kind IS NOT NULL AND o <= 10"""
+
+
+examples_of = lambda t, score: examples(t.scores, "system", "row_idx", score, F.col("confidence"), F.col("correct") == 1)
+query("e14_examples", examples_sql(_SC))(lambda t: examples_of(t, _sc()))
 
 
 query("e15_regimes", "SELECT count(*) AS differ, printf('%.1f%%', 100.0 * count(*) FILTER (contains(lower(b.answer), 'could not')) / count(*)) AS abstained FROM responses a JOIN responses b ON a.row_idx = b.row_idx AND a.system = 'full' AND b.system = 'none' WHERE a.answer <> b.answer")(lambda t: t.responses.filter("system = 'full'").select("row_idx", F.col("answer").alias("x")).join(t.responses.filter("system = 'none'").select("row_idx", F.col("answer").alias("y")), "row_idx").filter("x <> y").agg(F.count("*").alias("differ"), F.format_string("%.1f%%", (100.0 * F.count_if(F.contains(F.lower("y"), F.lit("could not"))) / F.count("*")).cast("double")).alias("abstained")))

@@ -10,6 +10,7 @@ from quillon.operators import parsing
 from quillon.operators.relational import first_of, numbered, topk, upsert
 from quillon.operators.transitions import transitions
 from quillon.plans.registry import query
+from quillon.plans.stats_plans import examples_of, examples_sql
 
 r6 = lambda c: F.round(c, 6)
 # ---- aggregates
@@ -88,7 +89,7 @@ query("j24_classification_merge", "SELECT d.doc_id, coalesce(r.clause_type, 'Oth
 query("w01_latest", "SELECT query_id, timestamp FROM queries ORDER BY timestamp DESC, query_id LIMIT 50")(lambda t: t.queries.select("query_id", "timestamp").orderBy(F.desc("timestamp"), "query_id").limit(50))
 query("w02_most_common", "SELECT query_text, count(*) AS n, min(query_id) AS first_seen FROM queries GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 10")(lambda t: t.queries.groupBy("query_text").agg(F.count("*").alias("n"), F.min("query_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(10))
 query("w03_top_k", "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k <= 20")(lambda t: topk(t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"), ["l_suppkey"], [F.desc("l_extendedprice"), "l_orderkey", "l_linenumber"], 20))
-query("w04_best_worst", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY system ORDER BY acs DESC, row_idx) AS b, row_number() OVER (PARTITION BY system ORDER BY acs, row_idx) AS w FROM scores) SELECT system, row_idx, CASE WHEN b <= 5 THEN 'best' ELSE 'worst' END AS side FROM s WHERE b <= 5 OR w <= 5")(lambda t: topk(t.scores, ["system"], [F.desc("acs"), "row_idx"], 5).select("system", "row_idx", F.lit("best").alias("side")).unionAll(topk(t.scores, ["system"], ["acs", "row_idx"], 5).select("system", "row_idx", F.lit("worst"))))
+query("w04_best_worst", examples_sql("acs"))(lambda t: examples_of(t, F.col("acs")))
 query("w05_first_n", "WITH f AS (SELECT row_idx, min(CASE system WHEN 'full' THEN 0 WHEN 'simple' THEN 1 ELSE 2 END) AS class FROM scores WHERE correct = 0 GROUP BY 1) SELECT class, row_idx FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY row_idx) AS k FROM f) WHERE k <= 3")(lambda t: topk(t.scores.filter("correct = 0").groupBy("row_idx").agg(F.min(F.when(F.col("system") == "full", 0).when(F.col("system") == "simple", 1).otherwise(2)).alias("class")), ["class"], ["row_idx"], 3).select("class", "row_idx"))
 query("w06_first_occurrence", "SELECT min(doc_id) AS doc_id, md5(text) AS h FROM documents GROUP BY md5(text)")(lambda t: t.documents.groupBy(F.md5("text").alias("h")).agg(F.min("doc_id").alias("doc_id")))
 query("w07_occurrence_cap", "SELECT id, act_name, section_number FROM (SELECT *, row_number() OVER (PARTITION BY act_name, section_number ORDER BY id) AS k FROM bare_acts) WHERE k <= 2")(lambda t: topk(t.bare_acts.select("id", "act_name", "section_number"), ["act_name", "section_number"], ["id"], 2))

@@ -26,7 +26,7 @@ def queries(spark):
 def test_inserts_deletes_and_merges(spark, queries, tmp_path):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text")
     path = str(tmp_path / "i")
-    one = li.insert(li.open_lexical(spark, path), docs.filter("doc_id % 3 < 2"))
+    one = li.insert(li.open_lexical(spark, path, 4), docs.filter("doc_id % 3 < 2"))
     assert indexed(one, queries) == plain(docs.filter("doc_id % 3 < 2"), queries)
     two = li.insert(one, docs.filter("doc_id % 3 = 2"))
     assert indexed(two, queries) == plain(docs, queries) and (two.n, two.version) == (200, 2)
@@ -39,11 +39,11 @@ def test_inserts_deletes_and_merges(spark, queries, tmp_path):
     ask = queries.unionAll(spark.createDataFrame([(-1, "section 302 comes back back"), (-2, None), (-3, "zzz nothing")], "item_id long, q string"))
     assert indexed(four, ask) == plain(now, ask)
     # older versions are still there, and the newest is what is opened
-    assert indexed(three, queries) == plain(left, queries) and li.open_lexical(spark, path) == four
+    assert indexed(three, queries) == plain(left, queries) and li.open_lexical(spark, path, 4) == four
     five = li.merge(four)
     assert len(five.segments) == 1 and five.gone == 0 and indexed(five, ask) == plain(now, ask)
     li.vacuum(five)
-    assert indexed(li.open_lexical(spark, path), ask) == plain(now, ask)
+    assert indexed(li.open_lexical(spark, path, 4), ask) == plain(now, ask)
     with pytest.raises(RuntimeError):
         li.delete(four, docs.select("doc_id"))  # another wrote the next version already
 
@@ -53,7 +53,7 @@ def test_blocks_are_skipped_and_buckets_pruned(spark, tmp_path, monkeypatch):
     r = random.Random(4)
     rows = [(i, " ".join(["rare"] * (i % 40 == 0) * r.randint(1, 4) + ["often"] * r.randint(0, 6) + [f"w{r.randrange(300)}" for _ in range(r.randint(5, 60))])) for i in range(3000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    index = li.insert(li.open_lexical(spark, str(tmp_path / "j")), docs)
+    index = li.insert(li.open_lexical(spark, str(tmp_path / "j"), 4), docs)
     ask = spark.createDataFrame([(1, "rare often"), (2, "w5 w6 w7"), (3, "often")], "item_id long, q string")
     for k in (3, 20):
         got = li.search(index, ask, query="item_id", query_text="q", k=k)
@@ -72,7 +72,7 @@ def test_skipped_share(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(li, "BLOCK", 8)
     rows = [(i, "term " * (1 + (i < 30) * 9) + "x " * (20 + i % 9)) for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    index = li.insert(li.open_lexical(spark, str(tmp_path / "k")), docs)
+    index = li.insert(li.open_lexical(spark, str(tmp_path / "k"), 4), docs)
     ask = spark.createDataFrame([(1, "term")], "item_id long, q string")
     read = []
     for skip in (True, False):
