@@ -34,14 +34,12 @@ def windows(benchmark: DataFrame, *, item: str = "item_id", text: str = "text",
     """
     w = benchmark.filter(F.col(item).isNotNull()).select(F.col(item).cast("string").alias("item"), words(F.col(text)).alias("w")).filter(F.size("w") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (window - 1), F.lit(1)))
-    one = written(w.select("item", F.explode(F.array_distinct(F.transform(starts, lambda s: F.slice("w", s, window)))).alias("w")).distinct().withColumn("hash", F.xxhash64("w")), "item_windows")
+    one = w.select("item", F.explode(F.array_distinct(F.transform(starts, lambda s: F.slice("w", s, window)))).alias("w")).distinct().withColumn("hash", F.xxhash64("w"))
     mixed = lambda seed: F.sum(F.pmod(F.xxhash64("item", F.lit(seed)), F.lit(1 << 31)))
     each = one.groupBy("w", "hash").agg(F.xxhash64(F.count("*"), mixed(1), mixed(2), mixed(3)).alias("items"))
     found = written(each, "windows")
     first = found.groupBy("items").agg(F.min(F.struct("hash", "w")).alias("f")).select("items", "f.w")
-    listed = written(one.select("w", "item").join(first, "w").select("items", "item"), "items")
-    drop(one)
-    return found, listed
+    return found, one.select("w", "item").join(first, "w").select("items", "item")
 
 
 def _probed(each: DataFrame, found: DataFrame, lengths: list[int], rows: bool) -> DataFrame:
@@ -95,7 +93,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", key: str
     several = by.filter(F.size("items") > 0).select("items").distinct().select("items", F.explode("items").alias("i"))
     named = several.join(listed.withColumnRenamed("items", "i"), "i").groupBy("items").agg(F.array_sort(F.collect_set("item")).alias("names"))
     named = written(named.select("items", F.size("names").cast("long").alias("n_items"), F.sha2(F.array_join("names", ","), 256).alias("items_sha256")), "named_items")
-    drop(listed)
     out = by.join(F.broadcast(named) if named.count() <= MOST_NAMED else named, "items", "left").select("*", F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))))
     out = out.select(F.col("k").alias(key), F.col("mark").alias("mark" if key.lower() != "mark" else "_mark"), "n_words", "n_hit", F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit(""), 256)).alias("items_sha256"), ((F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
     drop(found)
