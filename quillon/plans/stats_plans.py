@@ -68,6 +68,20 @@ query("e14_examples", examples_sql(_SC))(lambda t: examples_of(t, _sc()))
 query("e15_regimes", "SELECT count(*) AS differ, printf('%.1f%%', 100.0 * count(*) FILTER (contains(lower(b.answer), 'could not')) / count(*)) AS abstained FROM responses a JOIN responses b ON a.row_idx = b.row_idx AND a.system = 'full' AND b.system = 'none' WHERE a.answer <> b.answer")(lambda t: t.responses.filter("system = 'full'").select("row_idx", F.col("answer").alias("x")).join(t.responses.filter("system = 'none'").select("row_idx", F.col("answer").alias("y")), "row_idx").filter("x <> y").agg(F.count("*").alias("differ"), F.format_string("%.1f%%", (100.0 * F.count_if(F.contains(F.lower("y"), F.lit("could not"))) / F.count("*")).cast("double")).alias("abstained")))
 query("e16_transition_ablation", r"SELECT system, round(avg(CASE WHEN regexp_matches(answer, '\bIPC\b') THEN 1.0 ELSE 0.0 END), 6) AS old_, round(avg(CASE WHEN regexp_matches(answer, '\bBNS\b') THEN 1.0 ELSE 0.0 END), 6) AS new_, round(avg(greatest(CASE WHEN regexp_matches(answer, '\bIPC\b') THEN 1.0 ELSE 0.0 END, CASE WHEN transition_note <> '' THEN 1.0 ELSE 0.0 END)), 6) AS combined FROM responses GROUP BY 1")(lambda t: (lambda o, n, k: t.responses.groupBy("system").agg(r6(F.avg(o)).alias("old_"), r6(F.avg(n)).alias("new_"), r6(F.avg(F.greatest(o, k))).alias("combined")))(F.col("answer").rlike(r"\bIPC\b").cast("double"), F.col("answer").rlike(r"\bBNS\b").cast("double"), (F.col("transition_note") != "").cast("double")))
 query("e17_ablation_test", f"WITH {WIDE} SELECT round((avg(ha) - avg(hb)) / greatest(avg(hb), 0.001) * 100, 6) AS improvement, round(avg(ha - hb) / (stddev_samp(ha - hb) / sqrt(count(*))), 6) AS t FROM w")(lambda t: _wide(t).agg(r6((F.avg("ha") - F.avg("hb")) / F.greatest(F.avg("hb"), F.lit(0.001)) * 100).alias("improvement"), r6(F.avg(F.col("ha") - F.col("hb")) / (F.stddev_samp(F.col("ha") - F.col("hb")) / F.sqrt(F.count("*")))).alias("t")))
+@query("e18_component_intervals")
+def _component_intervals(t):
+    """Each system's mean of each metric, in per cent, with the ends of its 95 % bootstrap interval."""
+    long = t.scores.select("system", F.expr("stack(2, 'CAR', car * 100, 'HR', hr * 100) AS (metric, v)"))
+    return s.bootstrap_by(long, ["system", "metric"], "v").withColumnsRenamed({"low": "ci95_lower", "high": "ci95_upper"})
+
+
+@query("e20_category_intervals")
+def _category_intervals(t):
+    """The full system's mean by category, and how far the ends of its 95 % bootstrap interval lie from it."""
+    by = s.bootstrap_by(t.scores.filter("system = 'full'"), ["category"], "car")
+    return by.select("category", "n", "mean", (F.col("mean") - F.col("low")).alias("err_lower"), (F.col("high") - F.col("mean")).alias("err_upper"))
+
+
 query("e18_component_table", "SELECT system, metric, round(avg(v), 6) AS mean, round(1.96 * stddev_samp(v) / sqrt(count(*)), 6) AS half FROM (SELECT system, 'car' AS metric, car AS v FROM scores UNION ALL SELECT system, 'hr', hr FROM scores) GROUP BY 1, 2")(lambda t: t.scores.select("system", F.expr("stack(2, 'car', car, 'hr', hr) AS (metric, v)")).groupBy("system", "metric").agg(r6(F.avg("v")).alias("mean"), r6(1.96 * F.stddev_samp("v") / F.sqrt(F.count("*"))).alias("half")))
 
 
