@@ -91,7 +91,7 @@ def base_counts(text: str, words: list[bytes]) -> tuple[int, int, int, int, int]
 class Fertility:
     """Characters per token, byte share and token entropy of the words of a text."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 250_000):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -217,10 +217,12 @@ def keep_good(docs: DataFrame, *, text: str = "text", lang: str | None = None, v
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(vocabulary, folder, bands)
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            langs = b.column(b.schema.get_field_index(lang)).to_pylist() if have else [None] * len(texts)
-            yield b.append_column(mark, pa.array([r[6] for r in judge(texts, langs)], pa.bool_()))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):  # few texts at a time as Python's strings
+                b = whole.slice(i, 256)
+                texts = b.column(b.schema.get_field_index(text)).to_pylist()
+                langs = b.column(b.schema.get_field_index(lang)).to_pylist() if have else [None] * len(texts)
+                yield b.append_column(mark, pa.array([r[6] for r in judge(texts, langs)], pa.bool_()))
 
     schema = docs.sparkSession.createDataFrame([], docs.schema).schema
     return docs.mapInArrow(run, schema.add(mark, "boolean")).filter(f"`{mark}`").drop(mark)
