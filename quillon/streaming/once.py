@@ -52,16 +52,19 @@ def results(spark: SparkSession, root: str, part: str = "results") -> DataFrame:
 
 def shingles(text: Column, words: int = WORDS) -> Column:
     """Hashes of the distinct shingles of a text's lower-cased words; of all of them, if there are fewer; none without words."""
-    w = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")
-    starts = F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
-    return F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, words)))))
+    starts = lambda w: F.sequence(F.lit(1), F.greatest(F.size(w) - (words - 1), F.lit(1)))
+    hashes = lambda w: F.array_distinct(F.transform(starts(w), lambda i: F.xxhash64(F.slice(w, i, words))))
+    # the words are a variable of an outer lambda: a text is split once, not again for each of its shingles
+    each = F.transform(F.array(F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), "")), lambda w: F.when(F.size(w) == 0, F.array().cast("array<bigint>")).otherwise(hashes(w)))
+    return F.element_at(each, 1)
 
 
-def band_keys(s: Column, minima: int = MINIMA, bands: int = BANDS) -> Column:
-    """A key for each band of minima; none of an empty set."""
+def with_bands(rows: DataFrame, minima: int = MINIMA, bands: int = BANDS) -> DataFrame:
+    """``rows`` (key, at, s; keys are distinct) with a key for each band of minima; none of an empty set."""
     of = minima // bands
-    least = lambda seed: F.array_min(F.transform(s, lambda x: F.xxhash64(x, F.lit(seed))))
-    return F.when(F.size(s) == 0, F.array().cast("array<bigint>")).otherwise(F.array(*[F.xxhash64(F.lit(b), *[least(b * of + i) for i in range(of)]) for b in range(bands)]))
+    least = rows.select("key", F.explode("s").alias("x")).groupBy("key").agg(*[F.min(F.xxhash64("x", F.lit(i))).alias(f"m{i}") for i in range(minima)])
+    keys = least.select("key", F.array(*[F.xxhash64(F.lit(b), *[f"m{b * of + i}" for i in range(of)]) for b in range(bands)]).alias("bands"))
+    return rows.join(keys, "key", "left").withColumn("bands", F.coalesce("bands", F.array().cast("array<bigint>")))
 
 
 def similar(a: Column, b: Column, threshold: int = SIMILAR) -> Column:
@@ -92,7 +95,9 @@ def skip_near_copies(stream: DataFrame, root: str, *, key: str, text: str, time:
         far = F.expr(f"INTERVAL {horizon}")
         near = (F.col("at") <= F.col("_at") + far) & (F.col("_at") <= F.col("at") + far)
         rows = df.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("key"), F.col(time).cast("timestamp").alias("at"), shingles(F.col(text)).alias("s"))
-        rows = rows.groupBy("key").agg(F.min(F.struct("at", "s")).alias("r")).select("key", "r.*").withColumn("bands", band_keys(F.col("s")))
+        rows = rows.groupBy("key").agg(F.min(F.struct("at", "s")).alias("r")).select("key", "r.*")
+        rows.write.mode("overwrite").parquet(f"{own}/sets")
+        rows = with_bands(spark.read.schema("key {kind}, at timestamp, s array<bigint>".format(kind=kind)).parquet(f"{own}/sets"))
         rows.write.mode("overwrite").parquet(f"{own}/rows")
         rows = spark.read.schema(_KEPT.format(kind=kind)).parquet(f"{own}/rows")
         span = rows.agg(F.min("at").alias("a"), F.max("at").alias("b")).first()
@@ -130,7 +135,9 @@ def skip_near_copies(stream: DataFrame, root: str, *, key: str, text: str, time:
 
 
 def _without(rows: DataFrame, kept: DataFrame, near: Column, threshold: int) -> DataFrame:
-    """``rows`` that aren't similar to any of ``kept`` with which they share a band."""
-    other = kept.select(F.col("at").alias("_at"), F.col("s").alias("_s"), F.explode("bands").alias("band"))
-    copies = rows.select("key", "at", "s", F.explode("bands").alias("band")).join(other, "band").filter(near & similar(F.col("s"), F.col("_s"), threshold)).select("key").distinct()
+    """``rows`` that aren't similar to any of ``kept`` with which they share a band; a pair is compared once, in however many bands it is."""
+    other = kept.select(F.col("key").alias("_key"), F.col("at").alias("_at"), F.explode("bands").alias("band"))
+    pairs = rows.select("key", "at", F.explode("bands").alias("band")).join(other, "band").filter(near).select("key", "_key", "_at").distinct()
+    sets = pairs.join(rows.select("key", "s"), "key").join(kept.select(F.col("key").alias("_key"), F.col("at").alias("_at"), F.col("s").alias("_s")), ["_key", "_at"])
+    copies = sets.filter(similar(F.col("s"), F.col("_s"), threshold)).select("key").distinct()
     return rows.join(copies, "key", "left_anti")

@@ -112,3 +112,14 @@ def test_one_bucket_of_many_copies(spark, tmp_path):
     put(spark, src, [(i, " ".join(base if i % 2 else [*base[:-1], f"x{i % 9}"]), DAY, 0) for i in range(2000)])
     run(spark, src, root, lambda s, r: once.skip_near_copies(s, r, key="id", text="text", time="at"))
     assert [r.id for r in once.results(spark, str(root)).collect()] == [0]
+
+
+def test_shingles_split_a_text_once(spark):
+    """The words aren't made again for each shingle: a text of 20,000 words took minutes."""
+    import time
+
+    words = [f"w{i % 7001}" for i in range(20_000)]
+    df = spark.createDataFrame([(" ".join(words),), ("One two",), (None,)], "t string").select(once.shingles(F.col("t")).alias("s"))
+    began = time.time()
+    got = [len(r.s) for r in df.collect()]
+    assert got == [len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}), 1, 0] and time.time() - began < 30
