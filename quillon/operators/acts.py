@@ -31,11 +31,16 @@ def strip(c: Column) -> Column:
 
 def target_page(text: Column, name: Column, short: Column) -> Column:
     """Whether a page is the act's: two words of its name or more, three for closely named acts, and no judgment without signs of a statute. Looks at 6000 characters."""
-    sample = fn.for_match(F.substring(text, 1, 6000))
-    hits = F.size(F.filter(fn.act_hints(name, short), lambda t: F.contains(sample, t)))
-    any_of = lambda words: reduce(lambda a, b: a | b, [F.contains(sample, F.lit(w)) for w in words])
-    judgment = F.contains(F.concat(F.lit(" "), sample, F.lit(" ")), F.lit(" vs ")) & F.contains(sample, F.lit("high court")) | any_of(JUDGMENT)
-    return F.coalesce((F.length(sample) >= 200) & (hits >= F.when(short.isin(CLOSELY_NAMED), 3).otherwise(2)) & ~(judgment & ~any_of(STATUTE)), F.lit(False))
+    hints = fn.act_hints(name, short)
+
+    def judged(sample: Column) -> Column:
+        hits = F.size(F.filter(hints, lambda t: F.contains(sample, t)))
+        any_of = lambda words: reduce(lambda a, b: a | b, [F.contains(sample, F.lit(w)) for w in words])
+        judgment = F.contains(F.concat(F.lit(" "), sample, F.lit(" ")), F.lit(" vs ")) & F.contains(sample, F.lit("high court")) | any_of(JUDGMENT)
+        return F.coalesce((F.length(sample) >= 200) & (hits >= F.when(short.isin(CLOSELY_NAMED), 3).otherwise(2)) & ~(judgment & ~any_of(STATUTE)), F.lit(False))
+
+    # the sample is a variable of an outer lambda: it is made once, not again for each hint and mark
+    return F.element_at(F.transform(F.array(fn.for_match(F.substring(text, 1, 6000))), judged), 1)
 
 
 def rank_candidates(found: DataFrame, act: str, name: str, short: str, pos: str, url: str, label: str, k: int = 8) -> DataFrame:

@@ -75,3 +75,13 @@ def test_numbered_sections(spark):
     got = sorted((r.id, r.pos, r.number, r.title, r.body, r.punishment) for r in a.numbered_sections(df, "id", "t").collect())
     assert [g[:3] for g in got] == [(1, i - 1, str(i)) for i in range(1, 11)]  # nine sections are 19 pieces, no such act
     assert got[0][3] == got[0][4] == body and got[9][3] == "t" * 147 + "..." and got[9][4] == ("t" * 151 + "\n" + "z" * 3000)[:3000] + "..."
+
+
+def test_a_page_is_normalised_once(spark):
+    """The sample isn't made again for each hint and mark."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("Indian Penal Code 1860, an act of parliament " * 10, "Indian Penal Code 1860", "IPC"), (None, "Indian Penal Code 1860", "IPC")], "t string, n string, s string")
+    out = df.select(a.target_page(F.col("t"), F.col("n"), F.col("s")).alias("v"))
+    assert [r.v for r in out.collect()] == [True, False]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("6000") == 1
