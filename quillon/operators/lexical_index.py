@@ -1,7 +1,7 @@
 """A maintained lexical index: postings by bucket of the term, in segments, with deletes, merges and bounds of blocks.
 
 A folder holds segments and manifests. A segment has, for the documents that one
-insert brought, the postings (bucketed by term; within a term by falling weight,
+insert brought, the postings (bucketed by term; in a task's file by falling weight within a term,
 in blocks of BLOCK), the bounds of the blocks, the changes of the terms'
 document counts, and the documents with their terms. A delete is a segment of
 count changes and of documents that are gone up to it; nothing is rewritten. A
@@ -16,14 +16,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from quillon.functions.text import bm25_tokens
 from quillon.operators.relational import topk
-from quillon.operators.retrieval import EPSILON, K1, MOST_BROADCAST, B
+from quillon.operators.retrieval import EPSILON, K1, MOST_BROADCAST, B, _ranked, counted, each_term, repeated
 from quillon.sources import manifests
 
 #: Buckets of terms and of documents of a new index, postings of a block, terms that are pushed to the scan as values.
 BUCKETS, BLOCK, MOST_PUSHED = 32, 256, 500
+#: Keys of documents that may be broadcast (about 30 bytes each); beyond that the rows that they are joined with are shuffled.
+MOST_KEYS = 4_000_000
 
 
 @dataclass
@@ -55,10 +58,10 @@ class LexicalIndex:
         return self.spark.read.schema(f"{schema}, segment int").option("basePath", f"{self.path}/{part}").parquet(*paths)
 
 
-POSTINGS = "term string, doc long, tf long, dl int, block int, bucket int"
-BOUNDS = "term string, block int, rows long, most_tf long, least_tf long, most_dl int, least_dl int, bucket int"
+POSTINGS = "term string, doc long, tf long, dl int, block long, bucket int"
+BOUNDS = "term string, block long, rows long, most_tf long, least_tf long, most_dl int, least_dl int, bucket int"
 TERMS = "term string, df long, bucket int"
-DOCS = "doc long, dl int, terms array<string>, bucket int"
+DOCS = "doc long, dl int, terms array<string>, tfs array<long>, bucket int"
 
 
 def open_lexical(spark: SparkSession, path: str, buckets: int = BUCKETS) -> LexicalIndex:
@@ -93,7 +96,7 @@ def _live(index: LexicalIndex, rows: DataFrame) -> DataFrame:
     if not index.gone:
         return rows
     dead = tombstones(index)
-    dead = F.broadcast(dead) if index.gone <= MOST_BROADCAST else dead
+    dead = F.broadcast(dead) if index.gone <= MOST_KEYS else dead
     return rows.join(dead, (rows["doc"] == dead["doc"]) & (rows["segment"] < dead["upto"]), "left_anti")
 
 
@@ -109,23 +112,19 @@ def _next(index: LexicalIndex) -> int:
 
 
 def _write_postings(index: LexicalIndex, each: DataFrame, segment: int) -> None:
-    """(term, doc, tf, dl) as postings and bounds; terms that fill a bucket are sorted by ranges, so that one term isn't one task."""
-    placed = each.withColumn("bucket", index.bucket("term"))
-    parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    """(term, doc, tf, dl) as postings and bounds: each task sorts its own and cuts them into blocks, so that no posting is shuffled."""
     order = ["bucket", "term", F.desc("tf"), "dl", "doc"]
-    # blocks are counted inside a range; the range's number keeps those of a term that lies in two apart
-    ranged = placed.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    inside = F.row_number().over(Window.partitionBy("_part", "bucket", "term").orderBy(F.desc("tf"), "dl", "doc")) - 1
-    blocks = ranged.withColumn("block", (F.col("_part") * F.lit(1 << 16) + F.least(F.floor(inside / BLOCK), F.lit((1 << 16) - 1))).cast("int")).drop("_part")
     path = f"{index.path}/postings/segment={segment}"
-    blocks.sortWithinPartitions(*order).write.partitionBy("bucket").parquet(path)
+    placed = each.withColumn("bucket", index.bucket("term")).sortWithinPartitions(*order)
+    # a row's place in its task, with the task's number above it: blocks of one term don't lie in two tasks
+    placed.withColumn("block", F.expr(f"monotonically_increasing_id() div {BLOCK}")).write.partitionBy("bucket").parquet(path)
     there = index.spark.read.schema(POSTINGS).parquet(path)
     bounds = there.groupBy("bucket", "term", "block").agg(F.count("*").alias("rows"), F.max("tf").alias("most_tf"), F.min("tf").alias("least_tf"), F.max("dl").alias("most_dl"), F.min("dl").alias("least_dl"))
-    bounds.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/bounds/segment={segment}")
+    bounds.sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{index.path}/bounds/segment={segment}")
 
 
 def _write_docs(index: LexicalIndex, docs: DataFrame, segment: int) -> None:
-    docs.repartition("bucket").write.partitionBy("bucket").parquet(f"{index.path}/docs/segment={segment}")
+    docs.write.partitionBy("bucket").parquet(f"{index.path}/docs/segment={segment}")
 
 
 def _write_terms(index: LexicalIndex, changes: DataFrame, segment: int) -> None:
@@ -137,7 +136,7 @@ def _bury(index: LexicalIndex, keys: DataFrame, segment: int) -> DataFrame:
     """Writes which documents of ``keys`` (doc) end before ``segment``, and gives them as (doc, terms). Reads the documents' buckets, no posting."""
     wanted, found = keys.distinct(), alive(index)
     n = wanted.count()
-    if n <= MOST_BROADCAST:
+    if n <= MOST_KEYS:
         wanted = F.broadcast(wanted)
     if n < index.buckets:
         found = found.filter(F.col("bucket").isin([r[0] for r in wanted.select(index.bucket("doc")).distinct().collect()]))
@@ -157,16 +156,17 @@ def insert(index: LexicalIndex, docs: DataFrame, doc: str = "doc_id", text: str
     """
     segment, spark = _next(index), index.spark
     named = docs.filter(F.col(doc).isNotNull()).select(F.col(doc).cast("long").alias("doc"), bm25_tokens(F.coalesce(F.col(text), F.lit(""))).alias("t"))
-    stage = f"{index.path}/stage/segment={segment}"  # texts are parsed once
-    named.groupBy("doc").agg(F.min_by("t", F.xxhash64("t")).alias("t")).write.parquet(stage)
-    there = spark.read.schema("doc long, t array<string>").parquet(stage)
+    twice = repeated(named, "doc")
+    n = twice.count()
+    if n:  # only rows with equal keys are brought together
+        twice = F.broadcast(twice) if n <= MOST_KEYS else twice
+        named = named.join(twice, "doc", "left_anti").unionAll(named.join(twice, "doc", "left_semi").groupBy("doc").agg(F.min_by("t", F.xxhash64("t")).alias("t")))
+    _write_docs(index, counted(named, "doc").withColumn("bucket", index.bucket("doc")), segment)  # texts are parsed once
+    there = spark.read.schema(DOCS).parquet(f"{index.path}/docs/segment={segment}")
     dead = _bury(index, there.select("doc"), segment) if index.n else None
-    _write_docs(index, there.select("doc", F.size("t").alias("dl"), F.array_distinct("t").alias("terms"), index.bucket("doc").alias("bucket")), segment)
-    each = there.select("doc", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    _write_postings(index, each, segment)
+    _write_postings(index, each_term(there, "doc"), segment)
     counts = spark.read.schema(BOUNDS).parquet(f"{index.path}/bounds/segment={segment}").groupBy("term").agg(F.sum("rows").alias("df"))
     _write_terms(index, counts if dead is None else counts.unionAll(_minus(dead)), segment)
-    manifests.remove(spark, stage)
     return _publish(index, [*index.segments, segment], index.gone + (dead.count() if dead is not None else 0))
 
 
@@ -181,8 +181,11 @@ def delete(index: LexicalIndex, keys: DataFrame, doc: str = "doc_id") -> Lexical
 def merge(index: LexicalIndex) -> LexicalIndex:
     """A version of one segment, without what was deleted. Older versions' files stay until vacuum()."""
     segment = _next(index)
-    _write_docs(index, alive(index).drop("segment"), segment)
-    _write_postings(index, _live(index, index.read("postings", POSTINGS)).select("term", "doc", "tf", "dl"), segment)
+    parts = int(index.spark.conf.get("spark.sql.shuffle.partitions"))
+    _write_docs(index, alive(index).drop("segment").repartition("bucket"), segment)
+    left = _live(index, index.read("postings", POSTINGS)).select("term", "doc", "tf", "dl")
+    # by ranges, so that one term isn't one task
+    _write_postings(index, left.repartitionByRange(parts, index.bucket("term"), "term", F.desc("tf"), "dl", "doc"), segment)
     _write_terms(index, term_counts(index).select("term", "df"), segment)
     return _publish(index, [segment], 0)
 
@@ -203,35 +206,45 @@ def search(index: LexicalIndex, queries: DataFrame, *, query: str, query_text: s
     """Rows of (query, doc, score, rank), those of retrieval.bm25 over the documents that are there.
 
     Only the buckets of the queries' terms are read. A query's floor is what k
-    documents of one of its terms' blocks reach at least; blocks that can't
-    reach it with the best of all its other terms are skipped.
+    documents of one of its terms' blocks reach at least; postings that can't
+    reach it with the best of all its other terms are skipped. What is left is
+    dealt by document, once for a block of queries with about MOST_BROADCAST
+    terms, and scored there.
     """
+    ids = StructType([StructField(query, queries.schema[query].dataType), StructField("doc", LongType()), StructField("score", DoubleType())])
     asked = queries.select(query, F.explode(bm25_tokens(F.col(query_text))).alias("term")).groupBy(query, "term").agg(F.count("*").alias("qtf"))
-    few = asked.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    small = F.broadcast if few else lambda df: df
+    blocks = max(1, -(-asked.count() // MOST_BROADCAST)) if index.n else 0
+    out = index.spark.createDataFrame([], ids)
+    for i in range(blocks):
+        part = _scored(index, asked.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == i), query, ids, k, skip)
+        out = out.unionAll(part) if i else part
+    return topk(out.withColumn("score", F.round("score", 6)), [query], [F.desc("score"), "doc"], k, rank="rank")
+
+
+def _scored(index: LexicalIndex, asked: DataFrame, query: str, ids: StructType, k: int, skip: bool) -> DataFrame:
+    """Each task's best k of the queries ``asked`` (query, term, qtf), about MOST_BROADCAST rows."""
     terms = asked.select("term").distinct()
     buckets = sorted(r[0] for r in terms.select(index.bucket("term")).distinct().collect())  # one number a bucket at most
     some = [r[0] for r in terms.limit(MOST_PUSHED + 1).collect()]
     pushed = F.col("term").isin(some) if len(some) <= MOST_PUSHED else F.lit(True)
     of = lambda part, schema: index.read(part, schema).filter(F.col("bucket").isin(buckets) & pushed)
-    counts = of("terms", TERMS).join(small(terms), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
+    counts = of("terms", TERMS).join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df")).filter("df > 0")
     raw = F.log(F.lit(index.n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     weighted = asked.join(counts, "term").select(query, "term", (F.col("qtf") * F.when(raw < 0, EPSILON * index.mean).otherwise(raw)).alias("w"))
-    if not index.n:
-        return weighted.select(query, F.lit(None).cast("long").alias("doc"), "w", F.lit(0).alias("rank")).withColumnRenamed("w", "score").limit(0)
-    bound = of("bounds", BOUNDS).join(small(weighted), "term")
-    f = lambda tf, dl: F.col("w") * _weight(F.col(tf), F.col(dl), index.avgdl)
-    bound = bound.withColumn("high", f("most_tf", "least_dl")).withColumn("low", f("least_tf", "most_dl"))
-    by_term, by_query = Window.partitionBy(query, "term"), Window.partitionBy(query)
-    reached = F.sum("rows").over(by_term.orderBy(F.desc("low"), "segment", "block"))
-    judged = bound.withColumn("sure", F.when(reached >= k + index.gone, F.col("low"))).withColumn("best", F.max("high").over(by_term))
-    judged = judged.withColumn("first", F.row_number().over(by_term.orderBy("segment", "block")) == 1)
-    floor, rest = F.max("sure").over(by_query), F.sum(F.when(F.col("first"), F.col("best"))).over(by_query) - F.col("best")
-    can = (F.min("w").over(by_query) < 0) | floor.isNull() | (F.col("high") + rest >= floor - 1e-5)
-    kept = judged.withColumn("kept", can if skip else F.lit(True)).filter("kept").select(query, F.col("term").alias("_term"), F.col("segment").alias("_segment"), F.col("block").alias("_block"), "w")
-    if few:
-        kept = F.broadcast(kept) if kept.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else kept
-    rows = _live(index, of("postings", POSTINGS))
-    hits = rows.join(kept, (rows["term"] == kept["_term"]) & (rows["segment"] == kept["_segment"]) & (rows["block"] == kept["_block"]))
-    scored = hits.groupBy(query, "doc").agg(F.round(F.sum(F.col("w") * _weight(F.col("tf"), F.col("dl"), index.avgdl)), 6).alias("score"))
-    return topk(scored, [query], [F.desc("score"), "doc"], k, rank="rank")
+    # of each term, for a weight of 1: the most that a posting gives, and what k documents reach at least
+    bound = of("bounds", BOUNDS).join(F.broadcast(terms), "term", "left_semi").withColumn("high", _weight(F.col("most_tf"), F.col("least_dl"), index.avgdl)).withColumn("low", _weight(F.col("least_tf"), F.col("most_dl"), index.avgdl))
+    reached = F.sum("rows").over(Window.partitionBy("term").orderBy(F.desc("low"), "segment", "block"))
+    best = bound.withColumn("sure", F.when(reached >= k + index.gone, F.col("low"))).groupBy("term").agg(F.max("high").alias("best"), F.max("sure").alias("sure"))
+    by = Window.partitionBy(query)
+    floor, rest = F.max(F.col("w") * F.col("sure")).over(by), F.sum(F.col("w") * F.col("best")).over(by) - F.col("w") * F.col("best")
+    least = F.when((F.min("w").over(by) > 0) & floor.isNotNull() & F.lit(skip), (floor - 1e-5 - rest) / F.col("w")).otherwise(float("-inf"))
+    rows = weighted.join(best, "term").select(query, "term", "w", least.alias("least")).orderBy(query, "term").collect()  # about MOST_BROADCAST rows
+    number, lowest = {}, {}
+    for _, term, _, least in rows:
+        number.setdefault(term, len(number))
+        lowest[term] = min(least, lowest.get(term, least))
+    wanted = index.spark.createDataFrame([(t, n, lowest[t]) for t, n in number.items()], "term string, no int, least double")
+    hits = of("postings", POSTINGS).join(F.broadcast(wanted), "term").filter(_weight(F.col("tf"), F.col("dl"), index.avgdl) >= F.col("least"))
+    dealt = _live(index, hits).select("doc", "dl", "no", "tf").repartition("doc").sortWithinPartitions("doc")
+    asks = index.spark.sparkContext.broadcast([(q, number[t], w, index.avgdl) for q, t, w, _ in rows])
+    return dealt.mapInArrow(_ranked(asks, ids.names, k, inverted=True), ids)

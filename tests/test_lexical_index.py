@@ -79,3 +79,32 @@ def test_skipped_share(spark, tmp_path, monkeypatch):
         df = li.search(index, ask, query="item_id", query_text="q", k=5, skip=skip)
         read.append(sorted((r.doc, r.score) for r in df.collect()))
     assert read[0] == read[1] and len(read[0]) == 5
+
+
+def shuffled(spark):
+    """Bytes that all stages so far wrote to shuffles."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    nothing = jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(nothing, False, False, gateway.new_array(jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_neither_postings_nor_pairs_are_shuffled(spark, tmp_path):
+    r = random.Random(5)
+    docs = spark.createDataFrame([(i, " ".join(str(r.randrange(40)) for _ in range(400))) for i in range(2000)], "doc_id long, text string").repartition(2)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    before = shuffled(spark)
+    index = li.insert(li.open_lexical(spark, str(tmp_path / "l"), 4), docs)
+    assert shuffled(spark) - before < 200_000  # 80,000 postings
+    ask = spark.createDataFrame([(i, " ".join(map(str, range(40)))) for i in range(50)], "item_id long, q string")
+    before = shuffled(spark)
+    li.search(index, ask, query="item_id", query_text="q", k=3).collect()
+    assert shuffled(spark) - before < 2_000_000  # 80,000 postings once, not 4 million parts of scores
+
+
+def test_equal_keys(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b"), (1, "c"), (2, "a a"), (None, "a"), (3, None), (3, None)], "doc_id long, text string")
+    index = li.insert(li.open_lexical(spark, str(tmp_path / "m"), 4), docs)
+    assert index.n == 3 and index.tokens in (3, 4)  # of texts with one key either stays
+    assert index.read("postings", li.POSTINGS).filter("doc = 2").select("term", "tf").collect() == [("a", 2)]
