@@ -12,29 +12,41 @@ SECTION_OF_ACT = r"Section\s+(\d+[A-Za-z]?)\s+of\s+([^.,;\n]+(?:Act|Code)\s+\d{4
 ACT_SECTION = r"([^.,;\n]+(?:Act|Code)\s+\d{4}),?\s+Section\s+(\d+[A-Za-z]?)"
 REMOVED = "[citation removed - not verified]"
 FIELDS = ("risks", "suggested_revisions", "overview")
+#: What a match of ACT_SECTION has at its end; without it the longer pattern, whose work grows with a line's square, isn't tried.
+ACT_SECTION_END = r"(?:Act|Code)\s+\d{4},?\s+Section\s+\d"
 #: Case and all white space and digits count as Python's do.
 _FLAGS = "(?iU)"
 #: A JSON string and, if it is a key, the colon after it, in text without blanks beside its signs.
 _LITERAL = r'"(?:[^"\\]|\\.)*+"(:?)'
 
 
+def once(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once: it is the variable of an outer lambda."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def spans(text: Column, pattern: str, groups: int = 0) -> Column:
     """The matches of ``pattern``: structs of start, end (code points, from 0), full_text and the groups g1, g2, ….
 
     The pieces between the matches have as many code points as the places need.
+    The text is searched twice; groups are taken from the matches, so that a
+    pattern may look at no text beside its match but for the begin and end of a line.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i)).alias(f"g{i}") for i in range(groups + 1)], F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"))
-    none = F.lit(None).cast("struct<start:int,end:int,full_text:string" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ">")
+    kind = "struct<start:int,end:int,full_text:string" + "".join(f",g{i}:string" for i in range(1, groups + 1)) + ">"
+    none = F.lit(None).cast(kind)
     start = F.struct(F.lit(0).alias("at"), F.array(none).alias("out"))
 
     def step(s: Column, m: Column) -> Column:
         at = s["at"] + F.length(m["before"])
         end = at + F.length(m["g0"])
-        one = F.struct(at.alias("start"), end.alias("end"), m["g0"].alias("full_text"), *[m[f"g{i}"].alias(f"g{i}") for i in range(1, groups + 1)])
+        one = F.struct(at.alias("start"), end.alias("end"), m["g0"].alias("full_text"), *[F.regexp_extract(m["g0"], pattern, i).alias(f"g{i}") for i in range(1, groups + 1)])
         return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
 
-    return F.filter(F.aggregate(parts, start, step, lambda s: s["out"]), lambda x: x.isNotNull())
+    def placed(found: Column) -> Column:
+        parts = F.arrays_zip(found.alias("g0"), F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("before"))
+        return F.when(F.size(found) > 0, F.filter(F.aggregate(parts, start, step, lambda s: s["out"]), lambda x: x.isNotNull())).when(found.isNotNull(), F.array().cast(f"array<{kind}>"))
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
 
 
 def spliced(text: Column, changes: Column) -> Column:
@@ -45,7 +57,7 @@ def spliced(text: Column, changes: Column) -> Column:
 def citations_in(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Rows of (keys, start, end, section, act, full_text): each section of an act where a text first cites it."""
     one = F.transform(spans(F.col(text), _FLAGS + SECTION_OF_ACT, 2), lambda m: F.struct(m["start"].alias("start"), F.lit(1).alias("way"), m["end"].alias("end"), m["g1"].alias("number"), m["g2"].alias("act"), m["full_text"].alias("full_text")))
-    two = F.transform(spans(F.col(text), _FLAGS + ACT_SECTION, 2), lambda m: F.struct(m["start"].alias("start"), F.lit(2).alias("way"), m["end"].alias("end"), m["g2"].alias("number"), m["g1"].alias("act"), m["full_text"].alias("full_text")))
+    two = F.transform(spans(F.when(F.col(text).rlike(_FLAGS + ACT_SECTION_END), F.col(text)).otherwise(F.when(F.col(text).isNotNull(), "")), _FLAGS + ACT_SECTION, 2), lambda m: F.struct(m["start"].alias("start"), F.lit(2).alias("way"), m["end"].alias("end"), m["g2"].alias("number"), m["g1"].alias("act"), m["full_text"].alias("full_text")))
     each = texts.select(*keys, F.inline(F.concat(one, two))).withColumn("section", F.concat(F.lit("Section "), "number")).withColumn("act", F.regexp_replace("act", r"(?U)^\s+|\s+$", ""))
     return first_of(each, [*keys, "section", "act"], ["start", "way"]).select(*keys, "start", "way", "end", "section", "act", "full_text")
 

@@ -110,3 +110,12 @@ def test_hints(spark):
     df = spark.createDataFrame([(q,) for q in qs], "q string")
     act, section, _, lookup = c.query_hints(df["q"])
     assert [tuple(r) for r in df.select(act, section, lookup).collect()] == [("BNS", "5", True), ("BNSS", "35", False), ("NIA", "", False), ("PWDVA", "12B", True), ("", "", False), ("IPC", "", False), ("", "9", True)]
+
+
+def test_texts_are_searched_once(spark):
+    from quillon.operators import citations as c
+
+    texts = spark.createDataFrame([(1, "By Stamp Act 1899, Section 3; and\nSection 5 of Land Act 1894"), (2, None), (3, "")], "id long, t string")
+    got = c.citations_in(texts, ["id"], "t")
+    assert sorted((r.section, r.act, r.start) for r in got.collect()) == [("Section 3", "By Stamp Act 1899", 0), ("Section 5", "Land Act 1894", 34)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") == 2
