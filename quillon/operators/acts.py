@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as fn
-from quillon.operators.citations import spans
+from quillon.operators.citations import once, spans
 from quillon.operators.relational import first_of, topk
 
 # Acts whose pages must show more of their names' words, marks of judgments and of statutes, headings of sections, ways to name one section, and limits of lengths.
@@ -65,6 +65,12 @@ def one_section(text: Column) -> dict[str, Column]:
     return {"number": fn.section_number(number), "title": title, "punishment": F.nullif(strip(fn.first_match(text, PUNISHMENT_OF_ONE, "(?iU)")), F.lit(""))}
 
 
+def _until_next(text: Column, matches: Column, m: Column, i: Column) -> Column:
+    """The text between the i-th match and the next one, or its end."""
+    stop = F.coalesce(F.get(matches, i + 1)["start"], F.length(text))
+    return F.substring(text, m["end"] + 1, stop - m["end"])
+
+
 def split_act(acts: DataFrame, key: str, text: str) -> DataFrame:
     """Rows of (key, idx, number, heading, section_text): the act's text between its headings.
 
@@ -72,13 +78,15 @@ def split_act(acts: DataFrame, key: str, text: str) -> DataFrame:
     both have as many; an act with fewer than HEADINGS has no sections.
     """
     clean = F.regexp_replace(F.regexp_replace(F.col(text), r"(?U)\n\s*\n", "\n\n"), " +", " ")
-    named, bare = (spans(F.col("_t"), "(?imdU)" + p, 2) for p in (NAMED_HEADING, BARE_HEADING))
-    both = acts.select(key, clean.alias("_t")).select(key, "_t", named.alias("_n"), bare.alias("_b"))
-    best = both.select(key, "_t", F.when(F.size("_b") > F.size("_n"), F.col("_b")).otherwise(F.col("_n")).alias("_m")).filter(F.size("_m") >= HEADINGS)
-    each = best.select(key, "_t", "_m", F.posexplode("_m").alias("idx", "m"))
-    stop = F.coalesce(F.get("_m", F.col("idx") + 1)["start"], F.length("_t"))
-    body = strip(F.substring("_t", F.col("m.end") + 1, stop - F.col("m.end")))
-    heading = strip(F.col("m.g2"))
+
+    def sections(t: Column) -> Column:
+        named, bare = (spans(t, "(?imdU)" + p, 2) for p in (NAMED_HEADING, BARE_HEADING))
+        best = once(F.struct(named.alias("n"), bare.alias("b")), lambda w: F.when(F.size(w["b"]) > F.size(w["n"]), w["b"]).otherwise(w["n"]))
+        return once(best, lambda ms: F.when(F.size(ms) >= HEADINGS, F.transform(ms, lambda m, i: F.struct(m["g1"].alias("g1"), m["g2"].alias("g2"), _until_next(t, ms, m, i).alias("body")))))
+
+    # exploded as it is made: a filter on a column of matches would be pushed below and work them out again
+    each = acts.select(key, F.posexplode(once(clean, sections)).alias("idx", "m"))
+    heading, body = strip(F.col("m.g2")), strip(F.col("m.body"))
     return each.select(key, "idx", fn.section_number(F.col("m.g1")).alias("number"), heading.alias("heading"), F.when(heading == "", body).otherwise(strip(F.concat(heading, F.lit("\n"), body))).alias("section_text"))
 
 
@@ -109,10 +117,12 @@ def numbered_sections(acts: DataFrame, key: str, text: str) -> DataFrame:
     TITLE are cut three earlier, bodies at LONG, with dots.
     """
     clean = F.regexp_replace(F.replace(F.col(text), F.lit("\n\n\n"), F.lit("\n\n")), " +", " ")
-    found = acts.select(key, clean.alias("_t")).select(key, "_t", spans(F.col("_t"), "(?U)" + NUMBERED, 1).alias("_m")).filter(2 * F.size("_m") + 1 > PARTS)
-    each = found.select(key, "_t", "_m", F.posexplode("_m").alias("pos", "m"))
-    stop = F.coalesce(F.get("_m", F.col("pos") + 1)["start"], F.length("_t"))
-    each = each.select(key, "pos", F.col("m.g1").alias("number"), strip(F.substring("_t", F.col("m.end") + 1, stop - F.col("m.end"))).alias("_b")).filter(F.length("_b") >= NUMBERED_SHORT)
+
+    def pieces(t: Column) -> Column:
+        return once(spans(t, "(?U)" + NUMBERED, 1), lambda ms: F.when(2 * F.size(ms) + 1 > PARTS, F.transform(ms, lambda m, i: F.struct(m["g1"].alias("g1"), _until_next(t, ms, m, i).alias("body")))))
+
+    each = acts.select(key, F.posexplode(once(clean, pieces)).alias("pos", "m"))
+    each = each.select(key, "pos", F.col("m.g1").alias("number"), strip(F.col("m.body")).alias("_b")).filter(F.length("_b") >= NUMBERED_SHORT)
     line = strip(F.substring_index("_b", "\n", 1))
     cut = lambda c, at, most: F.when(F.length(c) > most, F.concat(F.substring(c, 1, at), F.lit("..."))).otherwise(c)
     out = each.select(key, "pos", "number", cut(line, TITLE - 3, TITLE).alias("title"), cut(F.col("_b"), LONG, LONG).alias("body"))

@@ -85,3 +85,13 @@ def test_a_page_is_normalised_once(spark):
     out = df.select(a.target_page(F.col("t"), F.col("n"), F.col("s")).alias("v"))
     assert [r.v for r in out.collect()] == [True, False]
     assert out._jdf.queryExecution().optimizedPlan().toString().count("6000") == 1
+
+
+def test_acts_are_searched_once(spark):
+    from quillon.operators import acts as a
+
+    texts = spark.createDataFrame([(1, "Act\nSection 1. Name\nof it\n\nSection 2: Rest\n  Section 3\nlast"), (2, None), (3, "Section 1 alone")], "id long, t string")
+    got = a.split_act(texts, "id", "t")
+    assert [(r.idx, r.number, r.section_text) for r in sorted(got.collect())] == [(0, "1", "Name\nof it"), (1, "2", "Rest"), (2, "3", "last")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2  # once for either kind of heading
