@@ -5,8 +5,9 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
 
@@ -22,3 +23,10 @@ def scratch(spark: SparkSession) -> str:
         _own.append(tempfile.mkdtemp(prefix="quillon-"))
         atexit.register(shutil.rmtree, _own[0], True)
     return _own[0]
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df``, made once and read from a table by whatever asks for it."""
+    path = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
