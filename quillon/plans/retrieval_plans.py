@@ -77,8 +77,9 @@ query("r06_rrf", f"WITH {FUSED_SQL} SELECT item_id, doc_id, score, CAST(rank AS
 SELECT item_id, doc_id, final, CAST(row_number() OVER (PARTITION BY item_id ORDER BY final DESC, doc_id) AS INT) AS place, round(1 / (1 + exp(-final)), 6) AS confidence FROM c QUALIFY place <= 5""")
 def _rerank(t):
     """The scorer's column is the vectors' closeness, 0 where it wasn't ranked."""
-    scorer = _by_vector(t).select("item_id", "doc_id", F.col("score").alias("scorer"))
-    c = fused(t).join(scorer, ["item_id", "doc_id"], "left").join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
+    near = written(_by_vector(t), "near")
+    ranked = x.fuse([_bm25(t), near], "item_id", "doc_id").join(near.select("item_id", "doc_id", F.col("score").alias("scorer")), ["item_id", "doc_id"], "left")
+    c = _kept(ranked).join(t.documents.select("doc_id", "text"), "doc_id").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("q"))), "item_id")
     words = F.split(F.lower("q"), " ")
     return x.rerank(c, query="item_id", doc="doc_id", score=F.coalesce("scorer", F.lit(0.0)), overlap=F.size(F.array_intersect(words, F.split(F.lower("text"), " "))) / F.size(F.array_distinct(words)), k=5).select("item_id", "doc_id", "final", "place", "confidence")
 

@@ -33,7 +33,7 @@ def shuffled(df):
     return [c for c in out if ("doc_id" in c or "event_id" in c) and "rank" not in c]  # not the ranking itself
 
 
-@pytest.mark.parametrize("name", ["r05_post_filter"])
+@pytest.mark.parametrize("name", ["r05_post_filter", "r07_rerank"])
 def test_documents_are_not_shuffled(no_luck, name):
     assert shuffled(QUERIES[name](no_luck, DATA)) == []
 
