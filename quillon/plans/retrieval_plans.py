@@ -98,8 +98,23 @@ def _relaxed(t):
 
 
 query("r11_stats", f"WITH {BM25_SQL} SELECT count(*) AS documents, (SELECT count(*) FROM w) AS terms, (SELECT round(avgdl, 6) FROM st) AS mean_length FROM documents")(lambda t: t.documents.agg(F.count("*").alias("documents")).crossJoin(x.idf(x.term_counts(t.documents, "text")).agg(F.count("*").alias("terms"))).crossJoin(x.bm25_stats(x.term_counts(t.documents, "text")).select(r6(F.col("avgdl")).alias("mean_length"))))
-query("r13_retrieve", f"""WITH {FUSED_SQL}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
-SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")(lambda t: fused(t).filter("rank <= 5").withColumn("act_name", F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")).join(t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n")), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments")))
+
+
+def _amended(t, wanted):
+    """Rows of (act_name, section_number, n): the amendments of the sections in ``wanted``; no others are grouped."""
+    sections = ["act_name", "section_number"]
+    return t.amendments.join(wanted.select(*sections), sections, "left_semi").groupBy(*sections).agg(F.count("*").alias("n"))
+
+
+@query("r13_retrieve", f"""WITH {FUSED_SQL}, kept AS (SELECT item_id, doc_id, rank, score, CASE doc_id % 4 WHEN 0 THEN 'Indian Penal Code 1860' WHEN 1 THEN 'Bharatiya Nyaya Sanhita 2023' WHEN 2 THEN 'Code of Criminal Procedure 1973' ELSE 'Negotiable Instruments Act 1881' END AS act_name, CAST(300 + doc_id % 37 AS STRING) AS section_number FROM fused WHERE rank <= 5)
+SELECT item_id, doc_id, CAST(rank AS INT) AS rank, CASE WHEN score * 30 >= 0.75 THEN 'HIGH' WHEN score * 30 >= 0.60 THEN 'MEDIUM' ELSE 'LOW' END AS level, coalesce(n, 0) AS n_amendments FROM kept LEFT JOIN (SELECT act_name, section_number, count(*) AS n FROM amendments GROUP BY 1, 2) a USING (act_name, section_number)""")
+def _retrieve(t):
+    """An item's five best acts, with how often each was amended."""
+    act = F.element_at(F.array(*map(F.lit, ["Indian Penal Code 1860", "Bharatiya Nyaya Sanhita 2023", "Code of Criminal Procedure 1973", "Negotiable Instruments Act 1881"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    kept = _kept(fused(t).filter("rank <= 5").withColumn("act_name", act).withColumn("section_number", (300 + F.col("doc_id") % 37).cast("string")))
+    return kept.join(_amended(t, kept), ["act_name", "section_number"], "left").select("item_id", "doc_id", "rank", r.level(F.col("score") * 30).alias("level"), F.coalesce("n", F.lit(0)).alias("n_amendments"))
+
+
 query("r15_footer", "SELECT row_idx, system, CASE WHEN contains(answer, 'Sources:') OR act1 IS NULL THEN answer ELSE answer || ' Sources: ' || concat_ws('; ', act1 || ' ' || section1, act2 || ' ' || section2) END AS answer FROM responses")(lambda t: t.responses.select("row_idx", "system", F.when(F.col("answer").contains("Sources:") | F.col("act1").isNull(), F.col("answer")).otherwise(F.concat("answer", F.lit(" Sources: "), F.concat_ws("; ", F.concat("act1", F.lit(" "), "section1"), F.concat("act2", F.lit(" "), "section2")))).alias("answer")))
 _RULE = "=" * 80
 

@@ -38,6 +38,12 @@ def test_documents_are_not_shuffled(no_luck, name):
     assert shuffled(QUERIES[name](no_luck, DATA)) == []
 
 
+@pytest.mark.parametrize("name", ["r13_retrieve"])
+def test_only_wanted_amendments_are_grouped(no_luck, name):
+    plan = QUERIES[name](no_luck, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert any("BroadcastHashJoin [act_name" in line and "LeftSemi" in line for line in plan.splitlines())
+
+
 def test_lengths_give_the_stats(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "c")], "d long, t string")
     tokens = x.tokenised(docs, "d", "t")
