@@ -126,8 +126,9 @@ SELECT item_id, 'RETRIEVAL SUMMARY:' || chr(10) || 'Query Type: ' || any_value({
   || chr(10) || chr(10) || '{_RULE}' || chr(10) || 'RETRIEVAL STATISTICS:' || chr(10) || 'Bare Acts: ' || CAST(count(*) AS STRING) || chr(10) || 'Amendments: ' || CAST(CAST(sum(n) AS BIGINT) AS STRING) || chr(10) || '{_RULE}' AS context FROM k JOIN benchmark USING (item_id) GROUP BY 1""")
 def _context(t):
     """The whole texts of an item's five best acts, with what is known of each, as one text."""
-    n = t.amendments.groupBy("act_name", "section_number").agg(F.count("*").alias("n"))
-    k = fused(t).filter("rank <= 5").join(t.bare_acts.withColumnRenamed("id", "doc_id"), "doc_id").join(n, ["act_name", "section_number"], "left").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("asked"))), "item_id").withColumn("n", F.coalesce("n", F.lit(0)))
+    top, acts = _kept(fused(t).filter("rank <= 5")), t.bare_acts.withColumnRenamed("id", "doc_id")
+    n = _amended(t, x.checked(top.join(acts.select("doc_id", "act_name", "section_number"), "doc_id")))
+    k = top.join(acts, "doc_id").join(n, ["act_name", "section_number"], "left").join(x.checked(t.benchmark.select("item_id", F.col("text").alias("asked"))), "item_id").withColumn("n", F.coalesce("n", F.lit(0)))
     lit = F.lit
     act = F.concat(lit("\n[ACT "), F.col("rank").cast("string"), lit("]\nAct: "), "act_name", lit("\nSection: "), "section_number", lit("\nTitle: "), "section_title", lit("\nConfidence: "), F.format_string("%.3f", F.col("score") * 30), lit("\n"), F.when(F.col("is_replaced"), "TRANSITION: the law was replaced\n").otherwise(""), lit("\nText:\n"), F.coalesce(F.nullif("full_text", lit("")), lit("No text available")), F.when(F.col("n") > 0, F.concat(lit("\n\nThis section has "), F.col("n").cast("string"), lit(" amendment(s)"))).otherwise(""))
     by = k.groupBy("item_id").agg(F.first(r.query_type(F.col("asked"))).alias("kind"), F.max(F.when(F.col("rank") == 1, r.level(F.col("score") * 30))).alias("level"), F.bool_or("is_replaced").alias("notes"), F.array_sort(F.collect_list(F.struct("rank", act.alias("a")))).alias("acts"), F.count("*").alias("c"), F.sum("n").alias("n"))  # five at most

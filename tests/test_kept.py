@@ -33,12 +33,12 @@ def shuffled(df):
     return [c for c in out if ("doc_id" in c or "event_id" in c) and "rank" not in c]  # not the ranking itself
 
 
-@pytest.mark.parametrize("name", ["r05_post_filter", "r07_rerank"])
+@pytest.mark.parametrize("name", ["r05_post_filter", "r07_rerank", "r16_context"])
 def test_documents_are_not_shuffled(no_luck, name):
     assert shuffled(QUERIES[name](no_luck, DATA)) == []
 
 
-@pytest.mark.parametrize("name", ["r13_retrieve"])
+@pytest.mark.parametrize("name", ["r13_retrieve", "r16_context"])
 def test_only_wanted_amendments_are_grouped(no_luck, name):
     plan = QUERIES[name](no_luck, DATA)._jdf.queryExecution().executedPlan().toString()
     assert any("BroadcastHashJoin [act_name" in line and "LeftSemi" in line for line in plan.splitlines())
