@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as x
-from quillon.operators.retrieval import cosine
+from quillon.operators.retrieval import checked, cosine
+from quillon.sources.sinks import written
 
 # Act names, their variants and word lists, in their order.
 ACT_NAMES = {
@@ -178,10 +179,14 @@ def precision_at_k(ranked: DataFrame, truth: DataFrame, acts: DataFrame, cases:
     """Rows of (row_idx, p_at_k for each k): of what ``ranked`` (row_idx, doc_id, rank) found, the share that its metadata make relevant.
 
     A question of the cases wants the expected citation, any other the act's
-    full name and its section. A question without results has 0.
+    full name and its section. A question without results has 0. What was found
+    goes to the acts and cases, so that no others are shuffled.
     """
-    found = ranked.filter(F.col("rank") <= max(ks)).select("row_idx", "doc_id", "rank")
-    found = found.join(acts.select(F.col("id").alias("doc_id"), "act_name", "section_number"), "doc_id", "left").join(cases.select(F.col("case_id").alias("doc_id"), "citation"), "doc_id", "left")
+    found = written(ranked.filter(F.col("rank") <= max(ks)).select("row_idx", "doc_id", "rank"), "found")
+    wanted = checked(found.select("doc_id"))
+    acts = acts.select(F.col("id").alias("doc_id"), "act_name", "section_number").join(wanted, "doc_id", "left_semi")
+    cases = cases.select(F.col("case_id").alias("doc_id"), "citation").join(wanted, "doc_id", "left_semi")
+    found = found.join(acts, "doc_id", "left").join(cases, "doc_id", "left")
     case = F.lower(F.replace("category", F.lit(" "), F.lit("_"))).isin(CASE_CATEGORIES)
     act = (F.col("section_number") == F.col("correct_section")) & (F.col("act_name") == F.coalesce(act_name(F.col("correct_act")), F.lower("correct_act")))
     hit = F.coalesce(F.when(case, F.col("citation") == F.col("correct_citation")).otherwise(act), F.lit(False))

@@ -1,7 +1,9 @@
 """What a ranking is joined with stays where it lies: neither documents nor amendments are shuffled for its few rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from quillon.operators import metrics as m
 from quillon.operators import retrieval as x
 from quillon.plans import QUERIES
 from tests.oracle import DATA
@@ -44,6 +46,19 @@ def test_only_wanted_amendments_are_grouped(no_luck, name):
     assert any("BroadcastHashJoin [act_name" in line and "LeftSemi" in line for line in plan.splitlines())
 
 
+def test_acts_and_cases_are_not_shuffled(no_luck):
+    ids = no_luck.range(50).select(F.col("id").alias("doc_id"))
+    ids.write.mode("overwrite").parquet(f"{(path := x.scratch(no_luck))}/ids")
+    ids = no_luck.read.parquet(f"{path}/ids")
+    acts = ids.select(F.col("doc_id").alias("id"), F.lit("Indian Penal Code 1860").alias("act_name"), F.col("doc_id").cast("string").alias("section_number"))
+    cases = ids.select(F.col("doc_id").alias("case_id"), F.concat(F.lit("AIR "), "doc_id").alias("citation"))
+    truth = no_luck.createDataFrame([(1, "Section Lookup", "IPC", "7", ""), (2, "Case Law Search", "", "", "AIR 8"), (3, "Section Lookup", "IPC", "9", "")], "row_idx long, category string, correct_act string, correct_section string, correct_citation string")
+    ranked = no_luck.createDataFrame([(1, 7, 1), (1, 3, 2), (2, 99, 1), (2, 8, 2), (2, 7, 4)], "row_idx long, doc_id long, rank int")
+    got = m.precision_at_k(ranked, truth, acts, cases)
+    assert shuffled(got) == []
+    assert sorted(map(tuple, got.collect())) == [(1, 1.0, 0.5), (2, 0.0, 0.5), (3, 0.0, 0.0)]
+
+
 def test_lengths_give_the_stats(spark, monkeypatch):
     docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, "c")], "d long, t string")
     tokens = x.tokenised(docs, "d", "t")
