@@ -150,6 +150,40 @@ def test_join_in_blocks(spark, monkeypatch):
     assert classes(jj.jaccard_classes(df)) == joined(rows)
 
 
+def test_rows_beyond_the_broadcast_go_by_a_bitmap(spark, monkeypatch):
+    """A million keys and fingerprints were broadcast, for which the driver's memory didn't do; the bitmap's size doesn't depend on the rows beyond its bound."""
+    from quillon.llm import near_dedup
+
+    assert near_dedup.MOST_BROADCAST <= 100_000
+    every = spark.range(40_000).select("id", F.xxhash64("id").alias("h"))
+    wanted = every.filter("id % 10 = 3").select("h")
+    got = {r.id for r in every.filter(near_dedup.maybe(wanted, F.col("h"))).collect()}
+    assert {i for i in range(40_000) if i % 10 == 3} <= got and len(got) < 4000 + 36_000 / near_dedup.BITS * 2
+    assert not near_dedup.holds(near_dedup.bitmap(wanted.filter("false")), np.array([5, -7])).any()
+    monkeypatch.setattr(near_dedup, "MOST_BITS", 1 << 15)
+    bits = near_dedup.bitmap(wanted)
+    assert len(bits) == 4096 and near_dedup.holds(bits, np.array([r.h for r in wanted.collect()])).all()
+
+
+def test_matrix_keys_by_a_bitmap(spark):
+    nodes = spark.createDataFrame([(1, [5, -6, 7]), (2, []), (3, [-6]), (4, [8, 9])], "id long, keys array<long>").coalesce(1)
+    keys = spark.createDataFrame([(-6,), (9,)], "k long")
+    assert {(1, -6), (3, -6), (4, 9)} == {tuple(r) for r in jj._held(nodes, keys).collect()}
+
+
+@pytest.mark.parametrize("most", [0, 100])
+def test_one_of_each_beyond_the_broadcast(spark, monkeypatch, most):
+    from quillon.llm import near_dedup
+
+    monkeypatch.setattr(near_dedup, "MOST_BROADCAST", most)
+    rows = list(enumerate(near_copies(6, 4, 20))) + [(None, "one text of many words that has no key at all"), (None, "one text of many words that has no key at all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    kept = near_dedup.one_of_each(df)
+    want = {r.doc_id for r in near_dedup.near_duplicates(df.filter("doc_id IS NOT NULL"), threshold=near_dedup.LEAST).filter("kept").collect()} | {None}
+    got = [r.doc_id for r in kept.collect()]
+    assert len(got) == len(want) and {*got} == want
+
+
 def test_join_of_the_tables(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert classes(jj.op13_jaccard_join(spark, DATA)) == joined([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])
