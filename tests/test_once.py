@@ -114,6 +114,50 @@ def test_one_bucket_of_many_copies(spark, tmp_path):
     assert [r.id for r in once.results(spark, str(root)).collect()] == [0]
 
 
+def steps(root, seen):
+    """A crash hook that notes how many rounds a batch took."""
+    return lambda batch, step: seen.append(len([p for p in (root / "work" / f"batch={batch}").iterdir() if p.name.startswith("open-")])) if step == "kept" else None
+
+
+def test_a_bucket_of_texts_that_stay_takes_few_rounds(spark, tmp_path):
+    """Rows that share bands without being similar were decided one a round."""
+    src, root, seen, rng = tmp_path / "in", tmp_path / "out", [], random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(80):
+        t = list(base)
+        for k in rng.sample(range(12), 2):
+            t[5 * k + 2] = f"e{rng.randrange(99999)}"
+        rows.append((i, " ".join(t), DAY + timedelta(minutes=(i * 37) % 80), 0))
+    rows += [(100 + i, rows[i][1] + " tail", DAY + timedelta(hours=3), 0) for i in range(0, 80, 9)]
+    put(spark, src, rows)
+    run(spark, src, root, lambda s, r: once.skip_near_copies(s, r, key="id", text="text", time="at", crash=steps(root, seen)))
+    got = sorted(r.id for r in once.results(spark, str(root)).collect())
+    assert got == greedy([rows], timedelta(days=90)) and len(got) > 60 and seen == [1]
+
+
+@pytest.mark.parametrize("front", [1, 4])
+def test_rounds_of_small_fronts(spark, tmp_path, monkeypatch, front):
+    """Several rounds and blocks, with a horizon inside the batch, against the rule in plain Python."""
+    monkeypatch.setattr(once, "FRONT", front)
+    src, root, seen = tmp_path / "in", tmp_path / "out", []
+    t = texts(5, 120, 5)
+    batches = [[(100 * b + i, t[60 * b + i], DAY + timedelta(hours=(i * 7) % 60 + 30 * b), i) for i in range(60)] for b in range(2)]
+    for b in batches:
+        put(spark, src, b)
+    run(spark, src, root, lambda s, r: once.skip_near_copies(s, r, key="id", text="text", time="at", horizon="20 hours", crash=steps(root, seen)))
+    assert sorted(r.id for r in once.results(spark, str(root)).collect()) == greedy(batches, timedelta(hours=20)) and max(seen) > 2
+
+
+def test_shingles_are_hashes_of_slices(spark):
+    """What earlier versions wrote can be compared with."""
+    df = spark.createDataFrame([("A b  c d e f g",), ("a b",), ("a b c d e a b c d e a",), (" ",), (None,)], "t string")
+    words = F.array_remove(F.split(F.lower(F.coalesce("t", F.lit(""))), r"\s+"), "")
+    want = F.when(F.size("w") == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.xxhash64(F.slice("w", i, 5)))))
+    rows = df.withColumn("w", words).select(once.shingles(F.col("t")).alias("s"), want.alias("want")).collect()
+    assert all(r.s == r.want for r in rows) and [len(r.s) for r in rows] == [3, 1, 5, 0, 0]
+
+
 def test_shingles_split_a_text_once(spark):
     """The words aren't made again for each shingle: a text of 20,000 words took minutes."""
     import time
